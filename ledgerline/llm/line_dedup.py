@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, row_key, saved
 
 MIN_WORDS = 50
+BROADCAST_BYTES = 64 << 20
+"""Line numbers of later copies go to all tasks up to this size; beyond, they and the documents meet in a shuffle join."""
 
 
 def _has_word(line: Column) -> Column:
@@ -83,6 +85,8 @@ def later_copies(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The columns of docs, text without the lines of later copies, and n_lines (with a word), n_removed_lines, n_removed_words."""
     gone = saved(later_copies(docs)).withColumnRenamed("k", "__k").withColumnRenamed("lines", "__g")
+    if (gone.agg(F.sum(4 * F.size("__g") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
     rows = docs.withColumn("__k", row_key()).join(gone, "__k", "left").drop("__k")
     lines = F.split("text", "\n")
     number = F.filter(F.transform(lines, lambda x, i: F.when(_has_word(x), i)), lambda i: i.isNotNull())
