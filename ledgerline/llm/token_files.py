@@ -1,7 +1,7 @@
 """Operator 9: token ids as ORC files.
 
 Texts are dealt by ranges of doc_id, sorted, encoded inside the tasks and written as ORC: one row a document with its ids
-as an integer list (run-length encoded), its place (chunk = range number, first = ids before it in the chunk) and count; row index
+as an integer list (run-length encoded; no further compression, which gains little on packed ids), its place (chunk = range number, first = ids before it in the chunk) and count; row index
 entries every INDEX_STRIDE rows, a Bloom filter on doc_id, and stripes of STRIPE_BYTES, so that readers split files by stripes and skip
 by metadata. Reading needs no global sort: a document's start is its chunk's base, from one small row a chunk, plus `first`.
 
@@ -28,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, shared_dir
+from .common import arrow_limits, saved, shared_dir
 
 STRIPE_BYTES = 16 << 20
 INDEX_STRIDE = 2000
-CACHED_WORDS = 250_000
+CACHED_WORDS = 450_000
 END_ID = 0
+BROADCAST_CHUNKS = 1_000_000
+"""Bases (12 bytes a chunk) go to all tasks up to so many chunks; beyond, rows and bases meet in a shuffle join."""
 
 _two_spaces = re.compile(r"\s\s")
 
@@ -127,7 +129,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Writes the token ids of docs to ORC files in folder `path`, in ascending doc_id order."""
     arrow_limits(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    options = {"orc.stripe.size": STRIPE_BYTES, "orc.row.index.stride": INDEX_STRIDE, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zlib"}
+    options = {"orc.stripe.size": STRIPE_BYTES, "orc.row.index.stride": INDEX_STRIDE, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "none"}
     rows.mapInArrow(_writer(tokenizer), _FILE).write.options(**options).orc(path)
 
 
@@ -139,12 +141,21 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(off).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "chunk", "first", "n_tokens", "ids_crc32"])
 
 
+def chunk_bases(spark, path: str) -> DataFrame:
+    """chunk and base, the number of ids in all chunks before it: one row for each task that wrote."""
+    sizes = spark.read.schema(_FILE).orc(path).groupBy("chunk").agg(F.max(F.col("first") + F.col("n_tokens")).alias("size"))
+    return saved(sizes.select("chunk", (F.sum("size").over(Window.orderBy("chunk")) - F.col("size")).alias("base")))
+
+
+def with_start(rows: DataFrame, bases: DataFrame) -> DataFrame:
+    if bases.count() <= BROADCAST_CHUNKS:
+        bases = F.broadcast(bases)
+    return rows.join(bases, "chunk").withColumn("start", F.col("base") + F.col("first"))
+
+
 def read_tokens(spark, path: str) -> DataFrame:
     """The files' rows, with `start`: the number of ids of all documents before each one."""
-    rows = spark.read.schema(_FILE).orc(path)
-    sizes = rows.groupBy("chunk").agg(F.max(F.col("first") + F.col("n_tokens")).alias("size"))
-    base = sizes.select("chunk", (F.sum("size").over(Window.orderBy("chunk")) - F.col("size")).alias("base"))
-    return rows.join(base, "chunk").withColumn("start", F.col("base") + F.col("first"))
+    return with_start(spark.read.schema(_FILE).orc(path), chunk_bases(spark, path))
 
 
 def token_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -152,6 +163,5 @@ def token_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer)
-    rows = read_tokens(spark, path).select("doc_id", "chunk", "start", "n_tokens", "ids")
-    out = rows.mapInArrow(_checksums, "doc_id long, chunk int, first long, n_tokens long, ids_crc32 long")
-    return out.select("doc_id", F.col("first").alias("start"), "n_tokens", "ids_crc32")
+    sums = spark.read.schema(_FILE).orc(path).mapInArrow(_checksums, "doc_id long, chunk int, first long, n_tokens long, ids_crc32 long")
+    return with_start(sums, chunk_bases(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
