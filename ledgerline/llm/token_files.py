@@ -6,8 +6,8 @@ entries every INDEX_STRIDE rows, a Bloom filter on doc_id, and stripes of STRIPE
 by metadata. Reading needs no global sort: a document's start is its chunk's base, from one small row a chunk, plus `first`.
 
 Byte-level BPE never merges across the borders of words, so a word goes through the tokenizer library once and its ids are kept for a
-while (a word of letters needs the model alone, its last dot or comma is a piece of its own); a text with adjoining white space
-characters is encoded whole. Special tokens' strings in a text are ordinary text.
+while (a word of letters needs the model alone, its last dot or comma is a piece of its own); within a batch Arrow's
+dictionary encoding finds the distinct words. A text with adjoining white space characters is encoded whole. Special tokens' strings in a text are ordinary text.
 
 Results: a null text is empty and has only the end id. Null doc_ids come first; repeated doc_ids follow each other in the order of
 their texts' hashes. Other columns are ignored.
@@ -16,7 +16,6 @@ their texts' hashes. Other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from array import array
@@ -24,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,12 +32,14 @@ from .common import arrow_limits, saved, shared_dir
 
 STRIPE_BYTES = 16 << 20
 INDEX_STRIDE = 2000
-CACHED_WORDS = 450_000
+CACHED_WORDS = 400_000
 END_ID = 0
+ROWS = 2000
 BROADCAST_CHUNKS = 1_000_000
 """Bases (12 bytes a chunk) go to all tasks up to so many chunks; beyond, rows and bases meet in a shuffle join."""
 
-_two_spaces = re.compile(r"\s\s")
+_TWO_SPACES = r"[\s\x0b\x1c-\x1f\x85\p{Z}]{2}"
+_END = np.array([END_ID], dtype=np.uint32).tobytes()
 
 _printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: b if b in _printed else 256 + sum(x not in _printed for x in range(b)) for b in range(256)}
@@ -49,19 +51,20 @@ class _Ids(dict):
 
     def __init__(self, tokenizer, before: str):
         super().__init__()
-        self.tokenizer, self.tokenize, self.older = tokenizer, tokenizer.model.tokenize, {}
+        self.encode, self.tokenize, self.older = tokenizer.encode, tokenizer.model.tokenize, {}
         self.before, self.shown = before, before.translate(_SHOWN)
 
     def __missing__(self, word: str) -> bytes:
+        if not word.isalpha():  # words of letters are kept, what is made from them is not
+            if word[:1] == "\n":  # a line's first word, which has no space before it
+                return self.newline + self.bare[word[1:]]
+            if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():
+                return self[word[:-1]] + self.tail[word[-1]]
+            return array("I", self.encode(self.before + word, add_special_tokens=False).ids).tobytes()
         got = self.older.get(word)
         if got is None:
-            if word.isalpha():
-                shown = self.shown + (word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN))
-                got = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
-            elif len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():
-                got = self[word[:-1]] + self.tail[word[-1]]
-            else:
-                got = np.array(self.tokenizer.encode(self.before + word, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
+            shown = self.shown + (word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN))
+            got = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
         if len(self) >= CACHED_WORDS:
             self.older = dict(self)
             self.clear()
@@ -80,18 +83,43 @@ class Encoder:
         self.bare, self.spaced = _Ids(self.tokenizer, ""), _Ids(self.tokenizer, " ")
         self.newline = self._ids("\n")
         self.bare.tail = self.spaced.tail = {c: self._ids(c) for c in ".,"}
+        self.bare.bare = self.spaced.bare = self.bare
+        self.bare.newline = self.spaced.newline = self.newline
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if _two_spaces.search(text):
-            return self._ids(text)
-        bare, spaced, out = self.bare, self.spaced.__getitem__, []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            out.append((bare[words[0]] if words[0] else b"") + b"".join(map(spaced, words[1:])))
-        return self.newline.join(out)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, END_ID after each; number of ids of each). Words are told apart by Arrow's dictionary encoding."""
+        texts = pc.fill_null(texts, "")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _TWO_SPACES).to_numpy(zero_copy_only=False))
+        plain = texts
+        if len(odd):
+            mask = np.zeros(len(texts), dtype=bool)
+            mask[odd] = True
+            plain = pc.if_else(pa.array(mask), pa.scalar(""), texts)
+        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        offsets = lists.offsets.to_numpy()
+        pieces = lists.flatten().dictionary_encode()
+        at, found = pieces.indices.to_numpy().astype(np.int64), pieces.dictionary
+        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found), " ")[0].as_py().split(" ")  # no piece has a space
+        offsets = offsets - offsets[0]
+        firsts = [words[i] for i in at[offsets[:-1]]]
+        whole = dict(zip(odd.tolist(), [self._ids(texts[i].as_py()) for i in odd.tolist()], strict=True))
+        spaced, n = self.spaced, len(texts)
+        pool = [spaced[w] for w in words] + [whole[d] if d in whole else self._first(w) for d, w in enumerate(firsts)] + [_END]
+        at[offsets[:-1]] = len(words) + np.arange(n)
+        at = np.insert(at, offsets[1:], len(words) + n)
+        size = np.array([len(x) for x in pool], dtype=np.int64) // 4
+        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(pool), dtype=np.int32)
+        each = size[at]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(begin[at] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], offsets[1:] + np.arange(1, n + 1)])])
+
+    def _first(self, word: str) -> bytes:
+        """Ids of a text's first piece, which has no space before it."""
+        return self.newline + self.bare[word[1:]] if word[:1] == "\n" else self.bare[word]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -109,17 +137,13 @@ _FILE = "doc_id long, chunk int, first long, n_tokens long, ids array<int>"
 
 def _writer(path: str) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, first, end = TaskContext.get().partitionId(), 0, np.array([END_ID], dtype=np.uint32).tobytes()
+        chunk, first, encode = TaskContext.get().partitionId(), 0, encoder(path).encode
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                ids = batch.column(0).slice(a, 200)
-                encode = encoder(path).encode
-                got = [encode(t or "") + end for t in batch.column(1).slice(a, 200).to_pylist()]
-                n = np.array([len(x) // 4 for x in got], dtype=np.int64)
+            for a in range(0, batch.num_rows, ROWS):
+                ids, n = encode(batch.column(1).slice(a, ROWS))
                 ends = np.cumsum(n)
-                flat = pa.array(np.frombuffer(b"".join(got), dtype=np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(n), chunk, dtype=np.int32)), pa.array(first + ends - n), pa.array(n), lists], ["doc_id", "chunk", "first", "n_tokens", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, ROWS), pa.array(np.full(len(n), chunk, dtype=np.int32)), pa.array(first + ends - n), pa.array(n), lists], ["doc_id", "chunk", "first", "n_tokens", "ids"])
                 first += int(ends[-1])
 
     return write
