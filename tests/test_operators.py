@@ -1,0 +1,137 @@
+"""Operators on small literal tables, tokens against Python's own, and streams against batches."""
+
+import hashlib
+import hmac
+import json
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerline.operators import evaluate, extract, merge, pii, review
+from ledgerline.plans.oracles import ORACLES
+from ledgerline.plans.queries import QUERIES
+from ledgerline.sources import readers
+from ledgerline.sources.bindings import TABLES
+from ledgerline.streaming import jobs
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c
+
+
+def plain(v):
+    if isinstance(v, float) or type(v).__name__ == "Decimal":
+        return round(float(v), 6)
+    return v
+
+
+@pytest.mark.parametrize("name", ["subsidy_slab_amount", "capacity_check", "subsidy_gate_outcomes", "gross_total_check", "merge_fields", "match_items", "plan_batches", "check_this", "score_rollup", "pii_spans", "admissions", "review_revisions", "vendor_questions"])
+def test_query_equals_oracle(spark, duck, name):
+    df = QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
+    cur = duck.execute(ORACLES[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == cols
+    want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
+    assert got == want
+
+
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
+
+
+def test_tokens(spark):
+    row = spark.createDataFrame([(5, None)], "a int, b string").select(review.value_token(("b", F.col("b")), ("a", F.col("a"))).alias("t"), review.hmac_token(b"key", F.lit("payload")).alias("h")).first()
+    assert row.t == hashlib.sha256(json.dumps({"a": "5", "b": None}, sort_keys=True).encode()).hexdigest()[:24]
+    assert row.h == hmac.new(b"key", b"payload", "sha256").hexdigest()
+
+
+def test_merge_keeps_disagreement(spark):
+    f = spark.createDataFrame([("d", "x", "1", False), ("d", "x", "2", False), ("d", "y", "1", False), ("d", "y", "1", False), ("d", "z", "1", True)], "doc string, field string, value string, flagged boolean")
+    got = {r.field: (r.value, r.conflict) for r in merge.merge_fields(f).collect()}
+    assert got == {"x": (None, True), "y": ("1", False), "z": (None, True)}
+
+
+def test_corrections_are_idempotent(spark):
+    f = spark.createDataFrame([("d", "x", "1")], "doc string, field string, value string")
+    c = spark.createDataFrame([("d", "x", "2", 1), ("d", "no", "2", 1)], "doc string, field string, new_value string, at int")
+    once, unknown = review.apply_corrections(f, c)
+    twice, _ = review.apply_corrections(once.select("doc", "field", "value"), c)
+    assert [r.value for r in twice.collect()] == ["2"] and [r.field for r in unknown.collect()] == ["no"]
+
+
+def test_blocks(spark):
+    blocks = spark.createDataFrame([("d", 1, "w1", "WORD", "Grand", 90.0), ("d", 1, "w2", "WORD", "total", 60.0)], "doc string, page int, id string, block_type string, text string, confidence double")
+    edges = spark.createDataFrame([("d", 1, "c", "CHILD", 1, "w2"), ("d", 1, "c", "CHILD", 0, "w1")], "doc string, page int, parent_id string, kind string, pos int, child_id string")
+    assert [(r.text, r.confidence) for r in extract.block_text(edges, blocks).collect()] == [("Grand total", 60.0)]
+
+
+def test_merged_cells(spark):
+    cells = spark.createDataFrame([("d", 1, "t", 1, 1, "a", 90.0), ("d", 1, "t", 1, 2, "b", 50.0), ("d", 1, "t", 2, 1, "c", 80.0)], "doc string, page int, table string, row int, col int, text string, confidence double")
+    merged = spark.createDataFrame([("d", 1, "t", 1, 1, 1, 2)], "doc string, page int, table string, row int, col int, row_span int, col_span int")
+    got = {(r.row, r.col): (r.text, r.confidence) for r in extract.table_grid(cells, merged).collect()}
+    assert got == {(1, 1): ("a b", 50.0), (1, 2): ("a b", 50.0), (2, 1): ("c", 80.0)}
+
+
+def test_mask_leaves_no_span(spark):
+    d = spark.createDataFrame([(1, "mail a.b@c.org or 1234 5678 9012"), (2, None)], "doc_id int, text string")
+    assert pii.pii_spans(d).count() == 2
+    assert pii.pii_spans(d.withColumn("text", pii.mask_text(F.col("text")))).count() == 0
+
+
+def test_dedupe_boxes(spark):
+    b = spark.createDataFrame([("d", 1, 1, 0, 0, 10, 10), ("d", 1, 2, 1, 1, 5, 5), ("d", 1, 3, 20, 0, 25, 5)], "doc string, page int, box_id int, x0 int, y0 int, x1 int, y1 int")
+    assert sorted(r.box_id for r in pii.dedupe_boxes(b).collect()) == [1, 3]
+
+
+def test_answer_key(spark):
+    lines = ["total: 9", "[d1]", "total: 100 | 1, 2", "gst: none", "total: 120"]
+    truth, report = readers.parse_answer_key(spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, n int, text string"))
+    assert {(r.doc, r.field, r.value) for r in truth.collect()} == {("d1", "total", "120"), ("d1", "gst", None)}
+    assert {(r.n, r.problem) for r in report.collect()} == {(0, "orphan"), (2, "repeated")}
+
+
+def test_terms(spark):
+    got = {(r.term, r.kind) for r in readers.parse_terms(spark.createDataFrame([("# x",), ("Ann Lee",), ("keep: Solar",)], "text string")).collect()}
+    assert got == {("Ann Lee", "deny"), ("Solar", "keep")}
+
+
+def test_quotes_of_other_versions_are_set_apart(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"contract_version": "v1", "processing_complete": True}))
+    (tmp_path / "b.json").write_text(json.dumps({"contract_version": "v2"}))
+    good, bad = readers.read_quotes(spark, str(tmp_path))
+    assert good.count() == 1 and bad.count() == 1
+
+
+def test_score_statuses(spark):
+    pred = spark.createDataFrame([(1, "a", "x", False), (2, "a", "y", False), (3, "a", None, True), (4, "a", "x", False)], "doc int, field string, value string, conflict boolean")
+    truth = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "a", "x"), (4, "a", None), (5, "a", "x"), (6, "a", None)], "doc int, field string, value string")
+    got = {r.doc: r.status for r in evaluate.score_fields(pred, truth).collect()}
+    assert got == {1: "correct", 2: "wrong", 3: "conflict_flagged", 4: "falsely_populated", 5: "missing", 6: "abstained"}
+
+
+def test_job_states_stream(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00", "upload"), (1, "2024-01-01 00:00:01", "claim"), (1, "2024-01-01 00:00:02", "claim"), (1, "2024-01-01 00:00:03", "finish"), (2, "2024-01-01 00:00:00", "finish")]
+    spark.createDataFrame(rows, "job long, ts string, kind string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("job long, ts timestamp, kind string").parquet(str(tmp_path / "in"))
+    q = jobs.job_states(stream).writeStream.format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [r.state for r in spark.table("states").orderBy("ts").collect()] == ["uploaded", "processing", "done"]
+
+
+def test_alarm_stream_equals_batch(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id", "ts", "user_id AS job", "event_type AS kind")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    q = jobs.alarms(stream, ("error",), "10 minutes").writeStream.outputMode("update").format("memory").queryName("alarms").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.window_start, r.kind, r.n) for r in spark.table("alarms").collect()}
+    assert {(r.window_start, r.kind, r.n) for r in jobs.alarms(events, ("error",)).collect()} <= got
