@@ -2,7 +2,8 @@
 
 Every rule is evaluated once for every text; the ledger keeps its measurements and one 64-bit field of failure bits. A policy is a
 named, versioned set of rules, so applying or changing one is a bitwise test on the ledger, and an ablation (what each
-rule alone decides) is one pass of bitwise sums. Expressions only: no shuffle, no Python on the executors.
+rule alone decides) is one pass of bitwise sums. Expressions only: no shuffle, no Python on the executors. The ledger is written to the shared
+folder: a filter on it would else be pushed below it and evaluate its array expressions once an element.
 
 Windows of eight words are compared by 64-bit hashes within a text. Results: a null text has no words and fails too_few_words. Repeated
 rows get equal results; other columns are ignored.
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 SPACES = " \t\n\x0b\x0c\r"
 SPLIT = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -48,7 +51,7 @@ def mask(policy: str) -> int:
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, the measurements, and fail_bits."""
+    """Per row of docs: doc_id, the measurements, and fail_bits; stored, so that policies and filters read it and evaluate no rule again."""
     text = F.coalesce("text", F.lit(""))
     words = F.array_remove(F.split(text, SPLIT), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
@@ -74,7 +77,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(F.zip_with("p", F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))), lambda x, y: F.coalesce(F.least(y - x, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda t, x: t + x)
     f = e.select("doc_id", F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_lines", "n_upper_words", "n_distinct_words")
     bits = sum((F.when(bad, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, bad in enumerate(_rules().values())), F.lit(0).cast("long"))
-    return f.withColumn("fail_bits", bits)
+    return saved(f.withColumn("fail_bits", bits))
 
 
 def passes(policy: str) -> Column:
