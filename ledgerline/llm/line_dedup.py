@@ -7,7 +7,7 @@ doubling is array work inside a row, on all executors at once.
 
 Suffixes share a run if they lie in one interval of common prefixes, that is, if its names are equal. It is enough to look at the shortest runs
 of MIN_WORDS words that start, or end, at each line: their union is the union of all repeated runs with at least so many words. Of each
-interval the first suffix (by doc_id, text hash, line) stays; the runs of the others are later copies and their lines are
+interval the first suffix (by doc_id, null before all others, text hash, line) stays; the runs of the others are later copies and their lines are
 deleted. Equal keys are counted with partial sums before the shuffle, and the join back can be split, so a line that a third of all texts
 share is no hot spot.
 
