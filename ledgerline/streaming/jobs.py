@@ -20,8 +20,13 @@ def dedupe_uploads(log: DataFrame, kind: str = "signup") -> DataFrame:
     return log.where(F.col("kind") == kind).withColumn("r", first).where("r = 1").drop("r")
 
 
+def _watermarked(log: DataFrame, delay: str) -> DataFrame:
+    """Watermarks need a timestamp with time zone; one without is taken in the session's."""
+    return log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
 def dedupe_uploads_stream(log: DataFrame, delay: str = "1 hour") -> DataFrame:
-    return log.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["job"])
+    return _watermarked(log, delay).dropDuplicatesWithinWatermark(["job"])
 
 
 def admit(log: DataFrame, per_address: int, per_day: int) -> DataFrame:
@@ -35,7 +40,7 @@ def admit(log: DataFrame, per_address: int, per_day: int) -> DataFrame:
 
 def alarms(log: DataFrame, kinds: tuple[str, ...], watermark: str | None = None) -> DataFrame:
     """Windows of five minutes with events of an alarm kind; the same plan for batch and stream."""
-    rows = log.withWatermark("ts", watermark) if watermark else log
+    rows = _watermarked(log, watermark) if watermark else log
     per = rows.where(F.col("kind").isin(*kinds)).groupBy(F.window("ts", ALARM_WINDOW).alias("w"), "kind").agg(F.count("*").alias("n"))
     return per.select(F.col("w.start").alias("window_start"), "kind", "n")
 
