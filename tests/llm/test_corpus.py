@@ -81,6 +81,21 @@ def test_language(spark, docs, none):
     assert language.drop_unknown(docs).columns == docs.columns
 
 
+def test_language_rejects_what_is_far(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(5)
+    letters = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 10))) for _ in range(60))
+    far = ["Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。", "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق", letters]
+    clean = [(-100 - i, r.text[:n].rsplit(" ", 1)[0]) for i, (r, n) in enumerate((r, n) for r in d.where("length(text) > 300 and lang is not null").orderBy(F.xxhash64("doc_id")).limit(50).collect() for n in (30, 60, 300))]
+    both = d.unionByName(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(far)] + [(i, t, None) for i, t in clean], d.schema))
+    got = by_id(language.identify(both))
+    assert all(got[-1 - i].rejected for i in range(len(far)))
+    assert sum(got[i].rejected for i, _ in clean) <= 0.02 * len(clean)
+    assert sum(r.rejected for i, r in got.items() if i >= 0 and r.lang_pred != "und") <= 0.01 * len(got)
+    kept = {r.doc_id for r in language.drop_unknown(both).collect()}
+    assert kept == {i for i, r in got.items() if not r.rejected}
+
+
 def components(texts):
     sets = {}
     for i, t in texts.items():
