@@ -4,7 +4,8 @@ Each page's elements are taken as styled nodes: tag with class and role, named b
 up a site style tree: for each path, over the host's distinct pages, the entropy of the content below it (which texts, how often) and of its
 presentation (which sequences of children, how often), each divided by the logarithm of the number of pages. The larger one is the
 path's importance: 0 if all pages show the same, 1 if all differ. Branches of importance under IMPORTANCE on at least MIN_PAGES distinct pages
-are cut from every page of the host, but for what a page marks as its article or main part. Boilerplate whose text changes from page to page looks important to entropy, so nodes whose tag or
+are cut from every page of the host; inside what a page marks as its article or main part, only where the page shows what COMMON_SHARE of
+the pages show there, never all of it, and its h1 only with a branch around it. A branch is all that lies under one path, so repeated text in a paragraph like those of the article stays. Boilerplate whose text changes from page to page looks important to entropy, so nodes whose tag or
 class says what they are (menus, adverts, footers, forms, comments ...) have no importance to begin with; where a page marks an article or a
 main part, only that counts.
 
@@ -30,9 +31,10 @@ from .common import arrow_limits, saved
 
 IMPORTANCE = 0.2
 MIN_PAGES = 8
+COMMON_SHARE = 0.05
 BROADCAST_PATHS = 50_000
 MAX_PATH = 400
-"""Longer paths are named by their hash, so that a broadcast of BROADCAST_PATHS stays under 20 MB."""
+"""Longer paths are named by their hash, so that a broadcast of BROADCAST_PATHS stays under 30 MB."""
 
 # Element names of HTML and words that name boilerplate.
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -170,27 +172,52 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], ["host", "path", "page", "content", "children"])
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, n_pages, content_importance, style_importance, importance of every node of every site."""
+def _counts(pages: DataFrame) -> DataFrame:
+    """host, path, kind (c content, s children), hash v and the number c of the host's distinct pages that show it."""
     arrow_limits(pages.sparkSession)
     nodes = pages.select("url", "html").mapInArrow(_nodes, "host string, path string, page long, content long, children long")
-    once = saved(nodes.groupBy("host", "path", "page").agg(F.min("content").alias("content"), F.min("children").alias("children")))
+    once = nodes.groupBy("host", "path", "page").agg(F.min("content").alias("content"), F.min("children").alias("children"))
     kinds = F.inline(F.array(F.struct(F.lit("c").alias("kind"), F.col("content").alias("v")), F.struct(F.lit("s").alias("kind"), F.col("children").alias("v"))))
-    counts = once.select("host", "path", kinds).groupBy("host", "path", "kind", "v").agg(F.count("*").alias("c"))
+    return saved(once.select("host", "path", kinds).groupBy("host", "path", "kind", "v").agg(F.count("*").alias("c")))
+
+
+def style_tree(counts: DataFrame) -> DataFrame:
+    """host, path, n_pages, content_importance, style_importance, importance of every node of every site."""
     sums = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
     both = sums.groupBy("host", "path").agg(F.max("m").alias("n_pages"), F.max(F.when(F.col("kind") == "c", entropy)).alias("content_importance"), F.max(F.when(F.col("kind") == "s", entropy)).alias("style_importance"))
     return both.withColumn("importance", F.greatest("content_importance", "style_importance"))
 
 
-def _extractor(cut: dict[str, frozenset] | None) -> Callable:
+def _cut(pages: DataFrame) -> DataFrame:
+    """host, path and common (hashes of the contents that COMMON_SHARE of the pages show) of the branches to cut."""
+    counts = _counts(pages)
+    cut = saved(style_tree(counts).where((F.col("n_pages") >= MIN_PAGES) & (F.col("importance") < IMPORTANCE)).select("host", "path", "n_pages"))
+    shown = counts.where("kind = 'c' and c >= 2").join(cut, ["host", "path"]).where(F.col("c") >= COMMON_SHARE * F.col("n_pages"))
+    common = shown.groupBy("host", "path").agg(F.collect_set("v").alias("common"))
+    return saved(cut.drop("n_pages").join(common, ["host", "path"], "left"))
+
+
+def _text(page: str, gone: dict[str, frozenset]) -> str:
+    found = [(tuple(stack), text) for stack, text in blocks(page)]
+    kept = _main(found)
+    content: dict[str, list[str]] = {}
+    for stack, text in found if gone else []:
+        for node in stack[1:]:
+            if node[1] in gone:
+                content.setdefault(node[1], []).append(text)
+    repeats = {p for p, t in content.items() if _hash("\n".join(t)) in gone[p]}
+    left = [text for stack, text in kept if not any(n[1] in repeats and n[0] != "h1" if stack[-1][3] else n[1] in content for n in stack)]
+    return "\n\n".join(left if left or not any(stack[-1][3] for stack, _ in kept) else [text for _, text in kept])
+
+
+def _extractor(cut: dict[str, dict[str, frozenset]] | None) -> Callable:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for i, (url, page) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                gone = cut.get(_host_of(url) or "", frozenset()) if cut is not None else frozenset(batch.column(3)[i].as_py() or ())
-                kept = _main([(tuple(stack), text) for stack, text in blocks(page or "")])
-                texts.append("\n\n".join(text for stack, text in kept if not gone or stack[-1][3] or not any(n[1] in gone for n in stack)))
+                gone = cut.get(_host_of(url) or "", {}) if cut is not None else {x["path"]: frozenset(x["common"] or ()) for x in batch.column(3)[i].as_py() or ()}
+                texts.append(_text(page or "", gone))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return extract
@@ -199,16 +226,15 @@ def _extractor(cut: dict[str, frozenset] | None) -> Callable:
 def main_text(pages: DataFrame) -> DataFrame:
     """Per row of pages: page_id, url, text, n_chars."""
     arrow_limits(pages.sparkSession)
-    cut = saved(style_tree(pages).where((F.col("n_pages") >= MIN_PAGES) & (F.col("importance") < IMPORTANCE)).select("host", "path"))
+    cut = _cut(pages)
     rows = pages.select("page_id", "url", "html")
     by_host = None
     if cut.count() <= BROADCAST_PATHS:
-        paths: dict[str, set] = {}
+        by_host = {}
         for r in cut.collect():
-            paths.setdefault(r.host, set()).add(r.path)
-        by_host = {h: frozenset(p) for h, p in paths.items()}
+            by_host.setdefault(r.host, {})[r.path] = frozenset(r.common or ())
     else:
         host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-        rows = rows.withColumn("host", host).join(saved(cut.groupBy("host").agg(F.collect_set("path").alias("gone"))), "host", "left").select("page_id", "url", "html", "gone")
+        rows = rows.withColumn("host", host).join(saved(cut.groupBy("host").agg(F.collect_list(F.struct("path", "common")).alias("gone"))), "host", "left").select("page_id", "url", "html", "gone")
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(_extractor(by_host), f"page_id {kind}, url string, text string, n_chars long")

@@ -203,6 +203,16 @@ def test_style_tree_cuts_what_repeats(spark):
     assert all(r.text == f"Story {r.page_id}" for r in got)
 
 
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_style_tree_cuts_repeats_of_articles(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html_text, "BROADCAST_PATHS", broadcast)
+    own = {3: "Own words of page 3"}
+    body = {i: f"<h1>Story {i}</h1><p>Told {i}</p><div class='more'><p>{own.get(i, 'By the desk')}</p></div>" for i in range(20)} | {20: "<div class='more'><p>By the desk</p></div>"}
+    rows = [(i, f"http://h.org/{i}", f"<body><article>{x}</article></body>") for i, x in body.items()]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n\n".join([f"Story {i}", f"Told {i}", *([own[i]] if i in own else [])]) for i in range(20)} | {20: "By the desk"}
+
+
 def test_quality_model(spark, docs, none):
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality_model.quality_scores(d, labels).join(labels, "doc_id").where("held_out").collect()
