@@ -1,14 +1,16 @@
 """Operator 4: licence notices by a trained paragraph classifier.
 
 Paragraphs are lines. Features are word unigrams and bigrams, hashed; a multinomial logistic regression is trained on the notices below, on
-pieces of them, and on a bounded sample of corpus paragraphs (FIT_PARAGRAPHS) as the class unknown. Its probabilities are
+pieces of them, and on a bounded sample of corpus paragraphs (FIT_PARAGRAPHS, any line of a text) as the class unknown, but for those that
+share MIN_OVERLAP of their bigrams with a notice. Its probabilities are
 calibrated by a temperature on rows kept out of the fit; under MIN_PROBABILITY a paragraph is unknown. A predicted family is
 confirmed if the paragraph shares MIN_OVERLAP of its bigrams (or of the notice's, if shorter) with one of the family's notices.
 
-Each notice has one of STEMS, and so must a paragraph to be scored; others are unknown. Scoring is expressions only: weights, notices
-and offsets are literals of fixed size, whatever the corpus.
+Every paragraph is scored: first by a bound, one sum over its features, under which no family can reach MIN_PROBABILITY; the paragraphs over
+it then get their probabilities. The bound changes no result. Scoring is expressions only: weights, notices and offsets are literals of
+fixed size, whatever the corpus.
 
-Results, one row for each doc_id and text: n_paragraphs (lines with a word), n_scored, n_confirmed, n_unconfirmed, families (confirmed, sorted,
+Results, one row for each doc_id and text: n_paragraphs (lines with a word), n_scored (all of them), n_confirmed, n_unconfirmed, families (confirmed, sorted,
 comma-joined; empty if none), probability (highest of the confirmed; null if none). A null text has no paragraph. Other columns are ignored.
 """
 
@@ -43,16 +45,19 @@ NOTICES = {
     ),
     "CC-BY": (
         "Licensed under CC BY 4.0.",
+        "Creative Commons Attribution 4.0 International (CC BY 4.0)",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-4.0",
     ),
     "CC-BY-NC": (
         "Licensed under CC BY-NC 4.0.",
+        "Creative Commons Attribution-NonCommercial 4.0 International (CC BY-NC 4.0)",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
     ),
     "CC-BY-SA": (
         "Licensed under CC BY-SA 4.0.",
+        "Creative Commons Attribution-ShareAlike 4.0 International (CC BY-SA 4.0)",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-SA-4.0",
     ),
@@ -60,6 +65,7 @@ NOTICES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "Distributed under the terms of the GNU GPL v3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "LGPL": (
@@ -86,6 +92,7 @@ NOTICES = {
     "public-domain": (
         "This work has been dedicated to the public domain under CC0 1.0 Universal.",
         "This is free and unencumbered software released into the public domain.",
+        "CC0 1.0 Universal",
         "SPDX-License-Identifier: CC0-1.0",
     ),
 }
@@ -103,7 +110,6 @@ OTHERS = (
     "The shop sells licensed toys and hats.",
     "Public domain names were sold in an auction.",
 )
-STEMS = ("licen", "copyright", "warrant", "redistribut", "public domain", "rights reserved", "permission")
 
 
 def _words(text: Column) -> Column:
@@ -120,12 +126,8 @@ def _features(w: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(one, _bigrams(w)), lambda h: F.pmod(h, F.lit(DIMS)).cast("int")))
 
 
-def has_stem(text: Column) -> Column:
-    low = F.lower(text)
-    out = F.lit(False)
-    for s in STEMS:
-        out = out | F.contains(low, F.lit(s))
-    return out
+def _lines(text: str) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
 
 
 def _literal(values: np.ndarray, kind: str) -> Column:
@@ -139,6 +141,26 @@ class Model:
         self.families, self.weights, self.offsets, self.notices = families, weights, offsets, notices
 
 
+def _notices(spark: SparkSession, families: list[str]) -> list[tuple[int, list[int]]]:
+    """Class and bigrams of each notice."""
+    texts = [(families.index(f), x) for f, ts in NOTICES.items() for x in ts]
+    grams = spark.range(1).select(F.array(*[_bigrams(_words(F.lit(x))) for _, x in texts]).alias("g")).first().g
+    return [(f, list(g)) for (f, _), g in zip(texts, grams, strict=True)]
+
+
+def _overlap(bigrams: Column, notice: list[int]) -> Column:
+    shared = F.size(F.array_intersect(bigrams, _literal(np.array(notice, dtype=np.int64), "bigint")))
+    return shared / F.greatest(F.lit(1), F.least(F.size(bigrams), F.lit(len(notice))))
+
+
+def _bound(w: Column, model: Model) -> Column:
+    """No family's logit exceeds unknown's by more; under 0 (less rounding) none has MIN_PROBABILITY, which is a half or more."""
+    unknown = len(model.families) - 1
+    over = _literal((model.weights[:, :unknown] - model.weights[:, unknown:]).max(axis=1), "double")
+    start = float((model.offsets[:unknown] - model.offsets[unknown]).max())
+    return F.aggregate(_features(w), F.lit(start), lambda acc, f: acc + F.get(over, f))
+
+
 def _known(spark: SparkSession) -> DataFrame:
     """family, text of notices, of their halves and with words around, and of OTHERS."""
     rows = [(f, t) for f, ts in NOTICES.items() for t in ts]
@@ -160,8 +182,11 @@ def fit(docs: DataFrame) -> Model:
     total = docs.where("text is not null").count()
     share = min(1.0, 2 * FIT_PARAGRAPHS / max(1, total))
     unit = F.pmod(F.xxhash64("text", F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = docs.where(unit < share).select(F.lit(UNKNOWN).alias("family"), F.element_at(F.split("text", "\n"), 1).alias("text")).where(F.length("text") > 0)
-    sample = drawn.where(~has_stem(F.col("text"))).orderBy(F.xxhash64("text")).limit(FIT_PARAGRAPHS)
+    lines = docs.where(unit < share).select("text", _lines("text").alias("l")).where(F.size("l") > 0)
+    drawn = lines.select(F.lit(UNKNOWN).alias("family"), F.get("l", F.pmod(F.xxhash64("text", F.lit(43)), F.greatest(F.lit(1), F.size("l"))).cast("int")).alias("text"))
+    notices = _notices(spark, families)
+    sample = drawn.withColumn("b", _bigrams(_words(F.col("text")))).where(F.greatest(*[_overlap(F.col("b"), g) for _, g in notices]) < MIN_OVERLAP)
+    sample = sample.select("family", "text").orderBy(F.xxhash64("text")).limit(FIT_PARAGRAPHS)
     rows = saved(_known(spark).unionByName(sample).withColumn("f", _features(_words(F.col("text")))))
     dense = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.array_contains("f", i).cast("double"))
     label = F.coalesce(*[F.when(F.col("family") == f, F.lit(float(i))) for i, f in enumerate(families)])
@@ -179,9 +204,7 @@ def fit(docs: DataFrame) -> Model:
 
     t = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss) if len(y) else 1.0
     model = lr.fit(data)
-    texts = [(families.index(f), x) for f, ts in NOTICES.items() for x in ts]
-    grams = spark.range(1).select(F.array(*[_bigrams(_words(F.lit(x))) for _, x in texts]).alias("g")).first().g
-    return Model(families, model.coefficientMatrix.toArray().T / t, np.array(model.interceptVector.toArray()) / t, [(f, list(g)) for (f, _), g in zip(texts, grams, strict=True)])
+    return Model(families, model.coefficientMatrix.toArray().T / t, np.array(model.interceptVector.toArray()) / t, notices)
 
 
 def score_paragraphs(rows: DataFrame, model: Model) -> DataFrame:
@@ -193,7 +216,7 @@ def score_paragraphs(rows: DataFrame, model: Model) -> DataFrame:
     rows = rows.withColumn("__z", logits).withColumn("__top", F.array_max("__z"))
     rows = rows.withColumn("__y", F.array_position("__z", F.col("__top")) - 1)
     rows = rows.withColumn("__p", 1 / F.aggregate(F.transform("__z", lambda z: F.exp(z - F.col("__top"))), F.lit(0.0), lambda a, b: a + b))
-    shared = [F.when(F.col("__y") == f, F.size(F.array_intersect("__b", _literal(np.array(g, dtype=np.int64), "bigint"))) / F.greatest(F.lit(1), F.least(F.size("__b"), F.lit(len(g))))) for f, g in model.notices]
+    shared = [F.when(F.col("__y") == f, _overlap(F.col("__b"), g)) for f, g in model.notices]
     rows = rows.withColumn("overlap", F.greatest(*shared))
     sure = (F.col("__y") < k - 1) & (F.col("__p") >= MIN_PROBABILITY)
     family = F.when(sure, F.get(F.array(*map(F.lit, model.families)), F.col("__y").cast("int")))
@@ -202,13 +225,13 @@ def score_paragraphs(rows: DataFrame, model: Model) -> DataFrame:
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or fit(docs)
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), lines.alias("l"), F.coalesce(has_stem(F.col("text")), F.lit(False)).alias("some"))
-    rows = rows.select("doc_id", "t", F.coalesce(F.size("l"), F.lit(0)).cast("long").alias("n"), F.when(F.col("some"), F.filter("l", has_stem)).alias("l"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), _lines("text").alias("l"))
+    bounds = F.zip_with("l", F.transform("l", _words), lambda x, w: F.struct(x.alias("p"), _bound(w, model).alias("b")))
+    rows = rows.select("doc_id", "t", F.coalesce(F.size("l"), F.lit(0)).cast("long").alias("n"), F.filter(bounds, lambda x: x["b"] >= -1e-6)["p"].alias("l"))
     rows = rows.select("doc_id", "t", F.greatest("n", F.lit(0)).alias("n"), F.posexplode_outer("l").alias("at", "p"))
     found = score_paragraphs(rows, model)
     confirmed = F.col("family").isNotNull() & (F.col("overlap") >= MIN_OVERLAP)
-    once = found.groupBy("doc_id", "t", "n", "at").agg(F.first("p").alias("p"), F.first(F.when(confirmed, F.col("family"))).alias("ok"), F.first(F.when(~confirmed, F.col("family"))).alias("no"), F.first(F.when(confirmed, F.col("probability"))).alias("q"))
+    once = found.groupBy("doc_id", "t", "n", "at").agg(F.first(F.when(confirmed, F.col("family"))).alias("ok"), F.first(F.when(~confirmed, F.col("family"))).alias("no"), F.first(F.when(confirmed, F.col("probability"))).alias("q"))
     return once.groupBy("doc_id", "t", "n").agg(
-        F.count("p").alias("n_scored"), F.count("ok").alias("n_confirmed"), F.count("no").alias("n_unconfirmed"), F.array_join(F.array_sort(F.collect_set("ok")), ",").alias("families"), F.max("q").alias("probability")
-    ).select("doc_id", F.col("n").alias("n_paragraphs"), "n_scored", "n_confirmed", "n_unconfirmed", "families", "probability")
+        F.count("ok").alias("n_confirmed"), F.count("no").alias("n_unconfirmed"), F.array_join(F.array_sort(F.collect_set("ok")), ",").alias("families"), F.max("q").alias("probability")
+    ).select("doc_id", F.col("n").alias("n_paragraphs"), F.col("n").alias("n_scored"), "n_confirmed", "n_unconfirmed", "families", "probability")

@@ -173,6 +173,23 @@ def test_licences(docs, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_licences_without_stems(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    notices = {-1: ("Creative Commons Attribution 4.0 International (CC BY 4.0)", "CC-BY"), -2: ("CC0 1.0 Universal", "public-domain"), -3: ("Distributed under the terms of the GNU GPL v3", "GPL")}
+    both = d.unionByName(spark.createDataFrame([(i, f"{prose(40)}\n{x}\n{prose(30, 2)}", ) for i, (x, _) in notices.items()], d.schema))
+    model = license_scan.fit(both)
+    got = by_id(license_scan.scan(both, model))
+    assert {i: got[i].families for i in notices} == {i: f for i, (_, f) in notices.items()}
+    assert all(r.n_scored == r.n_paragraphs for r in got.values())
+    lines = both.dropDuplicates().select("doc_id", F.explode(license_scan._lines("text")).alias("p"))
+    want = defaultdict(lambda: [0, 0, set()])
+    for r in license_scan.score_paragraphs(lines, model).where("family is not null").collect():
+        sure = r.overlap >= license_scan.MIN_OVERLAP
+        want[r.doc_id][0 if sure else 1] += 1
+        want[r.doc_id][2] |= {r.family} if sure else set()
+    assert {i: [r.n_confirmed, r.n_unconfirmed, set(filter(None, r.families.split(",")))] for i, r in got.items() if r.n_confirmed + r.n_unconfirmed} == dict(want)
+
+
 def test_mixing(spark, docs, none):
     d = spark.read.parquet(f"{SF}/documents.parquet").unionByName(docs.select("doc_id", "text", "lang", "source", "n_chars"))
     rows = mixing.mixture(d).collect()
