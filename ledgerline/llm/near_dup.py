@@ -7,13 +7,16 @@ a fair min-hash whatever the size of the text. Bands of four registers deal text
 
 * Texts with equal sets form a class first; only class representatives (smallest doc_id) go on, so a group of exact
   copies, however large, is one row from there.
-* In a band group each representative is paired with the group's leader only (a star, never all pairs). Pairs whose
-  collision-corrected estimate is far under the threshold are dropped, the rest are confirmed on full shingle sets.
-* Groups that still hold more than one component are looked at again: members outside the leader's component are paired with
-  a second leader, then with all members of other components, so no link is lost by the star.
-
-Results: null text, or a text without words: no shingles, linked with nothing, kept. Null doc_id: never linked,
-component_id null, kept. Rows that repeat a doc_id are one vertex under that id. Other columns are ignored.
+* In a band group each representative is paired with the group's leader only (a star, never all pairs). Pairs whose sizes or
+  collision-corrected estimate are far under the threshold are dropped, the rest are confirmed on full shingle sets, which are built once a text.
+* Groups that still hold more than one component are open. Among their members a link needs a shared shingle early in the order
+  by rarity: two sets of n and m shingles share 3 (n + m) / 7 at least, and cannot if their first common shingle comes later. Members meet by
+  such shingles only, those outside a shingle's largest component with those of other components. This loses no link of a band group, and its
+  pairs do not grow with the square of a group, as members of a group that are not linked differ in rare shingles.
+* Pairs are confirmed beside one copy of their first text for each of up to SALTS parts of its pairs, in a stream: no group is held in memory.
+
+Results: doc_id is an integer (it is cast to long). Null text, or a text without words: no shingles, linked with nothing, kept. Null doc_id: never
+linked, component_id null, kept. Rows that repeat a doc_id are one vertex under that id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_limits, byte_table, chunks, mix, run_hash, saved
+from .common import Words, arrow_limits, byte_table, chunks, mix, row_key, run_hash, saved
 
 SHINGLE = 5
 REGISTERS = 128
@@ -33,7 +36,10 @@ BAND_ROWS = 4
 MANTISSA = 9
 THRESHOLD_PERCENT = 75
 PRUNE_BELOW = 0.5
-"""Estimates have a standard error of 0.04 at 0.75: a true link is pruned about once in 10**10."""
+"""Estimates have a standard error of 0.04 at 0.75: by the normal law a true link is pruned about once in 10**10. Of the links of sf0.1 none is under 0.6."""
+SALTS = 1024
+BROADCAST_ROWS = 1_000_000
+"""Ids, labels and least neighbours (8 to 40 bytes a row) go to all tasks up to so many rows; beyond, both sides meet in a shuffle join."""
 
 _EMPTY = 0xFFFF
 
@@ -83,6 +89,11 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return ((a == b).mean(axis=1) - chance) / (1 - chance)
 
 
+def signature(x: np.ndarray) -> bytes:
+    """Equal for equal sets."""
+    return np.array([len(x), mix(x, 1).sum(dtype=np.uint64), mix(x, 2).sum(dtype=np.uint64)], dtype=np.uint64).tobytes()
+
+
 _SKETCH = "doc_id long, n_shingles long, sig binary, regs binary"
 
 
@@ -92,7 +103,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes, sigs, regs = [], [], []
             for x in shingle_sets(data, offsets):
                 sizes.append(len(x))
-                sigs.append(np.array([len(x), mix(x, 1).sum(dtype=np.uint64), mix(x, 2).sum(dtype=np.uint64)], dtype=np.uint64).tobytes() if len(x) else None)
+                sigs.append(signature(x) if len(x) else None)
                 regs.append(registers(x).tobytes() if len(x) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "sig", "regs"])
 
@@ -108,41 +119,54 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seeds = mix(np.arange(n_bands, dtype=np.uint64), 5)
     for batch in batches:
         if batch.num_rows:
-            four = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint64).reshape(-1, n_bands)
+            four = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64).reshape(-1, n_bands)
             band = mix(mix(four) ^ seeds[None, :]).view(np.int64)
-            rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n_bands)
-            yield pa.RecordBatch.from_arrays([pa.array(band.ravel()), pa.array(rep)], ["band", "rep"])
+            rep, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n_bands) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(band.ravel()), pa.array(rep), pa.array(n)], ["band", "rep", "n"])
 
 
-def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-            n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
-            ok = pa.array(estimate(a, b, n, m) >= PRUNE_BELOW)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+        for at, n, data, offsets in chunks(batch.column(1)):
+            sets = shingle_sets(data, offsets)
+            columns = [pa.array([signature(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *columns], ["rep", "sig", "set"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of ids and texts to the pairs at or over the threshold on full sets."""
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, token for each shingle of (key, set)."""
     for batch in batches:
-        keep, sets = [], {}
-        ids = [batch.column(c).to_pylist() for c in ("a", "b")]
         for i in range(batch.num_rows):
-            pair = []
-            for side, name in enumerate(("ta", "tb")):
-                key = (side, ids[side][i])
-                if key not in sets:
-                    if len(sets) > 256:
-                        sets.clear()
-                    raw = np.frombuffer((batch.column(name)[i].as_py() or "").encode(), dtype=np.uint8)
-                    sets[key] = shingle_sets(raw, np.array([0, len(raw)]))[0]
-                pair.append(sets[key])
-            x, y = pair
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both > 0 and 100 * both >= THRESHOLD_PERCENT * (len(x) + len(y) - both))
-        ok = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+            x = np.frombuffer(batch.column(1)[i].as_py(), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), batch.column(0)[i].as_py(), dtype=np.int64)), pa.array(x)], ["key", "token"])
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, part, b, regs, set) sorted by a, part and b, where null b holds the set of a: the pairs that the estimate keeps and full sets confirm."""
+    here, leaders = None, []
+    for batch in batches:
+        ids, parts, others, regs, sets = (batch.column(c).to_pylist() for c in range(5))
+        found = []
+        for a, part, b, r, x in zip(ids, parts, others, regs, sets, strict=True):
+            if here != (a, part):
+                here, leaders = (a, part), []
+            r, x = np.frombuffer(r, dtype=np.uint16)[None], np.frombuffer(x, dtype=np.uint64)
+            if b is None:
+                leaders.append((r, x))
+                continue
+            for q, y in leaders:
+                least, most = sorted((len(x), len(y)))
+                if estimate(q, r, np.array([least]), np.array([most]))[0] >= PRUNE_BELOW:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both and 100 * both >= THRESHOLD_PERCENT * (least + most - both):
+                        found.append((a, b))
+                        break
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A saved table, marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -154,62 +178,84 @@ def components(edges: DataFrame) -> DataFrame:
     e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b"))))).where("a <> b").distinct()
-        e = saved(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return e.select(F.col("a").alias("v"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("v"), F.col("b").alias("label")).distinct())
         seen = now
-
-
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that the estimate keeps and full sets confirm."""
-    side = lambda s: reps.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
-    near = saved(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated, "a long, b long").distinct())
-    ids = near.select(F.inline(F.array(F.struct(F.col("a").alias("doc_id")), F.struct(F.col("b").alias("doc_id"))))).distinct()
-    texts = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"))
-    of = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"t{s}"))
-    return saved(near.join(of("b"), "b").join(of("a"), "a").mapInArrow(_confirmed, "a long, b long"))
+        few = F.broadcast if now[0] <= BROADCAST_ROWS else (lambda df: df)
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(few(least), "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(few(low), "a").select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))))
+        e = saved(small.where("a <> b").distinct())
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) that the estimate keeps and full sets confirm."""
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("part"))
+    firsts = pairs.select("a", "part").distinct().join(sets.withColumnRenamed("rep", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "regs", "set")
+    members = pairs.join(sets.withColumnRenamed("rep", "b"), "b").select("a", "part", "b", "regs", "set")
+    rows = firsts.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return saved(rows.mapInArrow(_confirmed, "a long, b long").distinct())
+
+
+def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of open groups, of different components, that share a shingle early enough in the order by rarity."""
+    labelled = members.join(_small(labels.withColumnRenamed("v", "rep")), "rep", "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    spans = saved(labelled.groupBy("band").agg(F.min("n").alias("least"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", "least"))
+    # per vertex: its component, and the size of the smallest set that it may be paired with
+    inside = saved(labelled.join(_small(spans), "band").groupBy("rep").agg(F.first("label").alias("label"), F.min("least").alias("least")))
+    # a key for each set, as rows that repeat a doc_id may have several
+    own = sets.join(_small(inside), "rep").withColumn("key", F.xxhash64("rep", "sig"))
+    tokens = saved(own.select("key", "set").mapInArrow(_tokens, "key long, token long"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    order = F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order")
+    ranked = tokens.join(common, "token").groupBy("key").agg(order).join(saved(own.select("key", "rep", "label", "least", (F.length("set") / 8).cast("long").alias("n"))), "key")
+    at = F.transform("order", lambda x, i: F.struct(x["token"].alias("token"), i.cast("long").alias("at"), x["df"].alias("df")))
+    reach = 3 * (F.col("n") + F.greatest("least", F.ceil(F.col("n") * 3 / 4)))
+    early = F.filter(at, lambda x: (x["df"] > 1) & (7 * (F.col("n") - x["at"]) >= reach))
+    postings = saved(ranked.select("rep", "n", "label", F.inline(early)).select("token", "rep", "n", "label", (F.col("n") - F.col("at")).alias("rest")))
+    of_label = postings.groupBy("token", "label").agg(F.count("*").alias("c"))
+    mixed = saved(of_label.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("k")).where("k > 1").select("token", "main"))
+    live = saved(postings.join(_small(mixed), "token"))
+    outside = live.where("label <> main").select("token", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("rest").alias("rx"))
+    meet = outside.join(live, "token").where("label <> lx and (label = main or rep > x) and 7 * least(rest, rx) >= 3 * (n + nx)")
+    return saved(meet.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept: one row per row of docs."""
     rows = saved(sketches(docs))
     known = rows.where("sig is not null and doc_id is not null")
-    classes = saved(known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    reps = saved(known.join(classes.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"]).dropDuplicates(["doc_id", "sig"]).select(F.col("doc_id").alias("rep"), "sig", "n_shingles", "regs"))
-    bands = reps.select("rep", "regs").mapInArrow(_bands, "band long, rep long")
-    groups = saved(bands.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last"))
+    classes = saved(known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")))
+    bands = classes.select("rep", "n", "regs").mapInArrow(_bands, "band long, rep long, n long")
+    groups = saved(bands.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).where("lead.rep < last").select("band", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("m")))
     members = saved(bands.join(groups, "band"))
-    links = _links(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), reps, docs)
-    labels = saved(components(links))
-    for final in (False, True):
-        labelled = saved(members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
-        lead = labelled.where("rep = leader").select("band", F.col("label").alias("main"))
-        second = labelled.join(saved(lead.dropDuplicates(["band"])), "band").where("label <> main").groupBy("band").agg(F.min("rep").alias("rep2"), F.min("main").alias("main"))
-        second = saved(second)
-        if second.isEmpty():
-            break
-        open_groups = labelled.join(second, "band")
-        outside = open_groups.where("label <> main" if final else "rep = rep2").select("band", F.col("rep").alias("x"), F.col("label").alias("lx"))
-        pairs = saved(outside).join(labelled.where("rep <> leader").select("band", F.col("rep").alias("y"), F.col("label").alias("ly")), "band").where("lx <> ly")
-        more = _links(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), reps, docs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = saved(components(links))
+    ids = saved(members.select("rep").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(_small(ids), "rep", "left_semi").where("text is not null")
+    sets = texts.mapInArrow(_sets, "rep long, sig binary, set binary").where("length(set) > 0").dropDuplicates(["rep", "sig"])
+    sets = saved(sets.join(classes.select("rep", "sig", "regs"), ["rep", "sig"]))
+    pairs = members.where("rep <> leader and 4 * least(n, m) >= 3 * greatest(n, m)").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    labels = saved(components(_links(pairs, sets)))
+    more = _links(_open_pairs(members, labels, sets), sets)
+    if not more.isEmpty():
+        links = more.unionByName(labels.select(F.col("v").alias("a"), F.col("label").alias("b")))
+        labels = saved(components(links))
     moved = labels.where("v <> label").withColumnRenamed("v", "rep")
-    of_class = saved(classes.join(moved, "rep", "left").where("copies > 1 or label is not null").select("sig", F.coalesce("label", "rep").alias("component_id")))
-    out = rows.select("doc_id", "n_shingles", "sig").join(of_class, "sig", "left")
+    of_class = saved(classes.select("sig", "rep", "copies").join(_small(saved(moved)), "rep", "left").where("copies > 1 or label is not null").select("sig", F.coalesce("label", "rep").alias("component_id")))
+    out = rows.select("doc_id", "n_shingles", "sig").join(_small(of_class), "sig", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: docs without the near copies; of rows that repeat a kept doc_id and text, one stays."""
-    gone = saved(near_duplicates(docs).where("not kept").select("doc_id").distinct())
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    return left
+    """Pipeline stage: docs without the near copies; of rows that repeat a kept doc_id and text, nulls included, one stays."""
+    gone = saved(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    left = docs.join(_small(gone), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti").withColumn("__k", row_key())
+    again = saved(left.groupBy("__k").count().where("count > 1").select("__k"))
+    if again.isEmpty():
+        return left.drop("__k")
+    again = _small(again)
+    once = left.join(again, left["__k"].eqNullSafe(again["__k"]), "left_semi").dropDuplicates(["__k"])
+    return left.join(again, left["__k"].eqNullSafe(again["__k"]), "left_anti").unionByName(once).drop("__k")
