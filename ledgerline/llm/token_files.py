@@ -32,7 +32,9 @@ from .common import arrow_limits, saved, shared_dir
 
 STRIPE_BYTES = 16 << 20
 INDEX_STRIDE = 2000
-CACHED_WORDS = 400_000
+CACHE_BYTES = 8 << 20
+"""Word ids kept by a worker: up to twice as much for each of the two kinds of words (with and without a space before), 32 MB in all."""
+ENTRY_BYTES = 200
 END_ID = 0
 ROWS = 2000
 BROADCAST_CHUNKS = 1_000_000
@@ -47,11 +49,11 @@ _SHOWN = {b: b if b in _printed else 256 + sum(x not in _printed for x in range(
 
 
 class _Ids(dict):
-    """The ids of words, each with `before` in front; those of the last CACHED_WORDS to 2 * CACHED_WORDS new ones are kept."""
+    """The ids of words, each with `before` in front; the newest are kept, CACHE_BYTES to twice as much of them."""
 
     def __init__(self, tokenizer, before: str):
         super().__init__()
-        self.encode, self.tokenize, self.older = tokenizer.encode, tokenizer.model.tokenize, {}
+        self.encode, self.tokenize, self.older, self.bytes = tokenizer.encode, tokenizer.model.tokenize, {}, 0
         self.before, self.shown = before, before.translate(_SHOWN)
 
     def __missing__(self, word: str) -> bytes:
@@ -65,9 +67,10 @@ class _Ids(dict):
         if got is None:
             shown = self.shown + (word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN))
             got = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
-        if len(self) >= CACHED_WORDS:
-            self.older = dict(self)
+        if self.bytes >= CACHE_BYTES:
+            self.older, self.bytes = dict(self), 0
             self.clear()
+        self.bytes += ENTRY_BYTES + 2 * len(word) + len(got)
         self[word] = got
         return got
 
