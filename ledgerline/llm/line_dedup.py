@@ -50,8 +50,8 @@ def _reach(counts: Column, least: int) -> Column:
 def line_rows(docs: DataFrame) -> DataFrame:
     """k (row key), i (number from 1 of the line among those with a word), two hashes of the line, n (its words)."""
     lines = F.filter(F.split("text", "\n"), _has_word)
-    rows = docs.where("text is not null").select(row_key().alias("k"), F.posexplode(lines).alias("i", "l"))
-    return rows.select("k", (F.col("i") + 1).alias("i"), F.xxhash64("l").alias("h1"), F.xxhash64(F.lit(1), "l").alias("h2"), F.regexp_count("l", F.lit("[^\\x20\\x09-\\x0D]+")).alias("n"))
+    rows = docs.where("text is not null").select(row_key().alias("k"), lines.alias("l"))  # the key first: beside posexplode it would be made once a line
+    return rows.select("k", F.posexplode("l").alias("i", "l")).select("k", (F.col("i") + 1).alias("i"), F.xxhash64("l").alias("h1"), F.xxhash64(F.lit(1), "l").alias("h2"), F.regexp_count("l", F.lit("[^\\x20\\x09-\\x0D]+")).alias("n"))
 
 
 def ranked(keys: DataFrame, *columns: str, name: str) -> DataFrame:
