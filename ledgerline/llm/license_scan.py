@@ -1,17 +1,20 @@
 """Operator 4: licence notices by a trained paragraph classifier.
 
-Paragraphs are lines. Features are word unigrams and bigrams, hashed; a multinomial logistic regression is trained on the notices below, on
-pieces of them, and on a bounded sample of corpus paragraphs (FIT_PARAGRAPHS, any line of a text) as the class unknown, but for those that
-share MIN_OVERLAP of their bigrams with a notice. Its probabilities are
-calibrated by a temperature on rows kept out of the fit; under MIN_PROBABILITY a paragraph is unknown. A predicted family is
-confirmed if the paragraph shares MIN_OVERLAP of its bigrams (or of the notice's, if shorter) with one of the family's notices.
-
-Every paragraph is scored: first by a bound, one sum over its features, under which no family can reach MIN_PROBABILITY; the paragraphs over
-it then get their probabilities. The bound changes no result. Scoring is expressions only: weights, notices and offsets are literals of
-fixed size, whatever the corpus.
-
-Results, one row for each doc_id and text: n_paragraphs (lines with a word), n_scored (all of them), n_confirmed, n_unconfirmed, families (confirmed, sorted,
-comma-joined; empty if none), probability (highest of the confirmed; null if none). A null text has no paragraph. Other columns are ignored.
+A paragraph is a line, joined with the next one where a line is wrapped (it ends in a letter, digit or comma and the next begins with a small
+letter). Features are word unigrams and bigrams that occur in the notices below, as sparse indicator vectors; a multinomial logistic regression
+with a lasso penalty is trained on the notices, on pieces of them, and on the class unknown: sentences that speak of licences, notices with
+their words reversed (the same words in no notice's order), and a bounded sample of corpus paragraphs (FIT_PARAGRAPHS, any paragraph of a
+text), but for those that share MIN_OVERLAP of their bigrams with a notice. Its probabilities are calibrated by a temperature on rows kept out of the
+fit; under MIN_PROBABILITY a paragraph is unknown. A predicted family is confirmed if the paragraph shares MIN_OVERLAP of its bigrams (or of the
+notice's, if shorter) with one of the family's notices.
+
+Every paragraph is scored. One without a word that any positive weight belongs to, alone or as the first of two, has the score of an empty one,
+which is unknown; this is found by one overlap of word lists, and only the others go through the sums. Scoring is expressions on the row, without any
+shuffle: weights, notices and offsets are literals of fixed size, whatever the corpus.
+
+Results, one row for each row of docs: n_paragraphs (with a word), n_scored (all of them), n_confirmed, n_unconfirmed, families (confirmed,
+sorted, comma-joined; empty if none), probability (highest of the confirmed; null if none). A null text has no paragraph. A tie between families goes
+to the first by name. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,15 +25,21 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, saved
 
-DIMS = 1024
 FIT_PARAGRAPHS = 1500
+SAMPLE_WEIGHT = 0.1
+"""Of a corpus paragraph against a notice in the fit: there are many more of them, and most are far from any notice."""
 MIN_PROBABILITY = 0.5
-MIN_OVERLAP = 0.5
+MIN_OVERLAP = 0.6
+SHORT = 4
+"""Notices of so many words are names that may stand alone; they have no reversed form."""
 UNKNOWN = "unknown"
 
 # Notices as their licences ask for them, by family, and sentences that speak of licences without granting one.
 NOTICES = {
     "Apache": (
+        "Apache-2.0",
+        "Apache License 2.0",
+        "Lizenziert unter der Apache-Lizenz, Version 2.0.",
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -38,30 +47,39 @@ NOTICES = {
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "BSD": (
+        "BSD-3-Clause",
+        "BSD 3-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Released under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "CC-BY": (
+        "CC BY 4.0",
         "Licensed under CC BY 4.0.",
         "Creative Commons Attribution 4.0 International (CC BY 4.0)",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-4.0",
     ),
     "CC-BY-NC": (
+        "CC BY-NC 4.0",
         "Licensed under CC BY-NC 4.0.",
         "Creative Commons Attribution-NonCommercial 4.0 International (CC BY-NC 4.0)",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
     ),
     "CC-BY-SA": (
+        "CC BY-SA 4.0",
         "Licensed under CC BY-SA 4.0.",
         "Creative Commons Attribution-ShareAlike 4.0 International (CC BY-SA 4.0)",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-SA-4.0",
     ),
     "GPL": (
+        "GPLv3",
+        "GPL-3.0",
+        "GNU General Public License v3.0",
+        "Veröffentlicht unter der GNU General Public License, Version 3.",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
@@ -69,11 +87,16 @@ NOTICES = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "LGPL": (
+        "LGPL-3.0",
         "This work is licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: LGPL-3.0-or-later",
     ),
     "MIT": (
+        "MIT License",
+        "Veröffentlicht unter der MIT-Lizenz.",
+        "Publié sous licence MIT.",
+        "Publicado bajo la licencia MIT.",
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
@@ -81,6 +104,7 @@ NOTICES = {
         "SPDX-License-Identifier: MIT",
     ),
     "MPL": (
+        "MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, Version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
@@ -109,129 +133,148 @@ OTHERS = (
     "Copyright is a hard subject, said the teacher.",
     "The shop sells licensed toys and hats.",
     "Public domain names were sold in an auction.",
+    "The city will license an Apache helicopter under the budget.",
+    "A general public meeting was held under the new version of the plan.",
+    "All rights of the reserved seats are held by the club.",
+    "The source code of the old program was lost, and the author with it.",
 )
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), "")
+_WRAPPED = r"(?<=[\p{L}\p{N},])[ \t]*\n[ \t]*(?=\p{Ll})"
 
 
-def _bigrams(w: Column) -> Column:
-    return F.array_distinct(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit("")))))
+def paragraphs(text: str) -> Column:
+    return F.filter(F.split(F.regexp_replace(text, _WRAPPED, " "), "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
 
 
-def _features(w: Column) -> Column:
-    """Hashed indicators of words and bigrams."""
-    one = F.transform(w, lambda x: F.xxhash64(x))
-    return F.array_distinct(F.transform(F.concat(one, _bigrams(w)), lambda h: F.pmod(h, F.lit(DIMS)).cast("int")))
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), "")
 
 
-def _lines(text: str) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
+def _grams(words: Column) -> Column:
+    """w: distinct words, b: distinct bigrams, the last word with an empty one after it. `words` has to be a column or a variable."""
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), F.coalesce(b, F.lit(""))))
+    return F.struct(F.array_distinct(words).alias("w"), F.array_distinct(pairs).alias("b"))
 
 
-def _literal(values: np.ndarray, kind: str) -> Column:
-    return F.split(F.lit(",".join(repr(x) for x in values.ravel().tolist())), ",").cast(f"array<{kind}>")
+def _list(values: list[str]) -> Column:
+    return F.split(F.lit("\n".join(values)), "\n") if values else F.array().cast("array<string>")
 
 
-class Model:
-    """weights[f, k] and offsets[k] of class k, divided by the temperature."""
+def _numbers(values: np.ndarray) -> Column:
+    return F.split(F.lit(",".join(repr(x) for x in values.ravel().tolist())), ",").cast("array<double>")
 
-    def __init__(self, families: list[str], weights: np.ndarray, offsets: np.ndarray, notices: list[tuple[int, list[int]]]):
-        self.families, self.weights, self.offsets, self.notices = families, weights, offsets, notices
 
+def _overlap(bigrams: Column, notice: list[str]) -> Column:
+    return F.size(F.array_intersect(bigrams, _list(notice))) / F.greatest(F.lit(1), F.least(F.size(bigrams), F.lit(len(notice))))
 
-def _notices(spark: SparkSession, families: list[str]) -> list[tuple[int, list[int]]]:
-    """Class and bigrams of each notice."""
-    texts = [(families.index(f), x) for f, ts in NOTICES.items() for x in ts]
-    grams = spark.range(1).select(F.array(*[_bigrams(_words(F.lit(x))) for _, x in texts]).alias("g")).first().g
-    return [(f, list(g)) for (f, _), g in zip(texts, grams, strict=True)]
 
+class Model:
+    """Of each feature and family, the weight over that of unknown; start: the same of no feature. Divided by the temperature.
 
-def _overlap(bigrams: Column, notice: list[int]) -> Column:
-    shared = F.size(F.array_intersect(bigrams, _literal(np.array(notice, dtype=np.int64), "bigint")))
-    return shared / F.greatest(F.lit(1), F.least(F.size(bigrams), F.lit(len(notice))))
+    held_out: paragraphs kept out of the first fit, and how many of them it gave a family, how many have one, how many got the right one.
+    """
 
+    def __init__(self, families: list[str], features: list[str], weights: np.ndarray, start: np.ndarray, notices: list[tuple[int, list[str]]], held_out: dict):
+        self.families, self.features, self.weights, self.start, self.notices, self.held_out = families, features, weights, start, notices, held_out
 
-def _bound(w: Column, model: Model) -> Column:
-    """No family's logit exceeds unknown's by more; under 0 (less rounding) none has MIN_PROBABILITY, which is a half or more."""
-    unknown = len(model.families) - 1
-    over = _literal((model.weights[:, :unknown] - model.weights[:, unknown:]).max(axis=1), "double")
-    start = float((model.offsets[:unknown] - model.offsets[unknown]).max())
-    return F.aggregate(_features(w), F.lit(start), lambda acc, f: acc + F.get(over, f))
+    def triggers(self) -> list[str] | None:
+        """The words without which a paragraph scores no more than an empty one; None if an empty one has a family."""
+        if self.start.max() >= 0:
+            return None
+        return sorted({f.split(" ")[0] for f, w in zip(self.features, self.weights, strict=True) if w.max() > 0})
 
 
-def _known(spark: SparkSession) -> DataFrame:
-    """family, text of notices, of their halves and with words around, and of OTHERS."""
+def _texts() -> list[tuple[str, str]]:
+    """(family, text) of notices, of their halves and with words around, and of the class unknown."""
     rows = [(f, t) for f, ts in NOTICES.items() for t in ts]
     for f, t in list(rows):
         w = t.split()
         if len(w) > 14:
             rows += [(f, " ".join(w[: len(w) // 2 + 2])), (f, " ".join(w[len(w) // 2 - 2 :]))]
         rows.append((f, "Notice: " + t + " See the file for details."))
-    rows += [(UNKNOWN, t) for t in OTHERS for _ in range(3)]
-    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(t).alias("text")) for f, t in rows])))
+        if len(w) > SHORT:
+            rows.append((UNKNOWN, " ".join(reversed(w))))
+    return rows + [(UNKNOWN, t) for t in OTHERS for _ in range(3)]
 
 
 def fit(docs: DataFrame) -> Model:
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.feature import CountVectorizerModel
+    from pyspark.ml.functions import vector_to_array
 
     spark = docs.sparkSession
-    families = [*sorted(NOTICES), UNKNOWN]
+    names = sorted(NOTICES)
+    texts = _texts()
+    known = spark.createDataFrame([(f, t) for f, t in texts], "family string, text string")
+    known = known.withColumn("ws", _words(F.col("text"))).withColumn("g", _grams(F.col("ws")))
+    grams = {(r.family, r.text): r.g for r in known.collect()}
+    notices = [(k, list(grams[f, t].b)) for k, f in enumerate(names) for t in NOTICES[f]]
+    vocabulary = sorted({x for (f, _), g in grams.items() if f != UNKNOWN for x in [*g.w, *g.b]})
     total = docs.where("text is not null").count()
     share = min(1.0, 2 * FIT_PARAGRAPHS / max(1, total))
     unit = F.pmod(F.xxhash64("text", F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    lines = docs.where(unit < share).select("text", _lines("text").alias("l")).where(F.size("l") > 0)
+    lines = docs.where(unit < share).select("text", paragraphs("text").alias("l")).where(F.size("l") > 0)
     drawn = lines.select(F.lit(UNKNOWN).alias("family"), F.get("l", F.pmod(F.xxhash64("text", F.lit(43)), F.greatest(F.lit(1), F.size("l"))).cast("int")).alias("text"))
-    notices = _notices(spark, families)
-    sample = drawn.withColumn("b", _bigrams(_words(F.col("text")))).where(F.greatest(*[_overlap(F.col("b"), g) for _, g in notices]) < MIN_OVERLAP)
-    sample = sample.select("family", "text").orderBy(F.xxhash64("text")).limit(FIT_PARAGRAPHS)
-    rows = saved(_known(spark).unionByName(sample).withColumn("f", _features(_words(F.col("text")))))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.array_contains("f", i).cast("double"))
-    label = F.coalesce(*[F.when(F.col("family") == f, F.lit(float(i))) for i, f in enumerate(families)])
-    weight = F.when(F.col("family") == UNKNOWN, 0.2).otherwise(1.0)
-    rows = saved(rows.coalesce(1).select(label.alias("label"), weight.alias("weight"), dense.alias("x"), (F.pmod(F.xxhash64("text", F.lit(5)), F.lit(4)) == 0).alias("out")))
-    data = rows.withColumn("features", array_to_vector("x"))
-    lr = LogisticRegression(regParam=0.002, maxIter=60, weightCol="weight", family="multinomial")
+    drawn = drawn.orderBy(F.xxhash64("text"), "text").limit(FIT_PARAGRAPHS).withColumn("ws", _words(F.col("text"))).withColumn("g", _grams(F.col("ws")))
+    sample = drawn.where(F.greatest(*[_overlap(F.col("g.b"), g) for _, g in notices]) < MIN_OVERLAP)
+    label = F.coalesce(*[F.when(F.col("family") == f, F.lit(float(i))) for i, f in enumerate([*names, UNKNOWN])])
+    weight = F.when(F.col("sampled"), F.lit(SAMPLE_WEIGHT)).otherwise(1.0)
+    both = known.withColumn("sampled", F.lit(False)).unionByName(sample.withColumn("sampled", F.lit(True)))
+    rows = both.select("text", label.alias("label"), weight.alias("weight"), F.concat("g.w", "g.b").alias("f"), (F.pmod(F.xxhash64("text", F.lit(5)), F.lit(4)) == 0).alias("out"))
+    rows = saved(rows.coalesce(1))
+    data = CountVectorizerModel.from_vocabulary(vocabulary, "f", "features").setBinary(True).transform(rows)
+    lr = LogisticRegression(regParam=0.0003, elasticNetParam=1.0, maxIter=80, weightCol="weight", family="multinomial", standardization=False)
+    y, z = [], []
     trial = lr.fit(data.where("not out"))
-    held = trial.transform(data.where("out")).select("label", vector_to_array("rawPrediction").alias("z")).collect()
-    z, y = np.array([r.z for r in held]), np.array([int(r.label) for r in held])
+    for r in trial.transform(data.where("out")).select("label", vector_to_array("rawPrediction").alias("z")).collect():
+        y.append(int(r.label))
+        z.append(r.z)
+    y, z = np.array(y, dtype=int), np.array(z).reshape(len(y), -1)
 
     def loss(t: float) -> float:
         q = z / t - (z / t).max(axis=1, keepdims=True)
         return float((np.log(np.exp(q).sum(axis=1)) - q[np.arange(len(y)), y]).mean())
 
-    t = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss) if len(y) else 1.0
+    t = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss) if len(y) and z.shape[1] > len(names) else 1.0
+    held = {}
+    if len(y) and z.shape[1] > len(names):
+        p = np.exp(z / t - (z / t).max(axis=1, keepdims=True))
+        guess = np.where(p.max(axis=1) / p.sum(axis=1) >= MIN_PROBABILITY, p.argmax(axis=1), len(names))
+        held = {"rows": len(y), "given": int((guess < len(names)).sum()), "have": int((y < len(names)).sum()), "right": int(((guess == y) & (y < len(names))).sum())}
     model = lr.fit(data)
-    return Model(families, model.coefficientMatrix.toArray().T / t, np.array(model.interceptVector.toArray()) / t, notices)
-
-
-def score_paragraphs(rows: DataFrame, model: Model) -> DataFrame:
-    """rows (with column p, the paragraph or null) and family, probability, overlap; unknown paragraphs have family null."""
-    k = len(model.families)
-    rows = rows.withColumn("__w", _words(F.col("p"))).withColumn("__f", _features(F.col("__w"))).withColumn("__b", _bigrams(F.col("__w")))
-    weights = _literal(model.weights, "double")
-    logits = F.aggregate("__f", _literal(model.offsets, "double"), lambda acc, f: F.zip_with(acc, F.slice(weights, f * k + 1, k), lambda a, b: a + b))
-    rows = rows.withColumn("__z", logits).withColumn("__top", F.array_max("__z"))
-    rows = rows.withColumn("__y", F.array_position("__z", F.col("__top")) - 1)
-    rows = rows.withColumn("__p", 1 / F.aggregate(F.transform("__z", lambda z: F.exp(z - F.col("__top"))), F.lit(0.0), lambda a, b: a + b))
-    shared = [F.when(F.col("__y") == f, _overlap(F.col("__b"), g)) for f, g in model.notices]
-    rows = rows.withColumn("overlap", F.greatest(*shared))
-    sure = (F.col("__y") < k - 1) & (F.col("__p") >= MIN_PROBABILITY)
-    family = F.when(sure, F.get(F.array(*map(F.lit, model.families)), F.col("__y").cast("int")))
-    return rows.withColumn("family", family).withColumn("probability", F.when(sure, F.col("__p"))).drop("__w", "__f", "__b", "__z", "__top", "__y", "__p")
-
-
-def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    weights, start = model.coefficientMatrix.toArray().T / t, np.array(model.interceptVector.toArray()) / t
+    weights, start = weights[:, :-1] - weights[:, -1:], start[:-1] - start[-1]
+    used = np.flatnonzero(np.abs(weights).max(axis=1) > 1e-9)
+    return Model(names, [vocabulary[i] for i in used], weights[used], start, notices, held)
+
+
+def score_paragraphs(lines: Column, model: Model) -> Column:
+    """An array (family, probability, overlap), in order, of those of the paragraphs that have a family."""
+    k, features, weights = len(model.families), _list(model.features), _numbers(model.weights)
+    grams = F.transform(F.transform(lines, _words), _grams)
+    found = F.transform(grams, lambda g: F.struct(g["b"].alias("b"), F.array_intersect(F.concat(g["w"], g["b"]), features).alias("f")))
+    add = lambda acc, f: F.zip_with(acc, F.slice(weights, (F.array_position(features, f).cast("int") - 1) * k + 1, k), lambda a, b: a + b)
+    logits = F.transform(found, lambda g: F.struct(g["b"].alias("b"), F.aggregate(g["f"], _numbers(model.start), add).alias("z")))
+    logits = F.transform(logits, lambda g: F.struct(g["b"].alias("b"), g["z"].alias("z"), F.array_max(g["z"]).alias("top")))
+    share = lambda g: F.exp(g["top"]) / F.aggregate(F.transform(g["z"], F.exp), F.lit(1.0), lambda a, b: a + b)
+    best = F.transform(logits, lambda g: F.struct(g["b"].alias("b"), (F.array_position(g["z"], g["top"]) - 1).alias("y"), share(g).alias("p")))
+    sure = F.filter(best, lambda g: (g["p"] >= MIN_PROBABILITY))
+    overlap = lambda g: F.greatest(*[F.when(g["y"] == f, _overlap(g["b"], n)) for f, n in model.notices])
+    names = _list(model.families)
+    return F.transform(sure, lambda g: F.struct(F.get(names, g["y"].cast("int")).alias("family"), g["p"].alias("probability"), overlap(g).alias("overlap")))
+
+
+def scan(docs: DataFrame, model: Model | None = None, gate: bool = True) -> DataFrame:
+    """gate=False sends every paragraph through the sums, for tests: the rows are the same."""
     model = model or fit(docs)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), _lines("text").alias("l"))
-    bounds = F.zip_with("l", F.transform("l", _words), lambda x, w: F.struct(x.alias("p"), _bound(w, model).alias("b")))
-    rows = rows.select("doc_id", "t", F.coalesce(F.size("l"), F.lit(0)).cast("long").alias("n"), F.filter(bounds, lambda x: x["b"] >= -1e-6)["p"].alias("l"))
-    rows = rows.select("doc_id", "t", F.greatest("n", F.lit(0)).alias("n"), F.posexplode_outer("l").alias("at", "p"))
-    found = score_paragraphs(rows, model)
-    confirmed = F.col("family").isNotNull() & (F.col("overlap") >= MIN_OVERLAP)
-    once = found.groupBy("doc_id", "t", "n", "at").agg(F.first(F.when(confirmed, F.col("family"))).alias("ok"), F.first(F.when(~confirmed, F.col("family"))).alias("no"), F.first(F.when(confirmed, F.col("probability"))).alias("q"))
-    return once.groupBy("doc_id", "t", "n").agg(
-        F.count("ok").alias("n_confirmed"), F.count("no").alias("n_unconfirmed"), F.array_join(F.array_sort(F.collect_set("ok")), ",").alias("families"), F.max("q").alias("probability")
-    ).select("doc_id", F.col("n").alias("n_paragraphs"), F.col("n").alias("n_scored"), "n_confirmed", "n_unconfirmed", "families", "probability")
+    triggers = model.triggers() if gate else None
+    rows = docs.select("doc_id", paragraphs("text").alias("l"))
+    likely = F.col("l") if triggers is None else F.filter("l", lambda x: F.arrays_overlap(_words(x), _list(triggers)))
+    n = F.greatest(F.coalesce(F.size("l"), F.lit(0)), F.lit(0)).cast("long")
+    rows = rows.select("doc_id", n.alias("n_paragraphs"), n.alias("n_scored"), likely.alias("l"))
+    rows = rows.withColumn("s", F.when(F.size("l") > 0, score_paragraphs(F.col("l"), model)))
+    of = lambda ok: F.filter("s", lambda x: (x["overlap"] >= MIN_OVERLAP) == F.lit(ok))
+    count = lambda ok: F.greatest(F.coalesce(F.size(of(ok)), F.lit(0)), F.lit(0)).cast("long")
+    families = F.coalesce(F.array_join(F.array_sort(F.array_distinct(of(True)["family"])), ","), F.lit(""))
+    return rows.select("doc_id", "n_paragraphs", "n_scored", count(True).alias("n_confirmed"), count(False).alias("n_unconfirmed"), families.alias("families"), F.array_max(of(True)["probability"]).alias("probability"))
