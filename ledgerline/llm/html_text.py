@@ -33,6 +33,10 @@ IMPORTANCE = 0.2
 MIN_PAGES = 8
 COMMON_SHARE = 0.05
 BROADCAST_PATHS = 50_000
+MAX_DEPTH = 256
+"""Elements nested deeper are taken as siblings at this depth."""
+ARTICLE_SHARE = 0.25
+"""What a page marks as article or main part is the main text if it holds so much of the text outside boilerplate; less is a teaser beside it."""
 MAX_PATH = 400
 """Longer paths are named by their hash, so that a broadcast of BROADCAST_PATHS stays under 30 MB."""
 
@@ -45,7 +49,9 @@ _NAMES = frozenset("ad ads adv advert adverts advertisement advertising advertis
 _OUTER = frozenset("header topbar top".split())
 _LOOSE_P = frozenset("p li dt dd tr td th option".split())
 
-_token = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+_token = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)""", re.S)
+_quoted_rest = re.compile(r"""((?:[^'">]|"[^"]*"|'[^']*')*+)>""")
+_plain_rest = re.compile(r"([^>]*)>")
 _attr = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _word = re.compile(r"[a-z0-9]+")
 _host = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -73,10 +79,18 @@ def _style(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
 
 
 def blocks(page: str) -> Iterator[tuple[list, str]]:
-    """(stack, text) of each block in page order. The stack lists the open nodes: (tag, path, boilerplate, in article, child names)."""
-    stack: list[tuple] = [("", "", False, False, [])]
+    """(stack, text) of each block in page order. The stack lists the open nodes: (tag, path, boilerplate, in article, child names, in a block of boilerplate).
+
+    Text of boilerplate inside a line of a block that is none (a button, a script, an advert's span) is left out of the block. Time is linear in
+    the page: a quote that is never closed makes tags end at the next > from there on, and nesting has MAX_DEPTH levels.
+    """
+    stack: list[tuple] = [("", "", False, False, [], False)]
     text: list[str] = []
-    at, end = 0, len(page)
+    at, end, rest = 0, len(page), _quoted_rest
+
+    def add(piece: str) -> None:
+        if piece and (stack[-1][5] or not stack[-1][2]):
+            text.append(piece)
 
     def flush():
         joined = " ".join(html.unescape("".join(text)).split())
@@ -86,12 +100,20 @@ def blocks(page: str) -> Iterator[tuple[list, str]]:
     while at < end:
         m = _token.search(page, at)
         if not m:
-            text.append(page[at:])
+            add(page[at:])
             break
-        text.append(page[at : m.start()])
+        add(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
+        attrs = rest.match(page, at)
+        if attrs is None:
+            rest = _plain_rest
+            attrs = rest.match(page, at)
+        if attrs is None:  # no tag ends any more
+            add(page[m.start() :])
+            break
+        at, attrs = attrs.end(), attrs[1]
         tag = m[2].lower()
         if m[1]:
             if tag in _BLOCKS and (out := flush()):
@@ -104,7 +126,7 @@ def blocks(page: str) -> Iterator[tuple[list, str]]:
                     break
             continue
         if tag == "br":
-            text.append(" ")
+            add(" ")
             continue
         if tag in _BLOCKS:
             if out := flush():
@@ -116,17 +138,21 @@ def blocks(page: str) -> Iterator[tuple[list, str]]:
                     break
                 if open_tag in _BLOCKS and open_tag not in _LOOSE_P:
                     break
-        name, never, outer, main = _style(tag, m[3])
+        name, never, outer, main = _style(tag, attrs)
         top = stack[-1]
         if tag in _BLOCKS or never:
             top[4].append(name)
-        if tag in _VOID or m[3].endswith("/") and tag not in _BLOCKS:
+        if tag in _VOID or attrs.endswith("/") and tag not in _BLOCKS:
             continue
+        if len(stack) > MAX_DEPTH:
+            stack.pop()
+            top = stack[-1]
         path = f"{top[1]}/{name}"
         if len(path) > MAX_PATH:
             path = xxhash.xxh128_hexdigest(path)
         inner = top[3] or main
-        stack.append((tag, path, top[2] or never or outer and not inner, inner and not never, []))
+        no = top[2] or never or outer and not inner
+        stack.append((tag, path, no, inner and not never, [], no if tag in _BLOCKS else top[5]))
         if tag in _RAW:
             close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = close.start() if close else end
@@ -135,10 +161,10 @@ def blocks(page: str) -> Iterator[tuple[list, str]]:
 
 
 def _main(found: list[tuple[tuple, str]]) -> list[tuple[tuple, str]]:
-    """Blocks outside boilerplate; only those of an article or main part if there are any."""
+    """Blocks outside boilerplate; only those of an article or main part if they hold ARTICLE_SHARE of them."""
     kept = [x for x in found if not x[0][-1][2]]
     inside = [x for x in kept if x[0][-1][3]]
-    return inside or kept
+    return inside if inside and sum(len(t) for _, t in inside) >= ARTICLE_SHARE * sum(len(t) for _, t in kept) else kept
 
 
 def _hash(s: str) -> int:
