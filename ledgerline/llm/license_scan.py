@@ -1,7 +1,7 @@
 """Operator 4: licence notices by a trained paragraph classifier.
 
-A paragraph is a line, joined with the next one where a line is wrapped (it ends in a letter, digit or comma and the next begins with a small
-letter). Features are word unigrams and bigrams that occur in the notices below, as sparse indicator vectors; a multinomial logistic regression
+A paragraph is a line, joined with the next one where a line is wrapped (it has 40 characters or more and ends in a letter, digit or comma, and
+the next begins with a small letter). Features are word unigrams and bigrams that occur in the notices below, as sparse indicator vectors; a multinomial logistic regression
 with a lasso penalty is trained on the notices, on pieces of them, and on the class unknown: sentences that speak of licences, notices with
 their words reversed (the same words in no notice's order), and a bounded sample of corpus paragraphs (FIT_PARAGRAPHS, any paragraph of a
 text), but for those that share MIN_OVERLAP of their bigrams with a notice. Its probabilities are calibrated by a temperature on rows kept out of the
@@ -140,7 +140,7 @@ OTHERS = (
 )
 
 
-_WRAPPED = r"(?<=[\p{L}\p{N},])[ \t]*\n[ \t]*(?=\p{Ll})"
+_WRAPPED = r"\n(?<=[^\n]{40}\n)(?<=[\p{L}\p{N},][ \t]?\n)[ \t]*(?=\p{Ll})"
 
 
 def paragraphs(text: str) -> Column:
