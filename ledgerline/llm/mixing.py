@@ -45,10 +45,13 @@ def targets(sizes: DataFrame) -> DataFrame:
     return levels.select("sk", "source_size", F.least(limit, F.coalesce(level, F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
+def _source_key() -> Column:
+    return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
+
+
 def finish_times(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, u (hash of id and text), size, source_size, target, done (cumulative words of its source, itself included)."""
-    sk = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
-    rows = saved(docs.select("doc_id", sk.alias("sk"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("u")))
+    rows = saved(docs.select("doc_id", _source_key().alias("sk"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("u")))
     sources = targets(rows.groupBy("sk").agg(F.max("source").alias("source"), F.sum("size").alias("source_size")))
     buckets = one_partition_of(rows.count(), 20_000, 256)
     rows = rows.withColumn("b", F.pmod("u", F.lit(buckets)))
@@ -56,7 +59,7 @@ def finish_times(docs: DataFrame) -> DataFrame:
     base = totals.withColumn("base", F.sum("sum").over(Window.partitionBy("sk").orderBy("b")) - F.col("sum")).drop("sum")
     inside = F.sum("size").over(Window.partitionBy("sk", "b").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     timed = rows.withColumn("inside", inside).join(saved(base.join(sources, "sk")), ["sk", "b"])
-    return timed.select("doc_id", "u", "size", "source_size", "target", (F.col("base") + F.col("inside")).alias("done"))
+    return timed.select("doc_id", "u", "sk", "size", "source_size", "target", (F.col("base") + F.col("inside")).alias("done"))
 
 
 def _times() -> list[Column]:
@@ -93,10 +96,14 @@ def mixture(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the copies that the mix takes, in the order of their finish times.
 
-    Rows that repeat id and text share their copies evenly, rounded up.
+    Rows that repeat id, text and source share their copies evenly; what is left over goes to one of them.
     """
-    plan = mixture(docs).where("copies > 0").groupBy("doc_id", "u").agg(F.sum("copies").alias("c"), F.count("*").alias("n"), F.min("done").alias("done"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    times = F.slice(F.array(*_times()), 1, F.ceil(F.col("c") / F.col("n")).cast("int"))
-    plan = plan.select(F.struct(F.col("doc_id").alias("i"), F.col("u").alias("h")).alias("__k"), times.alias("__t"))
-    keyed = docs.withColumn("__k", F.struct(F.col("doc_id").alias("i"), F.xxhash64("doc_id", "text").alias("h")))
-    return keyed.join(saved(plan), "__k").withColumn("__t", F.explode("__t")).repartitionByRange("__t").sortWithinPartitions("__t").select(*docs.columns)
+    plan = mixture(docs).where("copies > 0").groupBy("doc_id", "u", "sk").agg(F.sum("copies").alias("c"), F.count("*").alias("n"), F.min("done").alias("done"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    plan = saved(plan.select(F.struct(F.col("doc_id").alias("i"), F.col("u").alias("h"), "sk").alias("__k"), "c", "n", F.array(*_times()).alias("__t")))
+    keyed = docs.withColumn("__k", F.struct(F.col("doc_id").alias("i"), F.xxhash64("doc_id", "text").alias("h"), _source_key().alias("sk")))
+    times = lambda n: F.explode(F.slice("__t", 1, n.cast("int")))
+    every = keyed.join(plan.select("__k", times(F.floor(F.col("c") / F.col("n"))).alias("__t")), "__k")
+    over = plan.where("c % n > 0").select("__k", times(F.col("c") % F.col("n")).alias("__t"))
+    if not over.isEmpty():
+        every = every.unionByName(keyed.join(plan.where("c % n > 0").select("__k"), "__k", "left_semi").dropDuplicates(["__k"]).join(over, "__k"))
+    return every.repartitionByRange("__t").sortWithinPartitions("__t").select(*docs.columns)
