@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, row_key, saved
 
 MIN_WORDS = 50
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 """Line ids and ranks (24 bytes a row) go to all tasks up to so many rows; beyond, rows and ranks meet in a shuffle join."""
 BROADCAST_BYTES = 16 << 20
 """Line numbers of later copies go to all tasks up to this size (several times as much in memory); beyond, they and the documents meet in a shuffle join."""
