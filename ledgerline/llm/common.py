@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,6 +150,24 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         i = j
 
 
+def tidy(f: Callable) -> Callable:
+    """f, a function from batches to batches for mapInArrow, which gives Arrow's unused memory back now and then and at its end.
+
+    Python workers serve one task after another; what Arrow's allocator keeps would add up from stage to stage.
+    """
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+        for i, batch in enumerate(f(batches)):
+            yield batch
+            if i % 16 == 15:
+                pool.release_unused()
+        pool.release_unused()
+
+    return run
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Batches of at most 2,000 rows, unless the session already asks for fewer: long texts then stay within a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

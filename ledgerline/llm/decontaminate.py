@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_limits, byte_table, chunks, row_key, run_hash, saved
+from .common import Words, arrow_limits, byte_table, chunks, row_key, run_hash, saved, tidy
 
 WINDOW = 10
 SHINGLE = 3
@@ -117,13 +117,13 @@ def _finder(bitmap: np.ndarray, sizes: list[int]) -> Callable:
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows: doc key and n_words for each row of docs; matches: doc key, item_id, start and n of each window's occurrences)."""
     arrow_limits(docs.sparkSession)
-    windows = saved(benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null").mapInArrow(_windows, "item_id string, win string, n int, at int, h long"))
+    windows = saved(benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null").mapInArrow(tidy(_windows), "item_id string, win string, n int, at int, h long"))
     sizes = sorted(r.k for r in windows.select(F.least(F.col("n"), F.lit(SHINGLE)).alias("k")).distinct().collect())
-    counts = docs.select("text").mapInArrow(_counter(_bitmap(windows), sizes), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counts = docs.select("text").mapInArrow(tidy(_counter(_bitmap(windows), sizes)), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     rarity = windows.join(counts, "h", "left").groupBy("item_id", "win", "n").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "at", "h")).alias("p"))
     prefix = saved(rarity.select("item_id", "win", "n", "p.at", "p.h"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("t"), "text")
-    found = saved(keyed.mapInArrow(_finder(_bitmap(prefix), sizes), "i long, t long, n_words long, h long, pos long, before int, after int, ctx string"))
+    found = saved(keyed.mapInArrow(tidy(_finder(_bitmap(prefix), sizes)), "i long, t long, n_words long, h long, pos long, before int, after int, ctx string"))
     fits: Column = (F.col("at") <= F.col("before")) & (F.col("n") - F.col("at") <= F.col("after"))
     same = F.array_join(F.slice(F.split("ctx", " "), F.col("before") - F.col("at") + 1, F.col("n")), " ") == F.col("win")
     matches = found.where("h is not null").join(prefix, "h").where(fits & same).select("i", "t", "item_id", (F.col("pos") - F.col("at")).alias("start"), "n").distinct()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, saved
+from .common import arrow_limits, saved, tidy
 
 IMPORTANCE = 0.2
 MIN_PAGES = 8
@@ -201,7 +201,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counts(pages: DataFrame) -> DataFrame:
     """host, path, kind (c content, s children), hash v and the number c of the host's distinct pages that show it."""
     arrow_limits(pages.sparkSession)
-    nodes = pages.select("url", "html").mapInArrow(_nodes, "host string, path string, page long, content long, children long")
+    nodes = pages.select("url", "html").mapInArrow(tidy(_nodes), "host string, path string, page long, content long, children long")
     once = nodes.groupBy("host", "path", "page").agg(F.min("content").alias("content"), F.min("children").alias("children"))
     kinds = F.inline(F.array(F.struct(F.lit("c").alias("kind"), F.col("content").alias("v")), F.struct(F.lit("s").alias("kind"), F.col("children").alias("v"))))
     return saved(once.select("host", "path", kinds).groupBy("host", "path", "kind", "v").agg(F.count("*").alias("c")))
@@ -263,4 +263,4 @@ def main_text(pages: DataFrame) -> DataFrame:
         host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
         rows = rows.withColumn("host", host).join(saved(cut.groupBy("host").agg(F.collect_list(F.struct("path", "common")).alias("gone"))), "host", "left").select("page_id", "url", "html", "gone")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(_extractor(by_host), f"page_id {kind}, url string, text string, n_chars long")
+    return rows.mapInArrow(tidy(_extractor(by_host)), f"page_id {kind}, url string, text string, n_chars long")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_limits, byte_table, chunks, mix, row_key, run_hash, saved
+from .common import Words, arrow_limits, byte_table, chunks, mix, row_key, run_hash, saved, tidy
 
 SHINGLE = 5
 REGISTERS = 128
@@ -111,7 +111,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketches(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, sig (equal for equal sets; null if empty), regs."""
     arrow_limits(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, _SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_sketch), _SKETCH)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     firsts = pairs.select("a", "part").distinct().join(sets.withColumnRenamed("rep", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "regs", "set")
     members = pairs.join(sets.withColumnRenamed("rep", "b"), "b").select("a", "part", "b", "regs", "set")
     rows = firsts.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return saved(rows.mapInArrow(_confirmed, "a long, b long").distinct())
+    return saved(rows.mapInArrow(tidy(_confirmed), "a long, b long").distinct())
 
 
 def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataF
     inside = saved(labelled.join(_small(spans), "band").groupBy("rep").agg(F.first("label").alias("label"), F.min("least").alias("least")))
     # a key for each set, as rows that repeat a doc_id may have several
     own = sets.join(_small(inside), "rep").withColumn("key", F.xxhash64("rep", "sig"))
-    tokens = saved(own.select("key", "set").mapInArrow(_tokens, "key long, token long"))
+    tokens = saved(own.select("key", "set").mapInArrow(tidy(_tokens), "key long, token long"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df"))
     order = F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order")
     ranked = tokens.join(common, "token").groupBy("key").agg(order).join(saved(own.select("key", "rep", "label", "least", (F.length("set") / 8).cast("long").alias("n"))), "key")
@@ -229,12 +229,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = saved(sketches(docs))
     known = rows.where("sig is not null and doc_id is not null")
     classes = saved(known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")))
-    bands = classes.select("rep", "n", "regs").mapInArrow(_bands, "band long, rep long, n long")
+    bands = classes.select("rep", "n", "regs").mapInArrow(tidy(_bands), "band long, rep long, n long")
     groups = saved(bands.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).where("lead.rep < last").select("band", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("m")))
     members = saved(bands.join(groups, "band"))
     ids = saved(members.select("rep").distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(_small(ids), "rep", "left_semi").where("text is not null")
-    sets = texts.mapInArrow(_sets, "rep long, sig binary, set binary").where("length(set) > 0").dropDuplicates(["rep", "sig"])
+    sets = texts.mapInArrow(tidy(_sets), "rep long, sig binary, set binary").where("length(set) > 0").dropDuplicates(["rep", "sig"])
     sets = saved(sets.join(classes.select("rep", "sig", "regs"), ["rep", "sig"]))
     pairs = members.where("rep <> leader and 4 * least(n, m) >= 3 * greatest(n, m)").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     labels = saved(components(_links(pairs, sets)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_limits, byte_table, chunks, crc_mod, mix, saved
+from .common import Words, arrow_limits, byte_table, chunks, crc_mod, mix, saved, tidy
 
 FEATURES = 1 << 16
 FIT_TEXTS = 4000
@@ -144,7 +144,7 @@ class Model:
 def fit(labelled: DataFrame) -> Model:
     """labelled: doc_id, text, quality (0 or 1), only rows that may be learned from."""
     labelled = labelled.select("doc_id", F.col("quality").cast("int").alias("y"), "text")
-    sums = labelled.select("y", "text").mapInArrow(_class_counts, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+    sums = labelled.select("y", "text").mapInArrow(tidy(_class_counts), "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
     f, pos, neg = (sums[c].to_numpy() for c in ("f", "pos", "neg"))
     n_pos, n_neg = int(pos[f == -1].sum()), int(neg[f == -1].sum())
     if not n_pos or not n_neg:
@@ -155,7 +155,7 @@ def fit(labelled: DataFrame) -> Model:
     scale = np.log(p / (n_pos + 2)) - np.log(q / (n_neg + 2))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = labelled.where(unit < min(1.0, 1.3 * FIT_TEXTS / (n_pos + n_neg))).orderBy(unit, "doc_id").limit(FIT_TEXTS)
-    got = saved(drawn.select("y", "text")).mapInArrow(_feature_rows, "y int, f binary").toArrow()
+    got = saved(drawn.select("y", "text")).mapInArrow(tidy(_feature_rows), "y int, f binary").toArrow()
     rows = [np.frombuffer(x, dtype=np.int32) for x in got["f"].to_pylist()]
     y = np.where(got["y"].to_numpy() > 0, 1, -1)
     order = sorted(range(len(rows)), key=lambda i: (rows[i].tobytes(), y[i]))
@@ -192,4 +192,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs.select("doc_id", "text").join(known, "doc_id"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(crc_mod(5) == 0, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(_scorer(model), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(_scorer(model)), f"doc_id {kind}, held_out boolean, score double, predicted int")

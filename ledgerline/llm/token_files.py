@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, saved, shared_dir
+from .common import arrow_limits, saved, shared_dir, tidy
 
 STRIPE_BYTES = 16 << 20
 INDEX_STRIDE = 2000
@@ -36,7 +36,8 @@ CACHE_BYTES = 8 << 20
 """Word ids kept by a worker: up to twice as much for each of the two kinds of words (with and without a space before), 32 MB in all."""
 ENTRY_BYTES = 200
 END_ID = 0
-ROWS = 2000
+SLICE_BYTES = 1 << 20
+"""Text encoded at once; one longer text makes a slice by itself."""
 BROADCAST_CHUNKS = 1_000_000
 """Bases (12 bytes a chunk) go to all tasks up to so many chunks; beyond, rows and bases meet in a shuffle join."""
 
@@ -135,6 +136,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _slices(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about SLICE_BYTES, from the running sum of their sizes."""
+    a, done = 0, 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+        yield a, b
+        a, done = b, int(ends[b - 1])
+
+
 _FILE = "doc_id long, chunk int, first long, n_tokens long, ids array<int>"
 
 
@@ -142,11 +152,12 @@ def _writer(path: str) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, first, encode = TaskContext.get().partitionId(), 0, encoder(path).encode
         for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                ids, n = encode(batch.column(1).slice(a, ROWS))
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            for a, b in _slices(size):
+                ids, n = encode(batch.column(1).slice(a, b - a))
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, ROWS), pa.array(np.full(len(n), chunk, dtype=np.int32)), pa.array(first + ends - n), pa.array(n), lists], ["doc_id", "chunk", "first", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.full(len(n), chunk, dtype=np.int32)), pa.array(first + ends - n), pa.array(n), lists], ["doc_id", "chunk", "first", "n_tokens", "ids"])
                 first += int(ends[-1])
 
     return write
@@ -157,7 +168,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     arrow_limits(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     options = {"orc.stripe.size": STRIPE_BYTES, "orc.row.index.stride": INDEX_STRIDE, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "none"}
-    rows.mapInArrow(_writer(tokenizer), _FILE).write.options(**options).orc(path)
+    rows.mapInArrow(tidy(_writer(tokenizer)), _FILE).write.options(**options).orc(path)
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,5 +201,5 @@ def token_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer)
-    sums = spark.read.schema(_FILE).orc(path).mapInArrow(_checksums, "doc_id long, chunk int, first long, n_tokens long, ids_crc32 long")
+    sums = spark.read.schema(_FILE).orc(path).mapInArrow(tidy(_checksums), "doc_id long, chunk int, first long, n_tokens long, ids_crc32 long")
     return with_start(sums, chunk_bases(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
