@@ -45,8 +45,8 @@ def effective_option(items: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def state_category(df: DataFrame, states: DataFrame, col: str = "state") -> DataFrame:
-    """df with state_name and category; unknown names give nulls, never a default."""
-    key = F.lower(F.trim(F.regexp_replace(F.col(col), "\\s+", " ")))
+    """df with state_name and category; & reads as and, other signs as spaces. Unknown names give nulls, never a default."""
+    key = F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.lower(col), F.lit("&"), F.lit(" and ")), "[^a-z ]", " "), " +", " "))
     return df.withColumn("__k", key).join(F.broadcast(states.select(F.col("key").alias("__k"), F.col("name").alias("state_name"), "category")), "__k", "left").drop("__k")
 
 
@@ -73,7 +73,7 @@ def quote_view(quotes: DataFrame, items: DataFrame, charges: DataFrame, answers:
         F.max(F.col("make").isNull()).alias("make_absent"), F.sum(F.col("n") * F.col("watt_lo")).alias("w_lo"), F.sum(F.col("n") * F.col("watt_hi")).alias("w_hi"),
     )
     extra = charges.groupBy("quote_id").agg(
-        F.sum(F.when(F.col("placed") == "inside", F.col("amount"))).alias("inside"), F.max(F.col("placed") == "unclear").alias("any_unclear"),
+        F.sum(F.when(F.col("placed") == "inside", F.col("amount"))).alias("inside"), F.max((F.col("placed") == "inside") & F.col("amount").isNull()).alias("inside_absent"), F.min(F.when(F.col("placed") == "inside", F.col("amount"))).alias("inside_least"), F.max(F.col("placed") == "unclear").alias("any_unclear"),
         F.max(F.col("placed") != "inside").alias("any_outside"), F.max(F.lower("label").rlike("net[\\s-]*meter")).alias("has_net_meter"),
     )
     view = quotes.join(answers, "quote_id").join(option.select("quote_id", "option_state", "option_id"), "quote_id").join(per, "quote_id", "left").join(extra, "quote_id", "left")
@@ -81,69 +81,98 @@ def quote_view(quotes: DataFrame, items: DataFrame, charges: DataFrame, answers:
     view = view.withColumns({"from_items": F.coalesce(usable, F.lit(False))})
     stated = F.when((F.col("stated_state") == "ok") & (F.col("basis") == "dc_kwp"), F.col("stated_kw").cast("double"))
     view = view.withColumns({"dc_lo": F.when(F.col("from_items"), F.col("w_lo") / 1000).otherwise(stated), "dc_hi": F.when(F.col("from_items"), F.col("w_hi") / 1000).otherwise(stated)})
-    view = state_category(view, states)
-    return slab_amount(slab_amount(view, slabs, "dc_lo", "rule_lo"), slabs, "dc_hi", "rule_hi")
+    return with_rules(view, states, slabs)
 
 
-_unresolved = lambda: F.col("option_state").isin("multiple", "unknown")
+def with_rules(view: DataFrame, states: DataFrame, slabs: DataFrame) -> DataFrame:
+    """view (state, dc_lo, dc_hi) with the state's name and category and the rule amounts of both ends of the capacity."""
+    view = state_category(view.drop("state_name", "category", "rule_lo", "rule_hi"), states)
+    return slab_amount(slab_amount(view, slabs, "dc_lo", "rule_lo"), slabs, "dc_hi", "rule_hi")
 
 
-def _finding(view: DataFrame, check: str, rows: Column) -> DataFrame:
-    return view.withColumn("__f", rows).select("quote_id", F.lit(check).alias("check_id"), F.lit(check).alias("item"), "__f.gate", "__f.status", "__f.question")
+_unresolved = lambda: F.col("option_state").isin("multiple", "unknown")
 
 
-def check_capacity(view: DataFrame) -> DataFrame:
+def _capacity_ladder() -> Column:
     v = F.col
     diff = F.abs(v("w_lo") / 1000 - v("stated_kw").cast("double"))
-    return _finding(view, "C1", ladder(
+    return ladder(
         (_unresolved(), CONFIRM, None), (v("n_groups").isNull(), MISSING, None), (v("any_absent"), MISSING, None),
         (v("any_held") | v("any_range"), CONFIRM, F.when(v("any_range"), "exact_capacity").otherwise("panel_details")),
         ((v("stated_state") == "kva") & v("stated_kw").isNotNull(), CONFIRM, "capacity_basis"), ((v("stated_state") == "held") & v("stated_kw").isNotNull(), CONFIRM, "dc_capacity"),
         (v("stated_kw").isNull(), MISSING, None), (F.coalesce(v("basis"), F.lit("")) != "dc_kwp", CONFIRM, "capacity_basis"),
         (diff <= KW_TOLERANCE + 1e-9, CONSISTENT, None), (None, INCONSISTENT, "capacity_mismatch"),
-    ))
+    )
 
 
-def check_subsidy(view: DataFrame) -> DataFrame:
+def _subsidy_ladder() -> Column:
     v = F.col
     no = lambda c: F.coalesce(v(c) == "no", F.lit(False))
     yes = lambda c: F.coalesce(v(c) == "yes", F.lit(False))
     diff = v("central") - v("rule_lo")
-    return _finding(view, "C2", ladder(
+    return ladder(
         (~v("complete"), CONFIRM, None), (_unresolved(), CONFIRM, None), (v("consumer").isin("rwa", "group_housing", "other_non_household"), OUT, None),
         (v("consumer").isNull(), CONFIRM, None), (v("category").isNull(), CONFIRM, None), (no("after_cutoff"), OUT, None), (~yes("after_cutoff"), CONFIRM, None),
         (no("first_system") | yes("prior_subsidy"), OUT, None), (v("first_system").isNull() | v("prior_subsidy").isNull(), CONFIRM, None), (yes("give_up"), OUT, None), (yes("give_up_quoted"), CONFIRM, None),
-        (v("central").isNull() & v("state_subsidy").isNotNull(), CONFIRM, "subsidy_breakdown"), (v("central").isNull(), CONFIRM, "subsidy_not_stated"),
+        (v("central").isNull() & (v("combined").isNotNull() | v("unspecified").isNotNull()), CONFIRM, "subsidy_breakdown"), (v("central").isNull(), CONFIRM, "subsidy_not_stated"),
         (v("dc_lo").isNull(), CONFIRM, "dc_capacity"), (v("rule_lo") != v("rule_hi"), CONFIRM, "exact_capacity"), (F.abs(diff) <= RUPEE_TOLERANCE, CONSISTENT, None),
         ((diff > 0) & (~v("from_items") | v("any_range")), CONFIRM, "subsidy_higher"), (diff > 0, INCONSISTENT, "subsidy_higher"), (None, CONFIRM, "subsidy_lower"),
-    ))
+    )
 
 
-def check_gross(view: DataFrame) -> DataFrame:
+def _gross_ladder() -> Column:
     v = F.col
     gst_needed = F.coalesce(v("gst_basis") == "excluded", F.lit(False))
-    absent = v("total").isNull() | v("base").isNull() | gst_needed & v("gst").isNull()
+    absent = v("total").isNull() | v("base").isNull() | gst_needed & v("gst").isNull() | F.coalesce("inside_absent", F.lit(False))
+    negative = (v("base") < 0) | (v("total") < 0) | gst_needed & (v("gst") < 0) | F.coalesce(v("discount") < 0, F.lit(False)) | F.coalesce(v("inside_least") < 0, F.lit(False))
     expected = v("base") + F.when(gst_needed, v("gst")).otherwise(0) + F.coalesce("inside", F.lit(0)) - F.coalesce("discount", F.lit(0))
-    return _finding(view, "C3a", ladder(
-        (_unresolved(), CONFIRM, None), (absent, MISSING, None), ((v("base") < 0) | (v("total") < 0), CONFIRM, None), (v("gst_basis").isNull(), CONFIRM, "gst_basis"),
-        (F.coalesce("any_unclear", F.lit(False)), CONFIRM, None), (v("list_complete").isNull(), CONFIRM, None), (F.abs(expected - v("total")) <= RUPEE_TOLERANCE, CONSISTENT, None), (None, INCONSISTENT, "total_mismatch"),
-    ))
+    return ladder(
+        (_unresolved(), CONFIRM, None), (absent, MISSING, None), (negative, CONFIRM, None), (v("gst_basis").isNull(), CONFIRM, None),
+        (F.coalesce("any_unclear", F.lit(False)), CONFIRM, None), (F.coalesce(v("list_complete") != "yes", F.lit(True)), CONFIRM, None), (F.abs(expected - v("total")) <= RUPEE_TOLERANCE, CONSISTENT, None), (None, INCONSISTENT, "total_mismatch"),
+    )
 
 
-def check_net(view: DataFrame) -> DataFrame:
+def _net_ladder() -> Column:
     v = F.col
     central, state = v("subsidy_basis").isin("central", "both"), v("subsidy_basis").isin("state", "both")
     named = lambda c: F.coalesce(c, F.lit(False))
     absent = v("total").isNull() | v("net").isNull() | named(central) & v("central").isNull() | named(state) & v("state_subsidy").isNull()
-    expected = v("total") - F.when(central, v("central")).otherwise(0) - F.when(state, v("state_subsidy")).otherwise(0)
-    return _finding(view, "C3b", ladder(
-        (_unresolved(), CONFIRM, None), (absent, MISSING, None), ((v("total") < 0) | (v("net") < 0), CONFIRM, None), (v("subsidy_basis").isNull(), CONFIRM, None),
+    combined = named(v("subsidy_basis") == "combined")
+    absent = absent | combined & v("combined").isNull()
+    amounts = ((central, "central"), (state, "state_subsidy"), (combined, "combined"))
+    negative = (v("total") < 0) | (v("net") < 0) | F.greatest(*[F.coalesce(used & (v(c) < 0), F.lit(False)) for used, c in amounts])
+    expected = v("total") - sum((F.when(used, v(c)).otherwise(0) for used, c in amounts), F.lit(0))
+    return ladder(
+        (_unresolved(), CONFIRM, None), (absent, MISSING, None), (negative, CONFIRM, None), (v("subsidy_basis").isNull(), CONFIRM, None),
         (F.abs(expected - v("net")) <= RUPEE_TOLERANCE, CONSISTENT, None), (None, INCONSISTENT, "net_cost_mismatch"),
-    ))
+    )
 
 
-def check_details(view: DataFrame) -> DataFrame:
-    """One row for each detail that is missing or unclear, else one consistent row."""
+LADDERS = {"C1": _capacity_ladder, "C2": _subsidy_ladder, "C3a": _gross_ladder, "C3b": _net_ladder}
+
+
+def _finding(view: DataFrame, check: str) -> DataFrame:
+    return view.withColumn("__f", LADDERS[check]()).select("quote_id", F.lit(check).alias("check_id"), F.lit(check).alias("item"), "__f.gate", "__f.status", "__f.question")
+
+
+def check_capacity(view: DataFrame) -> DataFrame:
+    return _finding(view, "C1")
+
+
+def check_subsidy(view: DataFrame) -> DataFrame:
+    return _finding(view, "C2")
+
+
+def check_gross(view: DataFrame) -> DataFrame:
+    return _finding(view, "C3a")
+
+
+def check_net(view: DataFrame) -> DataFrame:
+    return _finding(view, "C3b")
+
+
+def _details() -> Column:
+    """An array (item, status, question) of the details that are missing or unclear, else of one consistent row."""
     v = F.col
     none = v("n_groups").isNull()
     row = lambda item, status, q, when: F.when(when, F.struct(F.lit(item).alias("item"), F.lit(status).alias("status"), F.lit(q).alias("question")))
@@ -158,17 +187,46 @@ def check_details(view: DataFrame) -> DataFrame:
         row("extras_outside_total", CONFIRM, "extras_outside_total", v("any_outside")), row("net_meter", CONFIRM, "net_meter", ~F.coalesce("has_net_meter", F.lit(False))),
     ))
     fine = F.array(F.struct(F.lit("details").alias("item"), F.lit(CONSISTENT).alias("status"), F.lit(None).cast("string").alias("question")))
-    rows = F.when(_unresolved(), F.array(gate)).when(F.size(found) > 0, found).otherwise(fine)
-    return view.select("quote_id", F.lit("C4").alias("check_id"), F.inline(rows)).withColumn("gate", F.lit(0)).select("quote_id", "check_id", "item", "gate", "status", "question")
+    return F.when(_unresolved(), F.array(gate)).when(F.size(found) > 0, found).otherwise(fine)
+
+
+def check_details(view: DataFrame) -> DataFrame:
+    """One row for each detail that is missing or unclear, else one consistent row."""
+    return view.select("quote_id", F.lit("C4").alias("check_id"), F.inline(_details())).withColumn("gate", F.lit(0)).select("quote_id", "check_id", "item", "gate", "status", "question")
 
 
 def run_checks(view: DataFrame) -> DataFrame:
-    """All findings, from one view that is computed once (persisted on executors' disks and memory, recomputed if lost)."""
-    view = view.persist()
-    out = check_capacity(view)
-    for check in (check_subsidy, check_gross, check_net, check_details):
-        out = out.unionByName(check(view))
-    return out
+    """All findings, in one pass over the view: every check gives an array of its findings."""
+    row = lambda check, item, gate, x: F.struct(F.lit(check).alias("check_id"), item.alias("item"), gate.alias("gate"), x["status"].alias("status"), x["question"].alias("question"))
+    def of_ladder(check: str) -> Column:
+        return F.transform(F.array(LADDERS[check]()), lambda x: row(check, F.lit(check), x["gate"], x))
+
+    details = F.transform(_details(), lambda x: row("C4", x["item"], F.lit(0), x))
+    return view.select("quote_id", F.inline(F.concat(*map(of_ladder, LADDERS), details)))
+
+
+def hold_typed(findings: DataFrame, guards: DataFrame) -> DataFrame:
+    """Findings that use a typed number still to be confirmed (guards: quote_id, field) become needs_confirmation."""
+    uses = {"C1": ("stated_kw",), "C2": ("central", "stated_kw"), "C3a": ("base", "gst", "total", "discount"), "C3b": ("total", "net", "central", "state_subsidy")}
+    open_ = guards.groupBy("quote_id").agg(F.collect_set("field").alias("__open"))
+    used = F.coalesce(*[F.when(F.col("check_id") == c, F.array(*map(F.lit, fs))) for c, fs in uses.items()])
+    hold = F.coalesce(F.arrays_overlap(used, F.col("__open")), F.lit(False)) & F.col("status").isin(CONSISTENT, INCONSISTENT)
+    out = findings.join(open_, "quote_id", "left")
+    return out.select("quote_id", "check_id", "item", "gate", F.when(hold, CONFIRM).otherwise(F.col("status")).alias("status"), F.when(hold, "check_entry").otherwise(F.col("question")).alias("question"))
+
+
+def key_messages(messages: DataFrame, templates: DataFrame) -> DataFrame:
+    """messages (id, check_id, text) with key: that of the one template of the check (check_id, key, pattern) that matches the whole text, else unkeyed."""
+    hits = messages.join(F.broadcast(templates), "check_id").where(F.expr("text rlike concat('^(?:', pattern, ')$')")).groupBy("id").agg(F.count("*").alias("n"), F.max("key").alias("key"))
+    return messages.join(hits, "id", "left").select("id", "check_id", F.when(F.col("n") == 1, F.col("key")).otherwise("unkeyed").alias("key"))
+
+
+def render_messages(keyed: DataFrame, vocabulary: DataFrame, lang: str) -> DataFrame:
+    """keyed (id, key, and a map params) as text of a language (vocabulary: key, lang, template with {name} places); English, flagged, where it has none."""
+    of = lambda language, name: F.broadcast(vocabulary.where(F.col("lang") == language).select("key", F.col("template").alias(name)))
+    out = keyed.join(of(lang, "own"), "key", "left").join(of("en", "plain"), "key", "left")
+    fill = F.aggregate(F.map_entries("params"), F.coalesce("own", "plain"), lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
+    return out.select("id", "key", fill.alias("text"), F.col("own").isNull().alias("fallback"))
 
 
 def hold_until_confirmed(findings: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions import text as T
+
 BUCKETS = (0, 50, 60, 70, 80, 90, 95)
 
 
@@ -92,3 +96,33 @@ def translation_problems(pairs: DataFrame) -> DataFrame:
     counts = lambda c, n: pairs.select("id", F.explode(pieces(c)).alias("piece")).groupBy("id", "piece").agg(F.count("*").alias(n))
     both = counts("source", "a").join(counts("target", "b"), ["id", "piece"], "full_outer")
     return both.where(F.coalesce("a", F.lit(0)) != F.coalesce("b", F.lit(0))).select("id", "piece")
+
+
+def labelled_quotes(truth: DataFrame) -> DataFrame:
+    """doc, nth, count, watts, make from labels (doc, counts, ratings, makes; several items in one label are parted by + or ;): the nth parts belong together."""
+    parts = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), "\\s*[+;]\\s*"), lambda x: F.nullif(F.trim(x), F.lit("")))
+    zipped = F.arrays_zip(parts("counts").alias("c"), parts("ratings").alias("r"), parts("makes").alias("m"))
+    rows = truth.select("doc", F.posexplode(zipped).alias("nth", "x"))
+    capacity = T.parse_capacity(F.col("x.r"))
+    watts = F.when(capacity["lo"] == capacity["hi"], T.measure_watts(capacity["lo"].cast("string"), capacity["unit"])).cast("bigint")
+    out = rows.select("doc", (F.col("nth") + 1).alias("nth"), T.parse_count(F.col("x.c")).alias("count"), watts.alias("watts"), F.col("x.m").alias("make"))
+    return out.where("count is not null or watts is not null or make is not null")
+
+
+def wrong_operands(findings: DataFrame, truth: DataFrame) -> DataFrame:
+    """doc, check_id, operand, used, stated: operands (doc, check_id, operand, used) of definitive findings that differ from the labels (doc, operand, stated)."""
+    return findings.join(truth, ["doc", "operand"], "left").where("used is distinct from stated").select("doc", "check_id", "operand", "used", "stated")
+
+
+def accept_all(quotes: DataFrame, shown: Callable[[DataFrame], DataFrame], rounds: int = 4) -> tuple[DataFrame, int]:
+    """(quotes with confirmed, rounds used): everything shown (quote_id, field; never conflicts) is confirmed until a round shows nothing new.
+
+    quotes has quote_id and an array confirmed. `shown` looks at the quotes with what is confirmed so far; the rounds are few and fixed, each one a job.
+    """
+    for i in range(rounds):
+        new = shown(quotes).where("not conflict").groupBy("quote_id").agg(F.collect_set("field").alias("__new"))
+        joined = quotes.join(new, "quote_id", "left").withColumn("__new", F.array_except(F.coalesce("__new", F.array().cast("array<string>")), "confirmed"))
+        if joined.where("size(__new) > 0").isEmpty():
+            return quotes, i
+        quotes = joined.withColumn("confirmed", F.array_sort(F.concat("confirmed", "__new"))).drop("__new")
+    return quotes, rounds

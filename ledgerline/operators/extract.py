@@ -46,18 +46,87 @@ def column_kinds(grid: DataFrame) -> DataFrame:
 
 
 def line_candidates(lines: DataFrame, threshold: int = 50) -> DataFrame:
-    """doc, page, line_no, field, value, evidence: one amount with its price role, panel count, system size."""
-    role, amount = T.price_role(F.col("text")), T.one_amount(F.col("text"))
-    rows = lines.where(F.col("confidence") >= threshold).withColumns({"__role": role, "__amount": amount, "__count": T.one_count(F.col("text")), "__size": T.one_measure(F.col("text"), ("kwp", "kw"))})
+    """doc, page, line_no, field, value, evidence: one amount with its price role, panel count, panel wattage, system size.
+
+    A line that denies what it names gives nothing. Each pattern is read once a line: the generator keeps its results from being copied.
+    """
+    t, text = F.lower("text"), F.col("text")
+    read = F.struct(
+        F.when(~T.denied(text), T.price_role(text)).alias("role"), T.line_amounts(text).alias("amounts"), t.rlike("\\b(?:panels?|modules?)\\b").alias("panel"), t.rlike("\\binverters?\\b").alias("inverter"),
+        T.denied(text).alias("no"), t.rlike("\\b(?:system|plant|capacity|project|rooftop|solar pv)\\b").alias("size_word"), t.rlike("\\b(?:sets?|kits?|lots?|lump ?sum)\\b").alias("sets"),
+        T.one_count(text).alias("count"), T.one_measure(text, ("kwp", "kw", "wp", "w")).alias("measure"), T.one_measure(text, ("wp", "w")).alias("watts"),
+    )
+    rows = lines.where((F.col("confidence") >= threshold) & text.rlike("[0-9]")).select("doc", "page", "line_no", "text", F.inline(F.array(read))).where("not no")
     item = lambda f, v, when: F.when(when, F.struct(f.alias("field"), v.cast("string").alias("value")))
+    of_panel = F.col("panel") & ~F.col("inverter")
     all_ = F.array_compact(F.array(
-        item(F.col("__role"), F.col("__amount").cast("bigint"), F.col("__role").isNotNull() & F.col("__amount").isNotNull()),
-        item(F.lit("panel_count"), F.col("__count"), (F.col("__count") >= 2) & F.lower("text").rlike("module|panel") & ~F.lower("text").rlike("\\b(?:sets?|kits?)\\b")),
-        item(F.lit("system_size"), F.col("__size").cast("bigint"), F.col("__size").isNotNull() & F.lower("text").rlike("system|capacity|plant")),
+        item(F.col("role"), F.get("amounts", F.lit(0)).cast("bigint"), F.col("role").isNotNull() & (F.size("amounts") == 1)),
+        item(F.lit("panel_count"), F.col("count"), of_panel & (F.col("count") >= 2) & ~F.col("sets")),
+        item(F.lit("panel_wattage"), F.col("watts").cast("bigint"), of_panel & F.col("watts").isNotNull()),
+        item(F.lit("system_size"), F.col("measure").cast("bigint"), F.col("size_word") & ~F.col("panel") & ~F.col("inverter") & F.col("measure").isNotNull()),
     ))
     return rows.select("doc", "page", "line_no", F.inline(all_), F.col("text").alias("evidence"))
 
 
+def row_cells(grid: DataFrame) -> DataFrame:
+    """doc, page, table, row, cells (array of kind, col, text, confidence, row_merged in column order): the rows under the header, with each column's kind."""
+    kinds = column_kinds(grid).select("doc", "page", "table", "col", "kind")
+    body = grid.withColumn("top", F.min("row").over(Window.partitionBy("doc", "page", "table"))).where("row > top").join(kinds, ["doc", "page", "table", "col"])
+    cells = F.array_sort(F.collect_list(F.struct("col", "kind", "text", "confidence", "row_merged"))).alias("cells")
+    return body.groupBy("doc", "page", "table", "row").agg(cells)
+
+
+def _of_kind(kind: str) -> Column:
+    return F.filter("cells", lambda x: (x["kind"] == kind) & (F.trim(x["text"]) != ""))
+
+
+def _row_text() -> Column:
+    return F.array_join(F.filter(F.transform("cells", lambda x: F.trim(x["text"])), lambda x: x != ""), " | ")
+
+
+def option_rows(grid: DataFrame, threshold: int = 50) -> DataFrame:
+    """doc, page, table, row, capacity (watts), amount: tables with two rows or more that each offer a capacity of their own at a price."""
+    rows = row_cells(grid).select("doc", "page", "table", "row", _of_kind("rating").alias("r"), _of_kind("amount").alias("a"), _row_text().alias("evidence"))
+    one = rows.where("size(r) = 1 and size(a) = 1").select("doc", "page", "table", "row", "evidence", F.get("r", F.lit(0)).alias("r"), F.get("a", F.lit(0)).alias("a"))
+    read = one.where((F.col("r.confidence") >= threshold) & (F.col("a.confidence") >= threshold) & ~T.denied(F.col("evidence")) & ~F.lower("evidence").rlike("\\b(?:inverter|module|panel|structure|cable|meter)s?\\b"))
+    read = read.select("doc", "page", "table", "row", T.one_measure(F.col("r.text"), ("kwp", "kw", "wp", "w")).alias("capacity"), T.one_amount(F.col("a.text")).alias("amount")).where("capacity is not null and amount is not null")
+    tables = read.groupBy("doc", "page", "table").agg(F.count("*").alias("n"), F.count_distinct("capacity").alias("k")).where("n >= 2 and n = k").select("doc", "page", "table")
+    return read.join(tables, ["doc", "page", "table"], "left_semi")
+
+
+def bom_rows(grid: DataFrame, threshold: int = 50) -> DataFrame:
+    """doc, page, table, row, item (panel or inverter), count, rating (watts), make: rows of tables with one description and one quantity column.
+
+    A quantity under two, counted in sets or from a cell that spans rows gives no count; rows that deny what they name give nothing.
+    """
+    rows = row_cells(grid).select("doc", "page", "table", "row", _of_kind("desc").alias("d"), _of_kind("qty").alias("q"), _of_kind("rating").alias("r"), _of_kind("make").alias("m"), F.array_min("cells.confidence").alias("least"), _row_text().alias("evidence"))
+    text = lambda c: F.get(c, F.lit(0))["text"]
+    rows = rows.where((F.size("d") == 1) & (F.size("q") == 1) & (F.col("least") >= threshold) & ~T.denied(F.col("evidence")))
+    d, q = F.lower(text("d")), F.lower(text("q"))
+    item = F.when(d.rlike("\\binverters?\\b"), "inverter").when(d.rlike("\\b(?:panels?|modules?)\\b"), "panel")
+    number = T.parse_count(q)
+    count = F.when((number >= 2) & ~q.rlike("\\b(?:sets?|kits?|lots?)\\b") & ~F.get("q", F.lit(0))["row_merged"], number)
+    units = lambda c: F.when(item == "panel", T.one_measure(c, ("wp", "w"))).otherwise(T.one_measure(c, ("kw", "kwp", "kva")))
+    rating = F.coalesce(units(text("r")), units(text("d"))).cast("bigint")
+    return rows.select("doc", "page", "table", "row", item.alias("item"), count.alias("count"), rating.alias("rating"), F.trim(text("m")).alias("make")).where("item is not null")
+
+
+def amount_rows(grid: DataFrame, threshold: int = 50) -> DataFrame:
+    """doc, page, table, row, role, amount: rows with one amount cell and a label that names one price role."""
+    rows = row_cells(grid).select("doc", "page", "table", "row", F.filter("cells", lambda x: (x["kind"] == "amount") & (F.size(T.line_amounts(x["text"])) > 0)).alias("a"), F.filter("cells", lambda x: F.coalesce(x["kind"] != "amount", F.lit(True)) & (F.trim(x["text"]) != "")).alias("l"), F.array_min("cells.confidence").alias("least"))
+    one = rows.where((F.size("a") == 1) & (F.size("l") > 0) & (F.col("least") >= threshold)).select("doc", "page", "table", "row", F.get("a", F.lit(0))["text"].alias("cell"), F.array_join("l.text", " ").alias("label"))
+    out = one.where(~F.contains("cell", F.lit("%"))).select("doc", "page", "table", "row", T.price_role(F.col("label")).alias("role"), T.one_amount(F.col("cell")).cast("bigint").alias("amount"))
+    return out.where("role is not null and amount is not null")
+
+
+def evidence_boxes(facts: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc, page, fact_id, boxes: for each piece of a fact's evidence (split at line ends), the boxes of the page's lines with that text."""
+    tidy = lambda c: T.squeeze(c)
+    pieces = facts.select("doc", "page", "fact_id", F.posexplode(F.split("evidence", "\n")).alias("n", "piece")).select("doc", "page", "fact_id", "n", tidy(F.col("piece")).alias("k")).where("k <> ''")
+    found = pieces.join(lines.select("doc", "page", tidy(F.col("text")).alias("k"), "line_no", "x0", "y0", "x1", "y1"), ["doc", "page", "k"])
+    return found.groupBy("doc", "page", "fact_id").agg(F.array_sort(F.collect_list(F.struct("n", "line_no", "x0", "y0", "x1", "y1"))).alias("boxes"))
+
+
 def gate_answers(answers: DataFrame, lines: DataFrame) -> DataFrame:
     """answers (doc, page, answer_id, field, raw, confidence) with kept and why: low_confidence, unparsed, not_on_page, negated."""
     ev = evidence_lines(answers, lines)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 PERSONAL = {
     "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z.]+",
     "id_number": "\\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\\b",
+    "phone": "(?:\\+91[ -]*|\\b91[ -]*|\\b0|\\b)[6-9][0-9]{4}[ -]?[0-9]{5}\\b",
     "tax_id": "\\b[A-Z]{5}[0-9]{4}[A-Z]\\b",
     "long_number": "\\b[0-9]{9,}\\b",
 }
@@ -39,8 +40,10 @@ def spans(docs: DataFrame, patterns: dict[str, str], keep_terms: tuple[str, ...]
     return out
 
 
-def pii_spans(docs: DataFrame, keep_terms: tuple[str, ...] = (), **kw) -> DataFrame:
-    return spans(docs, PERSONAL, keep_terms, **kw)
+def pii_spans(docs: DataFrame, keep_terms: tuple[str, ...] = (), deny_terms: tuple[str, ...] = (), **kw) -> DataFrame:
+    """Personal data, and each occurrence of a denied term, in any case and between word bounds, as kind deny."""
+    deny = "|".join("\\Q" + t.replace("\\E", "") + "\\E" for t in sorted(deny_terms, key=len, reverse=True))
+    return spans(docs, PERSONAL | ({"deny": f"(?i)\\b(?:{deny})\\b"} if deny else {}), keep_terms, **kw)
 
 
 def protected_spans(docs: DataFrame, **kw) -> DataFrame:
@@ -103,6 +106,44 @@ def dedupe_boxes(boxes: DataFrame) -> DataFrame:
     return per.select("doc", "page", F.inline(kept)).drop("rank")
 
 
+def label_value_lines(labels: DataFrame, lines: DataFrame, below: int = 1) -> DataFrame:
+    """doc, page, label_no, line_no, place for labels without a value on their line: the nearest line to the right that shares half of its height, else up to
+    `below` lines under it, each within 1.2 heights of the one before and overlapping it in x. Lines and labels have boxes x0, y0, x1, y1 and line_no.
+
+    Pairs of one page meet by an equi-join; the chain below is an ordered fold over the page's lines of one label.
+    """
+    a = labels.select("doc", "page", *[F.col(c).alias(f"l_{c}") for c in ("line_no", "x0", "y0", "x1", "y1")])
+    pairs = a.join(lines.select("doc", "page", "line_no", "x0", "y0", "x1", "y1"), ["doc", "page"]).where("line_no <> l_line_no")
+    shared = F.least("l_y1", "y1") - F.greatest("l_y0", "y0")
+    beside = pairs.where((F.col("x0") >= F.col("l_x1")) & (2 * shared > F.least(F.col("l_y1") - F.col("l_y0"), F.col("y1") - F.col("y0"))))
+    right = beside.groupBy("doc", "page", "l_line_no").agg(F.min(F.struct("x0", "line_no"))["line_no"].alias("line_no"))
+    under = pairs.where("y0 >= l_y1").join(right.select("doc", "page", "l_line_no"), ["doc", "page", "l_line_no"], "left_anti")
+    rows = under.groupBy("doc", "page", "l_line_no", "l_x0", "l_x1", "l_y0", "l_y1").agg(F.array_sort(F.collect_list(F.struct("y0", "line_no", "x0", "x1", "y1"))).alias("o"))
+    start = F.struct(F.col("l_y1").alias("y1"), (F.col("l_y1") - F.col("l_y0")).alias("h"), F.array().cast("array<bigint>").alias("found"))
+
+    def step(t, b):
+        near = (b["y0"] - t["y1"] <= 1.2 * t["h"]) & (b["x0"] < F.col("l_x1")) & (b["x1"] > F.col("l_x0")) & (F.size(t["found"]) < below)
+        return F.when(near, F.struct(b["y1"].alias("y1"), (b["y1"] - b["y0"]).alias("h"), F.concat(t["found"], F.array(b["line_no"].cast("bigint"))).alias("found"))).otherwise(t)
+
+    down = rows.select("doc", "page", "l_line_no", F.explode(F.aggregate("o", start, step, lambda t: t["found"])).alias("line_no"), F.lit("below").alias("place"))
+    return right.select("doc", "page", "l_line_no", F.col("line_no").cast("bigint").alias("line_no"), F.lit("right").alias("place")).unionByName(down).withColumnRenamed("l_line_no", "label_no")
+
+
+def coalesce_rects(rects: DataFrame, gap: int = 20, least_area: int = 400) -> DataFrame:
+    """doc, page, x0, y0, x1, y1: rectangles (with box_id) of a page joined, in the order of box_id, into the first one within `gap`; small results dropped."""
+    box = lambda r: F.struct(*[r[c].cast("bigint").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+    def step(kept, b):
+        near = lambda k: (k["x0"] - gap <= b["x1"]) & (b["x0"] - gap <= k["x1"]) & (k["y0"] - gap <= b["y1"]) & (b["y0"] - gap <= k["y1"])
+        at = F.aggregate(F.transform(kept, lambda k, i: F.when(near(k), i)), F.lit(None).cast("int"), lambda t, i: F.coalesce(t, i))
+        joined = lambda k: F.struct(F.least(k["x0"], b["x0"]).alias("x0"), F.least(k["y0"], b["y0"]).alias("y0"), F.greatest(k["x1"], b["x1"]).alias("x1"), F.greatest(k["y1"], b["y1"]).alias("y1"))
+        return F.transform(F.array(at), lambda j: F.when(j.isNull(), F.concat(kept, F.array(box(b)))).otherwise(F.transform(kept, lambda k, i: F.when(i == j, joined(k)).otherwise(k))))[0]
+
+    per = rects.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("box_id", "x0", "y0", "x1", "y1"))).alias("o"))
+    kept = F.aggregate("o", F.array().cast("array<struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>>"), step)
+    return per.select("doc", "page", F.inline(kept)).where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) > least_area)
+
+
 def clean_boxes(boxes: DataFrame, width: int, height: int, kinds: tuple[str, ...]) -> DataFrame:
     """Corners sorted and clipped, boxes under two pixels dropped, unknown kinds made manual."""
     lo = lambda a, b: F.greatest(F.least(a, b), F.lit(0))

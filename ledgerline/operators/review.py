@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Confidence under which a value is marked, rules whose values are always marked, ranges of typed numbers.
 LOW_CONFIDENCE = 80
 RISKY_RULES = ("line", "unmatched")
-GUARDS = {"base": (1000, 100_000_000), "gst": (0, 20_000_000), "total": (1000, 100_000_000), "net": (0, 100_000_000), "stated_kw": (0.5, 1000)}
+GUARDS = {"base": (10_000, 3_000_000), "gst": (0, 600_000), "total": (10_000, 3_000_000), "net": (10_000, 3_000_000), "discount": (0, 600_000), "central": (0, 200_000), "state_subsidy": (0, 200_000), "combined": (0, 200_000), "unspecified": (0, 200_000), "stated_kw": (0.5, 20)}
 
 
 def apply_corrections(facts: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from ledgerline.operators.checks import COVERS, QUESTIONS, STATUS_ORDER
-from ledgerline.operators.pii import PERSONAL, PROTECTED
 from ledgerline.sources.bindings import ALIASES, SPECIAL, SQL, STATES
 
+# Fixed values, stated here anew: questions in order and what they cover, statuses from worst to best, patterns of personal and protected data.
+QUESTIONS = "exact_capacity panel_details panel_count panel_wattage capacity_mismatch capacity_basis dc_capacity subsidy_breakdown subsidy_not_stated subsidy_higher subsidy_lower total_mismatch net_cost_mismatch module_model module_choice dcr inverter_model inverter_choice inverter_rating vendor_registration gst_basis extras_outside_total net_meter".split()
+COVERS = {"capacity_mismatch": ("panel_details", "panel_count", "panel_wattage"), "panel_details": ("panel_count", "panel_wattage"), "exact_capacity": ("panel_wattage",)}
+STATUS_ORDER = ("inconsistent", "needs_confirmation", "missing", "out_of_scope", "consistent")
+PERSONAL = {
+    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z.]+",
+    "id_number": "\\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\\b",
+    "phone": "(?:\\+91[ -]*|\\b91[ -]*|\\b0|\\b)[6-9][0-9]{4}[ -]?[0-9]{5}\\b",
+    "tax_id": "\\b[A-Z]{5}[0-9]{4}[A-Z]\\b",
+    "long_number": "\\b[0-9]{9,}\\b",
+}
+PROTECTED = {"capacity": "\\b[0-9]+(?:\\.[0-9]+)? ?(?:kWp|kW|Wp|kVA)\\b", "amount": "(?:Rs\\.?|₹) ?[0-9][0-9,]*", "percent": "[0-9]+(?:\\.[0-9]+)? ?%", "date": "\\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\\b"}
+
 ORACLES: dict[str, str] = {}
 
 
@@ -21,19 +32,24 @@ _slab = lambda x: f"CASE category WHEN 'general' THEN least(78000.0, greatest(0,
 OPTION = """opt AS (SELECT a.quote_id, CASE WHEN selected IS NOT NULL THEN 'selected' WHEN coalesce(n, 0) > 1 THEN 'multiple' WHEN more_options = 'no' THEN 'single' ELSE 'unknown' END AS option_state,
   coalesce(selected, CASE WHEN n = 1 THEN only_one END) AS option_id FROM answers a LEFT JOIN (SELECT quote_id, count(DISTINCT option_id) AS n, max(option_id) AS only_one FROM items GROUP BY quote_id) o USING (quote_id))"""
 
-VIEW = (
-    OPTION,
-    """per AS (SELECT quote_id, count(*) AS n_groups, bool_or(count_state = 'absent' OR watt_state = 'absent') AS any_absent, bool_or(count_state = 'held' OR watt_state = 'held') AS any_held, bool_or(watt_lo <> watt_hi) AS any_range,
-  bool_or(count_state = 'absent') AS count_absent, bool_or(count_state = 'held') AS count_held, bool_or(watt_state = 'absent') AS watt_absent, bool_or(make IS NULL) AS make_absent, sum(n * watt_lo) AS w_lo, sum(n * watt_hi) AS w_hi
-  FROM items JOIN (SELECT quote_id, option_id AS own FROM opt) o USING (quote_id) WHERE option_id IS NULL OR own IS NULL OR option_id = own GROUP BY quote_id)""",
-    """extra AS (SELECT quote_id, sum(CASE WHEN placed = 'inside' THEN amount END) AS inside, bool_or(placed = 'unclear') AS any_unclear, bool_or(placed <> 'inside') AS any_outside, bool_or(regexp_matches(lower(label), 'net[\\s-]*meter')) AS has_net_meter FROM charges GROUP BY quote_id)""",
-    f"states(key, state_name, category) AS (VALUES {_states})",
-    """v0 AS (SELECT q.*, a.* EXCLUDE (quote_id), o.option_state, o.option_id, p.* EXCLUDE (quote_id), e.* EXCLUDE (quote_id), s.state_name, s.category, coalesce(n_groups > 0 AND NOT any_absent AND NOT any_held, false) AS from_items
-  FROM quotes q JOIN answers a USING (quote_id) JOIN opt o USING (quote_id) LEFT JOIN per p USING (quote_id) LEFT JOIN extra e USING (quote_id) LEFT JOIN states s ON s.key = lower(a.state))""",
-    """v1 AS (SELECT *, CASE WHEN from_items THEN CAST(w_lo AS DOUBLE) / 1000 WHEN stated_state = 'ok' AND basis = 'dc_kwp' THEN CAST(stated_kw AS DOUBLE) END AS dc_lo,
-  CASE WHEN from_items THEN CAST(w_hi AS DOUBLE) / 1000 WHEN stated_state = 'ok' AND basis = 'dc_kwp' THEN CAST(stated_kw AS DOUBLE) END AS dc_hi FROM v0)""",
-    f"v AS (SELECT *, CASE WHEN dc_lo IS NOT NULL THEN CAST({_slab('dc_lo')} AS DOUBLE) END AS rule_lo, CASE WHEN dc_hi IS NOT NULL THEN CAST({_slab('dc_hi')} AS DOUBLE) END AS rule_hi FROM v1)",
-)
+def _view(told: str = "answers") -> tuple[str, ...]:
+    """One row a quotation; `told` names the answers."""
+    return (
+        OPTION,
+        """per AS (SELECT quote_id, count(*) AS n_groups, bool_or(count_state = 'absent' OR watt_state = 'absent') AS any_absent, bool_or(count_state = 'held' OR watt_state = 'held') AS any_held, bool_or(watt_lo <> watt_hi) AS any_range,
+      bool_or(count_state = 'absent') AS count_absent, bool_or(count_state = 'held') AS count_held, bool_or(watt_state = 'absent') AS watt_absent, bool_or(make IS NULL) AS make_absent, sum(n * watt_lo) AS w_lo, sum(n * watt_hi) AS w_hi
+      FROM items JOIN (SELECT quote_id, option_id AS own FROM opt) o USING (quote_id) WHERE option_id IS NULL OR own IS NULL OR option_id = own GROUP BY quote_id)""",
+        """extra AS (SELECT quote_id, sum(CASE WHEN placed = 'inside' THEN amount END) AS inside, bool_or(placed = 'inside' AND amount IS NULL) AS inside_absent, min(CASE WHEN placed = 'inside' THEN amount END) AS inside_least, bool_or(placed = 'unclear') AS any_unclear, bool_or(placed <> 'inside') AS any_outside, bool_or(regexp_matches(lower(label), 'net[\\s-]*meter')) AS has_net_meter FROM charges GROUP BY quote_id)""",
+        f"states(key, state_name, category) AS (VALUES {_states})",
+        f"""v0 AS (SELECT q.*, a.* EXCLUDE (quote_id), o.option_state, o.option_id, p.* EXCLUDE (quote_id), e.* EXCLUDE (quote_id), s.state_name, s.category, coalesce(n_groups > 0 AND NOT any_absent AND NOT any_held, false) AS from_items
+      FROM quotes q JOIN {told} a USING (quote_id) JOIN opt o USING (quote_id) LEFT JOIN per p USING (quote_id) LEFT JOIN extra e USING (quote_id) LEFT JOIN states s ON s.key = trim(regexp_replace(regexp_replace(replace(lower(a.state), '&', ' and '), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')))""",
+        """v1 AS (SELECT *, CASE WHEN from_items THEN CAST(w_lo AS DOUBLE) / 1000 WHEN stated_state = 'ok' AND basis = 'dc_kwp' THEN CAST(stated_kw AS DOUBLE) END AS dc_lo,
+      CASE WHEN from_items THEN CAST(w_hi AS DOUBLE) / 1000 WHEN stated_state = 'ok' AND basis = 'dc_kwp' THEN CAST(stated_kw AS DOUBLE) END AS dc_hi FROM v0)""",
+        f"v AS (SELECT *, CASE WHEN dc_lo IS NOT NULL THEN CAST({_slab('dc_lo')} AS DOUBLE) END AS rule_lo, CASE WHEN dc_hi IS NOT NULL THEN CAST({_slab('dc_hi')} AS DOUBLE) END AS rule_hi FROM v1)",
+    )
+
+
+VIEW = _view()
 _all = "quotes items charges answers"
 _open = "option_state IN ('multiple', 'unknown')"
 
@@ -43,14 +59,14 @@ C1 = f"""CASE WHEN {_open} THEN '1|needs_confirmation|' WHEN n_groups IS NULL TH
 C2 = f"""CASE WHEN NOT complete THEN '1|needs_confirmation|' WHEN {_open} THEN '2|needs_confirmation|' WHEN consumer IN ('rwa', 'group_housing') THEN '3|out_of_scope|' WHEN consumer IS NULL THEN '4|needs_confirmation|'
   WHEN category IS NULL THEN '5|needs_confirmation|' WHEN after_cutoff = 'no' THEN '6|out_of_scope|' WHEN after_cutoff IS NULL THEN '7|needs_confirmation|' WHEN first_system = 'no' OR prior_subsidy = 'yes' THEN '8|out_of_scope|'
   WHEN first_system IS NULL OR prior_subsidy IS NULL THEN '9|needs_confirmation|' WHEN give_up = 'yes' THEN '10|out_of_scope|' WHEN give_up_quoted = 'yes' THEN '11|needs_confirmation|'
-  WHEN central IS NULL AND state_subsidy IS NOT NULL THEN '12|needs_confirmation|subsidy_breakdown' WHEN central IS NULL THEN '13|needs_confirmation|subsidy_not_stated' WHEN dc_lo IS NULL THEN '14|needs_confirmation|dc_capacity'
+  WHEN central IS NULL AND (combined IS NOT NULL OR unspecified IS NOT NULL) THEN '12|needs_confirmation|subsidy_breakdown' WHEN central IS NULL THEN '13|needs_confirmation|subsidy_not_stated' WHEN dc_lo IS NULL THEN '14|needs_confirmation|dc_capacity'
   WHEN rule_lo <> rule_hi THEN '15|needs_confirmation|exact_capacity' WHEN abs(central - rule_lo) <= 1 THEN '16|consistent|' WHEN central > rule_lo AND (NOT from_items OR any_range) THEN '17|needs_confirmation|subsidy_higher'
   WHEN central > rule_lo THEN '18|inconsistent|subsidy_higher' ELSE '19|needs_confirmation|subsidy_lower' END"""
-C3A = f"""CASE WHEN {_open} THEN '1|needs_confirmation|' WHEN total IS NULL OR base IS NULL OR (gst_basis = 'excluded' AND gst IS NULL) THEN '2|missing|' WHEN base < 0 OR total < 0 THEN '3|needs_confirmation|' WHEN gst_basis IS NULL THEN '4|needs_confirmation|gst_basis'
-  WHEN any_unclear THEN '5|needs_confirmation|' WHEN list_complete IS NULL THEN '6|needs_confirmation|' WHEN abs(base + CASE WHEN gst_basis = 'excluded' THEN gst ELSE 0 END + coalesce(inside, 0) - coalesce(discount, 0) - total) <= 1 THEN '7|consistent|' ELSE '8|inconsistent|total_mismatch' END"""
-C3B = f"""CASE WHEN {_open} THEN '1|needs_confirmation|' WHEN total IS NULL OR net IS NULL OR (subsidy_basis IN ('central', 'both') AND central IS NULL) OR (subsidy_basis IN ('state', 'both') AND state_subsidy IS NULL) THEN '2|missing|'
-  WHEN total < 0 OR net < 0 THEN '3|needs_confirmation|' WHEN subsidy_basis IS NULL THEN '4|needs_confirmation|'
-  WHEN abs(total - CASE WHEN subsidy_basis IN ('central', 'both') THEN central ELSE 0 END - CASE WHEN subsidy_basis IN ('state', 'both') THEN state_subsidy ELSE 0 END - net) <= 1 THEN '5|consistent|' ELSE '6|inconsistent|net_cost_mismatch' END"""
+C3A = f"""CASE WHEN {_open} THEN '1|needs_confirmation|' WHEN total IS NULL OR base IS NULL OR (gst_basis = 'excluded' AND gst IS NULL) OR coalesce(inside_absent, false) THEN '2|missing|' WHEN base < 0 OR total < 0 OR (gst_basis = 'excluded' AND gst < 0) OR coalesce(discount, 0) < 0 OR coalesce(inside_least, 0) < 0 THEN '3|needs_confirmation|' WHEN gst_basis IS NULL THEN '4|needs_confirmation|'
+  WHEN any_unclear THEN '5|needs_confirmation|' WHEN list_complete IS NULL OR list_complete = 'no' THEN '6|needs_confirmation|' WHEN abs(base + CASE WHEN gst_basis = 'excluded' THEN gst ELSE 0 END + coalesce(inside, 0) - coalesce(discount, 0) - total) <= 1 THEN '7|consistent|' ELSE '8|inconsistent|total_mismatch' END"""
+C3B = f"""CASE WHEN {_open} THEN '1|needs_confirmation|' WHEN total IS NULL OR net IS NULL OR (subsidy_basis IN ('central', 'both') AND central IS NULL) OR (subsidy_basis IN ('state', 'both') AND state_subsidy IS NULL) OR (subsidy_basis = 'combined' AND combined IS NULL) THEN '2|missing|'
+  WHEN total < 0 OR net < 0 OR (subsidy_basis IN ('central', 'both') AND central < 0) OR (subsidy_basis IN ('state', 'both') AND state_subsidy < 0) OR (subsidy_basis = 'combined' AND combined < 0) THEN '3|needs_confirmation|' WHEN subsidy_basis IS NULL THEN '4|needs_confirmation|'
+  WHEN abs(total - CASE WHEN subsidy_basis IN ('central', 'both') THEN central ELSE 0 END - CASE WHEN subsidy_basis IN ('state', 'both') THEN state_subsidy ELSE 0 END - CASE WHEN subsidy_basis = 'combined' THEN combined ELSE 0 END - net) <= 1 THEN '5|consistent|' ELSE '6|inconsistent|net_cost_mismatch' END"""
 _split = "CAST(split_part(o, '|', 1) AS INT) AS gate, split_part(o, '|', 2) AS status, nullif(split_part(o, '|', 3), '') AS question"
 
 
@@ -73,6 +89,11 @@ _order = ", ".join(f"('{q}', {i})" for i, q in enumerate(QUESTIONS))
 ASKED = (*FINDINGS, f"cover(by_, question) AS (VALUES {_cover})", f"places(question, place) AS (VALUES {_order})", "asked AS (SELECT DISTINCT quote_id, question FROM f WHERE question IS NOT NULL)",
     "vq AS (SELECT quote_id, row_number() OVER (PARTITION BY quote_id ORDER BY place) AS number, a.question FROM asked a JOIN places USING (question) WHERE NOT EXISTS (SELECT 1 FROM asked b JOIN cover c ON c.by_ = b.question WHERE b.quote_id = a.quote_id AND c.question = a.question))")
 
+_ranges = {"base": (10000, 3000000), "gst": (0, 600000), "total": (10000, 3000000), "net": (10000, 3000000), "discount": (0, 600000), "central": (0, 200000), "state_subsidy": (0, 200000), "combined": (0, 200000), "unspecified": (0, 200000), "stated_kw": (0.5, 20)}
+_out = lambda *fs: " OR ".join(f"coalesce({f} < {_ranges[f][0]} OR {f} > {_ranges[f][1]}, false)" for f in fs)
+_relations = (("total", "CAST(base + coalesce(gst, 0) AS DOUBLE)", "CAST(total AS DOUBLE)", ("base", "gst", "total")), ("net", "CAST(total - coalesce(central, 0) AS DOUBLE)", "CAST(net AS DOUBLE)", ("total", "net")), ("stated_kw", "CAST(w_lo AS DOUBLE) / 1000", "CAST(stated_kw AS DOUBLE)", ("stated_kw",)))
+GUARDS = ("g AS (" + " UNION ALL ".join([f"SELECT quote_id, '{f}' AS field, 'range' AS reason FROM v WHERE {_out(f)}" for f in _ranges] + [f"SELECT quote_id, '{f}', 'relation' FROM (SELECT *, {x} AS x_, {y} AS y_, greatest({x}, {y}) / least({x}, {y}) AS q_ FROM v) WHERE x_ > 0 AND y_ > 0 AND (abs(q_ - 10) <= 2 OR abs(q_ - 100) <= 20 OR abs(q_ - 1000) <= 200) AND NOT ({_out(*fs)})" for f, x, y, fs in _relations]) + ")",)
+
 ORACLES |= {
     "subsidy_slab_amount": _with(_all, *VIEW, "SELECT quote_id, state_name, category, dc_lo, dc_hi, rule_lo, rule_hi FROM v WHERE rule_lo IS NOT NULL"),
     "option_states": _with("items answers", OPTION, "SELECT * FROM opt"),
@@ -82,7 +103,7 @@ ORACLES |= {
     "vendor_questions": _with(_all, *ASKED, "SELECT * FROM vq"),
     "vendor_messages": _with(_all, *ASKED, "SELECT quote_id, string_agg(number || '. ' || question, chr(10) ORDER BY number) AS message FROM vq GROUP BY quote_id"),
     "held_findings": _with(_all, *VIEW, f"SELECT quote_id, CASE WHEN quote_id % 2 = 1 AND status IN ('consistent', 'inconsistent') THEN 'needs_confirmation' ELSE status END AS status, CASE WHEN quote_id % 2 = 1 AND status IN ('consistent', 'inconsistent') THEN 'confirm_values' ELSE question END AS question FROM (SELECT quote_id, {_split} FROM (SELECT quote_id, {C3A} AS o FROM v))"),
-    "state_categories": _with("answers", f"states(key, state_name, category) AS (VALUES {_states})", "SELECT category, count(*) AS n FROM answers a LEFT JOIN states s ON s.key = lower(a.state) GROUP BY category"),
+    "state_categories": _with("answers", f"states(key, state_name, category) AS (VALUES {_states})", "SELECT category, count(*) AS n FROM answers a LEFT JOIN states s ON s.key = trim(regexp_replace(regexp_replace(replace(lower(a.state), '&', ' and '), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')) GROUP BY category"),
     "amount_parse_roundtrip": _with("quotes", "SELECT quote_id, base AS amount, 'ok' AS parse_status FROM quotes WHERE base >= 0"),
     "indian_grouping": _with("quotes", "SELECT quote_id, CASE WHEN base < 1000 THEN CAST(base AS VARCHAR) ELSE reverse(regexp_replace(regexp_replace(reverse(CAST(base // 1000 AS VARCHAR)), '([0-9]{2})', '\\1,', 'g'), ',$', '')) || ',' || right(CAST(base AS VARCHAR), 3) END AS shown FROM quotes WHERE base > 0"),
     "capacity_parse_roundtrip": _with("items", "SELECT quote_id, item_id, watt_lo AS lo, watt_hi AS hi, 'wp' AS unit FROM items WHERE watt_lo IS NOT NULL"),
@@ -90,31 +111,27 @@ ORACLES |= {
     "line_roles": _with("lines", "SELECT doc, line_no, CASE line_no WHEN 1 THEN 'gross_total' WHEN 2 THEN 'gst_amount' END AS role, line_no = 5 AS denied FROM lines"),
     "one_amount_lines": _with("lines", "SELECT doc, line_no, CAST(regexp_extract(text, '([0-9]+)', 1) AS BIGINT) AS amount FROM lines WHERE line_no IN (1, 2)"),
     "line_candidates": _with("lines", "SELECT doc, line_no, CASE line_no WHEN 1 THEN 'gross_total' WHEN 2 THEN 'gst_amount' WHEN 3 THEN 'panel_count' ELSE 'system_size' END AS field, CASE line_no WHEN 4 THEN regexp_extract(text, '([0-9]+)', 1) || '000' ELSE regexp_extract(text, '([0-9]+)', 1) END AS value FROM lines WHERE confidence >= 50 AND (line_no IN (1, 2, 4) OR line_no = 3 AND doc % 12 + 1 >= 2)"),
-    "line_sections": _with("lines", "SELECT doc, line_no, CASE doc % 4 WHEN 0 THEN 'buyer' WHEN 1 THEN 'supplier' WHEN 2 THEN 'supplier' ELSE 'unclear' END AS section FROM lines").replace("WHEN 1 THEN 'supplier' WHEN 2 THEN 'supplier' ELSE 'unclear'", "WHEN 1 THEN 'supplier' ELSE 'unclear'"),
+    "line_sections": _with("lines", "SELECT doc, line_no, CASE doc % 4 WHEN 0 THEN 'buyer' WHEN 1 THEN 'supplier' ELSE 'unclear' END AS section FROM lines"),
     "gst_flags": _with("lines", "SELECT doc, 'excluded' AS gst, confidence FROM lines WHERE line_no = 2"),
     "resolve_occurrences": _with("facts", "c AS (SELECT doc, value AS occurrence, field, CASE WHEN pos % 2 = 0 THEN field ELSE 'other' END AS r FROM facts)", "k AS (SELECT doc, occurrence, count(DISTINCT field) AS nf, count(DISTINCT CASE WHEN field = r THEN field END) AS nn, max(CASE WHEN field = r THEN field END) AS one FROM c GROUP BY ALL)", "SELECT doc, count(*) AS n FROM c JOIN k USING (doc, occurrence) WHERE nf = 1 OR (nn = 1 AND field = one) GROUP BY doc"),
     "distinct_values": _with("facts", "SELECT doc, field, value, min(pos) AS pos FROM facts GROUP BY ALL"),
     "fact_provenance": _with("facts", "SELECT doc, field, value, coalesce(string_agg(DISTINCT rule, ',' ORDER BY rule) FILTER (rule <> 'unmatched'), 'unmatched') AS rules, min(confidence) FILTER (rule <> 'unmatched') AS confidence FROM facts GROUP BY doc, field, value"),
     "item_bindings": _with("facts", "r AS (SELECT DISTINCT doc, field, value FROM facts WHERE batch = 1)", "SELECT CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.doc = f.doc AND r.field = f.field AND r.value = f.value) THEN 'confirmed' WHEN EXISTS (SELECT 1 FROM r WHERE r.doc = f.doc AND r.field = f.field) THEN 'conflict' ELSE 'fill' END AS binding, count(*) AS n FROM facts f WHERE batch = 2 GROUP BY 1"),
-    "evidence_status": "SELECT CASE WHEN o_orderkey % 5 = 0 AND NOT (floor(o_totalprice) = 1) THEN 'mismatch' ELSE 'text_matched' END AS evidence_status, count(*) AS n FROM orders GROUP BY 1",
-    "answer_gate": _with("lines", "SELECT why, why IS NULL AS kept, count(*) AS n FROM (SELECT CASE WHEN confidence < 50 THEN 'low_confidence' WHEN doc % 3 = 2 THEN 'unparsed' WHEN doc % 3 = 0 AND NOT contains(replace(text, ' ', '') || ' ' || (SELECT string_agg(l.text, ' ') FROM lines l WHERE l.doc = a.doc), '999') THEN 'not_on_page' END AS why FROM lines a WHERE line_no = 1) GROUP BY why"),
+    "evidence_status": "SELECT CASE WHEN o_orderkey % 5 = 0 AND NOT (floor(o_totalprice) = 1) THEN 'mismatch' ELSE 'text_matched' END AS evidence_status, 6 * count(*) AS n FROM orders GROUP BY 1",
+    "answer_gate": _with("lines", "p AS (SELECT doc, bool_or(contains(replace(text, ' ', ''), '999')) AS there FROM lines GROUP BY doc)", "SELECT why, why IS NULL AS kept, count(*) AS n FROM (SELECT CASE WHEN confidence < 50 THEN 'low_confidence' WHEN doc % 3 = 2 OR doc % 3 = 1 AND line_no <> 1 THEN 'unparsed' WHEN doc % 3 = 0 AND NOT there THEN 'not_on_page' END AS why FROM lines JOIN p USING (doc)) GROUP BY why"),
     "merge_fields": _with("facts", "SELECT doc, field, CASE WHEN count(DISTINCT value) = 1 AND NOT bool_or(flagged) THEN min(value) END AS value, count(DISTINCT value) > 1 OR bool_or(flagged) AS conflict, count(DISTINCT value) AS n_values, string_agg(DISTINCT value, '|' ORDER BY value) AS candidates FROM facts GROUP BY doc, field"),
     "merge_alternatives": _with("facts", "SELECT doc, field, string_agg(value, '|' ORDER BY pos) AS alternatives FROM (SELECT doc, field, value, min(pos) AS pos FROM facts GROUP BY ALL) GROUP BY doc, field"),
     "match_items": _with("facts", "g AS (SELECT DISTINCT doc, batch FROM facts)", "w AS (SELECT DISTINCT doc, value FROM facts)", "n AS (SELECT w.doc, w.value, g.batch, (SELECT count(*) FROM facts f WHERE f.doc = w.doc AND f.value = w.value AND f.batch = g.batch) AS n FROM w JOIN g USING (doc))", "SELECT doc, value, min(n) = max(n) AS matched, unnest(range(1, max(n) + 1)) AS nth FROM n GROUP BY doc, value"),
     "match_charges": _with("facts", "g AS (SELECT DISTINCT doc, field, batch FROM facts)", "w AS (SELECT DISTINCT doc, field, value FROM facts)", "n AS (SELECT w.doc, w.field, w.value, g.batch, (SELECT count(*) FROM facts f WHERE f.doc = w.doc AND f.field = w.field AND f.value = w.value AND f.batch = g.batch) AS n FROM w JOIN g USING (doc, field))", "SELECT doc, field AS label, value, min(n) = max(n) AS matched, unnest(range(1, max(n) + 1)) AS nth FROM n GROUP BY doc, field, value"),
     "merge_lists": _with("facts", "m AS (SELECT doc, value, unnest(range(1, max(n) + 1)) AS nth FROM (SELECT doc, value, batch, count(*) AS n FROM facts GROUP BY ALL) GROUP BY doc, value)", "SELECT doc, value, nth, 'G' || row_number() OVER (PARTITION BY doc ORDER BY value, nth) AS item_id FROM m"),
     "merge_quotes": _with("facts", "b AS (SELECT doc, batch, min(confidence) < 42 AS failed FROM facts GROUP BY ALL)", "p AS (SELECT doc, count(DISTINCT pos) AS pages FROM facts JOIN b USING (doc, batch) WHERE NOT failed GROUP BY doc)", "c AS (SELECT doc, field FROM facts GROUP BY ALL HAVING count(DISTINCT value) > 1 OR bool_or(flagged))", "k AS (SELECT doc, count(*) AS n, string_agg(field, ',' ORDER BY field) AS s FROM c GROUP BY doc)", "SELECT doc, NOT bool_or(failed) AS complete, coalesce(any_value(p.pages), 0) AS pages_done, count(*) FILTER (failed) AS n_failed, coalesce(any_value(k.n), 0) AS n_conflicts, coalesce(any_value(k.s), '') AS conflicts FROM b LEFT JOIN p USING (doc) LEFT JOIN k USING (doc) GROUP BY doc"),
-    "plan_batches": """WITH RECURSIVE g AS (SELECT l_suppkey AS doc, l_orderkey * 10 + l_linenumber AS page, max(l_partkey * 97 % 1000) AS bytes FROM lineitem GROUP BY ALL HAVING (l_orderkey * 10 + l_linenumber) % 7 = 0),
+    "plan_batches": """WITH RECURSIVE g AS (SELECT l_suppkey AS doc, l_orderkey * 10 + l_linenumber AS page, max(l_partkey * 97 % 1000) AS bytes FROM lineitem GROUP BY ALL),
 o AS (SELECT doc, bytes, row_number() OVER (PARTITION BY doc ORDER BY page) AS i FROM g WHERE bytes <= 950),
 r AS (SELECT doc, i, 1 AS batch, 1 AS n, bytes AS size FROM o WHERE i = 1 UNION ALL SELECT o.doc, o.i, CASE WHEN r.n >= 5 OR r.size + o.bytes > 950 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.n >= 5 OR r.size + o.bytes > 950 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n >= 5 OR r.size + o.bytes > 950 THEN o.bytes ELSE r.size + o.bytes END FROM r JOIN o ON o.doc = r.doc AND o.i = r.i + 1)
 SELECT g.doc, any_value(m.n_batches) AS n_batches, count(*) FILTER (g.bytes > 950) AS n_rejected FROM g LEFT JOIN (SELECT doc, max(batch) AS n_batches FROM r GROUP BY doc) m USING (doc) GROUP BY g.doc""",
     "apply_corrections": _with("facts", "m AS (SELECT doc, field, CASE WHEN count(DISTINCT value) = 1 AND NOT bool_or(flagged) THEN min(value) END AS value FROM facts GROUP BY ALL)", "n AS (SELECT *, CASE WHEN doc % 6 = 0 THEN '8' WHEN doc % 3 = 0 THEN '9' END AS nv FROM m)", "SELECT doc, field, coalesce(nv, value) AS value, CASE WHEN nv IS NOT NULL THEN value END AS original, nv IS NOT NULL AS corrected FROM n"),
     "check_this": _with("facts", "m AS (SELECT doc, field, count(DISTINCT value) > 1 OR bool_or(flagged) AS c, doc % 4 <> 0 AND min(confidence) < 80 AS l, doc % 4 <> 0 AND bool_or(rule IN ('line', 'unmatched')) AS s FROM facts GROUP BY doc, field)", "SELECT doc, field, concat_ws(',', CASE WHEN c THEN 'conflict' END, CASE WHEN l THEN 'low_confidence' END, CASE WHEN s THEN 'source_rule' END) AS reasons FROM m WHERE c OR l OR s"),
-    "entry_guards": _with(_all, *VIEW, """n AS (SELECT quote_id, CAST(base AS DOUBLE) AS base, CAST(gst AS DOUBLE) AS gst, CAST(total AS DOUBLE) AS total, CAST(net AS DOUBLE) AS net, CAST(central AS DOUBLE) AS central, CAST(stated_kw AS DOUBLE) AS kw, w_lo / 1000 AS iw FROM v),
-b AS (SELECT *, coalesce(base < 1000 OR base > 1e8, false) AS b1, coalesce(gst < 0 OR gst > 2e7, false) AS b2, coalesce(total < 1000 OR total > 1e8, false) AS b3, coalesce(net < 0 OR net > 1e8, false) AS b4, coalesce(kw < 0.5 OR kw > 1000, false) AS b5, base + coalesce(gst, 0) AS s1, total - coalesce(central, 0) AS s2 FROM n),
-r AS (SELECT *, greatest(s1, total) / least(s1, total) AS q1, greatest(s2, net) / least(s2, net) AS q2, greatest(iw, kw) / least(iw, kw) AS q3 FROM b)""",
-        " UNION ALL ".join(f"SELECT quote_id, '{f}' AS field, 'range' AS reason FROM r WHERE {b}" for f, b in (("base", "b1"), ("gst", "b2"), ("total", "b3"), ("net", "b4"), ("stated_kw", "b5")))
-        + " UNION ALL " + " UNION ALL ".join(f"SELECT quote_id, '{f}', 'relation' FROM r WHERE {x} > 0 AND {y} > 0 AND (abs({q} - 10) <= 2 OR abs({q} - 100) <= 20 OR abs({q} - 1000) <= 200) AND NOT ({bad})" for f, x, y, q, bad in (("total", "s1", "total", "q1", "b1 OR b2 OR b3"), ("net", "s2", "net", "q2", "b3 OR b4"), ("stated_kw", "iw", "kw", "q3", "b5")))),
+    "entry_guards": _with(_all, *VIEW, *GUARDS, "SELECT * FROM g"),
     "confirm_tokens": _with("quotes", """SELECT quote_id, left(sha256('{"quote_id": "' || quote_id || '", "total": ' || coalesce('"' || total || '"', 'null') || '}'), 24) AS token FROM quotes"""),
 }
 
@@ -135,7 +152,8 @@ ORACLES |= {
     "score_rollup": _with("facts", *SCORES, f"SELECT field, {', '.join(f'{_c(x)} AS {x}' for x in ('correct', 'wrong', 'missing', 'conflict_flagged', 'falsely_populated', 'abstained'))}, CAST(grouping(field) AS INT) AS is_total FROM s GROUP BY ROLLUP (field)"),
     "model_comparison": _with("facts", *SCORES, "SELECT doc, field, status AS one, CASE WHEN doc % 2 = 0 THEN status END AS two FROM s WHERE status <> 'not_labelled'"),
     "confidence_buckets": _with("facts", "g AS (SELECT unnest([0, 50, 60, 70, 80, 90, 95]) AS bucket)", "k AS (SELECT unnest(['money', 'other']) AS kind)", "f AS (SELECT CASE WHEN confidence >= 95 THEN 95 WHEN confidence >= 90 THEN 90 WHEN confidence >= 80 THEN 80 WHEN confidence >= 70 THEN 70 WHEN confidence >= 60 THEN 60 WHEN confidence >= 50 THEN 50 ELSE 0 END AS bucket, CASE WHEN field = 'net' THEN 'other' ELSE 'money' END AS kind, rule <> 'unmatched' AS kept FROM facts)", "SELECT bucket, kind, count(f.kept) AS n, count(*) FILTER (f.kept) AS kept FROM g CROSS JOIN k LEFT JOIN f USING (bucket, kind) GROUP BY ALL"),
-    "scenario_matrix": _with(_all, *VIEW, f"SELECT scenario, split_part(o, '|', 2) AS status, count(*) AS n FROM (SELECT scenario, {C3A} AS o FROM (SELECT v.* REPLACE (CASE WHEN scenario <> 'S-A' THEN 'yes' ELSE list_complete END AS list_complete, CASE WHEN scenario = 'S-C' THEN 'excluded' ELSE gst_basis END AS gst_basis), scenario FROM v, (SELECT unnest(['S-A', 'S-B', 'S-C']) AS scenario))) GROUP BY ALL"),
+    "scenario_matrix": _with(_all, "scen(scenario, s_, a_, c_) AS (VALUES ('S-A', 'Gujarat', 'yes', 'household'), ('S-B', 'Assam', 'yes', 'household'), ('S-C', 'Gujarat', 'no', 'household'), ('S-D', NULL, NULL, NULL), ('S-E', 'Gujarat', 'yes', 'rwa'))",
+        "told AS (SELECT scenario, a.* REPLACE (s_ AS state, a_ AS after_cutoff, c_ AS consumer) FROM answers a, scen)", *_view("told"), f"SELECT scenario, split_part(o, '|', 2) AS status, count(*) AS n FROM (SELECT scenario, {C2} AS o FROM v) GROUP BY ALL"),
     "recheck_findings": _with("quotes", "SELECT CASE WHEN abs(base + gst - coalesce(discount, 0) - total) <= 1 THEN 'agree' ELSE 'disagree' END AS result, count(*) AS n FROM quotes GROUP BY 1"),
     "operands_in_text": _with("quotes lines", "t AS (SELECT doc, list_distinct(flatten(list(regexp_extract_all(text, '[0-9]+')))) AS ns FROM lines GROUP BY doc)", "SELECT coalesce(list_contains(ns, CAST(base AS VARCHAR)), false) AS found, count(*) AS n FROM quotes LEFT JOIN t ON doc = quote_id GROUP BY 1"),
     "keyword_groups": " UNION ALL ".join(f"SELECT doc_id, '{g}' AS \"group\", len(regexp_extract_all(lower(text), '{p}')) AS hits FROM documents WHERE regexp_matches(lower(text), '{p}')" for g, p in {"of": r"\bof\b", "the": r"\bthe\b", "license": "licen[cs]e"}.items()),
@@ -147,14 +165,14 @@ ORACLES |= {
     "pii_spans": "SELECT doc_id, kind, CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INT) AS start, m[i] AS found FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS b FROM documents WHERE regexp_matches(text, '{p}')" for k, p in PERSONAL.items()) + "))",
     "protected_spans": _with("lines", "SELECT kind, count(*) AS n, sum(start) AS starts FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, CAST(length(regexp_split_to_array(text, '{p}')[1]) AS BIGINT) AS start FROM lines WHERE regexp_matches(text, '{p}')" for k, p in PROTECTED.items()) + ") GROUP BY kind"),
     "masked_documents": f"SELECT doc_id, md5({_mask}) AS masked_md5 FROM documents",
-    "overlap_join": _with("lines", "SELECT a.doc, count(*) AS n FROM lines a JOIN lines b ON a.doc = b.doc AND a.page = b.page AND a.line_no < 3 AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1 + 10, b.y1) > greatest(a.y0, b.y0) GROUP BY a.doc"),
-    "mask_conflicts": _with("lines", "SELECT a.doc, a.line_no AS box_id, string_agg(DISTINCT 'k' || b.line_no, ',' ORDER BY 'k' || b.line_no) AS kinds FROM lines a JOIN lines b ON a.doc = b.doc AND a.page = b.page AND a.line_no < 3 AND b.line_no >= 2 AND greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1 + 10, b.y1) - greatest(a.y0, b.y0), 0) > 0.15 * (b.x1 - b.x0) * (b.y1 - b.y0) GROUP BY ALL"),
+    "overlap_join": _with("lines", "SELECT a.doc, count(*) AS n FROM lines a JOIN lines b ON a.doc = b.doc AND a.page = b.page AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1 + 10, b.y1) > greatest(a.y0, b.y0) GROUP BY a.doc"),
+    "mask_conflicts": _with("lines", "SELECT a.doc, a.line_no AS box_id, string_agg(DISTINCT 'k' || b.line_no, ',' ORDER BY 'k' || b.line_no) AS kinds FROM lines a JOIN lines b ON a.doc = b.doc AND a.page = b.page AND greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1 + 10, b.y1) - greatest(a.y0, b.y0), 0) > 0.15 * (b.x1 - b.x0) * (b.y1 - b.y0) GROUP BY ALL"),
     "clean_boxes": _with("lines", "SELECT doc, line_no, greatest(x0, 0) AS x0, least(x1, 60) AS x1, greatest(y0, 0) AS y0, least(y1, 110) AS y1, CASE WHEN line_no % 2 = 0 THEN 'auto' ELSE 'manual' END AS kind FROM lines WHERE least(x1, 60) - x0 >= 2 AND least(y1, 110) - y0 >= 2"),
     "page_warnings": _with("lines", "SELECT warnings, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN sum(length(text)) < 20 THEN 'no_text_layer' END, CASE WHEN avg(confidence) < 75 THEN 'low_confidence' END) AS warnings FROM lines GROUP BY doc, page) WHERE warnings <> '' GROUP BY warnings"),
     "release_ready": "SELECT reason IS NULL AS ready, reason, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'source_changed' WHEN o_orderkey % 4 = 0 THEN 'not_approved' WHEN o_orderkey % 3 > 0 THEN 'unresolved' END AS reason FROM orders) GROUP BY reason",
     "manifest_upsert": "SELECT o_custkey AS doc, max(o_orderkey) AS exported_at, CAST(max(o_orderkey) AS VARCHAR) AS hash FROM orders GROUP BY o_custkey",
     "page_plan_audit": _with("facts", "p AS (SELECT doc, coalesce(list(batch ORDER BY batch) FILTER (batch < 3), []) AS p, bool_or(batch = 3) AS o FROM facts GROUP BY doc)", "SELECT doc, problems FROM (SELECT doc, concat_ws(',', CASE WHEN len(p) <> len(list_distinct(p)) THEN 'order' END, CASE WHEN len(p) + CAST(o AS INT) <> 3 THEN 'sum' END) AS problems FROM p) WHERE problems <> ''"),
-    "key_conflicts": _with("facts", "SELECT DISTINCT doc, 2 AS n_keys FROM facts WHERE doc % 6 = 0"),
+    "key_conflicts": _with("facts", "SELECT doc, 2 AS n_keys FROM facts GROUP BY doc HAVING bool_or(batch < 3) AND bool_or(batch >= 2)"),
     "oversize_records": """SELECT doc_id, bytes FROM (SELECT doc_id, strlen('{"doc_id":,"lang":"","source":"","n_chars":}' || doc_id || coalesce(lang, 'ul') || coalesce(source, 'ul') || n_chars) AS bytes FROM documents) WHERE bytes > 54""",
     "pending_rules": "SELECT n_name AS rule_id, CASE n_nationkey % 3 WHEN 1 THEN 'open' END AS verification FROM nation WHERE n_nationkey % 3 <> 0",
     "log_field_audit": "SELECT event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k <> 'device')), ',') AS extra FROM events WHERE len(list_filter(json_keys(props), lambda k: k <> 'device')) > 0",
@@ -167,3 +185,21 @@ ORACLES |= {
     "retained_jobs": "SELECT event_type AS kind, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-02 00:00:00' GROUP BY 1",
     "failure_outcomes": "SELECT CASE WHEN event_type = 'error' THEN 'retry' ELSE 'final' END AS outcome, event_type AS kind, count(*) AS n FROM events GROUP BY ALL",
 }
+
+_rows = 'p AS (SELECT doc, r_no AS "row", max(CASE col WHEN 1 THEN text END) AS d, max(CASE col WHEN 2 THEN text END) AS q, max(CASE col WHEN 3 THEN text END) AS r, max(CASE col WHEN 4 THEN text END) AS m, max(CASE col WHEN 5 THEN text END) AS a FROM cells WHERE r_no > 1 GROUP BY ALL HAVING min(confidence) >= 50)'
+_key = "CASE WHEN text LIKE 'Grand total %' THEN 'total' WHEN text LIKE 'GST amount %' THEN 'gst' WHEN text LIKE 'No. of modules: %' THEN 'count' ELSE 'unkeyed' END"
+
+ORACLES |= {
+    "option_rows": _with("offers", """o AS (SELECT doc, r_no AS "row", 1000 * CAST(regexp_extract(max(CASE col WHEN 2 THEN text END), '([0-9]+)', 1) AS BIGINT) AS capacity, CAST(regexp_extract(max(CASE col WHEN 3 THEN text END), '([0-9]+)', 1) AS BIGINT) AS amount FROM offers WHERE r_no > 1 GROUP BY ALL)""", "SELECT * FROM o WHERE doc IN (SELECT doc FROM o GROUP BY doc HAVING count(*) >= 2 AND count(*) = count(DISTINCT capacity))"),
+    "bom_rows": _with("cells", _rows, """SELECT doc, "row", CASE WHEN d = 'String inverter' THEN 'inverter' ELSE 'panel' END AS item, CASE WHEN q NOT LIKE '%sets' AND CAST(split_part(q, ' ', 1) AS INT) >= 2 THEN CAST(split_part(q, ' ', 1) AS INT) END AS count, CAST(split_part(r, ' ', 1) AS BIGINT) * CASE WHEN r LIKE '%kW' THEN 1000 ELSE 1 END AS rating, m AS make FROM p WHERE d IN ('Solar PV modules', 'String inverter')"""),
+    "amount_rows": _with("cells", _rows, """SELECT doc, "row", CASE d WHEN 'Base price' THEN 'base_price' ELSE 'gross_total' END AS role, CAST(regexp_extract(a, '([0-9]+)', 1) AS BIGINT) AS amount FROM p WHERE d IN ('Base price', 'Total including GST')"""),
+    "evidence_boxes": _with("lines", "SELECT a.doc, a.line_no AS fact_id, CAST(count(*) AS INT) AS n FROM lines a JOIN lines b ON a.doc = b.doc AND a.page = b.page AND a.text = b.text GROUP BY ALL"),
+    "typed_holds": _with(_all, *VIEW, *GUARDS, "w AS (SELECT DISTINCT quote_id FROM g WHERE field IN ('base', 'gst', 'total', 'discount'))", f"c AS (SELECT quote_id, {_split} FROM (SELECT quote_id, {C3A} AS o FROM v))", "SELECT quote_id, CASE WHEN h THEN 'needs_confirmation' ELSE status END AS status, CASE WHEN h THEN 'check_entry' ELSE question END AS question FROM (SELECT *, status IN ('consistent', 'inconsistent') AND quote_id IN (SELECT quote_id FROM w) AS h FROM c)"),
+    "message_keys": _with("lines", f"SELECT doc * 10 + line_no AS id, CASE WHEN line_no < 3 THEN 'C3' ELSE 'C4' END AS check_id, {_key} AS key FROM lines"),
+    "message_texts": _with("lines", f"k AS (SELECT doc * 10 + line_no AS id, {_key} AS key, regexp_extract(text, '([0-9]+)', 1) AS n FROM lines)", "SELECT id, key, CASE key WHEN 'count' THEN n || ' Module' WHEN 'gst' THEN 'Steuer von ' || n ELSE 'Total of ' || n END AS text, key = 'total' AS fallback FROM k WHERE key <> 'unkeyed'"),
+    "labelled_quotes": _with("items", "SELECT quote_id AS doc, CAST(row_number() OVER (PARTITION BY quote_id ORDER BY item_id) AS INT) AS nth, n AS count, CASE WHEN watt_lo = watt_hi THEN watt_lo END AS watts, make FROM items QUALIFY n IS NOT NULL OR watt_lo = watt_hi OR make IS NOT NULL"),
+    "wrong_operands": _with("quotes", "SELECT quote_id AS doc, 'C3a' AS check_id, operand, used, used + 1 AS stated FROM (SELECT quote_id, 'base' AS operand, base AS used FROM quotes UNION ALL SELECT quote_id, 'total', total FROM quotes) WHERE quote_id % 4 = 0 AND used IS NOT NULL"),
+    "record_problems": "WITH d AS (SELECT *, doc_id % 5 NOT IN (1, 2, 3) AS off FROM documents) SELECT doc_id AS key, 'lang' AS path, CASE WHEN lang IS NULL OR trim(lang) = '' THEN 'missing' ELSE 'value' END AS problem FROM d WHERE lang IS NULL OR trim(lang) NOT IN ('en', 'de', 'fr') UNION ALL SELECT doc_id, 'source', 'missing' FROM d WHERE source IS NULL OR trim(source) = '' UNION ALL SELECT doc_id, 'lang', 'page' FROM d WHERE off AND trim(lang) <> '' UNION ALL SELECT doc_id, 'source', 'page' FROM d WHERE off AND trim(source) <> '' UNION ALL SELECT doc_id, 'n_chars', 'page' FROM d WHERE off AND n_chars IS NOT NULL UNION ALL SELECT doc_id, 'extra', 'unknown' FROM d WHERE doc_id % 7 = 0",
+    "form_corrections": _with("answers", "SELECT quote_id AS key, 'site.state' AS path, state AS value FROM answers WHERE state IS NOT NULL UNION ALL SELECT quote_id, 'customer.type', consumer FROM answers WHERE consumer IS NOT NULL"),
+    "label_values": _with("lines", "SELECT a.doc, a.page, a.line_no AS label_no, CAST(min(b.line_no) AS BIGINT) AS line_no, 'below' AS place FROM lines a JOIN lines b ON a.doc = b.doc AND a.page = b.page AND a.line_no IN (3, 4) AND b.y0 >= a.y1 AND b.y0 - a.y1 <= 1.2 * (a.y1 - a.y0) AND b.x0 < a.x1 AND b.x1 > a.x0 GROUP BY ALL"),
+}

@@ -171,7 +171,7 @@ def item_bindings(spark, sf):
 @query
 def evidence_status(spark, sf):
     lines = bound(spark, sf, "lines")
-    facts = lines.where("line_no = 1").select("doc", "page", F.when(F.col("doc") % 5 == 0, "Grand total Rs. 1/-").otherwise(F.upper("text")).alias("evidence"))
+    facts = lines.select("doc", "page", F.when(F.col("doc") % 5 == 0, "Grand total Rs. 1/-").otherwise(F.upper("text")).alias("evidence"))
     pages = lines.groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
     return extract.verify_evidence(facts, pages).groupBy("evidence_status").agg(F.count("*").alias("n"))
 
@@ -179,7 +179,7 @@ def evidence_status(spark, sf):
 @query
 def answer_gate(spark, sf):
     lines = bound(spark, sf, "lines")
-    a = lines.where("line_no = 1").select("doc", "page", F.lit(1).alias("answer_id"), F.when(F.col("doc") % 3 == 0, "999").when(F.col("doc") % 3 == 1, F.regexp_extract("text", "(Rs\\..*)$", 1)).otherwise("at actuals").alias("raw"), "confidence")
+    a = lines.select("doc", "page", F.col("line_no").alias("answer_id"), F.when(F.col("doc") % 3 == 0, "999").when(F.col("doc") % 3 == 1, F.regexp_extract("text", "(Rs\\..*)$", 1)).otherwise("at actuals").alias("raw"), "confidence")
     return extract.gate_answers(a, lines).groupBy("why", "kept").agg(F.count("*").alias("n"))
 
 
@@ -219,7 +219,7 @@ def merge_quotes(spark, sf):
 def plan_batches(spark, sf):
     i = base_table(spark, sf, "lineitem")
     pages = i.select(F.col("l_suppkey").alias("doc"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page"), (F.col("l_partkey") * 97 % 1000).alias("bytes")).groupBy("doc", "page").agg(F.max("bytes").alias("bytes"))
-    return merge.plan_batches(pages.where("page % 7 = 0"), 5, 950).groupBy("doc").agg(F.max("batch").alias("n_batches"), F.count_if(F.col("batch").isNull()).alias("n_rejected"))
+    return merge.plan_batches(pages, 5, 950).groupBy("doc").agg(F.max("batch").alias("n_batches"), F.count_if(F.col("batch").isNull()).alias("n_rejected"))
 
 
 @query
@@ -281,12 +281,17 @@ def confidence_buckets(spark, sf):
     return evaluate.confidence_table(bound(spark, sf, "facts").select("confidence", F.when(F.col("field") == "net", "other").otherwise("money").alias("kind"), (F.col("rule") != "unmatched").alias("kept")))
 
 
+SCENARIOS = (("S-A", "Gujarat", "yes", "household"), ("S-B", "Assam", "yes", "household"), ("S-C", "Gujarat", "no", "household"), ("S-D", None, None, None), ("S-E", "Gujarat", "yes", "rwa"))
+"""Name, state, application after the cutoff, kind of consumer; the empty one has no answers."""
+
+
 @query
 def scenario_matrix(spark, sf):
-    scenarios = spark.createDataFrame([("S-A", None, None), ("S-B", "yes", None), ("S-C", "yes", "excluded")], "scenario string, list_complete_s string, gst_basis_s string")
-    v = _view(spark, sf).join(F.broadcast(scenarios), F.lit(True)).withColumns({"list_complete": F.coalesce("list_complete_s", "list_complete"), "gst_basis": F.coalesce("gst_basis_s", "gst_basis")})
-    f = v.withColumn("quote_id", F.concat_ws("/", "scenario", F.col("quote_id").cast("string")))
-    return checks.check_gross(f).groupBy(F.substring_index("quote_id", "/", 1).alias("scenario"), "status").agg(F.count("*").alias("n"))
+    d = checks.dims(spark)
+    scenarios = F.inline(F.array(*[F.struct(*[F.lit(x).cast("string").alias(n) for n, x in zip(("scenario", "s", "a", "c"), row, strict=True)]) for row in SCENARIOS]))
+    v = _view(spark, sf).select("*", scenarios).withColumns({"state": F.col("s"), "after_cutoff": F.col("a"), "consumer": F.col("c")})
+    v = checks.with_rules(v, d["state"], d["slab"]).withColumn("quote_id", F.concat_ws("/", "scenario", F.col("quote_id").cast("string")))
+    return checks.check_subsidy(v).groupBy(F.substring_index("quote_id", "/", 1).alias("scenario"), "status").agg(F.count("*").alias("n"))
 
 
 @query
@@ -360,15 +365,15 @@ def masked_documents(spark, sf):
 @query
 def overlap_join(spark, sf):
     l = bound(spark, sf, "lines")
-    a = l.where("line_no < 3").withColumnRenamed("line_no", "box_id").withColumn("y1", F.col("y1") + 10)
+    a = l.withColumnRenamed("line_no", "box_id").withColumn("y1", F.col("y1") + 10)
     return pii.overlap_join(a, l).groupBy("a.doc").agg(F.count("*").alias("n"))
 
 
 @query
 def mask_conflicts(spark, sf):
     l = bound(spark, sf, "lines")
-    a = l.where("line_no < 3").withColumnRenamed("line_no", "box_id").withColumn("y1", F.col("y1") + 10)
-    return pii.mask_conflicts(a, l.where("line_no >= 2").withColumn("kind", F.concat(F.lit("k"), F.col("line_no").cast("string")))).select("doc", "box_id", "kinds")
+    a = l.withColumnRenamed("line_no", "box_id").withColumn("y1", F.col("y1") + 10)
+    return pii.mask_conflicts(a, l.withColumn("kind", F.concat(F.lit("k"), F.col("line_no").cast("string")))).select("doc", "box_id", "kinds")
 
 
 @query
@@ -403,8 +408,8 @@ def page_plan_audit(spark, sf):
 
 @query
 def key_conflicts(spark, sf):
-    f = bound(spark, sf, "facts").select("doc", "field", "value")
-    return readers.union_keys(f.where("doc % 3 = 0"), f.where("doc % 6 = 0"))[1]
+    f = bound(spark, sf, "facts").select("doc", "field", "value", "batch")
+    return readers.union_keys(f.where("batch < 3").drop("batch"), f.where("batch >= 2").drop("batch"))[1]
 
 
 @query
@@ -465,3 +470,102 @@ def retained_jobs(spark, sf):
 def failure_outcomes(spark, sf):
     reasons = spark.createDataFrame([("error", True), ("purchase", False)], "kind string, retryable boolean")
     return jobs.failure_outcomes(bound(spark, sf, "log"), reasons)
+
+
+def _grid(spark, sf, name):
+    return bound(spark, sf, name).withColumnsRenamed({"t_no": "table", "r_no": "row"})
+
+
+@query
+def option_rows(spark, sf):
+    return extract.option_rows(_grid(spark, sf, "offers")).select("doc", "row", F.col("capacity").cast("bigint").alias("capacity"), F.col("amount").cast("bigint").alias("amount"))
+
+
+@query
+def bom_rows(spark, sf):
+    return extract.bom_rows(_grid(spark, sf, "cells")).select("doc", "row", "item", "count", "rating", "make")
+
+
+@query
+def amount_rows(spark, sf):
+    return extract.amount_rows(_grid(spark, sf, "cells")).select("doc", "row", "role", "amount")
+
+
+@query
+def evidence_boxes(spark, sf):
+    lines = bound(spark, sf, "lines")
+    facts = lines.select("doc", "page", F.col("line_no").alias("fact_id"), F.concat(F.regexp_replace("text", " ", "  "), F.lit("\nnowhere")).alias("evidence"))
+    return extract.evidence_boxes(facts, lines).select("doc", "fact_id", F.size("boxes").alias("n"))
+
+
+@query
+def typed_holds(spark, sf):
+    v = _view(spark, sf)
+    return checks.hold_typed(checks.check_gross(v), review.guard_entries(v)).select("quote_id", "status", "question")
+
+
+TEMPLATES = (("C3", "total", "Grand total .*"), ("C3", "gst", "GST amount .*"), ("C4", "count", "No\\. of modules: [0-9]+"), ("C4", "size", "System size [0-9]+ kWp"), ("C4", "system", "System .*"))
+VOCABULARY = (("count", "en", "{n} panels"), ("count", "de", "{n} Module"), ("total", "en", "Total of {n}"), ("gst", "en", "Tax of {n}"), ("gst", "de", "Steuer von {n}"))
+
+
+def _keyed(spark, sf):
+    lines = bound(spark, sf, "lines").select((F.col("doc") * 10 + F.col("line_no")).alias("id"), F.when(F.col("line_no") < 3, "C3").otherwise("C4").alias("check_id"), "text")
+    return lines, checks.key_messages(lines, spark.createDataFrame(TEMPLATES, "check_id string, key string, pattern string"))
+
+
+@query
+def message_keys(spark, sf):
+    return _keyed(spark, sf)[1]
+
+
+@query
+def message_texts(spark, sf):
+    lines, keyed = _keyed(spark, sf)
+    params = lines.select("id", F.create_map(F.lit("n"), F.regexp_extract("text", "([0-9]+)", 1)).alias("params"))
+    return checks.render_messages(keyed.join(params, "id"), spark.createDataFrame(VOCABULARY, "key string, lang string, template string"), "de").where("text is not null")
+
+
+@query
+def labelled_quotes(spark, sf):
+    i = bound(spark, sf, "items")
+    rating = F.when(F.col("watt_lo") == F.col("watt_hi"), F.concat(F.col("watt_lo").cast("string"), F.lit(" Wp"))).when(F.col("watt_lo").isNotNull(), F.concat(F.col("watt_lo").cast("string"), F.lit(" - "), F.col("watt_hi").cast("string"), F.lit(" Wp")))
+    rows = F.array_sort(F.collect_list(F.struct("item_id", F.coalesce(F.col("n").cast("string"), F.lit("")).alias("n"), F.coalesce(rating, F.lit("")).alias("r"), F.coalesce("make", F.lit("")).alias("m"))))
+    truth = i.groupBy(F.col("quote_id").alias("doc")).agg(rows.alias("x")).select("doc", F.array_join("x.n", " + ").alias("counts"), F.array_join("x.r", " ; ").alias("ratings"), F.array_join("x.m", "+").alias("makes"))
+    return evaluate.labelled_quotes(truth)
+
+
+@query
+def wrong_operands(spark, sf):
+    q = bound(spark, sf, "quotes").select(F.col("quote_id").alias("doc"), F.inline(F.array(*[F.struct(F.lit(c).alias("operand"), F.col(c).cast("bigint").alias("used")) for c in ("base", "total")])))
+    truth = q.select("doc", "operand", (F.col("used") + F.when(F.col("doc") % 4 == 0, 1).otherwise(0)).alias("stated"))
+    return evaluate.wrong_operands(q.withColumn("check_id", F.lit("C3a")), truth)
+
+
+RECORD_RULES = [{"path": "lang", "required": True, "values": ["en", "de", "fr"]}, {"path": "source", "required": True}, {"path": "n_chars", "type": "number"}]
+
+
+@query
+def record_problems(spark, sf):
+    d = base_table(spark, sf, "documents")
+    field = lambda c: F.struct(F.col(c).cast("string").alias("value"), (F.col("doc_id") % 5).cast("int").alias("page"))
+    fields = F.create_map(F.lit("lang"), field("lang"), F.lit("source"), field("source"), F.lit("n_chars"), field("n_chars"), F.when(F.col("doc_id") % 7 == 0, "extra").otherwise("n_chars_"), field("lang"))
+    fields = F.map_filter(fields, lambda k, v: k != "n_chars_")
+    return readers.validate_records(d.select(F.col("doc_id").alias("key"), fields.alias("fields"), F.lit(3).alias("n_pages")), RECORD_RULES)
+
+
+@query
+def form_corrections(spark, sf):
+    a = bound(spark, sf, "answers").select(F.col("quote_id").alias("key"), F.create_map(F.lit("state"), F.col("state"), F.lit("consumer"), F.col("consumer"), F.lit("zzz"), F.lit("x")).alias("typed"))
+    return readers.form_corrections(a, {"state": "site.state", "consumer": "customer.type"})[0]
+
+
+@query
+def label_values(spark, sf):
+    lines = bound(spark, sf, "lines")
+    return pii.label_value_lines(lines.where(F.col("text").rlike("^(?:No\\. of modules|System size)")), lines)
+
+
+@query
+def coalesced_rects(spark, sf):
+    lines = bound(spark, sf, "lines").withColumnRenamed("line_no", "box_id")
+    return pii.coalesce_rects(lines, 4)

@@ -13,43 +13,43 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 # States and union territories, spellings that stand for one of them, and which have the special category.
 STATES = "Andhra Pradesh,Arunachal Pradesh,Assam,Bihar,Chhattisgarh,Goa,Gujarat,Haryana,Himachal Pradesh,Jharkhand,Karnataka,Kerala,Madhya Pradesh,Maharashtra,Manipur,Meghalaya,Mizoram,Nagaland,Odisha,Punjab,Rajasthan,Sikkim,Tamil Nadu,Telangana,Tripura,Uttar Pradesh,Uttarakhand,West Bengal,Andaman and Nicobar Islands,Chandigarh,Dadra and Nagar Haveli and Daman and Diu,Delhi,Jammu and Kashmir,Ladakh,Lakshadweep,Puducherry".split(",")
-ALIASES = {"orissa": "Odisha", "pondicherry": "Puducherry", "new delhi": "Delhi", "nct of delhi": "Delhi", "uttaranchal": "Uttarakhand", "j&k": "Jammu and Kashmir", "tamilnadu": "Tamil Nadu", "daman and diu": "Dadra and Nagar Haveli and Daman and Diu", "andaman & nicobar": "Andaman and Nicobar Islands", "chattisgarh": "Chhattisgarh"}
+ALIASES = {"orissa": "Odisha", "pondicherry": "Puducherry", "nct of delhi": "Delhi", "national capital territory of delhi": "Delhi", "uttaranchal": "Uttarakhand", "j and k": "Jammu and Kashmir", "andaman and nicobar": "Andaman and Nicobar Islands", "a and n islands": "Andaman and Nicobar Islands", "dadra and nagar haveli": "Dadra and Nagar Haveli and Daman and Diu", "daman and diu": "Dadra and Nagar Haveli and Daman and Diu"}
 SPECIAL = ("Arunachal Pradesh", "Assam", "Manipur", "Meghalaya", "Mizoram", "Nagaland", "Sikkim", "Tripura", "Himachal Pradesh", "Uttarakhand", "Jammu and Kashmir", "Ladakh", "Andaman and Nicobar Islands", "Lakshadweep")
 
-_names = [*STATES, *ALIASES, "Atlantis"]
+_names = [*STATES, *ALIASES, "Atlantis", "Jammu & Kashmir", "J&K", "Tamil-Nadu", "Dadra & Nagar Haveli and Daman & Diu"]
 _state_case = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_names))
 _state = f"CASE (c_nationkey + 3 * o_orderkey) % {len(_names) + 1} {_state_case} END"
 
 NUMBERED = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem"
 
 SQL = {
-    "items": f"""SELECT l_orderkey AS quote_id, rn AS item_id, CASE WHEN l_orderkey % 9 = 0 THEN CASE WHEN rn % 2 = 0 THEN 'B' ELSE 'A' END END AS option_id,
+    "items": f"""SELECT l_orderkey AS quote_id, rn AS item_id, CASE WHEN l_orderkey % 9 = 0 THEN CASE WHEN rn % 4 = 3 THEN 'B' ELSE 'A' END END AS option_id,
   CASE WHEN l_orderkey % 31 = 0 THEN 'absent' WHEN l_orderkey % 37 = 0 THEN 'held' ELSE 'ok' END AS count_state,
   CASE WHEN l_orderkey % 31 = 0 OR l_orderkey % 37 = 0 THEN NULL ELSE CAST(l_quantity AS BIGINT) % 5 + 1 END AS n,
   CASE WHEN l_orderkey % 41 = 0 THEN 'absent' ELSE 'ok' END AS watt_state,
   CASE WHEN l_orderkey % 41 = 0 THEN NULL ELSE 300 + 5 * (l_partkey % 61) END AS watt_lo,
   CASE WHEN l_orderkey % 41 = 0 THEN NULL WHEN l_orderkey % 43 = 0 THEN 310 + 5 * (l_partkey % 61) ELSE 300 + 5 * (l_partkey % 61) END AS watt_hi,
   CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE concat('Model ', CAST(l_partkey % 23 AS VARCHAR(9))) END AS make
-FROM ({NUMBERED}) t WHERE rn <= 2""",
-    "charges": f"""SELECT l_orderkey AS quote_id, rn AS charge_id, CAST(floor(l_extendedprice / 100) AS BIGINT) AS amount,
+FROM ({NUMBERED}) t WHERE rn % 2 = 1""",
+    "charges": f"""SELECT l_orderkey AS quote_id, rn AS charge_id, CASE WHEN l_partkey % 67 = 0 THEN NULL WHEN l_partkey % 71 = 0 THEN -5 ELSE CAST(floor(l_extendedprice / 100) AS BIGINT) END AS amount,
   CASE l_returnflag WHEN 'A' THEN 'inside' WHEN 'N' THEN 'outside' ELSE 'unclear' END AS placed,
   CASE WHEN l_partkey % 4 = 0 THEN 'Net meter fee' WHEN l_partkey % 4 = 1 THEN 'Net-metering charges' ELSE 'Structure' END AS label
-FROM ({NUMBERED}) t WHERE rn BETWEEN 3 AND 5""",
+FROM ({NUMBERED}) t WHERE rn % 2 = 0""",
     "quotes": """SELECT quote_id, customer, CASE WHEN quote_id % 53 = 0 THEN NULL WHEN quote_id % 59 = 0 THEN -1 ELSE base0 END AS base, CASE WHEN quote_id % 61 = 0 THEN NULL ELSE gst0 END AS gst,
   discount, CASE WHEN quote_id % 13 = 0 THEN NULL ELSE total0 + CASE WHEN quote_id % 7 = 0 THEN 1 WHEN quote_id % 11 = 0 THEN 500 ELSE 0 END END AS total,
-  central, state_subsidy, CASE WHEN quote_id % 17 = 0 THEN NULL ELSE total0 - coalesce(central, 0) - coalesce(state_subsidy, 0) + CASE WHEN quote_id % 19 = 0 THEN 700 ELSE 0 END END AS net,
+  CASE WHEN quote_id % 73 = 0 THEN -1 ELSE central END AS central, state_subsidy, combined, unspecified, CASE WHEN quote_id % 17 = 0 THEN NULL ELSE total0 - coalesce(central, 0) - coalesce(state_subsidy, 0) + CASE WHEN quote_id % 19 = 0 THEN 700 ELSE 0 END END AS net,
   CASE WHEN quote_id % 3 = 0 THEN NULL ELSE CAST(2 + quote_id % 4 AS DECIMAL(18, 6)) END AS stated_kw, CASE WHEN quote_id % 47 = 0 THEN 'kva' WHEN quote_id % 71 = 0 THEN 'held' ELSE 'ok' END AS stated_state,
   CASE quote_id % 10 WHEN 1 THEN 'ac_kw' WHEN 2 THEN NULL ELSE 'dc_kwp' END AS basis, CASE WHEN quote_id % 23 = 0 THEN false ELSE true END AS complete
-FROM (SELECT quote_id, customer, base0, gst0, discount, base0 + gst0 - coalesce(discount, 0) AS total0, central, state_subsidy FROM (
+FROM (SELECT quote_id, customer, base0, gst0, discount, base0 + gst0 - coalesce(discount, 0) AS total0, central, state_subsidy, combined, unspecified FROM (
   SELECT o_orderkey AS quote_id, o_custkey AS customer, CAST(floor(o_totalprice) AS BIGINT) AS base0, CAST(floor(floor(o_totalprice) * 89 / 1000) AS BIGINT) AS gst0,
-    CASE WHEN o_orderkey % 4 = 0 THEN 500 END AS discount, CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 30000 WHEN 2 THEN 60000 WHEN 3 THEN 85800 ELSE 78000 END AS central,
-    CASE WHEN o_orderkey % 5 = 0 THEN 10000 END AS state_subsidy FROM orders) a) b""",
+    CASE WHEN o_orderkey % 76 = 0 THEN -500 WHEN o_orderkey % 4 = 0 THEN 500 END AS discount, CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 30000 WHEN 2 THEN 60000 WHEN 3 THEN 85800 ELSE 78000 END AS central,
+    CASE WHEN o_orderkey % 5 = 0 THEN 10000 END AS state_subsidy, CASE WHEN o_orderkey % 24 = 0 THEN 88000 END AS combined, CASE WHEN o_orderkey % 56 = 0 THEN 50000 END AS unspecified FROM orders) a) b""",
     "answers": f"""SELECT o_orderkey AS quote_id, CASE WHEN o_orderkey % 18 = 0 THEN 'A' END AS selected, CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE 'no' END AS more_options,
   CASE o_orderkey % 20 WHEN 1 THEN 'rwa' WHEN 2 THEN NULL WHEN 3 THEN 'group_housing' ELSE 'household' END AS consumer, {_state} AS state,
   CASE o_orderkey % 25 WHEN 1 THEN 'no' WHEN 2 THEN NULL ELSE 'yes' END AS after_cutoff, CASE o_orderkey % 27 WHEN 1 THEN 'no' WHEN 2 THEN NULL ELSE 'yes' END AS first_system,
   CASE o_orderkey % 33 WHEN 1 THEN 'yes' ELSE 'no' END AS prior_subsidy, CASE o_orderkey % 35 WHEN 1 THEN 'yes' ELSE 'no' END AS give_up, CASE o_orderkey % 36 WHEN 5 THEN 'yes' ELSE 'no' END AS give_up_quoted,
-  CASE o_orderkey % 6 WHEN 1 THEN 'included' WHEN 2 THEN NULL ELSE 'excluded' END AS gst_basis, CASE WHEN o_orderkey % 15 = 1 THEN NULL ELSE 'yes' END AS list_complete,
-  CASE o_orderkey % 9 WHEN 1 THEN 'none' WHEN 2 THEN 'state' WHEN 3 THEN 'both' WHEN 4 THEN NULL ELSE 'central' END AS subsidy_basis,
+  CASE o_orderkey % 6 WHEN 1 THEN 'included' WHEN 2 THEN NULL ELSE 'excluded' END AS gst_basis, CASE o_orderkey % 15 WHEN 1 THEN NULL WHEN 2 THEN 'no' ELSE 'yes' END AS list_complete,
+  CASE o_orderkey % 9 WHEN 1 THEN 'none' WHEN 2 THEN 'state' WHEN 3 THEN 'both' WHEN 4 THEN NULL WHEN 5 THEN 'combined' ELSE 'central' END AS subsidy_basis,
   CASE o_orderkey % 14 WHEN 1 THEN 'non_dcr' WHEN 2 THEN NULL WHEN 3 THEN 'held' ELSE 'dcr' END AS dcr, CASE WHEN o_orderkey % 16 = 1 THEN NULL ELSE 'REG' END AS registration
 FROM orders JOIN customer ON c_custkey = o_custkey""",
     "facts": """SELECT l_orderkey AS doc, CASE l_linenumber % 4 WHEN 0 THEN 'base' WHEN 1 THEN 'gst' WHEN 2 THEN 'total' ELSE 'net' END AS field, rn % 3 + 1 AS batch, CAST(l_partkey % 7 AS VARCHAR(9)) AS value, rn AS pos, 40 + l_partkey % 60 AS confidence,
@@ -59,6 +59,14 @@ FROM orders JOIN customer ON c_custkey = o_custkey""",
   WHEN 3 THEN concat('No. of modules: ', CAST(o_orderkey % 12 + 1 AS VARCHAR(9))) WHEN 4 THEN concat('System size ', CAST(o_orderkey % 9 + 1 AS VARCHAR(9)), ' kWp') ELSE 'Subsidy not included' END AS text,
   40 + (o_orderkey + 7 * k) % 60 AS confidence, 10 * ((o_orderkey + k) % 7) AS x0, 10 * ((o_orderkey + k) % 7) + 40 AS x1, 20 * k AS y0, 20 * k + 15 + (o_orderkey % 3) * 4 AS y1
 FROM orders CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) ks""",
+    "cells": f"""SELECT l_orderkey AS doc, 1 AS page, 1 AS t_no, rn + 1 AS r_no, c AS col, CASE c WHEN 1 THEN CASE l_partkey % 6 WHEN 0 THEN 'Solar PV modules' WHEN 1 THEN 'String inverter' WHEN 2 THEN 'Total including GST' WHEN 3 THEN 'Base price' WHEN 4 THEN 'PV panels (optional)' ELSE 'Structure' END
+  WHEN 2 THEN concat(CAST(CAST(l_quantity AS BIGINT) % 12 AS VARCHAR(9)), CASE WHEN l_suppkey % 5 = 0 THEN ' sets' ELSE ' Nos' END) WHEN 3 THEN CASE WHEN l_partkey % 6 = 1 THEN concat(CAST(l_partkey % 9 + 1 AS VARCHAR(9)), ' kW') ELSE concat(CAST(300 + 5 * (l_partkey % 61) AS VARCHAR(9)), ' Wp') END
+  WHEN 4 THEN concat('Make ', CAST(l_suppkey % 7 AS VARCHAR(9))) ELSE concat('Rs. ', CAST(CAST(floor(l_extendedprice) AS BIGINT) + 1000 AS VARCHAR(20)), '/-') END AS text, 45 + (l_partkey + c) % 50 AS confidence, false AS row_merged
+FROM ({NUMBERED}) t CROSS JOIN (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) cs
+UNION ALL SELECT o_orderkey, 1, 1, 1, c, CASE c WHEN 1 THEN 'Description' WHEN 2 THEN 'Qty' WHEN 3 THEN 'Rating' WHEN 4 THEN 'Make' ELSE 'Amount' END, 99, false FROM orders CROSS JOIN (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) cs""",
+    "offers": f"""SELECT l_orderkey AS doc, 1 AS page, 1 AS t_no, rn + 1 AS r_no, c AS col, CASE c WHEN 1 THEN concat('Option ', CAST(rn AS VARCHAR(9))) WHEN 2 THEN concat(CAST(CAST(l_quantity AS BIGINT) % 8 + 1 AS VARCHAR(9)), ' kWp') ELSE concat('Rs. ', CAST(CAST(floor(l_extendedprice) AS BIGINT) + 1000 AS VARCHAR(20)), '/-') END AS text, 90 AS confidence, false AS row_merged
+FROM ({NUMBERED}) t CROSS JOIN (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3) cs
+UNION ALL SELECT o_orderkey, 1, 1, 1, c, CASE c WHEN 1 THEN 'Option' WHEN 2 THEN 'Capacity' ELSE 'Price' END, 99, false FROM orders CROSS JOIN (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3) cs""",
     "log": "SELECT event_id, ts, user_id AS job, event_type AS kind, value, props FROM events",
 }
 
@@ -76,7 +84,3 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             used[t] = base_table(spark, sf_dir, t)
     return spark.sql(sql, **used)
 
-
-def with_sql(names: str, body: str) -> str:
-    """body for DuckDB, with the derived tables of `names` before it."""
-    return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names.split()) + ("," if body.lstrip()[:5] not in ("SELEC",) else "") + " " + body

@@ -97,3 +97,32 @@ def record_size(df: DataFrame) -> Column:
 
 def oversize(df: DataFrame, limit: int = MAX_RECORD) -> DataFrame:
     return df.withColumn("bytes", record_size(df)).where(F.col("bytes") > limit)
+
+
+def validate_records(records: DataFrame, rules: list[dict], n_pages: str = "n_pages") -> DataFrame:
+    """key, path, problem for each broken rule of a record; the text itself is never shown.
+
+    records: key, a column `fields` map<string, struct<value: string, page: int>>, and the number of pages of its batch. rules: dicts of path, and as
+    needed required, type (text, number or yes_no) and values. Blank values count as absent.
+    """
+    checks = []
+    for r in rules:
+        x = F.col("fields")[r["path"]]
+        value = F.trim(x["value"])
+        blank = F.coalesce(value == "", F.lit(True))
+        wrong = {"number": ~value.rlike("^-?[0-9]+(?:[.][0-9]+)?$"), "yes_no": ~F.lower(value).isin("yes", "no")}.get(r.get("type", "text"), F.lit(False))
+        problem = F.when(blank, "missing" if r.get("required") else None).when(wrong, "type").when(~value.isin(*r["values"]) if r.get("values") else F.lit(False), "value")
+        page = F.when(~blank & (x["page"].isNull() | (x["page"] < 1) | (x["page"] > F.col(n_pages))), "page")
+        checks += [F.when(p.isNotNull(), F.struct(F.lit(r["path"]).alias("path"), p.alias("problem"))) for p in (problem, page)]
+    known = F.array(*[F.lit(r["path"]) for r in rules])
+    unknown = F.transform(F.array_except(F.map_keys("fields"), known), lambda k: F.struct(k.alias("path"), F.lit("unknown").alias("problem")))
+    return records.select("key", F.inline(F.concat(F.array_compact(F.array(*checks)), unknown)))
+
+
+def form_corrections(forms: DataFrame, field_map: dict[str, str], most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(corrections key, path, value; refused key, field, reason) from typed forms: key and a map `typed` of form field to text."""
+    named = F.create_map(*[F.lit(x) for pair in field_map.items() for x in pair])
+    rows = forms.select("key", F.explode("typed").alias("field", "text")).withColumns({"path": F.element_at(named, F.col("field")), "value": F.trim(F.regexp_replace("text", "\\s+", " "))})
+    reason = F.when(F.col("path").isNull(), "unknown_field").when(F.length("value") > most, "too_long")
+    rows = rows.withColumn("reason", reason)
+    return rows.where("reason is null and value <> ''").select("key", "path", "value"), rows.where("reason is not null").select("key", "field", "reason")
