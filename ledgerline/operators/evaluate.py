@@ -103,8 +103,9 @@ def labelled_quotes(truth: DataFrame) -> DataFrame:
     parts = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), "\\s*[+;]\\s*"), lambda x: F.nullif(F.trim(x), F.lit("")))
     zipped = F.arrays_zip(parts("counts").alias("c"), parts("ratings").alias("r"), parts("makes").alias("m"))
     rows = truth.select("doc", F.posexplode(zipped).alias("nth", "x"))
-    capacity = T.parse_capacity(F.col("x.r"))
-    watts = F.when(capacity["lo"] == capacity["hi"], T.measure_watts(capacity["lo"].cast("string"), capacity["unit"])).cast("bigint")
+    # the generator keeps the parsed capacity from being copied into each use
+    rows = rows.select("doc", "nth", "x", F.inline(F.array(T.parse_capacity(F.col("x.r")))))
+    watts = F.when(F.col("lo") == F.col("hi"), T.measure_watts(F.col("lo").cast("string"), F.col("unit"))).cast("bigint")
     out = rows.select("doc", (F.col("nth") + 1).alias("nth"), T.parse_count(F.col("x.c")).alias("count"), watts.alias("watts"), F.col("x.m").alias("make"))
     return out.where("count is not null or watts is not null or make is not null")
 

@@ -75,6 +75,12 @@ def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it comes from a few files, before rows that cost much are made of it; only the columns in use are moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if 2 * len(df.inputFiles()) <= cores else df
+
+
 def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived table `name`, as a lazy plan over the Parquet scans it needs."""
     sql, used = SQL[name], {}
@@ -82,5 +88,7 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if re.search(rf"\b(FROM|JOIN) {t}\b", sql):
             sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
             used[t] = base_table(spark, sf_dir, t)
+            if name == "lines":
+                used[t] = spread(used[t])
     return spark.sql(sql, **used)
 
