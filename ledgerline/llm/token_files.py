@@ -32,12 +32,12 @@ from .common import arrow_limits, saved, shared_dir, tidy
 
 STRIPE_BYTES = 16 << 20
 INDEX_STRIDE = 2000
-CACHE_BYTES = 8 << 20
-"""Word ids kept by a worker: up to twice as much for each of the two kinds of words (with and without a space before), 32 MB in all."""
+CACHE_BYTES = 32 << 20
+"""Word ids kept by a worker: up to twice as much for each of the two kinds of words (with and without a space before), 128 MB in all."""
 ENTRY_BYTES = 200
 END_ID = 0
-SLICE_BYTES = 1 << 20
-"""Text encoded at once; one longer text makes a slice by itself."""
+SLICE_BYTES = 8 << 20
+"""Text encoded at once; one longer text makes a slice by itself. Smaller slices and caches take less memory and more time, with the same ids."""
 BROADCAST_CHUNKS = 1_000_000
 """Bases (12 bytes a chunk) go to all tasks up to so many chunks; beyond, rows and bases meet in a shuffle join."""
 
@@ -50,12 +50,12 @@ _SHOWN = {b: b if b in _printed else 256 + sum(x not in _printed for x in range(
 
 
 class _Ids(dict):
-    """The ids of words, each with `before` in front; the newest are kept, CACHE_BYTES to twice as much of them."""
+    """The ids of words, each with `before` in front; the newest are kept, cache_bytes to twice as much of them."""
 
-    def __init__(self, tokenizer, before: str):
+    def __init__(self, tokenizer, before: str, cache_bytes: int):
         super().__init__()
         self.encode, self.tokenize, self.older, self.bytes = tokenizer.encode, tokenizer.model.tokenize, {}, 0
-        self.before, self.shown = before, before.translate(_SHOWN)
+        self.before, self.shown, self.most = before, before.translate(_SHOWN), cache_bytes
 
     def __missing__(self, word: str) -> bytes:
         if not word.isalpha():  # words of letters are kept, what is made from them is not
@@ -68,7 +68,7 @@ class _Ids(dict):
         if got is None:
             shown = self.shown + (word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN))
             got = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
-        if self.bytes >= CACHE_BYTES:
+        if self.bytes >= self.most:
             self.older, self.bytes = dict(self), 0
             self.clear()
         self.bytes += ENTRY_BYTES + 2 * len(word) + len(got)
@@ -79,12 +79,12 @@ class _Ids(dict):
 class Encoder:
     """Texts to little-endian ids, through a byte-level BPE file of the tokenizers library, with the ids of words kept."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.bare, self.spaced = _Ids(self.tokenizer, ""), _Ids(self.tokenizer, " ")
+        self.bare, self.spaced = _Ids(self.tokenizer, "", cache_bytes), _Ids(self.tokenizer, " ", cache_bytes)
         self.newline = self._ids("\n")
         self.bare.tail = self.spaced.tail = {c: self._ids(c) for c in ".,"}
         self.bare.bare = self.spaced.bare = self.bare
@@ -126,21 +126,22 @@ class Encoder:
         return self.newline + self.bare[word[1:]] if word[:1] == "\n" else self.bare[word]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_bytes: int) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, cache_bytes) not in _encoders:
+        _encoders.clear()
+        _encoders[path, cache_bytes] = Encoder(path, cache_bytes)
+    return _encoders[path, cache_bytes]
 
 
-def _slices(ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about SLICE_BYTES, from the running sum of their sizes."""
+def _slices(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about `most` bytes, from the running sum of their sizes."""
     a, done = 0, 0
     while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+        b = max(a + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield a, b
         a, done = b, int(ends[b - 1])
 
@@ -148,12 +149,12 @@ def _slices(ends: np.ndarray) -> Iterator[tuple[int, int]]:
 _FILE = "doc_id long, chunk int, first long, n_tokens long, ids array<int>"
 
 
-def _writer(path: str) -> Callable:
+def _writer(path: str, cache_bytes: int, slice_bytes: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, first, encode = TaskContext.get().partitionId(), 0, encoder(path).encode
+        chunk, first, encode = TaskContext.get().partitionId(), 0, encoder(path, cache_bytes).encode
         for batch in batches:
             size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            for a, b in _slices(size):
+            for a, b in _slices(size, slice_bytes):
                 ids, n = encode(batch.column(1).slice(a, b - a))
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
@@ -163,12 +164,12 @@ def _writer(path: str) -> Callable:
     return write
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, cache_bytes: int = CACHE_BYTES, slice_bytes: int = SLICE_BYTES) -> None:
     """Writes the token ids of docs to ORC files in folder `path`, in ascending doc_id order."""
     arrow_limits(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     options = {"orc.stripe.size": STRIPE_BYTES, "orc.row.index.stride": INDEX_STRIDE, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "none"}
-    rows.mapInArrow(tidy(_writer(tokenizer)), _FILE).write.options(**options).orc(path)
+    rows.mapInArrow(tidy(_writer(tokenizer, cache_bytes, slice_bytes)), _FILE).write.options(**options).orc(path)
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +197,10 @@ def read_tokens(spark, path: str) -> DataFrame:
     return with_start(spark.read.schema(_FILE).orc(path), chunk_bases(spark, path))
 
 
-def token_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
+def token_digest(docs: DataFrame, tokenizer: str, cache_bytes: int = CACHE_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each row of docs, from files written and read back."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path, tokenizer)
+    write_tokens(docs, path, tokenizer, cache_bytes, slice_bytes)
     sums = spark.read.schema(_FILE).orc(path).mapInArrow(tidy(_checksums), "doc_id long, chunk int, first long, n_tokens long, ids_crc32 long")
     return with_start(sums, chunk_bases(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
