@@ -29,13 +29,24 @@ def dedupe_uploads_stream(log: DataFrame, delay: str = "1 hour") -> DataFrame:
     return _watermarked(log, delay).dropDuplicatesWithinWatermark(["job"])
 
 
+def _before(rows: DataFrame, n: str, *groups: str) -> DataFrame:
+    """groups, minute, before: the sum of n over all earlier minutes of the group; a group has as many rows here as it has minutes."""
+    per = rows.groupBy(*groups, "__day", "__minute").agg(F.sum(n).alias("__n"))
+    return per.select(*groups, "__minute", (F.sum("__n").over(Window.partitionBy(*groups, "__day").orderBy("__minute")) - F.col("__n")).alias("__before"))
+
+
 def admit(log: DataFrame, per_address: int, per_day: int) -> DataFrame:
-    """Unit requests (event_id, ts, job) with admitted: at most per_address a job and day, then at most per_day; a refused one takes nothing."""
-    day = F.to_date("ts")
-    own = F.row_number().over(Window.partitionBy(day, "job").orderBy("ts", "event_id"))
-    rows = log.withColumn("own", own)
-    place = F.sum(F.when(F.col("own") <= per_address, 1).otherwise(0)).over(Window.partitionBy(day).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("admitted", (F.col("own") <= per_address) & (place <= per_day)).drop("own")
+    """Unit requests (event_id, ts, job) with admitted: at most per_address a job and day, then at most per_day; a refused one takes nothing.
+
+    Places within a day are sums over its earlier minutes and places within the minute, so that no task holds a day. Requests without a time are refused.
+    """
+    rows = log.withColumns({"__day": F.to_date("ts"), "__minute": F.date_trunc("minute", "ts"), "__one": F.lit(1)})
+    inside = F.row_number().over(Window.partitionBy("job", "__minute").orderBy("ts", "event_id"))
+    rows = rows.join(_before(rows, "__one", "job"), ["job", "__minute"], "left").withColumn("__own", (F.coalesce("__before", F.lit(0)) + inside <= per_address).cast("int")).drop("__before")
+    place = F.sum("__own").over(Window.partitionBy("__minute").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__place", place).join(_before(rows, "__own"), ["__minute"], "left")
+    admitted = F.col("ts").isNotNull() & (F.col("__own") == 1) & (F.coalesce("__before", F.lit(0)) + F.col("__place") <= per_day)
+    return rows.select(*log.columns, admitted.alias("admitted"))
 
 
 def alarms(log: DataFrame, kinds: tuple[str, ...], watermark: str | None = None) -> DataFrame:
