@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.sources.bindings import ALIASES, SPECIAL, STATES
 
 from .ladder import CONFIRM, CONSISTENT, INCONSISTENT, MISSING, OUT, ladder
+from .review import GUARDS, near_power
 
 # Subsidy slabs (category, from kWp, to kWp, rupees a kWp), caps, tolerances, questions in order and what they cover.
 SLABS = (("general", 0, 2, 30000), ("general", 2, 3, 18000), ("special", 0, 2, 33000), ("special", 2, 3, 19800))
@@ -59,24 +60,27 @@ def slab_amount(df: DataFrame, slabs: DataFrame, kw: str, out: str) -> DataFrame
     return df.join(F.broadcast(s), "category", "left").withColumn(out, F.when(F.col(kw).isNotNull(), F.least(total, cap))).drop("__s")
 
 
-def quote_view(quotes: DataFrame, items: DataFrame, charges: DataFrame, answers: DataFrame, states: DataFrame, slabs: DataFrame) -> DataFrame:
-    """One row a quotation: its own option's items and charges summed, answers, category, DC capacity range and rule amounts.
+def quote_view(quotes: DataFrame, items: DataFrame, charges: DataFrame, inverters: DataFrame, answers: DataFrame, states: DataFrame, slabs: DataFrame) -> DataFrame:
+    """One row a quotation: its own option's items and inverters and its charges summed, answers, category, DC capacity range and rule amounts.
 
-    quotes and answers join on quote_id; items and charges are grouped first, so each join is one row to one row.
+    quotes and answers join on quote_id; items, inverters and charges are grouped first, so each join is one row to one row.
     """
     option = effective_option(items, answers)
-    mine = items.join(option.select("quote_id", F.col("option_id").alias("own")), "quote_id").where("option_id is null or own is null or option_id = own")
+    own = lambda rows: rows.join(option.select("quote_id", F.col("option_id").alias("own")), "quote_id").where("option_id is null or own is null or option_id = own")
     absent, held = (F.col("count_state") == "absent") | (F.col("watt_state") == "absent"), (F.col("count_state") == "held") | (F.col("watt_state") == "held")
-    per = mine.groupBy("quote_id").agg(
+    exact = F.when(F.col("watt_lo") == F.col("watt_hi"), F.col("watt_lo"))
+    per = own(items).groupBy("quote_id").agg(
         F.count("*").alias("n_groups"), F.max(absent).alias("any_absent"), F.max(held).alias("any_held"), F.max(F.col("watt_lo") != F.col("watt_hi")).alias("any_range"),
         F.max(F.col("count_state") == "absent").alias("count_absent"), F.max(F.col("count_state") == "held").alias("count_held"), F.max(F.col("watt_state") == "absent").alias("watt_absent"),
-        F.max(F.col("make").isNull()).alias("make_absent"), F.sum(F.col("n") * F.col("watt_lo")).alias("w_lo"), F.sum(F.col("n") * F.col("watt_hi")).alias("w_hi"),
+        F.max(F.col("make").isNull()).alias("make_absent"), F.max("choice").alias("make_choice"), F.sum(F.col("n") * F.col("watt_lo")).alias("w_lo"), F.sum(F.col("n") * F.col("watt_hi")).alias("w_hi"),
+        F.min(F.col("n").isNotNull() & exact.isNotNull()).alias("all_exact"), F.min("n").alias("count_least"), F.max("n").alias("count_most"), F.min(exact).alias("watt_least"), F.max(exact).alias("watt_most"),
     )
+    view = quotes.join(answers, "quote_id").join(option.select("quote_id", "option_state", "option_id"), "quote_id").join(per, "quote_id", "left").join(inverter_sums(own(inverters), quotes), "quote_id", "left")
     extra = charges.groupBy("quote_id").agg(
         F.sum(F.when(F.col("placed") == "inside", F.col("amount"))).alias("inside"), F.max((F.col("placed") == "inside") & F.col("amount").isNull()).alias("inside_absent"), F.min(F.when(F.col("placed") == "inside", F.col("amount"))).alias("inside_least"), F.max(F.col("placed") == "unclear").alias("any_unclear"),
         F.max(F.col("placed") != "inside").alias("any_outside"), F.max(F.lower("label").rlike("net[\\s-]*meter")).alias("has_net_meter"),
     )
-    view = quotes.join(answers, "quote_id").join(option.select("quote_id", "option_state", "option_id"), "quote_id").join(per, "quote_id", "left").join(extra, "quote_id", "left")
+    view = view.join(extra, "quote_id", "left")
     usable = (F.col("n_groups") > 0) & ~F.col("any_absent") & ~F.col("any_held")
     view = view.withColumns({"from_items": F.coalesce(usable, F.lit(False))})
     stated = F.when((F.col("stated_state") == "ok") & (F.col("basis") == "dc_kwp"), F.col("stated_kw").cast("double"))
@@ -84,6 +88,19 @@ def quote_view(quotes: DataFrame, items: DataFrame, charges: DataFrame, answers:
     return with_rules(view, states, slabs)
 
 
+def inverter_sums(inverters: DataFrame, quotes: DataFrame) -> DataFrame:
+    """One row a quotation with inverters: what their models and ratings lack, the least and most rating, and whether one is off the stated size by a power of ten."""
+    kw = F.when(F.col("rating_state") == "ok", F.col("rating_kw").cast("double"))
+    lo, hi = GUARDS["inverter_rating"]
+    off = kw.between(lo, hi) & near_power(kw, F.col("stated_kw").cast("double"))
+    known = F.col("make_state") == "ok"
+    return inverters.join(quotes.select("quote_id", "stated_kw"), "quote_id").groupBy("quote_id").agg(
+        F.count("*").alias("n_inverters"), F.max(known & F.col("make").isNull()).alias("inv_make_absent"), F.max(~known).alias("inv_make_held"), F.max(known & F.col("make").isNotNull() & F.col("choice")).alias("inv_choice"),
+        F.max(F.col("rating_kw").isNull()).alias("inv_rating_absent"), *[F.max(F.col("rating_kw").isNotNull() & (F.col("rating_state") == s)).alias(f"inv_rating_{s}") for s in ("unitless", "held")],
+        F.min(kw).alias("inv_least"), F.max(kw).alias("inv_most"), F.max(F.coalesce(off, F.lit(False))).alias("inv_off"),
+    )
+
+
 def with_rules(view: DataFrame, states: DataFrame, slabs: DataFrame) -> DataFrame:
     """view (state, dc_lo, dc_hi) with the state's name and category and the rule amounts of both ends of the capacity."""
     view = state_category(view.drop("state_name", "category", "rule_lo", "rule_hi"), states)
@@ -174,15 +191,17 @@ def check_net(view: DataFrame) -> DataFrame:
 def _details() -> Column:
     """An array (item, status, question) of the details that are missing or unclear, else of one consistent row."""
     v = F.col
-    none = v("n_groups").isNull()
+    none, bare = v("n_groups").isNull(), v("n_inverters").isNull()
     row = lambda item, status, q, when: F.when(when, F.struct(F.lit(item).alias("item"), F.lit(status).alias("status"), F.lit(q).alias("question")))
     first = lambda *xs: F.coalesce(*xs)
     gate = row("details", CONFIRM, None, _unresolved())
     found = F.array_compact(F.array(
         first(row("panel_wattage", MISSING, "panel_wattage", none | v("watt_absent")), row("panel_wattage", CONFIRM, "exact_capacity", v("any_range"))),
         first(row("panel_count", MISSING, "panel_count", none | v("count_absent")), row("panel_count", CONFIRM, "panel_count", v("count_held"))),
-        row("module_make_model", MISSING, "module_model", none | v("make_absent")),
+        first(row("module_make_model", MISSING, "module_model", none | v("make_absent")), row("module_make_model", CONFIRM, "module_choice", v("make_choice"))),
         first(row("dcr_declaration", MISSING, "dcr", v("dcr").isNull()), row("dcr_declaration", CONFIRM, "dcr", v("dcr").isin("non_dcr", "held"))),
+        first(row("inverter_make_model", MISSING, "inverter_model", bare | v("inv_make_absent")), row("inverter_make_model", CONFIRM, "inverter_model", v("inv_make_held")), row("inverter_make_model", CONFIRM, "inverter_choice", v("inv_choice"))),
+        first(row("inverter_rating", MISSING, "inverter_rating", bare | v("inv_rating_absent")), row("inverter_rating", CONFIRM, "inverter_rating", v("inv_rating_unitless") | v("inv_rating_held"))),
         row("vendor_registration", MISSING, "vendor_registration", v("registration").isNull()), row("gst_basis", CONFIRM, "gst_basis", v("gst_basis").isNull()),
         row("extras_outside_total", CONFIRM, "extras_outside_total", v("any_outside")), row("net_meter", CONFIRM, "net_meter", ~F.coalesce("has_net_meter", F.lit(False))),
     ))
@@ -207,7 +226,8 @@ def run_checks(view: DataFrame) -> DataFrame:
 
 def hold_typed(findings: DataFrame, guards: DataFrame) -> DataFrame:
     """Findings that use a typed number still to be confirmed (guards: quote_id, field) become needs_confirmation."""
-    uses = {"C1": ("stated_kw",), "C2": ("central", "stated_kw"), "C3a": ("base", "gst", "total", "discount"), "C3b": ("total", "net", "central", "state_subsidy")}
+    panels = ("panel_count", "panel_wattage")
+    uses = {"C1": ("stated_kw", *panels), "C2": ("central", "stated_kw", *panels), "C3a": ("base", "gst", "total", "discount"), "C3b": ("total", "net", "central", "state_subsidy", "combined")}
     open_ = guards.groupBy("quote_id").agg(F.collect_set("field").alias("__open"))
     used = F.coalesce(*[F.when(F.col("check_id") == c, F.array(*map(F.lit, fs))) for c, fs in uses.items()])
     hold = F.coalesce(F.arrays_overlap(used, F.col("__open")), F.lit(False)) & F.col("status").isin(CONSISTENT, INCONSISTENT)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Confidence under which a value is marked, rules whose values are always marked, ranges of typed numbers.
 LOW_CONFIDENCE = 80
 RISKY_RULES = ("line", "unmatched")
-GUARDS = {"base": (10_000, 3_000_000), "gst": (0, 600_000), "total": (10_000, 3_000_000), "net": (10_000, 3_000_000), "discount": (0, 600_000), "central": (0, 200_000), "state_subsidy": (0, 200_000), "combined": (0, 200_000), "unspecified": (0, 200_000), "stated_kw": (0.5, 20)}
+GUARDS = {"base": (10_000, 3_000_000), "gst": (0, 600_000), "total": (10_000, 3_000_000), "net": (10_000, 3_000_000), "discount": (0, 600_000), "central": (0, 200_000), "state_subsidy": (0, 200_000), "combined": (0, 200_000), "unspecified": (0, 200_000), "stated_kw": (0.5, 20), "panel_count": (1, 100), "panel_wattage": (100, 800), "inverter_rating": (0.5, 20)}
 
 
 def apply_corrections(facts: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,16 +36,32 @@ def near_power(a: Column, b: Column) -> Column:
 
 
 def guard_entries(view: DataFrame) -> DataFrame:
-    """quote_id, field, reason: typed numbers out of range, else about a power of ten off in a relation none of whose members is."""
+    """quote_id, field, reason: typed numbers out of range, else members of a relation about a power of ten off; a member out of range silences its relations.
+
+    Panels' power and each inverter's rating stand beside the stated size, base and tax beside the total, the total less subsidies beside the net cost.
+    """
     v = lambda c: F.col(c).cast("double")
-    bad = {f: F.coalesce((v(f) < lo) | (v(f) > hi), F.lit(False)) for f, (lo, hi) in GUARDS.items()}
-    row = lambda f, why, when: F.when(when, F.struct(F.lit(f).alias("field"), F.lit(why).alias("reason")))
-    total = near_power(v("base") + F.coalesce(v("gst"), F.lit(0.0)), v("total"))
-    net = near_power(v("total") - F.coalesce(v("central"), F.lit(0.0)), v("net"))
-    size = near_power(v("w_lo") / 1000, v("stated_kw"))
-    rows = [row(f, "range", b) for f, b in bad.items()]
-    rows += [row("total", "relation", F.coalesce(total, F.lit(False)) & ~bad["base"] & ~bad["gst"] & ~bad["total"]), row("net", "relation", F.coalesce(net, F.lit(False)) & ~bad["total"] & ~bad["net"]), row("stated_kw", "relation", F.coalesce(size, F.lit(False)) & ~bad["stated_kw"])]
-    return view.select("quote_id", F.inline(F.array_compact(F.array(*rows))))
+    or_zero = lambda c: F.coalesce(v(c), F.lit(0.0))
+    least_most = {"panel_count": ("count_least", "count_most"), "panel_wattage": ("watt_least", "watt_most"), "inverter_rating": ("inv_least", "inv_most")}
+    ends = {f: least_most.get(f, (f, f)) for f in GUARDS}
+    flags = {f"__bad_{f}": F.coalesce((v(lo) < GUARDS[f][0]) | (v(hi) > GUARDS[f][1]), F.lit(False)) for f, (lo, hi) in ends.items()}
+    subsidies = ("central", "state_subsidy", "combined", "unspecified")
+    relations = {
+        "__panels": (("panel_count", "panel_wattage", "stated_kw"), near_power(F.when(F.col("all_exact"), v("w_lo") / 1000), v("stated_kw"))),
+        "__total": (("base", "gst", "total"), near_power(v("base") + or_zero("gst"), v("total"))),
+        "__net": (("total", *subsidies, "net"), near_power(v("total") - sum(map(or_zero, subsidies)), v("net"))),
+        "__inverter": (("inverter_rating", "stated_kw"), F.col("inv_off")),
+    }
+    flags |= {name: F.coalesce(off, F.lit(False)) for name, (_, off) in relations.items()}
+
+    def reason(field: str) -> Column:
+        # an inverter out of range leaves the other inverters' relations, so inv_off already holds only those in range
+        off = [F.col(r) & ~F.greatest(F.lit(False), *[F.col(f"__bad_{m}") for m in members if m != "inverter_rating"]) for r, (members, _) in relations.items() if field in members]
+        scale = F.greatest(F.lit(False), F.lit(False), *off) & v(ends[field][0]).isNotNull()
+        return F.when(F.col(f"__bad_{field}"), "range").when(scale, "relation")
+
+    rows = [F.when(reason(f).isNotNull(), F.struct(F.lit(f).alias("field"), reason(f).alias("reason"))) for f in GUARDS]
+    return view.withColumns(flags).select("quote_id", F.inline(F.array_compact(F.array(*rows))))
 
 
 def value_token(*fields: tuple[str, Column]) -> Column:

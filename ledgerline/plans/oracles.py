@@ -29,6 +29,8 @@ def _with(names: str, *ctes: str) -> str:
 _states = ", ".join(f"('{k}', '{n}', '{'special' if n in SPECIAL else 'general'}')" for k, n in [*((s.lower(), s) for s in STATES), *ALIASES.items()])
 _slab = lambda x: f"CASE category WHEN 'general' THEN least(78000.0, greatest(0, least({x}, 2)) * 30000 + greatest(0, least({x}, 3) - 2) * 18000) WHEN 'special' THEN least(85800.0, greatest(0, least({x}, 2)) * 33000 + greatest(0, least({x}, 3) - 2) * 19800) END"
 
+_near = lambda x, y: f"coalesce({x} > 0 AND {y} > 0 AND (abs(greatest({x}, {y}) / least({x}, {y}) - 10) <= 2 OR abs(greatest({x}, {y}) / least({x}, {y}) - 100) <= 20 OR abs(greatest({x}, {y}) / least({x}, {y}) - 1000) <= 200), false)"
+
 OPTION = """opt AS (SELECT a.quote_id, CASE WHEN selected IS NOT NULL THEN 'selected' WHEN coalesce(n, 0) > 1 THEN 'multiple' WHEN more_options = 'no' THEN 'single' ELSE 'unknown' END AS option_state,
   coalesce(selected, CASE WHEN n = 1 THEN only_one END) AS option_id FROM answers a LEFT JOIN (SELECT quote_id, count(DISTINCT option_id) AS n, max(option_id) AS only_one FROM items GROUP BY quote_id) o USING (quote_id))"""
 
@@ -37,12 +39,15 @@ def _view(told: str = "answers") -> tuple[str, ...]:
     return (
         OPTION,
         """per AS (SELECT quote_id, count(*) AS n_groups, bool_or(count_state = 'absent' OR watt_state = 'absent') AS any_absent, bool_or(count_state = 'held' OR watt_state = 'held') AS any_held, bool_or(watt_lo <> watt_hi) AS any_range,
-      bool_or(count_state = 'absent') AS count_absent, bool_or(count_state = 'held') AS count_held, bool_or(watt_state = 'absent') AS watt_absent, bool_or(make IS NULL) AS make_absent, sum(n * watt_lo) AS w_lo, sum(n * watt_hi) AS w_hi
+      bool_or(count_state = 'absent') AS count_absent, bool_or(count_state = 'held') AS count_held, bool_or(watt_state = 'absent') AS watt_absent, bool_or(make IS NULL) AS make_absent, bool_or(choice) AS make_choice, bool_and(n IS NOT NULL AND watt_lo IS NOT NULL AND watt_lo = watt_hi) AS all_exact, min(n) AS count_least, max(n) AS count_most, min(watt_lo) FILTER (watt_lo = watt_hi) AS watt_least, max(watt_lo) FILTER (watt_lo = watt_hi) AS watt_most, sum(n * watt_lo) AS w_lo, sum(n * watt_hi) AS w_hi
       FROM items JOIN (SELECT quote_id, option_id AS own FROM opt) o USING (quote_id) WHERE option_id IS NULL OR own IS NULL OR option_id = own GROUP BY quote_id)""",
+        f"""inv AS (SELECT quote_id, count(*) AS n_inverters, bool_or(make IS NULL AND make_state = 'ok') AS inv_make_absent, bool_or(make_state = 'held') AS inv_make_held, bool_or(choice AND make IS NOT NULL AND make_state = 'ok') AS inv_choice, bool_or(rating_kw IS NULL) AS inv_rating_absent,
+      bool_or(rating_kw IS NOT NULL AND rating_state <> 'ok') AS inv_rating_unsure, bool_or(kw < 0.5 OR kw > 20) AS inv_bad, bool_or(kw BETWEEN 0.5 AND 20 AND {_near('kw', 'CAST(stated_kw AS DOUBLE)')}) AS inv_off, count(kw) AS inv_known
+      FROM (SELECT *, CASE WHEN rating_state = 'ok' THEN CAST(rating_kw AS DOUBLE) END AS kw FROM inverters) i JOIN quotes USING (quote_id) JOIN (SELECT quote_id, option_id AS own FROM opt) o USING (quote_id) WHERE option_id IS NULL OR own IS NULL OR option_id = own GROUP BY quote_id)""",
         """extra AS (SELECT quote_id, sum(CASE WHEN placed = 'inside' THEN amount END) AS inside, bool_or(placed = 'inside' AND amount IS NULL) AS inside_absent, min(CASE WHEN placed = 'inside' THEN amount END) AS inside_least, bool_or(placed = 'unclear') AS any_unclear, bool_or(placed <> 'inside') AS any_outside, bool_or(regexp_matches(lower(label), 'net[\\s-]*meter')) AS has_net_meter FROM charges GROUP BY quote_id)""",
         f"states(key, state_name, category) AS (VALUES {_states})",
-        f"""v0 AS (SELECT q.*, a.* EXCLUDE (quote_id), o.option_state, o.option_id, p.* EXCLUDE (quote_id), e.* EXCLUDE (quote_id), s.state_name, s.category, coalesce(n_groups > 0 AND NOT any_absent AND NOT any_held, false) AS from_items
-      FROM quotes q JOIN {told} a USING (quote_id) JOIN opt o USING (quote_id) LEFT JOIN per p USING (quote_id) LEFT JOIN extra e USING (quote_id) LEFT JOIN states s ON s.key = trim(regexp_replace(regexp_replace(replace(lower(a.state), '&', ' and '), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')))""",
+        f"""v0 AS (SELECT q.*, a.* EXCLUDE (quote_id), o.option_state, o.option_id, p.* EXCLUDE (quote_id), n.* EXCLUDE (quote_id), e.* EXCLUDE (quote_id), s.state_name, s.category, coalesce(n_groups > 0 AND NOT any_absent AND NOT any_held, false) AS from_items
+      FROM quotes q JOIN {told} a USING (quote_id) JOIN opt o USING (quote_id) LEFT JOIN per p USING (quote_id) LEFT JOIN inv n USING (quote_id) LEFT JOIN extra e USING (quote_id) LEFT JOIN states s ON s.key = trim(regexp_replace(regexp_replace(replace(lower(a.state), '&', ' and '), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')))""",
         """v1 AS (SELECT *, CASE WHEN from_items THEN CAST(w_lo AS DOUBLE) / 1000 WHEN stated_state = 'ok' AND basis = 'dc_kwp' THEN CAST(stated_kw AS DOUBLE) END AS dc_lo,
       CASE WHEN from_items THEN CAST(w_hi AS DOUBLE) / 1000 WHEN stated_state = 'ok' AND basis = 'dc_kwp' THEN CAST(stated_kw AS DOUBLE) END AS dc_hi FROM v0)""",
         f"v AS (SELECT *, CASE WHEN dc_lo IS NOT NULL THEN CAST({_slab('dc_lo')} AS DOUBLE) END AS rule_lo, CASE WHEN dc_hi IS NOT NULL THEN CAST({_slab('dc_hi')} AS DOUBLE) END AS rule_hi FROM v1)",
@@ -50,7 +55,7 @@ def _view(told: str = "answers") -> tuple[str, ...]:
 
 
 VIEW = _view()
-_all = "quotes items charges answers"
+_all = "quotes items charges inverters answers"
 _open = "option_state IN ('multiple', 'unknown')"
 
 C1 = f"""CASE WHEN {_open} THEN '1|needs_confirmation|' WHEN n_groups IS NULL THEN '2|missing|' WHEN any_absent THEN '3|missing|' WHEN any_range THEN '4|needs_confirmation|exact_capacity' WHEN any_held THEN '4|needs_confirmation|panel_details'
@@ -77,8 +82,10 @@ def _check(case: str) -> str:
 C4 = f"""d AS (SELECT quote_id, {_open} AS open_, unnest([
   CASE WHEN n_groups IS NULL OR watt_absent THEN 'panel_wattage|missing|panel_wattage' WHEN any_range THEN 'panel_wattage|needs_confirmation|exact_capacity' END,
   CASE WHEN n_groups IS NULL OR count_absent THEN 'panel_count|missing|panel_count' WHEN count_held THEN 'panel_count|needs_confirmation|panel_count' END,
-  CASE WHEN n_groups IS NULL OR make_absent THEN 'module_make_model|missing|module_model' END,
+  CASE WHEN n_groups IS NULL OR make_absent THEN 'module_make_model|missing|module_model' WHEN make_choice THEN 'module_make_model|needs_confirmation|module_choice' END,
   CASE WHEN dcr IS NULL THEN 'dcr_declaration|missing|dcr' WHEN dcr IN ('non_dcr', 'held') THEN 'dcr_declaration|needs_confirmation|dcr' END,
+  CASE WHEN n_inverters IS NULL OR inv_make_absent THEN 'inverter_make_model|missing|inverter_model' WHEN inv_make_held THEN 'inverter_make_model|needs_confirmation|inverter_model' WHEN inv_choice THEN 'inverter_make_model|needs_confirmation|inverter_choice' END,
+  CASE WHEN n_inverters IS NULL OR inv_rating_absent THEN 'inverter_rating|missing|inverter_rating' WHEN inv_rating_unsure THEN 'inverter_rating|needs_confirmation|inverter_rating' END,
   CASE WHEN registration IS NULL THEN 'vendor_registration|missing|vendor_registration' END, CASE WHEN gst_basis IS NULL THEN 'gst_basis|needs_confirmation|gst_basis' END,
   CASE WHEN any_outside THEN 'extras_outside_total|needs_confirmation|extras_outside_total' END, CASE WHEN NOT coalesce(has_net_meter, false) THEN 'net_meter|needs_confirmation|net_meter' END]) AS o FROM v),
 c4 AS (SELECT quote_id, o FROM d WHERE o IS NOT NULL AND NOT open_ UNION ALL SELECT quote_id, 'details|needs_confirmation|' FROM v WHERE {_open} UNION ALL SELECT quote_id, 'details|consistent|' FROM v WHERE NOT {_open} AND quote_id NOT IN (SELECT quote_id FROM d WHERE o IS NOT NULL))"""
@@ -91,8 +98,20 @@ ASKED = (*FINDINGS, f"cover(by_, question) AS (VALUES {_cover})", f"places(quest
 
 _ranges = {"base": (10000, 3000000), "gst": (0, 600000), "total": (10000, 3000000), "net": (10000, 3000000), "discount": (0, 600000), "central": (0, 200000), "state_subsidy": (0, 200000), "combined": (0, 200000), "unspecified": (0, 200000), "stated_kw": (0.5, 20)}
 _out = lambda *fs: " OR ".join(f"coalesce({f} < {_ranges[f][0]} OR {f} > {_ranges[f][1]}, false)" for f in fs)
-_relations = (("total", "CAST(base + coalesce(gst, 0) AS DOUBLE)", "CAST(total AS DOUBLE)", ("base", "gst", "total")), ("net", "CAST(total - coalesce(central, 0) AS DOUBLE)", "CAST(net AS DOUBLE)", ("total", "net")), ("stated_kw", "CAST(w_lo AS DOUBLE) / 1000", "CAST(stated_kw AS DOUBLE)", ("stated_kw",)))
-GUARDS = ("g AS (" + " UNION ALL ".join([f"SELECT quote_id, '{f}' AS field, 'range' AS reason FROM v WHERE {_out(f)}" for f in _ranges] + [f"SELECT quote_id, '{f}', 'relation' FROM (SELECT *, {x} AS x_, {y} AS y_, greatest({x}, {y}) / least({x}, {y}) AS q_ FROM v) WHERE x_ > 0 AND y_ > 0 AND (abs(q_ - 10) <= 2 OR abs(q_ - 100) <= 20 OR abs(q_ - 1000) <= 200) AND NOT ({_out(*fs)})" for f, x, y, fs in _relations]) + ")",)
+_money = ("central", "state_subsidy", "combined", "unspecified")
+_double = lambda x: f"CAST({x} AS DOUBLE)"
+_related = {
+    "panels": (("panel_count", "panel_wattage", "stated_kw"), _near("CASE WHEN all_exact THEN CAST(w_lo AS DOUBLE) / 1000 END", _double("stated_kw"))),
+    "total_": (("base", "gst", "total"), _near(_double("base + coalesce(gst, 0)"), _double("total"))),
+    "net_": (("total", *_money, "net"), _near(_double("total - " + " - ".join(f"coalesce({x}, 0)" for x in _money)), _double("net"))),
+}
+_bad = {**{f: _out(f) for f in _ranges}, "panel_count": "coalesce(count_least < 1 OR count_most > 100, false)", "panel_wattage": "coalesce(watt_least < 100 OR watt_most > 800, false)", "inverter_rating": "coalesce(inv_bad, false)"}
+_known = {**{f: f"{f} IS NOT NULL" for f in _ranges}, "panel_count": "count_most IS NOT NULL", "panel_wattage": "watt_most IS NOT NULL", "inverter_rating": "inv_known > 0"}
+_why = {f: " OR ".join(["false", *[f"r_{r}" for r, (ms, _) in _related.items() if f in ms], *(["r_inverter"] if f in ("inverter_rating", "stated_kw") else [])]) for f in _bad}
+GUARDS = (
+    "g0 AS (SELECT *, " + ", ".join(f"{x} AS b_{f}" for f, x in _bad.items()) + ", " + ", ".join(f"{x} AND NOT ({' OR '.join(f'b_{m}' for m in ms)}) AS r_{r}" for r, (ms, x) in _related.items()) + ", coalesce(inv_off, false) AND NOT b_stated_kw AS r_inverter FROM v)",
+    "g AS (" + " UNION ALL ".join(f"SELECT quote_id, '{f}' AS field, CASE WHEN b_{f} THEN 'range' ELSE 'relation' END AS reason FROM g0 WHERE b_{f} OR ({_known[f]} AND ({_why[f]}))" for f in _bad) + ")",
+)
 
 ORACLES |= {
     "subsidy_slab_amount": _with(_all, *VIEW, "SELECT quote_id, state_name, category, dc_lo, dc_hi, rule_lo, rule_hi FROM v WHERE rule_lo IS NOT NULL"),

@@ -25,7 +25,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 def _view(spark: SparkSession, sf: str) -> DataFrame:
     d = checks.dims(spark)
-    return checks.quote_view(*(bound(spark, sf, t) for t in ("quotes", "items", "charges", "answers")), d["state"], d["slab"])
+    return checks.quote_view(*(bound(spark, sf, t) for t in ("quotes", "items", "charges", "inverters", "answers")), d["state"], d["slab"])
 
 
 def _plain(findings: DataFrame) -> DataFrame:
