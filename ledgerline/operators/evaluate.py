@@ -23,6 +23,37 @@ def score_fields(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return j.select("doc", "field", status.alias("status"))
 
 
+def score_special(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """doc, field, status of fields that several values can answer.
+
+    pred: doc, field, kind, value, conflict, any number of rows a field. truth: doc, field, kind, value; a null value is not stated.
+    subsidy takes the values of the labelled kind (of any, if null), subsidy_type their kinds. extra_charges_outside_total is right if all charges
+    are the label's parts at + and ;. vendor_name is right with any one of the names between semicolons, without a last note in brackets.
+    dcr_text is right if either text holds the other. Values are compared as amounts, else as folded text. Repeated labels count once each.
+    """
+    amount = lambda c: T.parse_amount(c)
+    key = lambda c: F.coalesce(F.when(amount(c)["parse_status"] == "ok", amount(c)["parsed"].cast("decimal(18,2)").cast("string")), T.loose_key(c))
+    is_ = lambda *names: F.col("field").isin(*names)
+    labels = truth.select("doc", "field", F.col("kind").alias("__kind"), F.col("value").alias("__stated")).distinct()
+    said = F.when(is_("subsidy_type"), F.col("kind")).otherwise(F.col("value"))
+    counts = pred.where(is_("subsidy", "subsidy_type", "extra_charges_outside_total", "dcr_text", "vendor_name")).join(labels, ["doc", "field"], "right").where(~is_("subsidy") | F.col("__kind").isNull() | F.col("kind").isNull() | (F.col("kind") == F.col("__kind")))
+    per = counts.groupBy("doc", "field").agg(F.coalesce(F.max("conflict"), F.lit(False)).alias("conflict"), F.array_sort(F.collect_list(F.when(~F.coalesce("conflict", F.lit(False)), key(said)))).alias("got"))
+    j = labels.join(per, ["doc", "field"], "left").withColumns({"conflict": F.coalesce("conflict", F.lit(False)), "got": F.coalesce("got", F.array().cast("array<string>"))})
+    names = F.transform(F.split("__stated", ";"), lambda x: F.trim(F.regexp_replace(x, "\\s*\\[[^\\]]*\\]\\s*$", "")))
+    cut = F.when(is_("vendor_name"), names).when(is_("extra_charges_outside_total"), F.transform(F.split("__stated", "[+;]"), lambda x: F.trim(x))).otherwise(F.array("__stated"))
+    want = F.array_sort(F.transform(F.filter(cut, lambda x: x != ""), key))
+    one = F.get("got", F.lit(0))
+    right = (
+        F.when(is_("vendor_name"), (F.size("got") == 1) & F.array_contains("__want", one))
+        .when(is_("dcr_text"), F.contains(F.get("__want", F.lit(0)), one) | F.contains(one, F.get("__want", F.lit(0)))).otherwise(F.col("__want") == F.col("got"))
+    )
+    status = (
+        F.when(F.col("__stated").isNull(), F.when((F.size("got") > 0) | F.col("conflict"), "falsely_populated").otherwise("abstained"))
+        .when(F.col("conflict"), "conflict_flagged").when(F.size("got") == 0, "missing").when(right, "correct").otherwise("wrong")
+    )
+    return j.withColumn("__want", F.when(F.col("__stated").isNotNull(), want)).select("doc", "field", status.alias("status"))
+
+
 def summarise(scores: DataFrame) -> DataFrame:
     """field, n, accuracy (correct of stated), false_population_rate (of not stated), three decimals, null without a denominator."""
     c = lambda *s: F.count_if(F.col("status").isin(*s))

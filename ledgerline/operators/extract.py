@@ -69,10 +69,10 @@ def line_candidates(lines: DataFrame, threshold: int = 50) -> DataFrame:
 
 
 def row_cells(grid: DataFrame) -> DataFrame:
-    """doc, page, table, row, cells (array of kind, col, text, confidence, row_merged in column order): the rows under the header, with each column's kind."""
-    kinds = column_kinds(grid).select("doc", "page", "table", "col", "kind")
+    """doc, page, table, row, cells (array of col, kind, text, confidence, row_merged, header in column order): the rows under the header, with each column's kind."""
+    kinds = column_kinds(grid).select("doc", "page", "table", "col", "kind", "header")
     body = grid.withColumn("top", F.min("row").over(Window.partitionBy("doc", "page", "table"))).where("row > top").join(kinds, ["doc", "page", "table", "col"])
-    cells = F.array_sort(F.collect_list(F.struct("col", "kind", "text", "confidence", "row_merged"))).alias("cells")
+    cells = F.array_sort(F.collect_list(F.struct("col", "kind", "text", "confidence", "row_merged", "header"))).alias("cells")
     return body.groupBy("doc", "page", "table", "row").agg(cells)
 
 
@@ -85,11 +85,17 @@ def _row_text() -> Column:
 
 
 def option_rows(grid: DataFrame, threshold: int = 50) -> DataFrame:
-    """doc, page, table, row, capacity (watts), amount: tables with two rows or more that each offer a capacity of their own at a price."""
-    rows = row_cells(grid).select("doc", "page", "table", "row", _of_kind("rating").alias("r"), _of_kind("amount").alias("a"), _row_text().alias("evidence"))
+    """doc, page, table, row, capacity (watts), amount, role: tables with two rows or more that each offer a capacity of their own at a price.
+
+    The capacity's column is headed by capacity, size, system or kW, and gives its unit to cells without one; the price's heading gives the role, or none.
+    """
+    sized = F.filter("cells", lambda x: F.lower(x["header"]).rlike("\\b(?:capacity|size|system|kwp?)\\b") & (F.trim(x["text"]) != ""))
+    rows = row_cells(grid).select("doc", "page", "table", "row", sized.alias("r"), _of_kind("amount").alias("a"), _row_text().alias("evidence"))
     one = rows.where("size(r) = 1 and size(a) = 1").select("doc", "page", "table", "row", "evidence", F.get("r", F.lit(0)).alias("r"), F.get("a", F.lit(0)).alias("a"))
     read = one.where((F.col("r.confidence") >= threshold) & (F.col("a.confidence") >= threshold) & ~T.denied(F.col("evidence")) & ~F.lower("evidence").rlike("\\b(?:inverter|module|panel|structure|cable|meter)s?\\b"))
-    read = read.select("doc", "page", "table", "row", T.one_measure(F.col("r.text"), ("kwp", "kw", "wp", "w")).alias("capacity"), T.one_amount(F.col("a.text")).alias("amount")).where("capacity is not null and amount is not null")
+    unit = F.concat("r.text", F.lit(" "), F.regexp_extract("r.header", "(?i)\\b(kwp|kw|wp|w)\\b", 1))
+    measure = F.coalesce(*[T.one_measure(x, ("kwp", "kw", "wp", "w")) for x in (F.col("r.text"), unit)])
+    read = read.select("doc", "page", "table", "row", measure.alias("capacity"), T.one_amount(F.col("a.text")).alias("amount"), T.price_role(F.col("a.header")).alias("role"), "evidence").where("capacity is not null and amount is not null")
     tables = read.groupBy("doc", "page", "table").agg(F.count("*").alias("n"), F.count_distinct("capacity").alias("k")).where("n >= 2 and n = k").select("doc", "page", "table")
     return read.join(tables, ["doc", "page", "table"], "left_semi")
 
@@ -108,14 +114,14 @@ def bom_rows(grid: DataFrame, threshold: int = 50) -> DataFrame:
     count = F.when((number >= 2) & ~q.rlike("\\b(?:sets?|kits?|lots?)\\b") & ~F.get("q", F.lit(0))["row_merged"], number)
     units = lambda c: F.when(item == "panel", T.one_measure(c, ("wp", "w"))).otherwise(T.one_measure(c, ("kw", "kwp", "kva")))
     rating = F.coalesce(units(text("r")), units(text("d"))).cast("bigint")
-    return rows.select("doc", "page", "table", "row", item.alias("item"), count.alias("count"), rating.alias("rating"), F.trim(text("m")).alias("make")).where("item is not null")
+    return rows.select("doc", "page", "table", "row", item.alias("item"), count.alias("count"), rating.alias("rating"), F.trim(text("m")).alias("make"), "evidence", F.col("least").alias("confidence")).where("item is not null")
 
 
 def amount_rows(grid: DataFrame, threshold: int = 50) -> DataFrame:
     """doc, page, table, row, role, amount: rows with one amount cell and a label that names one price role."""
-    rows = row_cells(grid).select("doc", "page", "table", "row", F.filter("cells", lambda x: (x["kind"] == "amount") & (F.size(T.line_amounts(x["text"])) > 0)).alias("a"), F.filter("cells", lambda x: F.coalesce(x["kind"] != "amount", F.lit(True)) & (F.trim(x["text"]) != "")).alias("l"), F.array_min("cells.confidence").alias("least"))
-    one = rows.where((F.size("a") == 1) & (F.size("l") > 0) & (F.col("least") >= threshold)).select("doc", "page", "table", "row", F.get("a", F.lit(0))["text"].alias("cell"), F.array_join("l.text", " ").alias("label"))
-    out = one.where(~F.contains("cell", F.lit("%"))).select("doc", "page", "table", "row", T.price_role(F.col("label")).alias("role"), T.one_amount(F.col("cell")).cast("bigint").alias("amount"))
+    rows = row_cells(grid).select("doc", "page", "table", "row", F.filter("cells", lambda x: (x["kind"] == "amount") & (F.size(T.line_amounts(x["text"])) > 0)).alias("a"), F.filter("cells", lambda x: F.coalesce(x["kind"] != "amount", F.lit(True)) & (F.trim(x["text"]) != "")).alias("l"), F.array_min("cells.confidence").alias("least"), _row_text().alias("evidence"))
+    one = rows.where((F.size("a") == 1) & (F.size("l") > 0) & (F.col("least") >= threshold)).select("doc", "page", "table", "row", F.get("a", F.lit(0))["text"].alias("cell"), F.array_join("l.text", " ").alias("label"), "evidence", "least")
+    out = one.where(~F.contains("cell", F.lit("%"))).select("doc", "page", "table", "row", T.price_role(F.col("label")).alias("role"), T.one_amount(F.col("cell")).cast("bigint").alias("amount"), "evidence", F.col("least").alias("confidence"))
     return out.where("role is not null and amount is not null")
 
 
@@ -195,6 +201,43 @@ def attach_provenance(values: DataFrame, claims: DataFrame) -> DataFrame:
     return values.join(per, ["doc", "field", "value"], "left").withColumn("rules", F.coalesce("rules", F.lit("unmatched")))
 
 
+def slot_provenance(values: DataFrame, claims: DataFrame) -> DataFrame:
+    """values (doc, slot, evidence, raw) with the sorted rules of the claims on the same slot and evidence, and their least confidence; no claim: unmatched.
+
+    claims: doc, slot, evidence, raw, rule, confidence. The raw texts have to agree loosely; one that is null, on either side, agrees with any.
+    """
+    keys = ["doc", "slot", "evidence"]
+    mine = values.select(*keys, "raw").distinct().withColumn("__v", T.loose_key(F.col("raw")))
+    said = claims.groupBy(*keys, T.loose_key(F.col("raw")).alias("__c")).agg(F.collect_set("rule").alias("__r"), F.min("confidence").alias("confidence"))
+    hits = mine.join(said, keys).where("__v is null or __c is null or __v = __c").groupBy(*keys, "raw").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__r")))), ",").alias("rules"), F.min("confidence").alias("confidence"))
+    hits = hits.withColumnsRenamed({c: f"__{c}" for c in hits.columns})
+    out = values.join(hits, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in (*keys, "raw")], "left")
+    return out.select(*values.columns, F.coalesce("__rules", F.lit("unmatched")).alias("rules"), F.col("__confidence").alias("confidence"))
+
+
+def extract_pages(lines: DataFrame, grid: DataFrame, threshold: int = 50) -> DataFrame:
+    """doc, page, option, list, item, field, value, evidence, rule, conflict: the facts of pages from their lines and tables, one row a value.
+
+    Lines and amount rows give fields of the quotation, material rows items of module_groups and inverters, offers fields of an option. A field of
+    the quotation that is read with several values is a conflict, whichever rule read them.
+    """
+    none = F.lit(None).cast("string")
+    names = ("option", "list", "item", "field", "value")
+    fact = lambda *xs: F.struct(*[x.cast("string").alias(n) for n, x in zip(names, xs, strict=True)])
+    row = F.concat_ws("/", F.col("table").cast("string"), F.col("row").cast("string"))
+    of_lines = line_candidates(lines, threshold).select("doc", "page", fact(none, none, none, F.col("field"), F.col("value")).alias("f"), "evidence", F.lit("line").alias("rule"))
+    of_amounts = amount_rows(grid, threshold).select("doc", "page", fact(none, none, none, F.col("role"), F.col("amount")).alias("f"), "evidence", F.lit("table").alias("rule"))
+    kind = F.when(F.col("item") == "panel", "module_groups").otherwise("inverters")
+    parts = F.array(fact(none, kind, row, F.lit("count"), F.col("count")), fact(none, kind, row, F.when(F.col("item") == "panel", "wattage").otherwise("rating"), F.col("rating")), fact(none, kind, row, F.lit("make_model"), F.col("make")))
+    of_items = bom_rows(grid, threshold).select("doc", "page", F.explode(parts).alias("f"), "evidence", F.lit("table").alias("rule"))
+    offer = F.array(fact(row, none, none, F.lit("system_size"), F.col("capacity").cast("bigint")), F.when(F.col("role").isNotNull(), fact(row, none, none, F.col("role"), F.col("amount").cast("bigint"))))
+    of_offers = option_rows(grid, threshold).select("doc", "page", F.explode(F.array_compact(offer)).alias("f"), "evidence", F.lit("table").alias("rule"))
+    facts = of_lines.unionByName(of_amounts).unionByName(of_items).unionByName(of_offers).select("doc", "page", "f.*", "evidence", "rule").where("value is not null and value <> ''")
+    same = Window.partitionBy("doc", "field", "option", "list")
+    several = F.col("option").isNull() & F.col("list").isNull() & (F.min("value").over(same) != F.max("value").over(same))
+    return facts.select("doc", "page", *names, "evidence", "rule", several.alias("conflict"))
+
+
 def bind_items(rows: DataFrame, loose: DataFrame) -> DataFrame:
     """loose (doc, field, value) against table rows (doc, field, value): confirmed, conflict where rows have the field, fill where there are none."""
     has = rows.select("doc", "field", F.lit(True).alias("has")).distinct()

@@ -222,3 +222,19 @@ ORACLES |= {
     "form_corrections": _with("answers", "SELECT quote_id AS key, 'site.state' AS path, state AS value FROM answers WHERE state IS NOT NULL UNION ALL SELECT quote_id, 'customer.type', consumer FROM answers WHERE consumer IS NOT NULL"),
     "label_values": _with("lines", "SELECT a.doc, a.page, a.line_no AS label_no, CAST(min(b.line_no) AS BIGINT) AS line_no, 'below' AS place FROM lines a JOIN lines b ON a.doc = b.doc AND a.page = b.page AND a.line_no IN (3, 4) AND b.y0 >= a.y1 AND b.y0 - a.y1 <= 1.2 * (a.y1 - a.y0) AND b.x0 < a.x1 AND b.x1 > a.x0 GROUP BY ALL"),
 }
+
+_none = "CAST(NULL AS VARCHAR)"
+ORACLES |= {
+    "expired_records": "SELECT record, expired, count(*) AS n FROM (SELECT record, CASE record WHEN 'job' THEN ts < TIMESTAMP '2024-01-05' WHEN 'upload' THEN ts < TIMESTAMP '2024-01-05' WHEN 'counter' THEN ts < TIMESTAMP '2024-01-04' WHEN 'log' THEN ts < TIMESTAMP '2023-12-30' ELSE false END AS expired FROM (SELECT ts, ['job', 'counter', 'upload', 'log', 'other'][user_id % 5 + 1] AS record FROM events) a) b GROUP BY ALL",
+    "slot_provenance": _with("facts", "a AS (SELECT doc, field AS slot, 'line ' || pos % 2 AS evidence, value, pos, rule, confidence FROM facts)", "x AS (SELECT DISTINCT doc, slot, evidence, CASE WHEN pos % 5 <> 0 THEN value END AS v FROM a)", "y AS (SELECT doc, slot, evidence, rule, confidence, CASE WHEN pos % 7 <> 0 THEN value END AS c FROM a WHERE rule <> 'unmatched')",
+        "SELECT doc, slot, evidence, CASE WHEN v IS NOT NULL THEN 'No ' || v END AS raw, coalesce(string_agg(DISTINCT rule, ',' ORDER BY rule), 'unmatched') AS rules, min(confidence) AS confidence FROM x LEFT JOIN y USING (doc, slot, evidence) WHERE rule IS NULL OR v IS NULL OR c IS NULL OR v = c GROUP BY ALL UNION ALL SELECT doc, slot, evidence, 'No ' || v, 'unmatched', NULL FROM x WHERE EXISTS (SELECT 1 FROM y WHERE y.doc = x.doc AND y.slot = x.slot AND y.evidence = x.evidence) AND NOT EXISTS (SELECT 1 FROM y WHERE y.doc = x.doc AND y.slot = x.slot AND y.evidence = x.evidence AND (x.v IS NULL OR y.c IS NULL OR x.v = y.c))"),
+    "extract_pages": f"""WITH l AS (SELECT doc, field, value, 'line' AS rule FROM ({ORACLES['line_candidates']}) a UNION ALL SELECT doc, role, CAST(amount AS VARCHAR), 'table' FROM ({ORACLES['amount_rows']}) b),
+  k AS (SELECT doc, field, count(DISTINCT value) > 1 AS c FROM l GROUP BY ALL), b AS ({ORACLES['bom_rows']}), o AS ({ORACLES['option_rows']})
+  SELECT l.doc, {_none} AS "option", {_none} AS list, {_none} AS item, l.field, l.value, l.rule, k.c AS conflict FROM l JOIN k USING (doc, field)
+  UNION ALL SELECT doc, {_none}, CASE item WHEN 'panel' THEN 'module_groups' ELSE 'inverters' END, '1/' || "row", f, v, 'table', false FROM (SELECT doc, item, "row", unnest(['count', CASE item WHEN 'panel' THEN 'wattage' ELSE 'rating' END, 'make_model']) AS f, unnest([CAST(count AS VARCHAR), CAST(rating AS VARCHAR), make]) AS v FROM b) c WHERE v <> ''
+  UNION ALL SELECT doc, '2/' || "row", {_none}, {_none}, f, v, 'table', false FROM (SELECT doc, "row", unnest(['system_size', 'gross_total']) AS f, unnest([CAST(capacity AS VARCHAR), CAST(amount AS VARCHAR)]) AS v FROM o) d""",
+    "score_special": _with("quotes charges", "r AS (SELECT quote_id AS doc, unnest(['subsidy', 'subsidy_type', 'vendor_name', 'dcr_text']) AS field, central FROM quotes UNION ALL SELECT DISTINCT quote_id, 'extra_charges_outside_total', 1 FROM charges WHERE placed = 'outside' AND amount IS NOT NULL)",
+        "SELECT doc, field, CASE WHEN field IN ('subsidy', 'subsidy_type') AND central IS NULL THEN 'abstained' WHEN field = 'subsidy_type' AND doc % 5 = 1 THEN 'missing' WHEN doc % 10 = 0 THEN 'conflict_flagged' WHEN field = 'subsidy' AND doc % 4 = 0 OR field = 'vendor_name' AND doc % 3 = 2 OR field = 'dcr_text' AND doc % 3 = 0 OR field = 'extra_charges_outside_total' AND doc % 4 = 1 THEN 'wrong' ELSE 'correct' END AS status FROM r"),
+    "stored_sizes": "SELECT doc_id, CAST(3 + 6 + 1 + length(CAST(doc_id AS VARCHAR)) + 1 + 4 + 1 + coalesce(strlen(lang), 1) + 6 + 1 + coalesce(strlen(source), 1) + 7 + 1 + coalesce(length(CAST(n_chars AS VARCHAR)) + 1, 1) + 4 + 1 + coalesce(strlen(text), 1) AS BIGINT) AS bytes FROM documents",
+    "kept_readings": "SELECT doc_id AS batch, coalesce(length(text) <= 600, true) AND coalesce(sum(strlen(text)) FILTER (length(text) <= 600) OVER (PARTITION BY doc_id % 97), 0) <= 3000 AS kept FROM documents",
+}

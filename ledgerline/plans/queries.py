@@ -466,6 +466,13 @@ def retained_jobs(spark, sf):
     return jobs.retention(log, "2024-01-03 00:00:00", 24).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query
+def expired_records(spark, sf):
+    kinds = F.element_at(F.array(*map(F.lit, ("job", "counter", "upload", "log", "other"))), (F.col("job") % 5 + 1).cast("int"))
+    log = bound(spark, sf, "log").withColumn("record", kinds)
+    return jobs.expired(log, "2024-01-06 00:00:00").groupBy("record", "expired").agg(F.count("*").alias("n"))
+
+
 @query
 def failure_outcomes(spark, sf):
     reasons = spark.createDataFrame([("error", True), ("purchase", False)], "kind string, retryable boolean")
@@ -569,3 +576,48 @@ def label_values(spark, sf):
 def coalesced_rects(spark, sf):
     lines = bound(spark, sf, "lines").withColumnRenamed("line_no", "box_id")
     return pii.coalesce_rects(lines, 4)
+
+
+@query
+def slot_provenance(spark, sf):
+    f = bound(spark, sf, "facts").withColumns({"slot": F.col("field"), "evidence": F.concat(F.lit("line "), (F.col("pos") % 2).cast("string")), "raw": F.when(F.col("pos") % 5 != 0, F.concat(F.lit("No "), F.col("value")))})
+    claims = f.where("rule <> 'unmatched'").withColumn("raw", F.when(F.col("pos") % 7 != 0, F.concat(F.lit("NO  "), F.col("value"))))
+    return extract.slot_provenance(f.select("doc", "slot", "evidence", "raw").distinct(), claims)
+
+
+@query
+def extract_pages(spark, sf):
+    grid = _grid(spark, sf, "cells").unionByName(_grid(spark, sf, "offers").withColumn("table", F.lit(2)))
+    return extract.extract_pages(bound(spark, sf, "lines"), grid).select("doc", "option", "list", "item", "field", "value", "rule", "conflict")
+
+
+@query
+def score_special(spark, sf):
+    q = bound(spark, sf, "quotes").select(F.col("quote_id").alias("doc"), F.abs("central").cast("string").alias("c"), F.col("state_subsidy").cast("string").alias("s"), (F.col("customer") % 5).cast("string").alias("v"))
+    outside = bound(spark, sf, "charges").where("placed = 'outside' and amount is not null").select(F.col("quote_id").alias("doc"), F.abs("amount").alias("a"))
+    row = lambda field, kind, value: F.struct(F.lit(field).alias("field"), kind.cast("string").alias("kind"), value.cast("string").alias("value"))
+    none, central = F.lit(None), F.lit("central")
+    by = lambda n, *xs: F.element_at(F.array(*xs), (F.col("doc") % n + 1).cast("int"))
+    ltd = F.concat(F.lit("Sun Power Ltd "), F.col("v"))
+    labels = F.array(row("subsidy", central, F.col("c")), row("subsidy_type", none, F.when(F.col("c").isNotNull(), central)), row("vendor_name", none, F.concat(F.lit("Sun Power [trade name]; "), ltd)), row("dcr_text", none, F.lit("DCR modules as listed")))
+    truth = q.select("doc", F.inline(labels)).unionByName(outside.groupBy("doc").agg(F.array_join(F.collect_list(F.col("a").cast("string")), " + ").alias("value")).select("doc", F.lit("extra_charges_outside_total").alias("field"), none.cast("string").alias("kind"), "value"))
+    read = F.array_compact(F.array(
+        F.when(F.col("c").isNotNull(), row("subsidy", central, F.when(F.col("doc") % 4 == 0, F.concat(F.lit("1"), F.col("c"))).otherwise(F.concat(F.lit("Rs. "), F.col("c"))))),
+        F.when(F.col("s").isNotNull(), row("subsidy", F.lit("state"), F.col("s"))), F.when(F.col("c").isNotNull() & (F.col("doc") % 5 != 1), row("subsidy_type", central, none)),
+        row("vendor_name", none, by(3, F.lit("SUN POWER"), ltd, F.lit("Moon"))), row("dcr_text", none, by(3, F.lit("none"), F.lit("dcr MODULES"), F.lit("DCR modules as listed below"))),
+    ))
+    charges = outside.select("doc", F.lit("extra_charges_outside_total").alias("field"), none.cast("string").alias("kind"), F.concat(F.lit("Rs "), (F.col("a") + F.when(F.col("doc") % 4 == 1, 1).otherwise(0)).cast("string")).alias("value"))
+    pred = q.select("doc", F.inline(read)).unionByName(charges).withColumn("conflict", F.col("doc") % 10 == 0)
+    return evaluate.score_special(pred, truth)
+
+
+@query
+def stored_sizes(spark, sf):
+    d = base_table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    return d.select("doc_id", readers.stored_size(d).cast("bigint").alias("bytes"))
+
+
+@query
+def kept_readings(spark, sf):
+    d = base_table(spark, sf, "documents").select((F.col("doc_id") % 97).alias("job"), F.col("doc_id").alias("batch"), "text")
+    return readers.kept_readings(d, 600, 3000).select("batch", "kept")

@@ -70,7 +70,7 @@ FROM ({NUMBERED}) t CROSS JOIN (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELEC
 UNION ALL SELECT o_orderkey, 1, 1, 1, c, CASE c WHEN 1 THEN 'Description' WHEN 2 THEN 'Qty' WHEN 3 THEN 'Rating' WHEN 4 THEN 'Make' ELSE 'Amount' END, 99, false FROM orders CROSS JOIN (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) cs""",
     "offers": f"""SELECT l_orderkey AS doc, 1 AS page, 1 AS t_no, rn + 1 AS r_no, c AS col, CASE c WHEN 1 THEN concat('Option ', CAST(rn AS VARCHAR(9))) WHEN 2 THEN concat(CAST(CAST(l_quantity AS BIGINT) % 8 + 1 AS VARCHAR(9)), ' kWp') ELSE concat('Rs. ', CAST(CAST(floor(l_extendedprice) AS BIGINT) + 1000 AS VARCHAR(20)), '/-') END AS text, 90 AS confidence, false AS row_merged
 FROM ({NUMBERED}) t CROSS JOIN (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3) cs
-UNION ALL SELECT o_orderkey, 1, 1, 1, c, CASE c WHEN 1 THEN 'Option' WHEN 2 THEN 'Capacity' ELSE 'Price' END, 99, false FROM orders CROSS JOIN (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3) cs""",
+UNION ALL SELECT o_orderkey, 1, 1, 1, c, CASE c WHEN 1 THEN 'Option' WHEN 2 THEN 'Capacity' ELSE 'Total price' END, 99, false FROM orders CROSS JOIN (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3) cs""",
     "log": "SELECT event_id, ts, user_id AS job, event_type AS kind, value, props FROM events",
 }
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 AMOUNT = "struct<raw:string,parsed:decimal(18,4),parse_status:string>"
 FIELD = f"struct<value:{AMOUNT},evidence_text:string,page:int,batch:int,provenance:string>"
 QUOTE = f"contract_version string, processing_complete boolean, pages_processed array<int>, pages_skipped array<int>, base_price {FIELD}, gst_amount {FIELD}, gross_total {FIELD}, net_cost {FIELD}, option_fields map<string,map<string,string>>"
 BLOCKS = "array<struct<Id:string,BlockType:string,Text:string,Confidence:double,RowIndex:int,ColumnIndex:int,Relationships:array<struct<Type:string,Ids:array<string>>>>>"
 MAX_RECORD = 380_000
+MAX_READING = 100_000
 
 
 def read_quotes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -95,6 +97,36 @@ def record_size(df: DataFrame) -> Column:
     return F.octet_length(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
 
 
+def stored_size(df: DataFrame) -> Column:
+    """Bytes of a row as a store counts them: names and texts in UTF-8, a number as long as it is written and one more, yes, no and null one byte."""
+
+    def size(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            n = sum((F.octet_length(F.lit(f.name)) + size(c[f.name], f.dataType) + 1 for f in kind), F.lit(3))
+        elif isinstance(kind, T.ArrayType):
+            n = F.aggregate(c, F.lit(3), lambda t, x: t + size(x, kind.elementType) + 1)
+        elif isinstance(kind, T.MapType):
+            n = F.aggregate(F.map_entries(c), F.lit(3), lambda t, e: t + F.octet_length(e["key"].cast("string")) + size(e["value"], kind.valueType) + 1)
+        elif isinstance(kind, T.BooleanType):
+            n = F.lit(1)
+        else:
+            n = F.octet_length(c if isinstance(kind, T.BinaryType) else c.cast("string")) + (1 if isinstance(kind, T.NumericType) else 0)
+        return F.when(c.isNotNull(), n).otherwise(1)
+
+    return sum((F.lit(len(f.name.encode())) + size(F.col(f"`{f.name}`"), f.dataType) + 1 for f in df.schema), F.lit(3))
+
+
+def kept_readings(readings: DataFrame, limit: int = MAX_READING, whole: int = MAX_RECORD) -> DataFrame:
+    """readings (job, batch, text) with kept: a batch's text of at most limit characters, as long as the job's kept texts stay under whole bytes together.
+
+    A job whose small texts exceed whole keeps none: its record would be refused. A null text is kept and weighs nothing.
+    """
+    small = F.coalesce(F.length("text") <= limit, F.lit(True))
+    sums = readings.groupBy("job").agg(F.sum(F.when(small, F.coalesce(F.octet_length("text"), F.lit(0)))).alias("__all"))
+    joined = readings.join(sums, readings["job"].eqNullSafe(sums["job"]), "left").drop(sums["job"])
+    return joined.select(*readings.columns, (small & (F.coalesce("__all", F.lit(0)) <= whole)).alias("kept"))
+
+
 def oversize(df: DataFrame, limit: int = MAX_RECORD) -> DataFrame:
     return df.withColumn("bytes", record_size(df)).where(F.col("bytes") > limit)
 

@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Seconds after which a claim is stale, caps, retention.
+# Seconds after which a claim is stale, hours that records are kept, seconds a typed session lasts, caps.
 STALE_SECONDS = 900
 ALARM_WINDOW = "5 minutes"
+KEPT_HOURS = {"job": 24, "counter": 48, "upload": 24, "log": 168}
+SESSION_SECONDS = 900
 CAPS = {"upload": (10, 200), "sample": (50, 1000), "typed": (200, 5000)}
 
 
@@ -79,6 +81,39 @@ def retention(log: DataFrame, now: str, hours: int = 24) -> DataFrame:
     return log.where(F.col("ts") >= F.to_timestamp(F.lit(now)) - F.expr(f"INTERVAL {hours} HOURS"))
 
 
+def expired(records: DataFrame, now: str) -> DataFrame:
+    """records (ts, record) with expired: older than their record's KEPT_HOURS. Records of other kinds, or without a time, never expire."""
+    age = F.to_timestamp(F.lit(now)) - F.col("ts").cast("timestamp")
+    over = F.coalesce(*[F.when(F.col("record") == k, age > F.expr(f"INTERVAL {h} HOURS")) for k, h in KEPT_HOURS.items()], F.lit(False))
+    return records.withColumn("expired", over)
+
+
+def typed_challenges(events: DataFrame) -> DataFrame:
+    """Stream of (job, ts, value) to (job, ts, session, counter): the challenge each typed request gets.
+
+    The same values keep the session's counter, changed ones move it on and renew its SESSION_SECONDS; a request after they are over starts the next
+    session at 0. Values are held as a hash. State is kept by job, in Spark's state store; requests of a job count in order of time within a batch.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        session, counter, held, until = state.get if state.exists else (-1, 0, "", 0.0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "held"], kind="stable")
+        out = []
+        for ts, value in zip(rows["ts"], rows["held"], strict=True):
+            at = ts.timestamp()
+            if at >= until:
+                session, counter, held, until = session + 1, 0, value, at + SESSION_SECONDS
+            elif value != held:
+                counter, held, until = counter + 1, value, at + SESSION_SECONDS
+            out.append((key[0], ts, session, counter))
+        state.update((session, counter, held, until))
+        yield pd.DataFrame(out, columns=["job", "ts", "session", "counter"])
+
+    keyed = events.where("job is not null and ts is not null").select("job", "ts", F.sha2(F.coalesce(F.col("value").cast("string"), F.lit("")), 256).alias("held"))
+    return keyed.groupBy("job").applyInPandasWithState(step, "job long, ts timestamp, session int, counter int", "session int, counter int, held string, until double", "append", GroupStateTimeout.NoTimeout)
+
+
 def failure_outcomes(log: DataFrame, reasons: DataFrame) -> DataFrame:
     """Counts by outcome: the reason dimension says whether a failure is retryable; unknown reasons are final."""
     j = log.join(F.broadcast(reasons), "kind", "left")

@@ -219,3 +219,54 @@ def test_refused_form_fields(spark):
     good, bad = readers.form_corrections(forms, {"state": "site.state", "note": "note", "city": "site.city"})
     assert [tuple(r) for r in good.collect()] == [("k", "site.state", "Goa")]
     assert {(r.field, r.reason) for r in bad.collect()} == {("zzz", "unknown_field"), ("note", "too_long")}
+
+
+def test_typed_numbers_out_of_range_silence_their_relations(spark):
+    names = "base gst total net central state_subsidy combined unspecified discount stated_kw w_lo count_least count_most watt_least watt_most inv_least inv_most".split()
+    fine = dict(base=200000, gst=20000, total=220000, net=142000, central=78000, state_subsidy=None, combined=None, unspecified=None, discount=None, stated_kw=3.0, w_lo=3000, count_least=6, count_most=6, watt_least=500, watt_most=500, inv_least=3.0, inv_most=3.0)
+    cases = {1: {}, 2: {"total": 22000}, 3: {"total": 2200}, 4: {"stated_kw": 0.3}, 5: {"w_lo": 30000, "count_least": 60, "count_most": 60}, 6: {"watt_least": 50, "watt_most": 500, "w_lo": 30}, 7: {"inv_most": 30.0}, 8: {"inv_off": True, "inv_most": 30.0}}
+    rows = [(i, *[None if (x := (fine | c)[n]) is None else float(x) for n in names], True, c.get("inv_off", False)) for i, c in cases.items()]
+    view = spark.createDataFrame(rows, "quote_id int, " + ", ".join(f"{n} double" for n in names) + ", all_exact boolean, inv_off boolean")
+    got = {}
+    for r in review.guard_entries(view).collect():
+        got.setdefault(r.quote_id, set()).add((r.field, r.reason))
+    assert got == {
+        2: {(f, "relation") for f in ("base", "gst", "total")}, 3: {("total", "range")}, 4: {("stated_kw", "range")}, 5: {(f, "relation") for f in ("panel_count", "panel_wattage", "stated_kw")},
+        6: {("panel_wattage", "range")}, 7: {("inverter_rating", "range")}, 8: {("inverter_rating", "range"), ("stated_kw", "relation")},
+    }
+
+
+def test_inverters_of_the_own_option(spark):
+    q = spark.createDataFrame([(1, 3.0), (2, 2.0)], "quote_id int, stated_kw double")
+    i = spark.createDataFrame([(1, "A", "ok", False, 30.0, "ok"), (1, None, "ok", False, 3.0, "unitless"), (2, "B", "held", True, None, "ok"), (2, "C", "ok", True, 20.0, "ok")], "quote_id int, make string, make_state string, choice boolean, rating_kw double, rating_state string")
+    got = {r.quote_id: r.asDict() for r in checks.inverter_sums(i, q).collect()}
+    assert got[1]["inv_make_absent"] and got[1]["inv_rating_unitless"] and not got[1]["inv_off"] and got[1]["inv_most"] == 30
+    assert got[2]["inv_make_held"] and got[2]["inv_choice"] and got[2]["inv_rating_absent"] and got[2]["inv_off"]
+
+
+def test_special_scores(spark):
+    pred = spark.createDataFrame([("d", "vendor_name", None, "Sun  Power", False), ("d", "extra_charges_outside_total", None, "Rs 500", False), ("d", "extra_charges_outside_total", None, "1,000/-", False), ("e", "extra_charges_outside_total", None, "500", False), ("d", "dcr_text", None, "DCR", False), ("e", "dcr_text", None, "x", True), ("f", "subsidy", "state", "1", False)], "doc string, field string, kind string, value string, conflict boolean")
+    truth = spark.createDataFrame([("d", "vendor_name", None, "Moon; sun power [trade name]"), ("d", "extra_charges_outside_total", None, "1000 + 500"), ("e", "extra_charges_outside_total", None, "1000 + 500"), ("d", "dcr_text", None, "DCR modules"), ("e", "dcr_text", None, "y"), ("f", "subsidy", "central", "1"), ("g", "subsidy", None, None)], "doc string, field string, kind string, value string")
+    got = {(r.doc, r.field): r.status for r in evaluate.score_special(pred, truth).collect()}
+    assert got == {("d", "vendor_name"): "correct", ("d", "extra_charges_outside_total"): "correct", ("e", "extra_charges_outside_total"): "wrong", ("d", "dcr_text"): "correct", ("e", "dcr_text"): "conflict_flagged", ("f", "subsidy"): "missing", ("g", "subsidy"): "abstained"}
+
+
+def test_stored_size_of_nested_rows(spark):
+    df = spark.createDataFrame([("é", 12, True, [1, 20], {"k": "ab"}, (5,)), (None,) * 6], "t string, n int, b boolean, a array<int>, m map<string,string>, s struct<x:int>")
+    whole = [3 + 2 * 6 + x for x in (2 + 3 + 1 + (3 + 3 + 4) + (3 + 1 + 2 + 1) + (3 + 1 + 2 + 1), 6)]
+    assert [r[0] for r in df.select(readers.stored_size(df)).collect()] == whole
+
+
+def test_readings_over_a_limit_are_not_kept(spark):
+    df = spark.createDataFrame([(1, 1, "a" * 5), (1, 2, "a" * 50), (2, 1, "a" * 9), (2, 2, "a" * 9), (None, 1, "a"), (3, 1, None)], "job int, batch int, text string")
+    assert {(r.job, r.batch): r.kept for r in readers.kept_readings(df, 10, 12).collect()} == {(1, 1): True, (1, 2): False, (2, 1): False, (2, 2): False, (None, 1): True, (3, 1): True}
+
+
+def test_typed_challenges_stream(spark, tmp_path):
+    rows = [(1, 0, "a"), (1, 100, "a"), (1, 200, "b"), (1, 300, "a"), (1, 1199, "a"), (1, 1200, "a"), (2, 5, None), (None, 1, "x")]
+    spark.createDataFrame(rows, "job long, s long, value string").selectExpr("job", "timestamp_seconds(s) AS ts", "value").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("job long, ts timestamp, value string").parquet(str(tmp_path / "in"))
+    q = jobs.typed_challenges(stream).writeStream.format("memory").queryName("challenges").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = [(r.session, r.counter) for r in spark.table("challenges").where("job = 1").orderBy("ts").collect()]
+    assert got == [(0, 0), (0, 0), (0, 1), (0, 2), (0, 2), (1, 0)] and spark.table("challenges").count() == 7
