@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language, license_scan, line_dedup, mixing, near_dup, quality_model, quality_rules, token_files
+from . import decontaminate, hard_negatives, html_text, language, license_scan, line_dedup, mixing, near_dup, quality_model, quality_rules, token_files
 from .common import table
 
 
@@ -58,8 +58,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", "n_lines", "n_removed_lines", "n_removed_words")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language, op3_decontamination, op4_license_scan, op5_mixing, op6_html_text, op7_near_duplicates, op8_quality_model, op9_token_files, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language, op3_decontamination, op4_license_scan, op5_mixing, op6_html_text, op7_near_duplicates, op8_quality_model, op9_token_files, op10_line_dedup, op12_hard_negatives)}
 
 
 _SPACE = r"[ \t\n\x0b\f\r]"
@@ -105,5 +109,16 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.l AS component_id, c.l = d.do
 """
 
 
+OP12_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id AS id, a.label = e.label AS same, CAST(list_dot_product(a.v, e.v) AS BIGINT) AS score FROM e a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS r
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_near_duplicates": OP7_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_near_duplicates": OP7_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL, "op12_hard_negatives": OP12_SQL}
