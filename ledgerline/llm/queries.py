@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hard_negatives, html_text, language, license_scan, line_dedup, mixing, near_dup, quality_model, quality_rules, token_files
+from . import decontaminate, hard_negatives, html_text, language, license_scan, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, token_files
 from .common import table
 
 
@@ -62,8 +62,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language, op3_decontamination, op4_license_scan, op5_mixing, op6_html_text, op7_near_duplicates, op8_quality_model, op9_token_files, op10_line_dedup, op12_hard_negatives)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language, op3_decontamination, op4_license_scan, op5_mixing, op6_html_text, op7_near_duplicates, op8_quality_model, op9_token_files, op10_line_dedup, op12_hard_negatives, op13_packing)}
 
 
 _SPACE = r"[ \t\n\x0b\f\r]"
