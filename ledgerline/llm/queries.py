@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hard_negatives, html_text, language, license_scan, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, token_files
+from . import decontaminate, hard_negatives, html_text, language, lexical, license_scan, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, token_files
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", "n_lines", "n_removed_lines", "n_removed_words")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
 
@@ -67,7 +71,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language, op3_decontamination, op4_license_scan, op5_mixing, op6_html_text, op7_near_duplicates, op8_quality_model, op9_token_files, op10_line_dedup, op12_hard_negatives, op13_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language, op3_decontamination, op4_license_scan, op5_mixing, op6_html_text, op7_near_duplicates, op8_quality_model, op9_token_files, op10_line_dedup, op11_lexical_search, op12_hard_negatives, op13_packing)}
 
 
 _SPACE = r"[ \t\n\x0b\f\r]"
@@ -113,6 +117,17 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.l AS component_id, c.l = d.do
 """
 
 
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_ITEM}') AS w FROM documents),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_ITEM}'))) AS t FROM benchmark),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) JOIN (SELECT DISTINCT t FROM i) USING (t) GROUP BY ALL),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY t, n_docs),
+s AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM i JOIN p USING (t) JOIN f USING (t), c GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM r WHERE r <= 10
+"""
+
 OP12_SQL = """
 WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -125,4 +140,4 @@ SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_near_duplicates": OP7_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_near_duplicates": OP7_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL, "op11_lexical_search": OP11_SQL, "op12_hard_negatives": OP12_SQL}
