@@ -45,18 +45,31 @@ def column_kinds(grid: DataFrame) -> DataFrame:
     return head.groupBy("doc", "page", "table", "col").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("header")).withColumn("kind", column_kind(F.col("header")))
 
 
-def line_candidates(lines: DataFrame, threshold: int = 50) -> DataFrame:
-    """doc, page, line_no, field, value, evidence: one amount with its price role, panel count, panel wattage, system size.
+NOT_OF_QUOTE = "\\b(?:valid|due|delivery|expiry|expires|install\\w*)\\b"
+
 
-    A line that denies what it names gives nothing. Each pattern is read once a line: the generator keeps its results from being copied.
+def line_readings(lines: DataFrame, *keep: str) -> DataFrame:
+    """Each line's keep columns with what is read from its text: role, denied, amounts, count, measure and watts (of panels' units), date and which words it has.
+
+    Patterns are read once a line: the generator keeps their results from being copied into each later use.
     """
     t, text = F.lower("text"), F.col("text")
+    word = lambda p: t.rlike(f"\\b(?:{p})\\b")
     read = F.struct(
-        F.when(~T.denied(text), T.price_role(text)).alias("role"), T.line_amounts(text).alias("amounts"), t.rlike("\\b(?:panels?|modules?)\\b").alias("panel"), t.rlike("\\binverters?\\b").alias("inverter"),
-        T.denied(text).alias("no"), t.rlike("\\b(?:system|plant|capacity|project|rooftop|solar pv)\\b").alias("size_word"), t.rlike("\\b(?:sets?|kits?|lots?|lump ?sum)\\b").alias("sets"),
-        T.one_count(text).alias("count"), T.one_measure(text, ("kwp", "kw", "wp", "w")).alias("measure"), T.one_measure(text, ("wp", "w")).alias("watts"),
+        T.meanings(text).alias("__m"), T.line_amounts(text).alias("amounts"), word("panels?|modules?").alias("panel"), word("inverters?").alias("inverter"), word("system|plant|capacity|project|rooftop|solar pv").alias("size_word"),
+        word("sets?|kits?|lots?|lump ?sum").alias("sets"), T.one_count(text).alias("count"), T.one_measure(text, ("kwp", "kw", "wp", "w")).alias("measure"), T.one_measure(text, ("wp", "w")).alias("watts"),
+        F.when(word("dated?") & ~t.rlike(NOT_OF_QUOTE), T.one_date(text)).alias("date"),
     )
-    rows = lines.where((F.col("confidence") >= threshold) & text.rlike("[0-9]")).select("doc", "page", "line_no", "text", F.inline(F.array(read))).where("not no")
+    rows = lines.select(*keep, F.inline(F.array(read)))
+    return rows.select(*keep, F.inline(F.array(F.struct(T.role_of(F.col("__m")).alias("role"), T.says(F.col("__m"), "denied", "aside_denied").alias("denied")))), *[c for c in rows.columns if c not in (*keep, "__m")])
+
+
+def line_candidates(lines: DataFrame, threshold: int = 50) -> DataFrame:
+    """doc, page, line_no, field, value, evidence: one amount with its price role, panel count, panel wattage, system size, date of the quotation.
+
+    A line that denies what it names gives nothing. A date that is one of validity, delivery or the like is not the quotation's.
+    """
+    rows = line_readings(lines.where((F.col("confidence") >= threshold) & F.col("text").rlike("[0-9]")), "doc", "page", "line_no", "text").where("not denied")
     item = lambda f, v, when: F.when(when, F.struct(f.alias("field"), v.cast("string").alias("value")))
     of_panel = F.col("panel") & ~F.col("inverter")
     all_ = F.array_compact(F.array(
@@ -64,6 +77,7 @@ def line_candidates(lines: DataFrame, threshold: int = 50) -> DataFrame:
         item(F.lit("panel_count"), F.col("count"), of_panel & (F.col("count") >= 2) & ~F.col("sets")),
         item(F.lit("panel_wattage"), F.col("watts").cast("bigint"), of_panel & F.col("watts").isNotNull()),
         item(F.lit("system_size"), F.col("measure").cast("bigint"), F.col("size_word") & ~F.col("panel") & ~F.col("inverter") & F.col("measure").isNotNull()),
+        item(F.lit("quote_date"), F.col("date"), F.col("date").isNotNull()),
     ))
     return rows.select("doc", "page", "line_no", F.inline(all_), F.col("text").alias("evidence"))
 

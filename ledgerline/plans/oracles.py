@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.sources.bindings import ALIASES, SPECIAL, SQL, STATES
+from ledgerline.sources.bindings import ALIASES, SHAPES, SPECIAL, SQL, STATES
 
 # Fixed values, stated here anew: questions in order and what they cover, statuses from worst to best, patterns of personal and protected data.
 QUESTIONS = "exact_capacity panel_details panel_count panel_wattage capacity_mismatch capacity_basis dc_capacity subsidy_breakdown subsidy_not_stated subsidy_higher subsidy_lower total_mismatch net_cost_mismatch module_model module_choice dcr inverter_model inverter_choice inverter_rating vendor_registration gst_basis extras_outside_total net_meter".split()
@@ -238,3 +238,21 @@ ORACLES |= {
     "stored_sizes": "SELECT doc_id, CAST(3 + 6 + 1 + length(CAST(doc_id AS VARCHAR)) + 1 + 4 + 1 + coalesce(strlen(lang), 1) + 6 + 1 + coalesce(strlen(source), 1) + 7 + 1 + coalesce(length(CAST(n_chars AS VARCHAR)) + 1, 1) + 4 + 1 + coalesce(strlen(text), 1) AS BIGINT) AS bytes FROM documents",
     "kept_readings": "SELECT doc_id AS batch, coalesce(length(text) <= 600, true) AND coalesce(sum(strlen(text)) FILTER (length(text) <= 600) OVER (PARTITION BY doc_id % 97), 0) <= 3000 AS kept FROM documents",
 }
+
+# What each line says, read by a person: role, whether it is denied, a if it has one amount, n or w for its one count and measure (k: n kilowatts), d for a date of the quotation.
+LABELS = {
+    "Grand total Rs. {a}/-": "gross_total a", "Total cost (incl. GST) Rs {a}": "gross_total a", "Amount payable: {a}": "gross_total a", "Total before subsidy Rs {a}": "gross_total a", "Cost without state subsidy ₹ {a}": "gross_total a", "Price prior to the CFA INR {a}": "gross_total a",
+    "Basic price Rs {a}": "base_price a", "Base cost {a}": "base_price a", "Sub-total {a}": "base_price a", "Subtotal: Rs. {a}": "base_price a", "Taxable value Rs {a}": "base_price a", "Price excluding GST Rs {a}": "base_price a", "Amount exclusive of GST {a}": "base_price a", "Cost before GST Rs {a}": "base_price a",
+    "CGST 9% Rs {a}": "gst_amount a", "GST @ 8.9% {a}": "gst_amount a", "IGST Rs {a} only": "gst_amount a", "GST (included in Grand Total) Rs {a}": "gst_amount a", "GST not included in total Rs {a}": "gst_amount denied a",
+    "Net cost Rs {a}": "net_cost a", "Net payable after central subsidy {a}": "net_cost a", "Effective price ₹{a}": "net_cost a", "Post-subsidy amount Rs {a}": "net_cost a", "Cost after the CFA Rs {a}": "net_cost a", "Net cost before subsidy Rs {a}": "a",
+    "Central subsidy (CFA) Rs. {a}": "subsidy a", "MNRE amount: {a}": "subsidy a", "No subsidy": "denied", "Subsidy not applicable Rs {a}": "denied a", "Meter by the customer Rs {a}": "denied a", "Cable in client's scope {a}": "denied a", "Structure (optional) Rs {a}": "denied a", "Civil work: Nil": "denied",
+    "Total GST Rs {a}": "a", "Total Rs {a} or Rs {a}": "gross_total", "GST 18% on Rs {a}": "gst_amount", "18 percent of Rs {a}": "", "Rate @ {a}": "", "No. of modules: {n}": "panel n", "Number of panels - {n}": "panel n", "Solar modules, Qty {n}": "panel n", "{n} nos panels of {w} Wp": "panel n w", "PV panels {n} sets": "",
+    "System size {n} kWp": "size k", "Plant capacity {n} kW or {n}000 W": "", "Project capacity {n} - 12 kW": "", "Inverter rating {n} kW": "k", "Quotation date 0{n}/10/2026": "d", "Valid till 0{n}/10/2026": "", "Structure and cables": "",
+}
+_roles = ("gross_total", "base_price", "gst_amount", "net_cost", "subsidy")
+_label_rows = ", ".join(f"({i}, " + (f"'{r[0]}'" if (r := [x for x in _roles if x in LABELS[t].split()]) else "NULL") + "".join(f", {str(x in LABELS[t].split()).lower()}" for x in ("denied", "a", "n", "w", "k", "d", "panel", "size")) + ")" for i, t in enumerate(SHAPES))
+_labels = f"label(shape, role, no, has_a, has_n, has_w, has_k, has_d, of_panel, of_size) AS (VALUES {_label_rows})"
+_date = "'0' || CAST(n AS VARCHAR) || '/10/2026'"
+ORACLES["phrase_readings"] = _with("phrases", _labels, f"SELECT doc, line_no, role, no AS denied, CASE WHEN has_a THEN a END AS amount, CASE WHEN has_n THEN CAST(n AS INT) END AS count, CASE WHEN has_w THEN w WHEN has_k THEN 1000 * n END AS measure, CASE WHEN has_d THEN {_date} END AS date FROM phrases JOIN label USING (shape)")
+ORACLES["phrase_candidates"] = _with("phrases", _labels, " UNION ALL ".join(f"SELECT doc, line_no, {f} AS field, CAST({v} AS VARCHAR) AS value FROM phrases JOIN label USING (shape) WHERE NOT no AND {when}" for f, v, when in (
+    ("role", "a", "role IS NOT NULL AND has_a"), ("'panel_count'", "n", "of_panel AND has_n"), ("'panel_wattage'", "w", "of_panel AND has_w"), ("'system_size'", "1000 * n", "of_size AND has_k"), ("'quote_date'", _date, "has_d"))))

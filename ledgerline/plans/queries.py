@@ -135,6 +135,18 @@ def line_candidates(spark, sf):
     return extract.line_candidates(bound(spark, sf, "lines")).select("doc", "line_no", "field", "value")
 
 
+@query
+def phrase_readings(spark, sf):
+    rows = extract.line_readings(bound(spark, sf, "phrases"), "doc", "line_no", "text")
+    amount = F.when(F.size("amounts") == 1, F.get("amounts", F.lit(0)).cast("bigint"))
+    return rows.select("doc", "line_no", "role", "denied", amount.alias("amount"), "count", F.col("measure").cast("bigint").alias("measure"), "date")
+
+
+@query
+def phrase_candidates(spark, sf):
+    return extract.line_candidates(bound(spark, sf, "phrases")).select("doc", "line_no", "field", "value")
+
+
 @query
 def line_sections(spark, sf):
     return extract.line_sections(bound(spark, sf, "lines")).select("doc", "line_no", "section")

@@ -22,6 +22,23 @@ _state = f"CASE (c_nationkey + 3 * o_orderkey) % {len(_names) + 1} {_state_case}
 
 NUMBERED = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem"
 
+SHAPES = """Grand total Rs. {a}/-|Total cost (incl. GST) Rs {a}|Amount payable: {a}|Total before subsidy Rs {a}|Cost without state subsidy ₹ {a}|Price prior to the CFA INR {a}|Basic price Rs {a}|Base cost {a}|Sub-total {a}|Subtotal: Rs. {a}
+Taxable value Rs {a}|Price excluding GST Rs {a}|Amount exclusive of GST {a}|Cost before GST Rs {a}|CGST 9% Rs {a}|GST @ 8.9% {a}|IGST Rs {a} only|GST (included in Grand Total) Rs {a}|GST not included in total Rs {a}|Net cost Rs {a}
+Net payable after central subsidy {a}|Effective price ₹{a}|Post-subsidy amount Rs {a}|Cost after the CFA Rs {a}|Net cost before subsidy Rs {a}|Central subsidy (CFA) Rs. {a}|MNRE amount: {a}|No subsidy|Subsidy not applicable Rs {a}|Meter by the customer Rs {a}
+Cable in client's scope {a}|Structure (optional) Rs {a}|Civil work: Nil|Total GST Rs {a}|Total Rs {a} or Rs {a}|GST 18% on Rs {a}|18 percent of Rs {a}|Rate @ {a}|No. of modules: {n}|Number of panels - {n}
+Solar modules, Qty {n}|{n} nos panels of {w} Wp|PV panels {n} sets|System size {n} kWp|Plant capacity {n} kW or {n}000 W|Project capacity {n} - 12 kW|Inverter rating {n} kW|Quotation date 0{n}/10/2026|Valid till 0{n}/10/2026|Structure and cables""".replace("\n", "|").split("|")
+"""Texts of lines; {a} is an amount, {n} a number from 2 to 9, {w} watts."""
+
+
+def _shaped() -> str:
+    """SQL for the text of a row with shape, a, n and w."""
+    when = []
+    for i, t in enumerate(SHAPES):
+        pieces = [f"CAST({x[1]} AS VARCHAR(20))" if x[0] == "{" else "'" + x.replace("'", "''") + "'" for x in re.findall(r"[{]\w[}]|[^{}]+", t)]
+        when.append(f"WHEN {i} THEN concat({', '.join(pieces)})")
+    return f"CASE shape {' '.join(when)} END"
+
+
 SQL = {
     "items": f"""SELECT l_orderkey AS quote_id, rn AS item_id, CASE WHEN l_orderkey % 9 = 0 THEN CASE WHEN rn % 4 = 3 THEN 'B' ELSE 'A' END END AS option_id,
   CASE WHEN l_orderkey % 31 = 0 THEN 'absent' WHEN l_orderkey % 37 = 0 THEN 'held' ELSE 'ok' END AS count_state,
@@ -71,6 +88,8 @@ UNION ALL SELECT o_orderkey, 1, 1, 1, c, CASE c WHEN 1 THEN 'Description' WHEN 2
     "offers": f"""SELECT l_orderkey AS doc, 1 AS page, 1 AS t_no, rn + 1 AS r_no, c AS col, CASE c WHEN 1 THEN concat('Option ', CAST(rn AS VARCHAR(9))) WHEN 2 THEN concat(CAST(CAST(l_quantity AS BIGINT) % 8 + 1 AS VARCHAR(9)), ' kWp') ELSE concat('Rs. ', CAST(CAST(floor(l_extendedprice) AS BIGINT) + 1000 AS VARCHAR(20)), '/-') END AS text, 90 AS confidence, false AS row_merged
 FROM ({NUMBERED}) t CROSS JOIN (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3) cs
 UNION ALL SELECT o_orderkey, 1, 1, 1, c, CASE c WHEN 1 THEN 'Option' WHEN 2 THEN 'Capacity' ELSE 'Total price' END, 99, false FROM orders CROSS JOIN (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3) cs""",
+    "phrases": f"""SELECT doc, page, line_no, shape, a, n, w, {_shaped()} AS text, 60 + w % 40 AS confidence
+FROM (SELECT l_orderkey AS doc, rn % 2 AS page, rn AS line_no, (l_partkey * 7 + l_suppkey + rn) % {len(SHAPES)} AS shape, CAST(floor(l_extendedprice) AS BIGINT) + 1000 AS a, CAST(l_quantity AS BIGINT) % 8 + 2 AS n, 300 + 5 * (l_partkey % 61) AS w FROM ({NUMBERED}) t) s""",
     "log": "SELECT event_id, ts, user_id AS job, event_type AS kind, value, props FROM events",
 }
 
@@ -92,7 +111,7 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if re.search(rf"\b(FROM|JOIN) {t}\b", sql):
             sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
             used[t] = base_table(spark, sf_dir, t)
-            if name == "lines":
+            if name in ("lines", "phrases"):
                 used[t] = spread(used[t])
     return spark.sql(sql, **used)
 
