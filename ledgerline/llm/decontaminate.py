@@ -4,15 +4,15 @@ An item-sized window (ten consecutive item words, or all of a shorter item) occu
 (three words, or all words of a shorter window) does. Containment must be whole, so one prefix shingle a window is enough: its rarest,
 by counts over all documents. The steps:
 
-1. counts of the benchmark's shingles over all documents (tasks test shingles against a bitmap of fixed size);
+1. counts of the benchmark's shingles over all documents (tasks test shingles against a bitmap of bounded size);
 2. the rarest shingle and its place in the window, for each window;
 3. places of prefix shingles in the documents, with up to nine words to each side;
 4. join on the shingle; the window must fit the text at that place (positional and length bounds); its words must be equal.
 
-Only the bitmaps (FILTER_BITS, whatever the input) go to all tasks; windows and candidates meet in a shuffle join.
+Only the bitmaps (up to MOST_BITS, by the number of shingles) go to all tasks; windows and candidates meet in a shuffle join.
 
 Results: null text has no words; a null item or one without words has no window; repeated rows are handled alike, each with its own
-result; rows with a null doc_id are told apart by their text. Other columns are ignored.
+result; rows with a null doc_id are told apart by their text. doc_ids are cast to long. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from .common import Words, arrow_limits, byte_table, chunks, row_key, run_hash,
 
 WINDOW = 10
 SHINGLE = 3
-FILTER_BITS = 24
+FILTER_BITS, MOST_BITS = 16, 28
+"""The bitmap has sixteen bits for each shingle, between these powers of two; the largest has 32 MB. Beyond, more places are looked at, with the same results."""
 
 
 def _shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,16 +60,17 @@ _WIN_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits with those of the column h set; what is collected has at most that size."""
-    bit = F.col("h").bitwiseAND((1 << FILTER_BITS) - 1)
+    """A bitmap with the bits of the column h set, sized by the number of rows; what is collected has at most that size."""
+    bits = min(MOST_BITS, max(FILTER_BITS, (16 * hashes.count()).bit_length()))
+    bit = F.col("h").bitwiseAND((1 << bits) - 1)
     rows = hashes.groupBy(F.shiftright(bit, 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(31).cast("int"))).alias("b")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 5), dtype=np.uint32)
+    out = np.zeros(1 << (bits - 5), dtype=np.uint32)
     out[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
     return out
 
 
 def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    low = h & np.uint64((1 << FILTER_BITS) - 1)
+    low = h & np.uint64(32 * len(bitmap) - 1)
     return (bitmap[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0
 
 

@@ -163,9 +163,9 @@ def fit(docs: DataFrame) -> Model | None:
     known = docs.where("lang is not null and text is not null and doc_id is not null")
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     per = F.greatest(F.lit(20), F.floor(F.lit(FIT_TEXTS) / F.greatest(F.lit(1), F.lit(sizes.count()))))
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))  # of id and text: rows that repeat an id are drawn apart
     drawn = known.join(F.broadcast(sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)), "lang").where(unit < 3.0 * per / F.col("n"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(unit, "doc_id"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(unit, "doc_id", F.xxhash64("text")))
     rows = saved(drawn.select("lang", "text", first.alias("r")).where(2 * F.col("r") <= 3 * per).select("lang", "text", (F.col("r") % 3 == 0).alias("held")))
     counted = rows.where("not held").select("lang", "text").mapInArrow(tidy(_count_rows), "lang string, counts binary").toArrow()
     if not counted.num_rows:

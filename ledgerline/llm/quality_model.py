@@ -153,8 +153,8 @@ def fit(labelled: DataFrame) -> Model:
     p[f[f >= 0]] += pos[f >= 0]
     q[f[f >= 0]] += neg[f >= 0]
     scale = np.log(p / (n_pos + 2)) - np.log(q / (n_neg + 2))
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = labelled.where(unit < min(1.0, 1.3 * FIT_TEXTS / (n_pos + n_neg))).orderBy(unit, "doc_id").limit(FIT_TEXTS)
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = labelled.where(unit < min(1.0, 1.3 * FIT_TEXTS / (n_pos + n_neg))).orderBy(unit, "doc_id", F.xxhash64("text"), "y").limit(FIT_TEXTS)
     got = saved(drawn.select("y", "text")).mapInArrow(tidy(_feature_rows), "y int, f binary").toArrow()
     rows = [np.frombuffer(x, dtype=np.int32) for x in got["f"].to_pylist()]
     y = np.where(got["y"].to_numpy() > 0, 1, -1)

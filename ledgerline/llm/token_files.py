@@ -1,6 +1,6 @@
 """Operator 9: token ids as ORC files.
 
-Texts are dealt by ranges of doc_id, sorted, encoded inside the tasks and written as ORC: one row a document with its ids
+Texts are dealt by ranges of doc_id and text hash (so that no doc_id is one task), sorted, encoded inside the tasks and written as ORC: one row a document with its ids
 as an integer list (run-length encoded; no further compression, which gains little on packed ids), its place (chunk = range number, first = ids before it in the chunk) and count; row index
 entries every INDEX_STRIDE rows, a Bloom filter on doc_id, and stripes of STRIPE_BYTES, so that readers split files by stripes and skip
 by metadata. Reading needs no global sort: a document's start is its chunk's base, from one small row a chunk, plus `first`.
@@ -9,7 +9,7 @@ Byte-level BPE never merges across the borders of words, so a word goes through
 while (a word of letters needs the model alone, its last dot or comma is a piece of its own); within a batch Arrow's
 dictionary encoding finds the distinct words. A text with adjoining white space characters is encoded whole. Special tokens' strings in a text are ordinary text.
 
-Results: a null text is empty and has only the end id. Null doc_ids come first; repeated doc_ids follow each other in the order of
+Results: a null text is empty and has only the end id. doc_ids are cast to long. Null doc_ids come first; repeated doc_ids follow each other in the order of
 their texts' hashes. Other columns are ignored.
 """
 
@@ -36,7 +36,7 @@ CACHE_BYTES = 32 << 20
 """Word ids kept by a worker: up to twice as much for each of the two kinds of words (with and without a space before), 128 MB in all."""
 ENTRY_BYTES = 200
 END_ID = 0
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 """Text encoded at once; one longer text makes a slice by itself. Smaller slices and caches take less memory and more time, with the same ids."""
 BROADCAST_CHUNKS = 1_000_000
 """Bases (12 bytes a chunk) go to all tasks up to so many chunks; beyond, rows and bases meet in a shuffle join."""
@@ -167,7 +167,7 @@ def _writer(path: str, cache_bytes: int, slice_bytes: int) -> Callable:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, cache_bytes: int = CACHE_BYTES, slice_bytes: int = SLICE_BYTES) -> None:
     """Writes the token ids of docs to ORC files in folder `path`, in ascending doc_id order."""
     arrow_limits(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     options = {"orc.stripe.size": STRIPE_BYTES, "orc.row.index.stride": INDEX_STRIDE, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "none"}
     rows.mapInArrow(tidy(_writer(tokenizer, cache_bytes, slice_bytes)), _FILE).write.options(**options).orc(path)
 
