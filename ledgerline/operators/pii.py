@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import running_sums
+
 # Patterns of personal and of protected data, in order.
 PERSONAL = {
     "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z.]+",
@@ -18,32 +20,110 @@ PROTECTED = {
     "amount": "(?:Rs\\.?|₹) ?[0-9][0-9,]*",
     "percent": "[0-9]+(?:\\.[0-9]+)? ?%",
     "date": "\\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\\b",
+    "quantity": "\\b[0-9]+ ?(?:nos?|pcs|pieces|panels?|modules?|sets?|units?)\\b",
+    "model": "(?<![A-Za-z0-9_@./-])(?![A-Z]{5}[0-9]{4}[A-Z](?![A-Za-z0-9]))(?=[A-Za-z./-]*[0-9])(?=[0-9./-]*[A-Za-z])[A-Za-z0-9][A-Za-z0-9_./-]{3,}[A-Za-z0-9](?![./-]*[A-Za-z0-9_@])",
 }
 LABELS = {"name": "\\b(?:name|attn)\\s*[:\\-]\\s*", "contact": "\\b(?:phone|mobile|contact)(?: no\\.?)?\\s*[:\\-]\\s*", "email": "\\be-?mail(?: id)?\\s*[:\\-]\\s*", "consumer_id": "\\bconsumer (?:no\\.?|id)\\s*[:\\-]\\s*", "address": "\\baddress\\s*[:\\-]\\s*"}
 
 
-def spans(docs: DataFrame, patterns: dict[str, str], keep_terms: tuple[str, ...] = (), keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """keys, kind, start (from 0), found: every match of each pattern; a match inside a kept term does not count.
+UNIT = "[\\p{L}\\p{N}_]+"
+BROADCAST_TERMS = 200_000
+"""Units of terms that go to all tasks; beyond, texts and terms meet in a shuffle join."""
+OTHER = "term"
+
+
+def _row() -> Column:
+    """Tells rows with equal keys apart by their texts."""
+    return F.xxhash64("__text").alias("__row")
+
+
+def _keyed(docs: DataFrame, keys: tuple[str, ...], text: str) -> DataFrame:
+    return docs.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("__text"))
+
+
+def _located(docs: DataFrame, patterns: dict[str, str], keys: tuple[str, ...]) -> DataFrame:
+    """keys, __row, kind, start, found of every match of each pattern: a match starts after the texts between matches and the matches before it."""
+
+    def one(kind: str, p: str) -> Column:
+        found, between = F.regexp_extract_all("__text", F.lit(f"({p})"), 1), F.split("__text", p, -1)
+        gaps = F.transform(found, lambda x, i: F.length(F.get(between, i)) + F.when(i > 0, F.length(F.get(found, i - 1))).otherwise(0))
+        return F.when(F.col("__text").rlike(p), F.struct(F.lit(kind).alias("kind"), found.alias("__found"), gaps.alias("__gaps")))
+
+    rows = docs.select(*keys, _row(), F.inline(F.array_compact(F.array(*[one(k, p) for k, p in patterns.items()]))))
+    rows = running_sums(rows, "__gaps", "__starts")
+    return rows.select(*keys, "__row", "kind", F.inline(F.arrays_zip(F.col("__starts").alias("start"), F.col("__found").alias("found"))))
 
-    Places come from the texts between matches: the start of match i is the length of what lies before it.
-    """
 
-    def places(kind: str, p: str) -> Column:
-        found, between = F.regexp_extract_all(F.col(text), F.lit(f"({p})"), 1), F.split(F.col(text), p, -1)
-        item = lambda m, i: F.struct(F.lit(kind).alias("kind"), (F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda t, x: t + F.length(x)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda t, x: t + F.length(x))).alias("start"), m.alias("found"))
-        return F.when(F.col(text).rlike(p), F.transform(found, item)).otherwise(F.array().cast("array<struct<kind:string,start:int,found:string>>"))
+def spans(docs: DataFrame, patterns: dict[str, str], keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """keys, kind, start (from 0), found: every match of each pattern. A null text has none."""
+    return _located(_keyed(docs, keys, text), patterns, keys).drop("__row")
 
-    all_ = F.concat(*[places(k, p) for k, p in patterns.items()])
-    out = docs.where(F.col(text).isNotNull()).select(*keys, F.inline(all_))
-    for t in keep_terms:
-        out = out.where(~F.contains(F.lit(t.lower()), F.lower("found")))
-    return out
 
+def _units(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(f"({UNIT})"), 1)
 
-def pii_spans(docs: DataFrame, keep_terms: tuple[str, ...] = (), deny_terms: tuple[str, ...] = (), **kw) -> DataFrame:
-    """Personal data, and each occurrence of a denied term, in any case and between word bounds, as kind deny."""
-    deny = "|".join("\\Q" + t.replace("\\E", "") + "\\E" for t in sorted(deny_terms, key=len, reverse=True))
-    return spans(docs, PERSONAL | ({"deny": f"(?i)\\b(?:{deny})\\b"} if deny else {}), keep_terms, **kw)
+
+def _term_places(docs: DataFrame, terms: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, __row, kind, term, start, found of each occurrence of terms (term, kind) in the rows of _keyed.
+
+    Texts and terms are cut into units of letters and digits. Each unit of a text, with the units after it up to the longest term's length, meets the terms that
+    begin with it in an equi-join; those whose units follow are checked by their own pattern on the piece of text itself, so that only
+    spaces, dots and commas stand between a term's words. No pattern grows with the number of terms.
+    """
+    inner = F.array_join(F.transform(F.split(F.trim("term"), "\\s+"), lambda w: F.concat(F.lit("\\Q"), F.regexp_replace(w, "\\\\E", ""), F.lit("\\E"))), "[\\s,.]+")
+    known = terms.select(F.trim("term").alias("term"), "kind", _units(F.col("term")).alias("units"), F.concat(F.lit("(?iu)^"), inner, F.lit("$")).alias("pattern")).where("size(units) > 0").distinct()
+    edges = known.select("*", F.get("units", F.lit(0)).alias("unit"), F.length(F.regexp_extract("term", f"^((?:(?!{UNIT}).)*)", 1)).alias("lead"), F.length(F.regexp_extract("term", f"((?:(?!{UNIT}).)*)$", 1)).alias("trail"))
+    size = edges.agg(F.coalesce(F.max(F.size("units")), F.lit(0)).alias("longest"), F.coalesce(F.sum(F.size("units")), F.lit(0)).alias("n")).first()
+    units, between = F.regexp_extract_all("__text", F.lit(f"({UNIT})"), 1), F.split("__text", UNIT, -1)
+    rows = docs.select(*keys, _row(), F.inline(F.array(F.struct(units.alias("__units"), between.alias("__between")))))
+    gaps = F.transform("__units", lambda x, i: F.length(F.get("__between", i)) + F.when(i > 0, F.length(F.get("__units", i - 1))).otherwise(0))
+    rows = running_sums(rows.select("*", F.inline(F.array(F.struct(gaps.alias("__gaps"))))), "__gaps", "__starts")
+    most = F.lit(max(1, size.longest))
+    word = lambda x, i: F.struct(F.lower(x).alias("unit"), F.get("__starts", i).alias("at"), F.slice("__units", i + 1, most + 1).alias("next"), F.slice("__between", i + 1, most + 2).alias("gaps"), (i == 0).alias("first"))
+    words = rows.select(*keys, "__row", F.inline(F.transform("__units", word)))
+    hits = words.join(F.broadcast(edges) if size.n <= BROADCAST_TERMS else edges, "unit").withColumn("n", F.size("units"))
+    hits = hits.where(F.transform(F.slice("next", F.lit(1), F.col("n")), F.lower) == F.col("units"))
+    # what the term has before its first unit and after its last one, and what stands beyond
+    front, back = F.get("gaps", F.lit(0)), F.coalesce(F.get("gaps", F.col("n")), F.lit(""))
+    fits = (F.length(front) >= F.col("lead")) & (F.length(back) >= F.col("trail"))
+    alone = ((F.col("lead") == 0) | (F.length(front) > F.col("lead")) | F.col("first")) & ((F.col("trail") == 0) | (F.length(back) > F.col("trail")) | (F.size("next") == F.col("n")))
+    inside = F.array_join(F.transform(F.slice("next", F.lit(1), F.col("n")), lambda u, i: F.concat(F.when(i > 0, F.get("gaps", i)).otherwise(""), u)), "")
+    found = F.concat(F.expr("right(gaps[0], lead)"), inside, F.expr("left(coalesce(get(gaps, n), ''), trail)"))
+    hits = hits.where(fits & alone).select(*keys, "__row", "kind", "term", "pattern", (F.col("at") - F.col("lead")).cast("int").alias("start"), found.alias("found"))
+    return hits.where(F.regexp_like("found", F.col("pattern"))).drop("pattern")
+
+
+def term_spans(docs: DataFrame, terms: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """keys, kind, term, start, found: each occurrence of terms (term, kind deny or keep), in any case, words apart by any spaces, dots and commas."""
+    return _term_places(_keyed(docs, keys, text), terms, keys).drop("__row")
+
+
+def _same_row(keys: tuple[str, ...]) -> Column:
+    on = F.col("a.__row") == F.col("b.__row")
+    for k in keys:
+        on &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return on
+
+
+def _personal(docs: DataFrame, terms: DataFrame | None, keys: tuple[str, ...]) -> DataFrame:
+    """Personal data by pattern without what lies inside an occurrence of a kept term, and every occurrence of a denied term."""
+    found = _located(docs, PERSONAL, keys)
+    if terms is None:
+        return found
+    places = _term_places(docs, terms, keys)
+    kept, said = places.where("kind = 'keep'"), places.where("kind = 'deny'")
+    inside = _same_row(keys) & (F.col("b.start") <= F.col("a.start")) & (F.col("a.start") + F.length("a.found") <= F.col("b.start") + F.length("b.found"))
+    left = found.alias("a").join(kept.alias("b"), inside, "left_anti")
+    return left.unionByName(said.select(*keys, "__row", F.lit(OTHER).alias("kind"), "start", "found"))
+
+
+def pii_spans(docs: DataFrame, terms: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """keys, kind, start, found: personal data by pattern, and each occurrence of a denied term as kind `term`.
+
+    terms: term and kind (deny or keep), as parse_terms gives them. A kept term only takes back pattern matches that lie inside one of its own occurrences in
+    the same text; it never takes back a denied term. Rows with equal keys are told apart by their texts.
+    """
+    return _personal(_keyed(docs, keys, text), terms, keys).drop("__row")
 
 
 def protected_spans(docs: DataFrame, **kw) -> DataFrame:
@@ -57,12 +137,75 @@ def label_spans(docs: DataFrame, **kw) -> DataFrame:
 
 
 def mask_text(c: Column) -> Column:
-    """The text with each personal span replaced by its kind."""
+    """The text with each match of a personal pattern replaced by its kind: the quick form of mask_documents, without terms and protected spans."""
     for kind, p in PERSONAL.items():
         c = F.regexp_replace(c, p, f"[{kind}]")
     return c
 
 
+def mask_intervals(personal: DataFrame, protected: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, start, end, kind of the pieces to mask: the union of personal spans without protected ones, and all of the denied terms' spans.
+
+    personal, protected: keys, kind, start, found. Ends of spans are events in order of place; how many spans of each sort are open is a running sum, and stretches
+    between two events that are to be masked join where they touch. A piece's kind is that of its spans which comes first in PERSONAL, denied terms last.
+    """
+    rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(PERSONAL)], F.lit(len(PERSONAL)))
+    sorts = personal.select(*keys, "start", (F.col("start") + F.length("found")).alias("end"), F.when(F.col("kind") == OTHER, "deny").otherwise("mask").alias("sort"), rank.alias("rank"))
+    sorts = sorts.unionByName(protected.select(*keys, "start", (F.col("start") + F.length("found")).alias("end"), F.lit("keep").alias("sort"), F.lit(99).alias("rank"))).where("end > start")
+    change = lambda at, by: F.struct(F.col(at).alias("at"), *[F.when(F.col("sort") == x, by).otherwise(0).alias(x) for x in ("mask", "deny", "keep")], F.when((F.col("sort") != "keep") & F.lit(by > 0), F.col("rank")).alias("rank"))
+    events = sorts.select(*keys, F.inline(F.array(change("start", 1), change("end", -1)))).groupBy(*keys, "at").agg(F.sum("mask").alias("mask"), F.sum("deny").alias("deny"), F.sum("keep").alias("keep"), F.min("rank").alias("rank"))
+    order = Window.partitionBy(*keys).orderBy("at")
+    far = order.rowsBetween(Window.unboundedPreceding, 0)
+    open_ = {c: F.sum(c).over(far) for c in ("mask", "deny", "keep")}
+    steps = events.select(*keys, "at", "rank", F.lead("at").over(order).alias("end"), ((open_["deny"] > 0) | ((open_["mask"] > 0) & (open_["keep"] == 0))).alias("hide"))
+    starts = (F.col("hide") & ~F.coalesce(F.lag("hide").over(order), F.lit(False))).cast("int")
+    pieces = steps.withColumn("piece", F.sum(starts).over(far)).where("hide")
+    return pieces.groupBy(*keys, "piece").agg(F.min("at").alias("start"), F.max("end").alias("end"), F.min("rank").alias("rank")).select(*keys, "start", "end", F.coalesce(*[F.when(F.col("rank") == i, F.lit(k)) for i, k in enumerate(PERSONAL)], F.lit(OTHER)).alias("kind"))
+
+
+def mask_documents(docs: DataFrame, terms: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """docs with masked: the text with personal data and denied terms replaced by [kind], protected text kept to the letter (a denied term inside it is masked).
+
+    A null text stays null. Texts with spans meet their pieces in a join on keys and text; rows equal in both have equal pieces.
+    """
+    rows = _keyed(docs, keys, text)
+    on = [*keys, "__row"]
+    pieces = mask_intervals(_personal(rows, terms, keys), _located(rows, PROTECTED, keys), on)
+    per = pieces.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__pieces")).withColumnsRenamed({k: f"__b_{k}" for k in on})
+    joined = docs.withColumn("__h", F.xxhash64(text))
+    match = F.col("__h") == F.col("__b___row")
+    for k in keys:
+        match &= F.col(k).eqNullSafe(F.col(f"__b_{k}"))
+    joined = joined.join(per, match, "left")
+    before = F.transform("__pieces", lambda p, i: F.concat(F.substring(F.col(text), F.coalesce(F.get("__pieces", i - 1)["end"], F.lit(0)) + 1, p["start"] - F.coalesce(F.get("__pieces", i - 1)["end"], F.lit(0))), F.lit("["), p["kind"], F.lit("]")))
+    tail = F.substring(F.col(text), F.get("__pieces", F.size("__pieces") - 1)["end"] + 1, F.length(text))
+    return joined.select(*docs.columns, F.when(F.col("__pieces").isNull(), F.col(text)).otherwise(F.concat(F.array_join(before, ""), tail)).alias("masked"))
+
+
+def mask_audit(docs: DataFrame, terms: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """One row: n_texts, n_masked (texts that masking changed), n_survivors (spans of the masked texts outside protected text), n_protected and n_kept (protected spans before, and those of them still there).
+
+    A protected span is still there if its text occurs as often as before; those that a denied term breaks are not.
+    """
+    done = mask_documents(docs.select(*keys, text), terms, keys, text)
+    again = _keyed(done, keys, "masked")
+    inside = _same_row(keys) & (F.col("b.start") < F.col("a.start") + F.length("a.found")) & (F.col("a.start") < F.col("b.start") + F.length("b.found")) & (F.col("a.kind") != OTHER)
+    left = _personal(again, terms, keys).alias("a").join(_located(again, PROTECTED, keys).alias("b"), inside, "left_anti")
+    counted = lambda d, n: d.groupBy("kind", "found").agg(F.count("*").alias(n))
+    was, now = counted(spans(docs, PROTECTED, keys, text), "n"), counted(spans(done, PROTECTED, keys, "masked"), "m")
+    kept = was.join(now, ["kind", "found"], "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_protected"), F.coalesce(F.sum(F.least("n", F.coalesce("m", F.lit(0)))), F.lit(0)).alias("n_kept"))
+    sums = done.agg(F.count(text).alias("n_texts"), F.count_if(F.col(text) != F.col("masked")).alias("n_masked"))
+    return _one_row(sums, left.agg(F.count("*").alias("n_survivors")), kept)
+
+
+def _one_row(*rows: DataFrame) -> DataFrame:
+    """The columns of tables of one row each, side by side."""
+    out = rows[0].withColumn("__one", F.lit(1))
+    for r in rows[1:]:
+        out = out.join(r.withColumn("__one", F.lit(1)), "__one")
+    return out.drop("__one")
+
+
 def span_boxes(rows: DataFrame, pad: int = 2) -> DataFrame:
     """rows (text, start, found, x0, x1, y0, y1) with the span's share of the line's box, one character to each side, padded and clipped to the line."""
     n = F.greatest(F.length("text"), F.lit(1))

@@ -256,3 +256,15 @@ _date = "'0' || CAST(n AS VARCHAR) || '/10/2026'"
 ORACLES["phrase_readings"] = _with("phrases", _labels, f"SELECT doc, line_no, role, no AS denied, CASE WHEN has_a THEN a END AS amount, CASE WHEN has_n THEN CAST(n AS INT) END AS count, CASE WHEN has_w THEN w WHEN has_k THEN 1000 * n END AS measure, CASE WHEN has_d THEN {_date} END AS date FROM phrases JOIN label USING (shape)")
 ORACLES["phrase_candidates"] = _with("phrases", _labels, " UNION ALL ".join(f"SELECT doc, line_no, {f} AS field, CAST({v} AS VARCHAR) AS value FROM phrases JOIN label USING (shape) WHERE NOT no AND {when}" for f, v, when in (
     ("role", "a", "role IS NOT NULL AND has_a"), ("'panel_count'", "n", "of_panel AND has_n"), ("'panel_wattage'", "w", "of_panel AND has_w"), ("'system_size'", "1000 * n", "of_size AND has_k"), ("'quote_date'", _date, "has_d"))))
+
+_term_rows = (
+    r"words AS (SELECT item_id, list_slice(regexp_extract_all(text, '[\p{L}\p{N}]+'), 1, 3) AS w FROM benchmark)",
+    "term AS (SELECT DISTINCT CASE WHEN item_id % 2 = 1 THEN 'keep' ELSE 'deny' END AS kind, array_to_string(w, ' ') AS term, ' ' || lower(array_to_string(w, '  ')) || ' ' AS shape FROM words WHERE len(w) > 0)",
+    r"""apart AS (SELECT doc_id, text, '  ' || regexp_replace(regexp_replace(lower(text), '([^\p{L}\p{N}_\s,.])', ' \1 ', 'g'), '[\s,.]+', '  ', 'g') || '  ' AS t FROM documents WHERE text IS NOT NULL)""",
+    "found AS (SELECT doc_id, kind, term, CAST((length(t) - length(replace(t, shape, ''))) / length(shape) AS BIGINT) AS n FROM apart JOIN term ON contains(t, shape))",
+)
+ORACLES["term_spans"] = _with("", *_term_rows, "SELECT doc_id, kind, term, n FROM found")
+_any_personal = " OR ".join(f"regexp_matches(text, '{p}')" for p in PERSONAL.values())
+ORACLES["mask_audit"] = _with("", *_term_rows, f"SELECT count(*) AS n_texts, count_if({_any_personal} OR doc_id IN (SELECT doc_id FROM found WHERE kind = 'deny')) AS n_masked, 0 AS n_survivors FROM apart")
+_all_spans = " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in [*PERSONAL.values(), *PROTECTED.values()])
+ORACLES["pii_in_conversations"] = f"SELECT conv_id, count(text) AS n_texts, CAST(coalesce(sum({_all_spans}), 0) AS BIGINT) AS n_spans FROM conversations GROUP BY conv_id"

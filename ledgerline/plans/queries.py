@@ -357,10 +357,28 @@ def pii_spans(spark, sf):
     return pii.pii_spans(base_table(spark, sf, "documents"))
 
 
+def _terms(spark, sf):
+    """Terms from the first three words of each benchmark item: denied for even items, kept for odd ones."""
+    words = F.slice(F.regexp_extract_all("text", F.lit("([\\p{L}\\p{N}]+)"), 1), 1, 3)
+    lines = base_table(spark, sf, "benchmark").select(F.concat(F.when(F.col("item_id") % 2 == 1, "keep: ").otherwise(""), F.array_join(words, " ")).alias("text"))
+    return readers.parse_terms(lines)
+
+
+@query
+def term_spans(spark, sf):
+    return pii.term_spans(base_table(spark, sf, "documents"), _terms(spark, sf)).groupBy("doc_id", "kind", "term").agg(F.count("*").alias("n"))
+
+
+@query
+def mask_audit(spark, sf):
+    return pii.mask_audit(base_table(spark, sf, "documents"), _terms(spark, sf)).select("n_texts", "n_masked", "n_survivors")
+
+
 @query
 def pii_in_conversations(spark, sf):
-    c = base_table(spark, sf, "conversations")
-    return pii.pii_spans(c, keys=("conv_id", "turn")).groupBy("kind").agg(F.count("*").alias("n"))
+    c, keys = base_table(spark, sf, "conversations"), ("conv_id", "turn")
+    both = pii.pii_spans(c, keys=keys).unionByName(pii.spans(c, {k: pii.PROTECTED[k] for k in ("capacity", "amount", "percent", "date")}, keys))
+    return base_table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("text").alias("n_texts")).join(both.groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id", "left").select("conv_id", "n_texts", F.coalesce("n", F.lit(0)).alias("n_spans"))
 
 
 @query
@@ -370,8 +388,8 @@ def protected_spans(spark, sf):
 
 @query
 def masked_documents(spark, sf):
-    d = base_table(spark, sf, "documents")
-    return d.select("doc_id", F.md5(pii.mask_text(F.col("text")).cast("binary")).alias("masked_md5"))
+    d = pii.mask_documents(base_table(spark, sf, "documents").select("doc_id", "text"))
+    return d.select("doc_id", F.md5(F.col("masked").cast("binary")).alias("masked_md5"))
 
 
 @query
