@@ -36,7 +36,7 @@ CACHE_BYTES = 32 << 20
 """Word ids kept by a worker: up to twice as much for each of the two kinds of words (with and without a space before), 128 MB in all."""
 ENTRY_BYTES = 200
 END_ID = 0
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 """Text encoded at once; one longer text makes a slice by itself. Smaller slices and caches take less memory and more time, with the same ids."""
 BROADCAST_CHUNKS = 1_000_000
 """Bases (12 bytes a chunk) go to all tasks up to so many chunks; beyond, rows and bases meet in a shuffle join."""
