@@ -13,12 +13,19 @@ BUCKETS = (0, 50, 60, 70, 80, 90, 95)
 
 
 def score_fields(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """doc, field, status over the full outer join of pred (value, conflict) and truth (value; null = not stated)."""
-    j = pred.withColumnRenamed("value", "said").join(truth.select("doc", "field", F.col("value").alias("stated"), F.lit(True).alias("labelled")), ["doc", "field"], "full_outer")
-    conflict, said, stated = F.coalesce("conflict", F.lit(False)), F.col("said").isNotNull(), F.col("stated").isNotNull()
+    """doc, field, status over the full outer join of pred (value, conflict) and truth (value; null = not stated), any number of rows a field.
+
+    A field is correct if its values and the label's are the same ones equally often, by what they measure (3 kW is 3000 W), in any order. A null value says nothing;
+    a conflict on any row is one of the field.
+    """
+    keys = F.array_sort(F.collect_list("__k"))
+    said = T.with_comparable(pred.select("doc", "field", "value", "conflict")).groupBy("doc", "field").agg(keys.alias("__said"), F.max("conflict").alias("conflict"))
+    label = T.with_comparable(truth.select("doc", "field", "value")).groupBy("doc", "field").agg(keys.alias("__stated"))
+    j = said.join(label, ["doc", "field"], "full_outer")
+    conflict, has, stated = F.coalesce("conflict", F.lit(False)), F.coalesce(F.size("__said") > 0, F.lit(False)), F.size("__stated") > 0
     status = (
-        F.when(F.col("labelled").isNull(), "not_labelled").when(~stated, F.when(said | conflict, "falsely_populated").otherwise("abstained"))
-        .when(conflict, "conflict_flagged").when(~said, "missing").when(F.col("said") == F.col("stated"), "correct").otherwise("wrong")
+        F.when(F.col("__stated").isNull(), "not_labelled").when(~stated, F.when(has | conflict, "falsely_populated").otherwise("abstained"))
+        .when(conflict, "conflict_flagged").when(~has, "missing").when(F.col("__said") == F.col("__stated"), "correct").otherwise("wrong")
     )
     return j.select("doc", "field", status.alias("status"))
 
@@ -101,6 +108,32 @@ def recheck_findings(operands: DataFrame) -> DataFrame:
     return wide.select("quote_id", F.when(F.abs(expected - F.col("total")) <= 1, "agree").otherwise("disagree").alias("result"))
 
 
+FORMULAS = (
+    # check, operand, weight, from, to: each operand adds weight * (what of it lies between from and to; all of it without bounds)
+    *[("C1", o, w, None, None) for o, w in (("panel_watts", 0.001), ("stated_kw", -1))],
+    *[("C2_general", "dc_kw", w, a, b) for w, a, b in ((30_000, 0, 2), (18_000, 2, 3))], ("C2_general", "subsidy", -1, None, None),
+    *[("C2_special", "dc_kw", w, a, b) for w, a, b in ((33_000, 0, 2), (19_800, 2, 3))], ("C2_special", "subsidy", -1, None, None),
+    *[("C3a", o, w, None, None) for o, w in (("base", 1), ("gst", 1), ("charge_inside", 1), ("discount", -1), ("total", -1))],
+    *[("C3b", o, w, None, None) for o, w in (("total", 1), ("central", -1), ("state_subsidy", -1), ("combined", -1), ("net", -1))],
+)
+TOLERANCE = {"C1": 0.01, "C2_general": 1, "C2_special": 1, "C3a": 1, "C3b": 1}
+
+
+def recheck_long(operands: DataFrame, findings: DataFrame, formulas: DataFrame | None = None) -> DataFrame:
+    """set, check, n_agree, n_disagree: findings (set, doc, check, status consistent or not) computed again from long operands (doc, check, operand, value).
+
+    A check's formula is rows, not code: the sum over its operands, several of one name adding up, has to be within TOLERANCE of zero. Operands without a formula
+    row, and nulls, add nothing; findings without operands are left out.
+    """
+    spark = operands.sparkSession
+    formulas = formulas or spark.createDataFrame([(c, o, float(w), None if a is None else float(a), None if b is None else float(b), float(TOLERANCE[c])) for c, o, w, a, b in FORMULAS], "check string, operand string, weight double, from_ double, to_ double, tolerance double")
+    part = F.when(F.col("from_").isNull(), F.col("value")).otherwise(F.greatest(F.lit(0.0), F.least(F.col("value"), F.col("to_")) - F.col("from_")))
+    sums = operands.where("value is not null").withColumn("value", F.col("value").cast("double")).join(formulas, ["check", "operand"]).groupBy("doc", "check").agg(F.abs(F.sum(F.col("weight") * part)).alias("off"), F.max("tolerance").alias("tolerance"))
+    again = sums.select("doc", "check", (F.col("off") <= F.col("tolerance") + 1e-9).alias("holds"))
+    agree = F.col("holds") == (F.col("status") == "consistent")
+    return findings.join(again, ["doc", "check"]).groupBy("set", "check").agg(F.count_if(agree).alias("n_agree"), F.count_if(~agree).alias("n_disagree"))
+
+
 def operands_in_text(operands: DataFrame, texts: DataFrame) -> DataFrame:
     """Whether each (doc, value) is among the numbers of its own document's text."""
     numbers = texts.select("doc", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", ",", ""), F.lit("([0-9]+)"), 1))).alias("value")).distinct()

@@ -139,28 +139,101 @@ def amount_rows(grid: DataFrame, threshold: int = 50) -> DataFrame:
     return out.where("role is not null and amount is not null")
 
 
-def evidence_boxes(facts: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc, page, fact_id, boxes: for each piece of a fact's evidence (split at line ends), the boxes of the page's lines with that text."""
+def evidence_boxes(facts: DataFrame, lines: DataFrame, table_rows: DataFrame | None = None) -> DataFrame:
+    """doc, page, fact_id, boxes: for each piece of a fact's evidence (split at line ends), the boxes of the page's lines, or table rows, with that text.
+
+    table_rows: doc, page, text (the cells' texts joined by " | "), row and box, as row_boxes gives them.
+    """
     tidy = lambda c: T.squeeze(c)
     pieces = facts.select("doc", "page", "fact_id", F.posexplode(F.split("evidence", "\n")).alias("n", "piece")).select("doc", "page", "fact_id", "n", tidy(F.col("piece")).alias("k")).where("k <> ''")
-    found = pieces.join(lines.select("doc", "page", tidy(F.col("text")).alias("k"), "line_no", "x0", "y0", "x1", "y1"), ["doc", "page", "k"])
-    return found.groupBy("doc", "page", "fact_id").agg(F.array_sort(F.collect_list(F.struct("n", "line_no", "x0", "y0", "x1", "y1"))).alias("boxes"))
+    box = ["x0", "y0", "x1", "y1"]
+    places = lines.select("doc", "page", tidy(F.col("text")).alias("k"), F.col("line_no").cast("long").alias("line_no"), *box)
+    if table_rows is not None:
+        places = places.unionByName(table_rows.select("doc", "page", tidy(F.col("text")).alias("k"), F.col("row").cast("long").alias("line_no"), *box))
+    found = pieces.join(places, ["doc", "page", "k"])
+    return found.groupBy("doc", "page", "fact_id").agg(F.array_sort(F.collect_list(F.struct("n", "line_no", *box))).alias("boxes"))
+
+
+def row_boxes(cells: DataFrame) -> DataFrame:
+    """doc, page, table, row, text, x0, y0, x1, y1: table rows as evidence quotes them, with the box around their cells (col, text and box)."""
+    ordered = F.array_sort(F.collect_list(F.struct("col", F.trim("text").alias("t"))))
+    text = F.array_join(F.filter(F.transform(ordered, lambda x: x["t"]), lambda x: x != ""), " | ")
+    return cells.groupBy("doc", "page", "table", "row").agg(text.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+GRID = 64
+"""Side of the squares into which pages are cut to find boxes that overlap, in the boxes' unit."""
+
+
+def overlapping(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ("doc", "page"), grid: float = GRID) -> DataFrame:
+    """Pairs of rows of a and b (aliases a and b) that share `on` and whose boxes x0, y0, x1, y1 overlap.
+
+    Boxes meet in the squares that they touch, by an equi-join, and a pair counts only in the first square that both touch: no pair comes twice and
+    no page is paired with itself. A box over many squares has a row in each.
+    """
+
+    def squares(df: DataFrame, own: str) -> DataFrame:
+        cell = lambda c: F.floor(F.col(c) / grid).cast("int")
+        rows = df.where("x1 > x0 and y1 > y0").withColumns({f"__{own}x": cell("x0"), f"__{own}y": cell("y0")})
+        rows = rows.withColumn("__gx", F.explode(F.sequence(cell("x0"), F.ceil(F.col("x1") / grid).cast("int") - 1)))
+        return rows.withColumn("__gy", F.explode(F.sequence(cell("y0"), F.ceil(F.col("y1") / grid).cast("int") - 1))).alias(own)
 
+    same = (F.col("a.__gx") == F.col("b.__gx")) & (F.col("a.__gy") == F.col("b.__gy"))
+    for k in on:
+        same &= F.col(f"a.{k}") == F.col(f"b.{k}")
+    first = (F.col("a.__gx") == F.greatest("a.__ax", "b.__bx")) & (F.col("a.__gy") == F.greatest("a.__ay", "b.__by"))
+    touch = (F.least("a.x1", "b.x1") > F.greatest("a.x0", "b.x0")) & (F.least("a.y1", "b.y1") > F.greatest("a.y0", "b.y0"))
+    return squares(a, "a").join(squares(b, "b"), same & first & touch)
 
-def gate_answers(answers: DataFrame, lines: DataFrame) -> DataFrame:
-    """answers (doc, page, answer_id, field, raw, confidence) with kept and why: low_confidence, unparsed, not_on_page, negated."""
-    ev = evidence_lines(answers, lines)
-    out = answers.join(ev, ["doc", "page", "answer_id"], "left")
-    parsed = T.parse_amount(F.col("raw"))["parse_status"] == "ok"
-    why = F.when(F.col("confidence") < 50, "low_confidence").when(~parsed, "unparsed").when(F.col("evidence").isNull(), "not_on_page").when(T.denied(F.col("evidence")), "negated")
-    return out.withColumn("why", why).withColumn("kept", F.col("why").isNull())
 
+def evidence_lines(answers: DataFrame, lines: DataFrame, grid: float = GRID) -> DataFrame:
+    """doc, page, answer_id, evidence, least (their lowest confidence): the lines an answer (raw, and x0, y0, x1, y1 or nulls) stands on.
 
-def evidence_lines(answers: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc, page, answer_id, evidence: lines of the page whose loose text contains the answer's."""
-    j = answers.select("doc", "page", "answer_id", T.loose_key(F.col("raw")).alias("__k")).join(lines.select("doc", "page", "line_no", "text", T.loose_key(F.col("text")).alias("__t")), ["doc", "page"])
-    hit = j.where((F.col("__k") != "") & F.contains("__t", "__k"))
-    return hit.groupBy("doc", "page", "answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ").alias("evidence"))
+    With a box, the lines that it overlaps, from top to bottom, if their joined loose text holds the answer's; without one, the lines that hold it.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    for c in box:
+        if c not in answers.columns:
+            answers = answers.withColumn(c, F.lit(None).cast("double"))
+    asked = answers.select("doc", "page", "answer_id", T.loose_key(F.col("raw")).alias("wanted"), *box).where("wanted <> ''")
+    if not set(box) <= set(lines.columns):
+        lines = lines.withColumns({"x0": F.lit(0), "y0": F.col("line_no"), "x1": F.lit(1), "y1": F.col("line_no") + 1})
+    shown = lines.select("doc", "page", "line_no", "text", "confidence" if "confidence" in lines.columns else F.lit(100).alias("confidence"), *box)
+    line = F.struct("y0", "x0", "line_no", T.squeeze(F.col("text")).alias("text"), "confidence").alias("line")
+    boxed = overlapping(asked.where("x0 is not null"), shown.withColumn("line", line), grid=grid).select("a.doc", "a.page", "a.answer_id", "a.wanted", "b.line")
+    loose = asked.where("x0 is null").drop(*box).join(shown.withColumns({"line": line, "__t": T.loose_key(F.col("text"))}), ["doc", "page"]).where(F.contains("__t", "wanted")).select("doc", "page", "answer_id", "wanted", "line")
+    per = boxed.unionByName(loose).groupBy("doc", "page", "answer_id", "wanted").agg(F.array_sort(F.collect_list("line")).alias("ls"))
+    per = per.where(F.contains(T.loose_key(F.array_join("ls.text", "")), F.col("wanted")))
+    return per.select("doc", "page", "answer_id", F.array_join("ls.text", "\n").alias("evidence"), F.array_min("ls.confidence").alias("least"))
+
+
+def gate_answers(answers: DataFrame, lines: DataFrame, threshold: int = 50, grid: float = GRID) -> DataFrame:
+    """answers (doc, page, answer_id, raw, confidence, and as known field, kind and a box) with kept, why, evidence and the raw text that counts.
+
+    kind: amount (where there is none), capacity, count, registration, dcr or text. why, the first of: low_confidence, unparsed (also where only a line's value would
+    read and there is no line), not_on_page, low_confidence of a line, negated, not_an_amount_on_its_line, input_not_output (inverter_rating), gstin, unparsed.
+    """
+    for name, kind in (("kind", "amount"), ("field", "")):
+        if name not in answers.columns:
+            answers = answers.withColumn(name, F.lit(kind))
+    raw, is_ = F.col("raw"), lambda *k: F.col("kind").isin(*k)
+    parses = F.when(is_("amount"), T.parse_amount(raw)["parse_status"] == "ok").when(is_("capacity"), T.parse_capacity(raw)["parse_status"] == "ok").when(is_("count"), T.parse_count(raw).isNotNull()).otherwise(T.squeeze(raw) != "")
+    count = F.coalesce(T.one_count(raw), F.regexp_extract(F.lower(raw), "^\\s*([0-9]{1,3})\\s*(?:solar\\s+)?(?:panels?|modules?)\\s*$", 1).try_cast("int"))
+    typed = F.when(is_("amount"), T.one_amount(raw).cast("string")).when(is_("capacity"), F.concat(T.one_measure(raw, ("kwp", "kw", "wp", "w", "kva")).cast("string"), F.lit(" W"))).when(is_("count"), count.cast("string"))
+    read = answers.select(*answers.columns, F.inline(F.array(F.struct(parses.alias("__ok"), typed.alias("__typed"))))).withColumn("__raw", F.when(F.col("__ok"), raw).otherwise(F.coalesce("__typed", raw)))
+    out = read.join(evidence_lines(answers, lines, grid), ["doc", "page", "answer_id"], "left")
+    ev = F.col("evidence")
+    on_line = T.line_amounts(ev)
+    off_line = ~F.array_contains(on_line, T.parse_amount(F.col("__raw"))["parsed"]) | ((F.col("field") == "subsidy") & (F.size(on_line) > 1) & (T.subsidy_kind(ev) == "combined"))
+    text = F.lower(ev)
+    checks = F.struct(T.denied(ev).alias("no"), F.coalesce(off_line, F.lit(True)).alias("off"), (text.rlike("\\b(?:input|max(?:imum)?|pv|dc)\\b") & ~text.rlike("\\b(?:rated|output|ac)\\b")).alias("input"))
+    out = out.select(*out.columns, F.inline(F.array(checks)))
+    why = (
+        F.when(F.col("confidence") < threshold, "low_confidence").when(~F.coalesce("__ok", F.lit(False)) & (F.col("__typed").isNull() | ev.isNull()), "unparsed").when(ev.isNull(), "not_on_page").when(F.col("least") < threshold, "low_confidence")
+        .when(F.col("no"), "negated").when(is_("amount") & F.col("off"), "not_an_amount_on_its_line").when((F.col("field") == "inverter_rating") & F.col("input"), "input_not_output")
+        .when(is_("registration") & F.upper(F.regexp_replace(raw, "\\s", "")).rlike(f"^{T.GST_ID}$"), "gstin").when(is_("dcr") & T.dcr_statement(F.concat_ws("\n", raw, ev)).isNull(), "unparsed")
+    )
+    return out.select(*answers.columns, "evidence", F.col("__raw").alias("value"), why.alias("why"), why.isNull().alias("kept"))
 
 
 def line_flags(lines: DataFrame) -> DataFrame:
@@ -205,8 +278,9 @@ def resolve_occurrences(cands: DataFrame) -> DataFrame:
 
 
 def distinct_values(cands: DataFrame) -> DataFrame:
-    """First evidence of each distinct value of a field."""
-    return cands.withColumn("r", F.row_number().over(Window.partitionBy("doc", "field", "value").orderBy("pos"))).where("r = 1").drop("r")
+    """First evidence of each distinct value of a field; values that measure the same are one."""
+    first = F.row_number().over(Window.partitionBy("doc", "field", "__k").orderBy("pos", "value"))
+    return T.with_comparable(cands).withColumn("r", first).where("r = 1").drop("r", "__k")
 
 
 def attach_provenance(values: DataFrame, claims: DataFrame) -> DataFrame:
@@ -255,11 +329,32 @@ def extract_pages(lines: DataFrame, grid: DataFrame, threshold: int = 50) -> Dat
 def bind_items(rows: DataFrame, loose: DataFrame) -> DataFrame:
     """loose (doc, field, value) against table rows (doc, field, value): confirmed, conflict where rows have the field, fill where there are none."""
     has = rows.select("doc", "field", F.lit(True).alias("has")).distinct()
-    same = rows.select("doc", "field", "value", F.lit(True).alias("same")).distinct()
-    out = loose.join(has, ["doc", "field"], "left").join(same, ["doc", "field", "value"], "left")
+    same = T.with_comparable(rows).select("doc", "field", "__k", F.lit(True).alias("same")).distinct()
+    out = T.with_comparable(loose).join(has, ["doc", "field"], "left").join(same, ["doc", "field", "__k"], "left")
     return out.select("doc", "field", "value", F.when(F.col("same"), "confirmed").when(F.col("has"), "conflict").otherwise("fill").alias("binding"))
 
 
+def bind_loose(rows: DataFrame, loose: DataFrame) -> DataFrame:
+    """doc, item, field, value, binding: table rows (doc, item, field, value) with the loose answers (doc, field, nth, value) bound to them.
+
+    row: as the table has it. A loose value equal to some row's confirms it and gives no row of its own. Else it is a conflict on each item of the document that has the field,
+    and fills the field of the only item if that lacks it. Where a document has no table rows, the nth answers of all fields make the nth item: paired,
+    or conflict where a field has several different nth answers. Values that measure the same are equal.
+    """
+    mine, said = (T.with_comparable(df.where("value is not null")) for df in (rows, loose))
+    items = mine.groupBy("doc").agg(F.count_distinct("item").alias("n_items"), F.min("item").alias("only"))
+    apart = said.join(mine.select("doc", "field", "__k").distinct(), ["doc", "field", "__k"], "left_anti").join(items, "doc").select("doc", "field", "value", "__k", "n_items", "only").dropDuplicates(["doc", "field", "__k"])
+    clash = apart.join(mine.select("doc", "item", "field").distinct(), ["doc", "field"]).select("doc", "item", "field", "value", F.lit("conflict").alias("binding"))
+    fills = apart.where("n_items = 1").join(mine.select("doc", "field").distinct(), ["doc", "field"], "left_anti")
+    n = F.count("*").over(Window.partitionBy("doc", "field"))
+    fills = fills.withColumn("__n", n).select("doc", F.col("only").alias("item"), "field", "value", F.when(F.col("__n") > 1, "conflict").otherwise("filled").alias("binding"))
+    free = said.join(items.select("doc"), "doc", "left_anti").dropDuplicates(["doc", "field", "nth", "__k"])
+    several = F.count("*").over(Window.partitionBy("doc", "field", "nth")) > 1
+    paired = free.select("doc", F.col("nth").cast(rows.schema["item"].dataType).alias("item"), "field", "value", F.when(several, "conflict").otherwise("paired").alias("binding"))
+    own = mine.select("doc", "item", "field", "value", F.lit("row").alias("binding"))
+    return own.unionByName(clash).unionByName(fills).unionByName(paired)
+
+
 def verify_evidence(facts: DataFrame, page_texts: DataFrame) -> DataFrame:
     """facts (doc, page, evidence) with status: text_matched, mismatch, or not_machine_verified where the page has no text."""
     pages = page_texts.select("doc", "page", T.evidence_key(F.col("text")).alias("__t"))

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions import text as T
+from ledgerline.operators.ordered import ordered_fold
+
 
 def merge_fields(facts: DataFrame, keys: tuple[str, ...] = ("doc", "field")) -> DataFrame:
-    """keys, value (null in conflict), conflict, n_values, candidates: one distinct value stands, more or a flagged one conflict."""
-    distinct = F.array_sort(F.collect_set("value"))
-    flagged = F.coalesce(F.max("flagged"), F.lit(False))
-    out = facts.groupBy(*keys).agg(distinct.alias("candidates"), flagged.alias("flagged"))
+    """keys, value (null in conflict), conflict, n_values, candidates: one distinct value stands, more or a flagged one conflict.
+
+    Values are compared by what they measure: 3 kW and 3000 W are one value, which shows as the least of its spellings.
+    """
+    spelled = T.with_comparable(facts.select(*keys, "value", "flagged")).groupBy(*keys, "__k").agg(F.min("value").alias("value"), F.max("flagged").alias("flagged"))
+    out = spelled.groupBy(*keys).agg(F.array_sort(F.collect_list("value")).alias("candidates"), F.coalesce(F.max("flagged"), F.lit(False)).alias("flagged"))
     conflict = (F.size("candidates") > 1) | F.col("flagged")
     return out.select(*keys, F.when(~conflict, F.get("candidates", F.lit(0))).alias("value"), conflict.alias("conflict"), F.size("candidates").alias("n_values"), F.array_join("candidates", "|").alias("candidates"))
 
@@ -54,20 +59,18 @@ def merge_quotes(facts: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 def plan_batches(pages: DataFrame, max_pages: int = 5, limit: int = 20_000_000) -> DataFrame:
-    """doc, page, batch (null: rejected, the page alone is over the limit): pages in order, greedy, at most max_pages and limit bytes each."""
-    ordered = F.array_sort(F.collect_list(F.struct("page", "bytes")))
-    start = F.struct(F.lit(1).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("size"), F.array().cast("array<struct<page:bigint,batch:int>>").alias("out"))
-
-    def step(s, p):
-        too_big = p["bytes"] > limit
-        new = (s["n"] > 0) & ((s["n"] >= max_pages) | (s["size"] + p["bytes"] > limit))
-        batch = F.when(new, s["batch"] + 1).otherwise(s["batch"])
-        placed = F.struct(
-            batch.alias("batch"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, p["bytes"]).otherwise(s["size"] + p["bytes"]).alias("size"),
-            F.concat(s["out"], F.array(F.struct(p["page"].cast("bigint").alias("page"), batch.alias("batch")))).alias("out"),
-        )
-        rejected = F.struct(s["batch"].alias("batch"), s["n"].alias("n"), s["size"].alias("size"), F.concat(s["out"], F.array(F.struct(p["page"].cast("bigint").alias("page"), F.lit(None).cast("int").alias("batch")))).alias("out"))
-        return F.when(too_big, rejected).otherwise(placed)
-
-    plan = pages.select("doc", "page", F.col("bytes").cast("long").alias("bytes")).groupBy("doc").agg(F.aggregate(ordered, start, step, lambda s: s["out"]).alias("p"))
-    return plan.select("doc", F.inline("p"))
+    """doc, page, batch (null: rejected, the page alone is over the limit): pages in order, greedy, at most max_pages and limit bytes each.
+
+    A document's pages pass in order with its last batch as carry, so its size is no matter. Null bytes count as none.
+    """
+
+    def step(state: tuple, page: int, size: int) -> tuple[tuple, int | None]:
+        batch, n, total = state
+        if size > limit:
+            return state, None
+        if n and (n >= max_pages or total + size > limit):
+            batch, n, total = batch + 1, 0, 0
+        return (batch, n + 1, total + size), batch
+
+    rows = pages.select("doc", "page", F.coalesce(F.col("bytes").cast("long"), F.lit(0)).alias("bytes"))
+    return ordered_fold(rows, ["doc"], ["page", "bytes"], lambda doc: (1, 0, 0), step, "batch int").drop("bytes")

@@ -20,6 +20,53 @@ def apply_corrections(facts: DataFrame, corrections: DataFrame) -> tuple[DataFra
     return fixed, corrections.join(facts.select("doc", "field").distinct(), ["doc", "field"], "left_anti")
 
 
+# What a correction's path may name.
+FIELD_PATHS = "base_price gst_amount discount gross_total subsidy_central subsidy_state subsidy_combined subsidy_unspecified net_cost stated_capacity dcr_declaration vendor_registration".split()
+OWN_TO_OPTION = [f for f in FIELD_PATHS if f not in ("dcr_declaration", "vendor_registration")]
+ITEM_PATHS = {"module_groups": ("count", "wattage", "make_model"), "inverters": ("make_model", "rating"), "extra_charges": ("label", "amount", "included_in_total")}
+ADDED_CHARGE = "^U(?:[1-9]|10)$"
+
+
+def correct_paths(facts: DataFrame, corrections: DataFrame, options: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts after the corrections; doc, path and reason of those that name nothing).
+
+    facts: doc, option (null: of the whole quotation), list and item (null: a field), field, value, and original and corrected where corrections were applied
+    before. corrections: doc, path, value, at; of one path the last counts. options: doc and option, the one in effect.
+
+    A path is a field, or list[item].field. Prices and sizes go to the option's own fact where there is one, else to the whole quotation's, which is made if it is
+    missing. Items are found by id; charges U1 to U10 are made, for the option in effect. A bare number for a wattage is watts. original is the value before the
+    first correction, whatever comes after, so that the same corrections again change nothing.
+    """
+    for name, kind in (("original", "string"), ("corrected", "boolean")):
+        if name not in facts.columns:
+            facts = facts.withColumn(name, F.lit(None).cast(kind))
+    last = corrections.groupBy("doc", "path").agg(F.max_by("value", F.struct("at", "value")).alias("new"))
+    part = lambda i: F.regexp_extract("path", "^([a-z_]+)\\[([^\\]]+)\\][.]([a-z_]+)$", i)
+    whole = F.col("path").isin(*FIELD_PATHS)
+    paths = last.select("doc", "path", "new", F.nullif(part(1), F.lit("")).alias("list"), F.nullif(part(2), F.lit("")).alias("item"), F.when(whole, F.col("path")).otherwise(F.nullif(part(3), F.lit(""))).alias("field"), whole.alias("__whole"))
+    known = F.col("__whole") | F.coalesce(*[F.when(F.col("list") == k, F.col("field").isin(*v)) for k, v in ITEM_PATHS.items()], F.lit(False))
+    paths = paths.withColumn("__known", known).join(options.select("doc", F.col("option").alias("__option")).dropDuplicates(["doc"]), "doc", "left")
+    own = facts.where("list is null and option is not null").select("doc", F.col("option").alias("__option"), "field", F.lit(True).alias("__own")).distinct()
+    items = facts.where("list is not null").groupBy("doc", "list", "item").agg(F.first("option").alias("__of"), F.lit(True).alias("__there"))
+    paths = paths.join(own, ["doc", "__option", "field"], "left").join(items, ["doc", "list", "item"], "left")
+    added = (F.col("list") == "extra_charges") & F.col("item").rlike(ADDED_CHARGE)
+    reason = F.when(~F.col("__known"), "unknown_path").when(~F.col("__whole") & F.col("__there").isNull() & ~F.coalesce(added, F.lit(False)), "unknown_item")
+    watts = F.when((F.col("field") == "wattage") & F.col("new").rlike("^\\s*[0-9]+(?:[.][0-9]+)?\\s*$"), F.concat(F.trim("new"), F.lit(" W"))).otherwise(F.col("new"))
+    option = F.when(F.col("__whole"), F.when(F.coalesce("__own", F.lit(False)) & F.col("field").isin(*OWN_TO_OPTION), F.col("__option"))).when(F.col("__there"), F.col("__of")).otherwise(F.col("__option"))
+    paths = paths.withColumns({"reason": reason, "new": watts, "option": option})
+    names = ["doc", "option", "list", "item", "field"]
+    target = paths.where("reason is null").select(*[F.col(c).alias(f"__{c}_") for c in names], F.col("new"), F.lit(True).alias("__hit"))
+    on = F.lit(True)
+    for c in names:
+        on &= F.col(c).eqNullSafe(F.col(f"__{c}_"))
+    joined = facts.withColumn("__fact", F.lit(True)).join(target, on, "full_outer")
+    hit = F.coalesce("__hit", F.lit(False))
+    others = [c for c in facts.columns if c not in (*names, "value", "original", "corrected")]
+    was = F.coalesce("corrected", F.lit(False))
+    out = joined.select(*[F.when(F.col("__fact"), F.col(c)).otherwise(F.col(f"__{c}_")).alias(c) for c in names], F.when(hit, F.col("new")).otherwise(F.col("value")).alias("value"), *others, F.when(hit & ~was, F.col("value")).otherwise(F.col("original")).alias("original"), (hit | was).alias("corrected"))
+    return out, paths.where("reason is not null").select("doc", "path", "reason")
+
+
 def mark_check_this(merged: DataFrame, facts: DataFrame, verified: DataFrame) -> DataFrame:
     """doc, field, reasons in order: conflict, low_confidence, source_rule. A verified (doc, field) leaves only a conflict."""
     per = facts.groupBy("doc", "field").agg(F.min("confidence").alias("least"), F.max(F.col("rule").isin(*RISKY_RULES)).alias("risky"))

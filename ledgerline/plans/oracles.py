@@ -137,7 +137,7 @@ ORACLES |= {
     "fact_provenance": _with("facts", "SELECT doc, field, value, coalesce(string_agg(DISTINCT rule, ',' ORDER BY rule) FILTER (rule <> 'unmatched'), 'unmatched') AS rules, min(confidence) FILTER (rule <> 'unmatched') AS confidence FROM facts GROUP BY doc, field, value"),
     "item_bindings": _with("facts", "r AS (SELECT DISTINCT doc, field, value FROM facts WHERE batch = 1)", "SELECT CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.doc = f.doc AND r.field = f.field AND r.value = f.value) THEN 'confirmed' WHEN EXISTS (SELECT 1 FROM r WHERE r.doc = f.doc AND r.field = f.field) THEN 'conflict' ELSE 'fill' END AS binding, count(*) AS n FROM facts f WHERE batch = 2 GROUP BY 1"),
     "evidence_status": "SELECT CASE WHEN o_orderkey % 5 = 0 AND NOT (floor(o_totalprice) = 1) THEN 'mismatch' ELSE 'text_matched' END AS evidence_status, 6 * count(*) AS n FROM orders GROUP BY 1",
-    "answer_gate": _with("lines", "p AS (SELECT doc, bool_or(contains(replace(text, ' ', ''), '999')) AS there FROM lines GROUP BY doc)", "SELECT why, why IS NULL AS kept, count(*) AS n FROM (SELECT CASE WHEN confidence < 50 THEN 'low_confidence' WHEN doc % 3 = 2 OR doc % 3 = 1 AND line_no <> 1 THEN 'unparsed' WHEN doc % 3 = 0 AND NOT there THEN 'not_on_page' END AS why FROM lines JOIN p USING (doc)) GROUP BY why"),
+    "answer_gate": _with("lines", "p AS (SELECT doc, min(confidence) FILTER (contains(replace(text, ' ', ''), '999')) AS least FROM lines GROUP BY doc)", "SELECT why, why IS NULL AS kept, count(*) AS n FROM (SELECT CASE WHEN confidence < 50 THEN 'low_confidence' WHEN doc % 3 = 2 OR doc % 3 = 1 AND line_no <> 1 THEN 'unparsed' WHEN doc % 3 = 0 AND least IS NULL THEN 'not_on_page' WHEN doc % 3 = 0 AND least < 50 THEN 'low_confidence' WHEN doc % 3 = 0 THEN 'not_an_amount_on_its_line' END AS why FROM lines JOIN p USING (doc)) GROUP BY why"),
     "merge_fields": _with("facts", "SELECT doc, field, CASE WHEN count(DISTINCT value) = 1 AND NOT bool_or(flagged) THEN min(value) END AS value, count(DISTINCT value) > 1 OR bool_or(flagged) AS conflict, count(DISTINCT value) AS n_values, string_agg(DISTINCT value, '|' ORDER BY value) AS candidates FROM facts GROUP BY doc, field"),
     "merge_alternatives": _with("facts", "SELECT doc, field, string_agg(value, '|' ORDER BY pos) AS alternatives FROM (SELECT doc, field, value, min(pos) AS pos FROM facts GROUP BY ALL) GROUP BY doc, field"),
     "match_items": _with("facts", "g AS (SELECT DISTINCT doc, batch FROM facts)", "w AS (SELECT DISTINCT doc, value FROM facts)", "n AS (SELECT w.doc, w.value, g.batch, (SELECT count(*) FROM facts f WHERE f.doc = w.doc AND f.value = w.value AND f.batch = g.batch) AS n FROM w JOIN g USING (doc))", "SELECT doc, value, min(n) = max(n) AS matched, unnest(range(1, max(n) + 1)) AS nth FROM n GROUP BY doc, value"),
@@ -268,3 +268,36 @@ _any_personal = " OR ".join(f"regexp_matches(text, '{p}')" for p in PERSONAL.val
 ORACLES["mask_audit"] = _with("", *_term_rows, f"SELECT count(*) AS n_texts, count_if({_any_personal} OR doc_id IN (SELECT doc_id FROM found WHERE kind = 'deny')) AS n_masked, 0 AS n_survivors FROM apart")
 _all_spans = " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in [*PERSONAL.values(), *PROTECTED.values()])
 ORACLES["pii_in_conversations"] = f"SELECT conv_id, count(text) AS n_texts, CAST(coalesce(sum({_all_spans}), 0) AS BIGINT) AS n_spans FROM conversations GROUP BY conv_id"
+
+ORACLES["answer_gate_boxes"] = _with("phrases", _labels, """SELECT doc, line_no AS answer_id, why, why IS NULL AS kept FROM (SELECT doc, line_no, CASE WHEN 40 + a % 60 < 50 THEN 'low_confidence' WHEN a % 7 = 0 THEN 'unparsed' WHEN a % 7 = 1 OR NOT contains(text, CAST(a AS VARCHAR)) THEN 'not_on_page'
+  WHEN no THEN 'negated' WHEN NOT has_a AND text NOT LIKE 'Total Rs % or Rs %' THEN 'not_an_amount_on_its_line' END AS why FROM phrases JOIN label USING (shape))""")
+_paths = (
+    "m AS (SELECT doc, CASE field WHEN 'base' THEN 'base_price' WHEN 'gst' THEN 'gst_amount' WHEN 'total' THEN 'gross_total' ELSE 'net_cost' END AS field, CASE WHEN count(DISTINCT value) = 1 AND NOT bool_or(flagged) THEN min(value) END AS value FROM facts GROUP BY ALL)",
+    "docs AS (SELECT DISTINCT doc FROM facts)",
+)
+ORACLES["corrected_facts"] = _with("facts", *_paths, """e AS (SELECT doc, doc % 3 = 0 AND doc % 4 <> 0 AS hit FROM docs), all_ AS (
+  SELECT doc, NULL AS option, NULL AS list, NULL AS item, field, CASE WHEN field = 'gross_total' AND hit THEN '9' ELSE value END AS value, CASE WHEN field = 'gross_total' AND hit THEN value END AS original, field = 'gross_total' AND hit AS corrected FROM m JOIN e USING (doc)
+  UNION ALL SELECT doc, NULL, NULL, NULL, 'gross_total', '9', NULL, true FROM e WHERE hit AND doc NOT IN (SELECT doc FROM m WHERE field = 'gross_total')
+  UNION ALL SELECT doc, 'A', NULL, NULL, 'gross_total', CASE WHEN doc % 3 = 0 THEN '9' ELSE '7' END, CASE WHEN doc % 3 = 0 THEN '7' END, doc % 3 = 0 FROM docs WHERE doc % 4 = 0
+  UNION ALL SELECT doc, NULL, 'module_groups', 'G1', 'count', CAST(doc % 5 AS VARCHAR), NULL, false FROM docs
+  UNION ALL SELECT doc, NULL, 'module_groups', 'G1', 'wattage', '550 W', NULL, true FROM docs WHERE doc % 5 = 0
+  UNION ALL SELECT doc, CASE WHEN doc % 2 = 0 THEN 'A' END, 'extra_charges', 'U2', 'amount', '100', NULL, true FROM docs WHERE doc % 7 = 0)""", "SELECT * FROM all_")
+ORACLES["correction_errors"] = _with("facts", *_paths, "SELECT doc, 'module_groups[G9].count' AS path, 'unknown_item' AS reason FROM docs WHERE doc % 11 = 0 UNION ALL SELECT doc, 'nothing', 'unknown_path' FROM docs WHERE doc % 13 = 0")
+ORACLES["loose_bindings"] = _with("facts", "r AS (SELECT doc, pos % 4 AS item, field, value FROM facts WHERE batch = 1)", "l AS (SELECT doc, field, pos AS nth, value FROM facts WHERE batch <> 1)",
+    "i AS (SELECT doc, count(DISTINCT item) AS n_items, min(item) AS only_one FROM r GROUP BY doc)", "apart AS (SELECT DISTINCT l.doc, l.field, l.value FROM l JOIN i USING (doc) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc = l.doc AND r.field = l.field AND r.value = l.value))",
+    """b AS (SELECT doc, item, field, 'row' AS binding FROM r UNION ALL SELECT a.doc, x.item, a.field, 'conflict' FROM apart a JOIN (SELECT DISTINCT doc, item, field FROM r) x ON x.doc = a.doc AND x.field = a.field
+    UNION ALL SELECT doc, only_one, field, CASE WHEN count(*) OVER (PARTITION BY doc, field) > 1 THEN 'conflict' ELSE 'filled' END FROM apart a JOIN i USING (doc) WHERE n_items = 1 AND NOT EXISTS (SELECT 1 FROM r WHERE r.doc = a.doc AND r.field = a.field)
+    UNION ALL SELECT doc, nth, field, 'paired' FROM l WHERE doc NOT IN (SELECT doc FROM i))""", "SELECT doc, item, field, binding, count(*) AS n FROM b GROUP BY ALL")
+ORACLES["measured_merge"] = _with("facts", "SELECT doc, field, count(DISTINCT value) > 1 OR bool_or(flagged) AS conflict, CAST(count(DISTINCT value) AS INT) AS n_values FROM facts GROUP BY doc, field")
+_or0 = lambda x: f"coalesce(CAST({x} AS DOUBLE), 0)"
+ORACLES["recheck_agreement"] = _with("quotes items charges", "w AS (SELECT quote_id, sum(n * watt_lo) AS watts FROM items GROUP BY quote_id)", "c AS (SELECT quote_id, sum(amount) AS inside FROM charges WHERE placed = 'inside' GROUP BY quote_id)",
+    f"""t AS (SELECT quote_id, abs({_or0('watts')} / 1000 - {_or0('stated_kw')}) <= 0.01 + 1e-9 AS c1, abs(CASE WHEN stated_kw IS NULL THEN 0 ELSE 30000 * least({_or0('stated_kw')}, 2) + 18000 * greatest(0, least({_or0('stated_kw')}, 3) - 2) END - {_or0('central')}) <= 1 + 1e-9 AS c2,
+    abs({_or0('base')} + {_or0('gst')} + {_or0('inside')} - {_or0('discount')} - {_or0('total')}) <= 1 + 1e-9 AS c3a, abs({_or0('total')} - {_or0('central')} - {_or0('state_subsidy')} - {_or0('combined')} - {_or0('net')}) <= 1 + 1e-9 AS c3b,
+    stated_kw IS NOT NULL OR watts IS NOT NULL AS h1, stated_kw IS NOT NULL OR central IS NOT NULL AS h2, coalesce(base, gst, inside, discount, total) IS NOT NULL AS h3, coalesce(total, central, state_subsidy, combined, net) IS NOT NULL AS h4 FROM quotes LEFT JOIN w USING (quote_id) LEFT JOIN c USING (quote_id))""",
+    "f AS (SELECT quote_id, unnest(['C1', 'C2_general', 'C3a', 'C3b']) AS \"check\", unnest([c1, c2, c3a, c3b]) AS holds, unnest([h1, h2, h3, h4]) AS has FROM t)",
+    "SELECT quote_id % 3 AS \"set\", \"check\", count_if(has AND holds = (quote_id % 4 <> 0)) AS n_agree, count_if(has AND holds <> (quote_id % 4 <> 0)) AS n_disagree FROM f GROUP BY ALL")
+ORACLES["row_evidence"] = _with("cells", "r AS (SELECT doc, page, r_no, string_agg(trim(text), ' | ' ORDER BY col) AS t FROM cells GROUP BY ALL)", "SELECT a.doc, a.r_no AS fact_id, CAST(count(*) AS INT) AS n FROM r a JOIN r b ON a.doc = b.doc AND a.page = b.page AND a.t = b.t GROUP BY ALL")
+ORACLES["complete_jobs"] = """WITH n AS (SELECT doc_id % 50 AS job, doc_id // 50 % 5 + 1 AS batch, max(doc_id) AS id FROM documents GROUP BY ALL),
+r AS (SELECT n.*, CASE WHEN id % 11 = 0 THEN 'old' ELSE 'new' END AS model, lang AS value FROM n JOIN documents ON doc_id = id),
+p AS (SELECT job, arg_max(model, id) AS plan FROM r GROUP BY job)
+SELECT job, string_agg(coalesce(value, '-'), ',' ORDER BY batch) AS "values" FROM r JOIN p USING (job) WHERE model = plan AND batch <= 5 - job % 2 GROUP BY job HAVING count(*) = 5 - job % 2"""

@@ -651,3 +651,97 @@ def stored_sizes(spark, sf):
 def kept_readings(spark, sf):
     d = base_table(spark, sf, "documents").select((F.col("doc_id") % 97).alias("job"), F.col("doc_id").alias("batch"), "text")
     return readers.kept_readings(d, 600, 3000).select("batch", "kept")
+
+
+@query
+def answer_gate_boxes(spark, sf):
+    p = bound(spark, sf, "phrases")
+    lines = p.select("doc", "page", "line_no", "text", "confidence", F.lit(10).alias("x0"), (20 * F.col("line_no")).alias("y0"), F.lit(200).alias("x1"), (20 * F.col("line_no") + 15).alias("y1"))
+    raw = F.when(F.col("a") % 7 == 0, "at actuals").otherwise(F.concat(F.lit("Rs "), F.col("a").cast("string")))
+    left = F.when(F.col("a") % 7 == 1, 500).otherwise(20)
+    answers = p.select("doc", "page", F.col("line_no").alias("answer_id"), raw.alias("raw"), (F.col("a") % 60 + 40).alias("confidence"), left.alias("x0"), (20 * F.col("line_no") + 2).alias("y0"), (left + 50).alias("x1"), (20 * F.col("line_no") + 10).alias("y1"))
+    return extract.gate_answers(answers, lines).select("doc", "answer_id", "why", "kept")
+
+
+def _corrections(spark, sf):
+    names = F.create_map(*[F.lit(x) for pair in (("base", "base_price"), ("gst", "gst_amount"), ("total", "gross_total"), ("net", "net_cost")) for x in pair])
+    none = lambda *cs: [F.lit(None).cast("string").alias(c) for c in cs]
+    f = merge.merge_fields(bound(spark, sf, "facts")).select("doc", *none("option", "list", "item"), names[F.col("field")].alias("field"), "value")
+    docs = f.select("doc").distinct()
+    own = docs.where("doc % 4 = 0").select("doc", F.lit("A").alias("option"), *none("list", "item"), F.lit("gross_total").alias("field"), F.lit("7").alias("value"))
+    items = docs.select("doc", *none("option"), F.lit("module_groups").alias("list"), F.lit("G1").alias("item"), F.lit("count").alias("field"), (F.col("doc") % 5).cast("string").alias("value"))
+    told = (("gross_total", 3, "9"), ("module_groups[G1].wattage", 5, "550"), ("extra_charges[U2].amount", 7, "100"), ("module_groups[G9].count", 11, "1"), ("nothing", 13, "1"))
+    rows = F.array_compact(F.array(*[F.when(F.col("doc") % n == 0, F.struct(F.lit(p).alias("path"), F.lit(v).alias("value"))) for p, n, v in told]))
+    options = docs.select("doc", F.when(F.col("doc") % 2 == 0, "A").alias("option"))
+    return review.correct_paths(f.unionByName(own).unionByName(items), docs.select("doc", F.inline(rows), F.lit(1).alias("at")), options)
+
+
+@query
+def corrected_facts(spark, sf):
+    return _corrections(spark, sf)[0]
+
+
+@query
+def correction_errors(spark, sf):
+    return _corrections(spark, sf)[1]
+
+
+@query
+def loose_bindings(spark, sf):
+    f = bound(spark, sf, "facts")
+    rows = f.where("batch = 1").select("doc", (F.col("pos") % 4).alias("item"), "field", "value")
+    return extract.bind_loose(rows, f.where("batch <> 1").select("doc", "field", F.col("pos").alias("nth"), "value")).groupBy("doc", "item", "field", "binding").agg(F.count("*").alias("n"))
+
+
+@query
+def measured_merge(spark, sf):
+    shown = F.when(F.col("pos") % 3 == 0, F.concat("value", F.lit(" kW"))).when(F.col("pos") % 3 == 1, F.concat("value", F.lit("000 W"))).otherwise(F.concat("value", F.lit(" kWp")))
+    return merge.merge_fields(bound(spark, sf, "facts").withColumn("value", shown)).select("doc", "field", "conflict", "n_values")
+
+
+@query
+def recheck_agreement(spark, sf):
+    q = bound(spark, sf, "quotes")
+    told = {"C3a": ("base", "gst", "discount", "total"), "C3b": ("total", "central", "state_subsidy", "combined", "net"), "C1": ("stated_kw",)}
+    rows = [F.struct(F.lit(c).alias("check"), F.lit(o).alias("operand"), F.col(o).cast("double").alias("value")) for c, os in told.items() for o in os]
+    slab = [F.struct(F.lit("C2_general").alias("check"), F.lit(o).alias("operand"), F.col(c).cast("double").alias("value")) for o, c in (("dc_kw", "stated_kw"), ("subsidy", "central"))]
+    operands = q.select(F.col("quote_id").alias("doc"), F.inline(F.array(*rows, *slab)))
+    panels = bound(spark, sf, "items").select(F.col("quote_id").alias("doc"), F.lit("C1").alias("check"), F.lit("panel_watts").alias("operand"), (F.col("n") * F.col("watt_lo")).cast("double").alias("value"))
+    inside = bound(spark, sf, "charges").where("placed = 'inside'").select(F.col("quote_id").alias("doc"), F.lit("C3a").alias("check"), F.lit("charge_inside").alias("operand"), F.col("amount").cast("double").alias("value"))
+    findings = q.select((F.col("quote_id") % 3).alias("set"), F.col("quote_id").alias("doc"), F.explode(F.array(*map(F.lit, ("C1", "C2_general", "C3a", "C3b")))).alias("check"), F.when(F.col("quote_id") % 4 == 0, "inconsistent").otherwise("consistent").alias("status"))
+    return evaluate.recheck_long(operands.unionByName(panels).unionByName(inside), findings)
+
+
+@query
+def row_evidence(spark, sf):
+    cells = _grid(spark, sf, "cells").withColumns({"x0": 10 * F.col("col"), "x1": 10 * F.col("col") + 9, "y0": 10 * F.col("row"), "y1": 10 * F.col("row") + 9})
+    rows = extract.row_boxes(cells)
+    facts = rows.select("doc", "page", F.col("row").alias("fact_id"), F.regexp_replace("text", " [|] ", "  |  ").alias("evidence"))
+    none = bound(spark, sf, "lines").where("false")
+    return extract.evidence_boxes(facts, none, rows).select("doc", "fact_id", F.size("boxes").alias("n"))
+
+
+@query
+def complete_jobs(spark, sf):
+    at = lambda n: F.col("doc_id") % n
+    d = base_table(spark, sf, "documents").select(at(50).alias("job"), (F.floor(F.col("doc_id") / 50) % 5 + 1).cast("int").alias("batch"), F.lit("1").alias("pages"), F.when(at(11) == 0, "old").otherwise("new").alias("model"), (F.lit(5) - at(2)).cast("int").alias("n_batches"), F.col("lang").alias("value"), F.timestamp_seconds("doc_id").alias("ts"), at(4).alias("epoch"))
+    return jobs.complete_jobs(d).select("job", F.array_join("values", ",", "-").alias("values"))
+
+
+_KINDS = {"signup": "upload", "view": "claim", "click": "finish", "error": "fail", "purchase": "retry"}
+
+
+def _kinds(names: dict[str, str], other: str):
+    return F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in names.items()], F.lit(other))
+
+
+@query
+def job_states(spark, sf):
+    log = bound(spark, sf, "log")
+    return jobs.job_states_batch(log.withColumn("kind", _kinds(_KINDS, "none"))).groupBy("job", "state").agg(F.count("*").alias("n"))
+
+
+@query
+def page_admissions(spark, sf):
+    log = bound(spark, sf, "log").select("event_id", "ts", F.col("job").alias("address"), _kinds({"view": "upload", "click": "sample"}, "typed").alias("kind"), (F.col("value") % 9).cast("int").alias("pages"))
+    return jobs.admit_all(log, {"upload": (2, 200), "sample": (1, 300), "typed": (3, 5000)}, 500).select("event_id", "kind", "pages", "admitted", "refusal")

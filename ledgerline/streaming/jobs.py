@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.ordered import ordered_fold
+
 # Seconds after which a claim is stale, hours that records are kept, seconds a typed session lasts, caps.
 STALE_SECONDS = 900
 ALARM_WINDOW = "5 minutes"
@@ -129,39 +131,131 @@ def audit_log_fields(log: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
 _NEXT = {("awaiting_upload", "upload"): "uploaded", ("uploaded", "claim"): "processing", ("processing", "finish"): "done", ("processing", "fail"): "failed", ("failed", "retry"): "uploaded"}
 
 
-def job_states(events: DataFrame) -> DataFrame:
+def _moved(state: tuple, at: int, kind: str) -> tuple[tuple, str | None]:
+    """(state, since, retries, seen) after an event at second `at`, and the state it moves to, if it does. A job unseen for longer than its record is kept starts anew."""
+    now, since, retries, seen = state
+    if at - seen > 3600 * KEPT_HOURS["job"]:
+        now, since, retries = _FRESH[:3]
+    stale = now == "processing" and kind == "claim" and at - since > STALE_SECONDS
+    new = "processing" if stale else _NEXT.get((now, kind))
+    if new and kind == "retry" and retries >= 2:
+        new = None
+    if new:
+        now, since, retries = new, at, retries + (kind == "retry")
+    return (now, since, retries, max(seen, at)), new
+
+
+_FRESH = ("awaiting_upload", 0, 0, 2**60)
+
+
+def job_states(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Stream of (job, ts, kind) to (job, state, ts) on each legal transition.
 
     States: awaiting_upload, uploaded, processing, done, failed. A claim counts if the job is uploaded, or processing since over
-    STALE_SECONDS; a retry at most twice; anything else is ignored. State is kept by job, in Spark's state store.
+    STALE_SECONDS; a retry at most twice; anything else is ignored. State is kept by job, in Spark's state store (RocksDB), until the watermark is KEPT_HOURS past the
+    job's last event: a timer then removes it. Events of a job count in order of time within a batch. Events without job or time are ignored.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    from pyspark.sql.streaming import StatefulProcessor
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, since, retries = state.get if state.exists else ("awaiting_upload", 0, 0)
-        out = []
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        for ts, kind in zip(rows["ts"], rows["kind"], strict=True):
-            at = int(ts.timestamp())
-            stale = now == "processing" and kind == "claim" and at - since > STALE_SECONDS
-            new = "processing" if stale else _NEXT.get((now, kind))
-            if new and not (kind == "retry" and retries >= 2):
-                now, since, retries = new, at, retries + (kind == "retry")
-                out.append((key[0], now, ts))
-        state.update((now, since, retries))
-        yield pd.DataFrame(out, columns=["job", "state", "ts"])
+    class Jobs(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.job = handle.getValueState("job", "state string, since long, retries int, seen long")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+            state = tuple(self.job.get()) if self.job.exists() else _FRESH
+            all_, out = pd.concat(list(rows)).sort_values(["ts", "kind"], kind="stable"), []
+            for ts, kind in zip(all_["ts"], all_["kind"], strict=True):
+                state, new = _moved(state, int(ts.timestamp()), kind)
+                if new:
+                    out.append((key[0], new, ts))
+            self.job.update(state)
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(1000 * (state[3] + 3600 * KEPT_HOURS["job"] + 1))
+            yield pd.DataFrame(out, columns=["job", "state", "ts"])
+
+        def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:
+            self.job.clear()
+            yield pd.DataFrame([], columns=["job", "state", "ts"])
+
+        def close(self) -> None:
+            pass
+
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = _watermarked(events.where("job is not null and ts is not null").select("job", "ts", "kind"), delay)
+    return rows.groupBy("job").transformWithStateInPandas(Jobs(), "job long, state string, ts timestamp", "Append", "EventTime")
+
+
+def job_states_batch(events: DataFrame) -> DataFrame:
+    """The same transitions from a table of events: each job's events pass in order with its state as carry."""
+    rows = events.where("job is not null and ts is not null").select("job", F.col("ts").cast("timestamp").alias("ts"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("__at"), "kind")
+    step = lambda state, ts, at, kind: _moved(state, at, kind)
+    return ordered_fold(rows, ["job"], ["ts", "kind"], lambda job: _FRESH, step, "state string").where("state is not null").select("job", "state", "ts")
 
-    return events.groupBy("job").applyInPandasWithState(step, "job long, state string, ts timestamp", "state string, since long, retries int", "append", GroupStateTimeout.NoTimeout)
+
+PAGES_PER_DAY = 300
+
+
+def admit_all(requests: DataFrame, caps: dict[str, tuple[int, int]] = CAPS, pages_per_day: int = PAGES_PER_DAY) -> DataFrame:
+    """requests (event_id, ts, address, kind, pages) with admitted and refusal (ip_limit, daily_limit or null): all or nothing, a refused one takes nothing.
+
+    Each kind has its slots for an address and a day and for all of a day (caps), and uploads the day's pages besides. A day's requests of a kind pass in order of time with
+    what has been taken as carry: an entry for each address that was admitted, so never more than the day's slots. Days are UTC's of the session's
+    time zone. Requests without a time or of another kind are refused as daily_limit; null pages are none.
+    """
+
+    def step(state: list, event_id: int, ts, address, pages: int) -> tuple[list, str]:
+        kind, by_address, taken, read = state
+        own, day = caps.get(kind, (0, 0))
+        if own <= 0 and kind in caps:
+            return state, "ip_limit"
+        if day <= 0 or ts is None or ts != ts:
+            return state, "daily_limit"
+        if by_address.get(address, 0) >= own:
+            return state, "ip_limit"
+        if taken >= day or (kind == "upload" and read + pages > pages_per_day):
+            return state, "daily_limit"
+        by_address[address] = by_address.get(address, 0) + 1
+        return [kind, by_address, taken + 1, read + pages * (kind == "upload")], ""
+
+    rows = requests.select(F.to_date("ts").cast("string").alias("__day"), "kind", "event_id", "ts", "address", F.coalesce(F.col("pages").cast("long"), F.lit(0)).alias("pages"))
+    out = ordered_fold(rows, ["__day", "kind"], ["ts", "event_id"], lambda day, kind: [kind, {}, 0, 0], step, "refusal string")
+    return out.select("event_id", "ts", "address", "kind", "pages", (F.col("refusal") == "").alias("admitted"), F.nullif("refusal", F.lit("")).alias("refusal"))
+
+
+READING = "job long, batch int, pages string, model string, n_batches int, value string, ts timestamp"
 
 
 def merge_stream(readings: DataFrame, path: str, checkpoint: str):
-    """Saved page readings upserted by (job, batch): the latest of each batch of events is appended with its epoch, readers take the newest."""
+    """Stream of page readings (READING) kept by (job, batch) under path/readings, and each job whose batches are all in written once under path/ready.
+
+    Every epoch has a folder of its own, which a replay of the epoch writes again: nothing is added twice. The newest reading of a batch counts, if its pages and
+    model are those of the job's newest reading plan. A job is ready in the first epoch with as many such batches as it has.
+    """
+    spark = readings.sparkSession
 
     def write(df: DataFrame, epoch: int) -> None:
-        df.groupBy("job", "batch").agg(F.max_by("value", "ts").alias("value")).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        newest = df.groupBy("job", "batch").agg(F.max_by(F.struct("pages", "model", "n_batches", "value", "ts"), "ts").alias("r")).select("job", "batch", "r.*")
+        newest.write.mode("overwrite").parquet(f"{path}/readings/epoch={epoch}")
+        kept = spark.read.schema(f"{READING}, epoch long").option("basePath", f"{path}/readings").parquet(f"{path}/readings").where(F.col("epoch") <= epoch)
+        touched = kept.join(F.broadcast(df.select("job").distinct()), "job", "left_semi") if df.select("job").distinct().count() <= 100_000 else kept
+        whole, before = (complete_jobs(x) for x in (touched, touched.where(F.col("epoch") < epoch)))
+        whole.join(before.select("job"), "job", "left_anti").write.mode("overwrite").parquet(f"{path}/ready/epoch={epoch}")
 
     return readings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def complete_jobs(readings: DataFrame) -> DataFrame:
+    """job, values: the readings of jobs of which all batches are in, in their order, from rows of READING with an epoch; older readings of a batch do not count, nor do those of another model."""
+    newest = merged_readings(readings)
+    plan = newest.groupBy("job").agg(F.max_by(F.struct("model", "n_batches"), F.struct("ts", "batch")).alias("plan"))
+    fit = newest.join(plan, "job").where((F.col("model") == F.col("plan.model")) & F.col("batch").between(1, F.col("plan.n_batches")))
+    per = fit.groupBy("job").agg(F.count("*").alias("n"), F.max("plan.n_batches").alias("want"), F.array_sort(F.collect_list(F.struct("batch", "value"))).alias("v"))
+    return per.where("n = want").select("job", F.transform("v", lambda x: x["value"]).alias("values"))
+
+
 def merged_readings(df: DataFrame) -> DataFrame:
-    return df.groupBy("job", "batch").agg(F.max_by("value", "epoch").alias("value"))
+    """The newest reading of each batch, by time and epoch."""
+    rest = [c for c in df.columns if c not in ("job", "batch")]
+    return df.groupBy("job", "batch").agg(F.max_by(F.struct(*rest), F.struct("ts", "epoch")).alias("r")).select("job", "batch", "r.*")

@@ -45,7 +45,7 @@ def test_query_equals_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) - set(ORACLES) == {"coalesced_rects"}  # an ordered fold; held against brute force below
+    assert set(QUERIES) - set(ORACLES) == {"coalesced_rects", "job_states", "page_admissions"}  # ordered folds, held against brute force here and in test_folds.py
 
 
 def test_tokens(spark):
