@@ -134,7 +134,7 @@ _NEXT = {("awaiting_upload", "upload"): "uploaded", ("uploaded", "claim"): "proc
 def _moved(state: tuple, at: int, kind: str) -> tuple[tuple, str | None]:
     """(state, since, retries, seen) after an event at second `at`, and the state it moves to, if it does. A job unseen for longer than its record is kept starts anew."""
     now, since, retries, seen = state
-    if at - seen > 3600 * KEPT_HOURS["job"]:
+    if seen and at - seen > 3600 * KEPT_HOURS["job"]:
         now, since, retries = _FRESH[:3]
     stale = now == "processing" and kind == "claim" and at - since > STALE_SECONDS
     new = "processing" if stale else _NEXT.get((now, kind))
@@ -145,7 +145,7 @@ def _moved(state: tuple, at: int, kind: str) -> tuple[tuple, str | None]:
     return (now, since, retries, max(seen, at)), new
 
 
-_FRESH = ("awaiting_upload", 0, 0, 2**60)
+_FRESH = ("awaiting_upload", 0, 0, 0)
 
 
 def job_states(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -162,7 +162,7 @@ def job_states(events: DataFrame, delay: str = "1 hour") -> DataFrame:
             self.handle = handle
             self.job = handle.getValueState("job", "state string, since long, retries int, seen long")
 
-        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             state = tuple(self.job.get()) if self.job.exists() else _FRESH
             all_, out = pd.concat(list(rows)).sort_values(["ts", "kind"], kind="stable"), []
             for ts, kind in zip(all_["ts"], all_["kind"], strict=True):
@@ -175,7 +175,7 @@ def job_states(events: DataFrame, delay: str = "1 hour") -> DataFrame:
             self.handle.registerTimer(1000 * (state[3] + 3600 * KEPT_HOURS["job"] + 1))
             yield pd.DataFrame(out, columns=["job", "state", "ts"])
 
-        def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             self.job.clear()
             yield pd.DataFrame([], columns=["job", "state", "ts"])
 
