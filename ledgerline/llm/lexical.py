@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from .common import Words, arrow_limits, byte_table, chunks, saved, tidy
 
 TOP = 10
-BLOCK_POSTINGS, BLOCK_DOCS = 1 << 20, 1 << 13
+BLOCK_POSTINGS, BLOCK_DOCS = 1 << 19, 1 << 12
 STATES = 256
 """States that a query splits at once in one block, best bounds first, until its first documents have scores; then all that still may win."""
 QUERIES = 256
 """Queries that descend together in one block."""
 PASS_TERMS = 1_000_000
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 """Blocks that a task reads at once; one larger block comes by itself."""
 NO_ID = np.iinfo(np.int64).max
 
