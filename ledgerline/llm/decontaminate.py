@@ -28,8 +28,8 @@ from .common import Words, arrow_limits, byte_table, chunks, row_key, run_hash,
 
 WINDOW = 10
 SHINGLE = 3
-FILTER_BITS, MOST_BITS = 16, 28
-"""The bitmap has sixteen bits for each shingle, between these powers of two; the largest has 32 MB. Beyond, more places are looked at, with the same results."""
+FILTER_BITS, MOST_BITS = 24, 28
+"""The bitmap has 256 bits for each shingle, between these powers of two; the largest has 32 MB. Beyond, more places are looked at, with the same results."""
 
 
 def _shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +61,7 @@ _WIN_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
     """A bitmap with the bits of the column h set, sized by the number of rows; what is collected has at most that size."""
-    bits = min(MOST_BITS, max(FILTER_BITS, (16 * hashes.count()).bit_length()))
+    bits = min(MOST_BITS, max(FILTER_BITS, (256 * hashes.count()).bit_length()))
     bit = F.col("h").bitwiseAND((1 << bits) - 1)
     rows = hashes.groupBy(F.shiftright(bit, 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(31).cast("int"))).alias("b")).toArrow()
     out = np.zeros(1 << (bits - 5), dtype=np.uint32)
