@@ -2,32 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions import text as T
 from ledgerline.sources.bindings import ALIASES, SPECIAL, STATES
 
+from . import review
 from .ladder import CONFIRM, CONSISTENT, INCONSISTENT, MISSING, OUT, ladder
 from .review import GUARDS, near_power
 
-# Subsidy slabs (category, from kWp, to kWp, rupees a kWp), caps, tolerances, questions in order and what they cover.
+# Subsidy slabs (category, from kWp, to kWp, rupees a kWp), caps, tolerances.
 SLABS = (("general", 0, 2, 30000), ("general", 2, 3, 18000), ("special", 0, 2, 33000), ("special", 2, 3, 19800))
 CAPS = {"general": 78000, "special": 85800}
 RUPEE_TOLERANCE = 1
 KW_TOLERANCE = 0.01
-QUESTIONS = ("exact_capacity", "panel_details", "panel_count", "panel_wattage", "capacity_mismatch", "capacity_basis", "dc_capacity", "subsidy_breakdown", "subsidy_not_stated", "subsidy_higher", "subsidy_lower", "total_mismatch", "net_cost_mismatch", "module_model", "module_choice", "dcr", "inverter_model", "inverter_choice", "inverter_rating", "vendor_registration", "gst_basis", "extras_outside_total", "net_meter")
+
+# Texts of the questions to a vendor, in their order, with places for values; the message around them; which narrower questions one covers.
+QUESTION_TEXTS = {
+    "capacity_mismatch": "The panels listed add up to {computed_kwp} kWp, but the quote says {stated}. Could you confirm the panel count and wattage?",
+    "capacity_basis": "The panels listed add up to {computed_kwp} kWp, and the quote says {stated}. Is that figure the total DC capacity of the panels?",
+    "panel_details": "Could you confirm the number of panels and the wattage of each one?",
+    "subsidy_not_stated": "The quote doesn't mention the central subsidy. If we apply for it, what amount do you expect?",
+    "subsidy_breakdown": "Could you show the central subsidy and any state subsidy as separate amounts?",
+    "subsidy_higher": "The quote shows a central subsidy of ₹{stated}. For {dc_kwp} kWp of panels, the central rule we checked gives ₹{rule}. How did you work out the subsidy amount?",
+    "subsidy_lower": "The quote shows a central subsidy of ₹{stated}. For {dc_kwp} kWp of panels, the central rule we checked allows up to ₹{rule}. Could you explain the difference?",
+    "dc_capacity": "What is the total DC capacity of the solar panels, in kWp?",
+    "exact_capacity": "The quote gives a range for the panels. What is the exact panel wattage, and the total capacity in kWp?",
+    "total_mismatch": "Adding up the price lines on the quote gives ₹{computed}, but the total shown is ₹{stated}. Could you explain how the total is made up?",
+    "net_cost_mismatch": "Taking the subsidy shown away from the total gives ₹{computed}, but the quote shows a net cost of ₹{stated}. Could you explain the difference?",
+    "panel_wattage": "What is the wattage of each solar panel?",
+    "panel_count": "How many solar panels are included?",
+    "module_model": "Which make and model of solar panel will you install?",
+    "module_choice": "The quote lists more than one panel option ({options}). Which make and model will you install?",
+    "dcr": "Could you confirm in writing that the panels are DCR (domestic content) panels with domestic cells? The central subsidy requires this.",
+    "inverter_model": "Which make and model of inverter will you install?",
+    "inverter_rating": "What is the inverter's rating in kW?",
+    "inverter_choice": "The quote lists more than one inverter option ({options}). Which one will you install?",
+    "vendor_registration": "Could you share your vendor registration number? We couldn't find it on the quote.",
+    "gst_basis": "Does the price include GST? If not, what GST rate and amount will be added?",
+    "extras_outside_total": "These charges seem to be outside the total: {charges}. What is the full amount we would pay, including them?",
+    "net_meter": "Are net-meter charges included? If not, how much are they?",
+}
+QUESTIONS = tuple(QUESTION_TEXTS)
+INTRO = "Hello, and thanks for the quotation. Before we decide, could you help with a few questions?"
+OUTRO = "Thank you."
 COVERS = {"capacity_mismatch": ("panel_details", "panel_count", "panel_wattage"), "panel_details": ("panel_count", "panel_wattage"), "exact_capacity": ("panel_wattage",)}
+
+# What every subsidy finding says about eligibility and about the state of the rules.
+DCR_NOTE = "The central subsidy also requires DCR (domestic content) panels and cells. This was not verified from the quote."
+PENDING_NOTE = "Some rule values used here are pending verification against the MNRE sources."
+VERIFIED_NOTE = "The rule values were checked against the MNRE guidelines on {date}."
 STATUS_ORDER = (INCONSISTENT, CONFIRM, MISSING, OUT, CONSISTENT)
 
 
 def dims(spark: SparkSession) -> dict[str, DataFrame]:
-    """Rule dimensions, each a few dozen fixed rows: slab, cap, state, alias, cover, question."""
+    """Rule dimensions, each a few dozen fixed rows: slab and state."""
     make = lambda rows, schema: spark.createDataFrame(rows, schema)
     return {
         "slab": make([(c, float(a), float(b), float(r)) for c, a, b, r in SLABS], "category string, lo double, hi double, rate double"),
         "state": make([(s.lower(), s, "special" if s in SPECIAL else "general") for s in STATES] + [(a, s, "special" if s in SPECIAL else "general") for a, s in ALIASES.items()], "key string, name string, category string"),
-        "cover": make([(a, b) for a, bs in COVERS.items() for b in bs], "by string, question string"),
-        "question": make(list(zip(QUESTIONS, range(len(QUESTIONS)), strict=True)), "question string, place int"),
     }
 
 
@@ -63,7 +97,8 @@ def slab_amount(df: DataFrame, slabs: DataFrame, kw: str, out: str) -> DataFrame
 def quote_view(quotes: DataFrame, items: DataFrame, charges: DataFrame, inverters: DataFrame, answers: DataFrame, states: DataFrame, slabs: DataFrame) -> DataFrame:
     """One row a quotation: its own option's items and inverters and its charges summed, answers, category, DC capacity range and rule amounts.
 
-    quotes and answers join on quote_id; items, inverters and charges are grouped first, so each join is one row to one row.
+    quotes and answers join on quote_id; items, inverters and charges are grouped first, so each join is one row to one row. panel_options, inverter_options (items
+    and inverters whose make is a choice, with other_make) and outside_charges are texts for questions, parted by semicolons.
     """
     option = effective_option(items, answers)
     own = lambda rows: rows.join(option.select("quote_id", F.col("option_id").alias("own")), "quote_id").where("option_id is null or own is null or option_id = own")
@@ -74,11 +109,13 @@ def quote_view(quotes: DataFrame, items: DataFrame, charges: DataFrame, inverter
         F.max(F.col("count_state") == "absent").alias("count_absent"), F.max(F.col("count_state") == "held").alias("count_held"), F.max(F.col("watt_state") == "absent").alias("watt_absent"),
         F.max(F.col("make").isNull()).alias("make_absent"), F.max("choice").alias("make_choice"), F.sum(F.col("n") * F.col("watt_lo")).alias("w_lo"), F.sum(F.col("n") * F.col("watt_hi")).alias("w_hi"),
         F.min(F.col("n").isNotNull() & exact.isNotNull()).alias("all_exact"), F.min("n").alias("count_least"), F.max("n").alias("count_most"), F.min(exact).alias("watt_least"), F.max(exact).alias("watt_most"),
+        _options("item_id").alias("panel_options"),
     )
     view = quotes.join(answers, "quote_id").join(option.select("quote_id", "option_state", "option_id"), "quote_id").join(per, "quote_id", "left").join(inverter_sums(own(inverters), quotes), "quote_id", "left")
     extra = charges.groupBy("quote_id").agg(
         F.sum(F.when(F.col("placed") == "inside", F.col("amount"))).alias("inside"), F.max((F.col("placed") == "inside") & F.col("amount").isNull()).alias("inside_absent"), F.min(F.when(F.col("placed") == "inside", F.col("amount"))).alias("inside_least"), F.max(F.col("placed") == "unclear").alias("any_unclear"),
         F.max(F.col("placed") != "inside").alias("any_outside"), F.max(F.lower("label").rlike("net[\\s-]*meter")).alias("has_net_meter"),
+        _listed(F.when(F.col("placed") != "inside", F.struct("charge_id", _charge_text().alias("text")))).alias("outside_charges"),
     )
     view = view.join(extra, "quote_id", "left")
     usable = (F.col("n_groups") > 0) & ~F.col("any_absent") & ~F.col("any_held")
@@ -88,16 +125,36 @@ def quote_view(quotes: DataFrame, items: DataFrame, charges: DataFrame, inverter
     return with_rules(view, states, slabs)
 
 
+def _listed(row: Column) -> Column:
+    """The texts of a group's rows (struct: id, text; null: none) in the order of their ids, parted by semicolons."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["text"]), "; ")
+
+
+def _options(key: str, known: Column | None = None) -> Column:
+    return _listed(F.when((F.lit(True) if known is None else known) & F.col("choice") & F.col("make").isNotNull(), F.struct(key, F.concat_ws(" or ", "make", "other_make").alias("text"))))
+
+
+def _charge_text() -> Column:
+    amount = F.coalesce(F.concat(F.lit("₹"), T.indian_grouping(F.col("amount"))), F.lit("amount not given"))
+    where = F.when(F.col("placed") == "outside", "outside the total").otherwise("not clearly inside the total")
+    return F.concat(F.coalesce("label", F.lit("an extra charge")), F.lit(": "), amount, F.lit(", "), where)
+
+
 def inverter_sums(inverters: DataFrame, quotes: DataFrame) -> DataFrame:
-    """One row a quotation with inverters: what their models and ratings lack, the least and most rating, and whether one is off the stated size by a power of ten."""
+    """One row a quotation with inverters: what their models and ratings lack, the least and most rating, and whether one is off the stated size by a power of ten.
+
+    With columns inverter_id and other_make also the texts of those whose make is a choice.
+    """
     kw = F.when(F.col("rating_state") == "ok", F.col("rating_kw").cast("double"))
     lo, hi = GUARDS["inverter_rating"]
     off = kw.between(lo, hi) & near_power(kw, F.col("stated_kw").cast("double"))
     known = F.col("make_state") == "ok"
+    options = [_options("inverter_id", known).alias("inverter_options")] if "other_make" in inverters.columns else []
     return inverters.join(quotes.select("quote_id", "stated_kw"), "quote_id").groupBy("quote_id").agg(
         F.count("*").alias("n_inverters"), F.max(known & F.col("make").isNull()).alias("inv_make_absent"), F.max(~known).alias("inv_make_held"), F.max(known & F.col("make").isNotNull() & F.col("choice")).alias("inv_choice"),
         F.max(F.col("rating_kw").isNull()).alias("inv_rating_absent"), *[F.max(F.col("rating_kw").isNotNull() & (F.col("rating_state") == s)).alias(f"inv_rating_{s}") for s in ("unitless", "held")],
         F.min(kw).alias("inv_least"), F.max(kw).alias("inv_most"), F.max(F.coalesce(off, F.lit(False))).alias("inv_off"),
+        *options,
     )
 
 
@@ -137,39 +194,74 @@ def _subsidy_ladder() -> Column:
     )
 
 
+def _gst_needed() -> Column:
+    return F.coalesce(F.col("gst_basis") == "excluded", F.lit(False))
+
+
+def _gross() -> Column:
+    return F.col("base") + F.when(_gst_needed(), F.col("gst")).otherwise(0) + F.coalesce("inside", F.lit(0)) - F.coalesce("discount", F.lit(0))
+
+
 def _gross_ladder() -> Column:
     v = F.col
-    gst_needed = F.coalesce(v("gst_basis") == "excluded", F.lit(False))
+    gst_needed = _gst_needed()
     absent = v("total").isNull() | v("base").isNull() | gst_needed & v("gst").isNull() | F.coalesce("inside_absent", F.lit(False))
     negative = (v("base") < 0) | (v("total") < 0) | gst_needed & (v("gst") < 0) | F.coalesce(v("discount") < 0, F.lit(False)) | F.coalesce(v("inside_least") < 0, F.lit(False))
-    expected = v("base") + F.when(gst_needed, v("gst")).otherwise(0) + F.coalesce("inside", F.lit(0)) - F.coalesce("discount", F.lit(0))
     return ladder(
         (_unresolved(), CONFIRM, None), (absent, MISSING, None), (negative, CONFIRM, None), (v("gst_basis").isNull(), CONFIRM, None),
-        (F.coalesce("any_unclear", F.lit(False)), CONFIRM, None), (F.coalesce(v("list_complete") != "yes", F.lit(True)), CONFIRM, None), (F.abs(expected - v("total")) <= RUPEE_TOLERANCE, CONSISTENT, None), (None, INCONSISTENT, "total_mismatch"),
+        (F.coalesce("any_unclear", F.lit(False)), CONFIRM, None), (F.coalesce(v("list_complete") != "yes", F.lit(True)), CONFIRM, None), (F.abs(_gross() - v("total")) <= RUPEE_TOLERANCE, CONSISTENT, None), (None, INCONSISTENT, "total_mismatch"),
     )
 
 
+def _subsidies() -> tuple[tuple[Column, str], ...]:
+    """(whether the net cost takes it off, column) of each subsidy."""
+    basis = F.col("subsidy_basis")
+    return (basis.isin("central", "both"), "central"), (basis.isin("state", "both"), "state_subsidy"), (F.coalesce(basis == "combined", F.lit(False)), "combined")
+
+
+def _net() -> Column:
+    return F.col("total") - sum((F.when(used, F.col(c)).otherwise(0) for used, c in _subsidies()), F.lit(0))
+
+
 def _net_ladder() -> Column:
     v = F.col
-    central, state = v("subsidy_basis").isin("central", "both"), v("subsidy_basis").isin("state", "both")
+    (central, _), (state, _), (combined, _) = amounts = _subsidies()
     named = lambda c: F.coalesce(c, F.lit(False))
     absent = v("total").isNull() | v("net").isNull() | named(central) & v("central").isNull() | named(state) & v("state_subsidy").isNull()
-    combined = named(v("subsidy_basis") == "combined")
     absent = absent | combined & v("combined").isNull()
-    amounts = ((central, "central"), (state, "state_subsidy"), (combined, "combined"))
     negative = (v("total") < 0) | (v("net") < 0) | F.greatest(*[F.coalesce(used & (v(c) < 0), F.lit(False)) for used, c in amounts])
-    expected = v("total") - sum((F.when(used, v(c)).otherwise(0) for used, c in amounts), F.lit(0))
     return ladder(
         (_unresolved(), CONFIRM, None), (absent, MISSING, None), (negative, CONFIRM, None), (v("subsidy_basis").isNull(), CONFIRM, None),
-        (F.abs(expected - v("net")) <= RUPEE_TOLERANCE, CONSISTENT, None), (None, INCONSISTENT, "net_cost_mismatch"),
+        (F.abs(_net() - v("net")) <= RUPEE_TOLERANCE, CONSISTENT, None), (None, INCONSISTENT, "net_cost_mismatch"),
     )
 
 
 LADDERS = {"C1": _capacity_ladder, "C2": _subsidy_ladder, "C3a": _gross_ladder, "C3b": _net_ladder}
 
 
+def _plain_number(c: Column) -> Column:
+    return F.regexp_replace(c.cast("decimal(18,6)").cast("string"), "[.]?0+$", "")
+
+
+def _params() -> Column:
+    """Of a view row: what stands in the places of each question that has some, by question."""
+    v, rupees = F.col, T.indian_grouping
+    stated = F.concat(_plain_number(v("stated_kw")), F.when(v("stated_state") == "kva", " kVA").otherwise(" kW"))
+    panels = {"computed_kwp": _plain_number(v("w_lo").cast("decimal(18,6)") / 1000), "stated": stated}
+    dc = F.when(v("dc_lo") == v("dc_hi"), _plain_number(v("dc_lo"))).otherwise(F.concat(_plain_number(v("dc_lo")), F.lit(" to "), _plain_number(v("dc_hi"))))
+    subsidy = {"stated": rupees(v("central")), "rule": rupees(v("rule_lo")), "dc_kwp": dc}
+    of = {
+        "capacity_mismatch": panels, "capacity_basis": panels, "subsidy_higher": subsidy, "subsidy_lower": subsidy,
+        "total_mismatch": {"computed": rupees(_gross()), "stated": rupees(v("total"))}, "net_cost_mismatch": {"computed": rupees(_net()), "stated": rupees(v("net"))},
+        "module_choice": {"options": v("panel_options")}, "inverter_choice": {"options": v("inverter_options")}, "extras_outside_total": {"charges": v("outside_charges")},
+    }
+    values = lambda d: F.create_map(*[x for name, c in d.items() for x in (F.lit(name), c)])
+    return F.create_map(*[x for question, d in of.items() for x in (F.lit(question), values(d))])
+
+
 def _finding(view: DataFrame, check: str) -> DataFrame:
-    return view.withColumn("__f", LADDERS[check]()).select("quote_id", F.lit(check).alias("check_id"), F.lit(check).alias("item"), "__f.gate", "__f.status", "__f.question")
+    rows = view.select("quote_id", LADDERS[check]().alias("__f"), _params().alias("__p"))
+    return rows.select("quote_id", F.lit(check).alias("check_id"), F.lit(check).alias("item"), "__f.gate", "__f.status", "__f.question", F.try_element_at("__p", F.col("__f.question")).alias("params"))
 
 
 def check_capacity(view: DataFrame) -> DataFrame:
@@ -211,7 +303,8 @@ def _details() -> Column:
 
 def check_details(view: DataFrame) -> DataFrame:
     """One row for each detail that is missing or unclear, else one consistent row."""
-    return view.select("quote_id", F.lit("C4").alias("check_id"), F.inline(_details())).withColumn("gate", F.lit(0)).select("quote_id", "check_id", "item", "gate", "status", "question")
+    rows = view.select("quote_id", F.lit("C4").alias("check_id"), F.lit(0).alias("gate"), _params().alias("__p"), F.inline(_details()))
+    return rows.select("quote_id", "check_id", "item", "gate", "status", "question", F.try_element_at("__p", F.col("question")).alias("params"))
 
 
 def run_checks(view: DataFrame) -> DataFrame:
@@ -221,7 +314,15 @@ def run_checks(view: DataFrame) -> DataFrame:
         return F.transform(F.array(LADDERS[check]()), lambda x: row(check, F.lit(check), x["gate"], x))
 
     details = F.transform(_details(), lambda x: row("C4", x["item"], F.lit(0), x))
-    return view.select("quote_id", F.inline(F.concat(*map(of_ladder, LADDERS), details)))
+    rows = view.select("quote_id", _params().alias("__p"), F.inline(F.concat(*map(of_ladder, LADDERS), details)))
+    return rows.select("quote_id", "check_id", "item", "gate", "status", "question", F.try_element_at("__p", F.col("question")).alias("params"))
+
+
+def with_notes(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """Subsidy findings with notes: what eligibility needs, and whether the rules (rule_id, verification, verified_on) were verified and when last."""
+    last = rules.agg(F.when(F.count_if(F.coalesce(F.col("verification") != "verified", F.lit(True))) == 0, F.max("verified_on"))).scalar()
+    note = F.coalesce(F.replace(F.lit(VERIFIED_NOTE), F.lit("{date}"), F.date_format(last, "d MMM yyyy")), F.lit(PENDING_NOTE))
+    return findings.withColumn("notes", F.array(F.lit(DCR_NOTE), note))
 
 
 def hold_typed(findings: DataFrame, guards: DataFrame) -> DataFrame:
@@ -232,7 +333,7 @@ def hold_typed(findings: DataFrame, guards: DataFrame) -> DataFrame:
     used = F.coalesce(*[F.when(F.col("check_id") == c, F.array(*map(F.lit, fs))) for c, fs in uses.items()])
     hold = F.coalesce(F.arrays_overlap(used, F.col("__open")), F.lit(False)) & F.col("status").isin(CONSISTENT, INCONSISTENT)
     out = findings.join(open_, "quote_id", "left")
-    return out.select("quote_id", "check_id", "item", "gate", F.when(hold, CONFIRM).otherwise(F.col("status")).alias("status"), F.when(hold, "check_entry").otherwise(F.col("question")).alias("question"))
+    return out.select("quote_id", "check_id", "item", "gate", F.when(hold, CONFIRM).otherwise(F.col("status")).alias("status"), F.when(hold, "check_entry").otherwise(F.col("question")).alias("question"), F.when(~hold, F.col("params")).alias("params"))
 
 
 def key_messages(messages: DataFrame, templates: DataFrame) -> DataFrame:
@@ -249,24 +350,56 @@ def render_messages(keyed: DataFrame, vocabulary: DataFrame, lang: str) -> DataF
     return out.select("id", "key", fill.alias("text"), F.col("own").isNull().alias("fallback"))
 
 
-def hold_until_confirmed(findings: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Definitive findings whose (quote_id, check_id) is not among the confirmed tokens become needs_confirmation."""
-    ok = findings.join(tokens.select("quote_id", "check_id", F.lit(True).alias("__ok")).distinct(), ["quote_id", "check_id"], "left")
-    hold = F.col("status").isin(CONSISTENT, INCONSISTENT) & F.col("__ok").isNull()
-    return ok.select("quote_id", "check_id", "item", "gate", F.when(hold, F.lit(CONFIRM)).otherwise(F.col("status")).alias("status"), F.when(hold, F.lit("confirm_values")).otherwise(F.col("question")).alias("question"))
+def operand_tokens(operands: DataFrame, options: DataFrame) -> DataFrame:
+    """quote_id, check_id, item, token: of each finding's operands (quote_id, check_id, item, nth, field, value, raw, provenance, source) and the option in effect.
+
+    The token is 24 hex characters of SHA-256 over canonical JSON, so any change of a value, its text, where it comes from or the option gives another. source is
+    JSON text or null; a quotation without an option row has none.
+    """
+    text = lambda *names: F.concat(*[x for i, (name, c) in enumerate(names) for x in (F.lit((", " if i else "{") + f'"{name}": '), c)], F.lit("}"))
+    one = text(("field", review.json_text("field")), ("provenance", review.json_text(F.coalesce("provenance", F.lit("read")))), ("raw", review.json_text("raw")), ("source", F.coalesce("source", F.lit("null"))), ("value", review.json_text("value")))
+    sets = operands.groupBy("quote_id", "check_id", "item").agg(F.array_sort(F.collect_list(F.struct("nth", one.alias("text")))).alias("__o"))
+    sets = sets.join(options.select("quote_id", "option_id"), "quote_id", "left")
+    listed = F.concat(F.lit("["), F.array_join(F.transform("__o", lambda x: x["text"]), ", "), F.lit("]"))
+    whole = text(("check", review.json_text("check_id")), ("item", review.json_text("item")), ("operands", listed), ("option", review.json_text("option_id")))
+    return sets.select("quote_id", "check_id", "item", F.substring(F.sha2(whole.cast("binary"), 256), 1, 24).alias("token"))
+
+
+def hold_until_confirmed(findings: DataFrame, current: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """Definitive findings become needs_confirmation unless the token of their operands as they are now (current, of operand_tokens) was confirmed (quote_id, token).
+
+    confirm_token is the token of a definitive finding, held or not. A finding of a whole check has the item of its check, and operands without an item.
+    """
+    sent = confirmed.select("quote_id", "token", F.lit(True).alias("__ok")).distinct()
+    now = current.select("quote_id", "check_id", F.coalesce("item", "check_id").alias("item"), "token").join(sent, ["quote_id", "token"], "left")
+    out = findings.join(now, ["quote_id", "check_id", "item"], "left")
+    sure = F.col("status").isin(CONSISTENT, INCONSISTENT)
+    hold = sure & F.col("__ok").isNull()
+    return out.select("quote_id", "check_id", "item", "gate", F.when(hold, F.lit(CONFIRM)).otherwise(F.col("status")).alias("status"), F.when(hold, F.lit("confirm_values")).otherwise(F.col("question")).alias("question"), F.when(~hold, F.col("params")).alias("params"), F.when(sure, F.col("token")).alias("confirm_token"))
 
 
-def vendor_questions(findings: DataFrame, d: dict[str, DataFrame]) -> DataFrame:
-    """quote_id, number, question: one for each question id, in template order, without those a broader one covers."""
-    asked = findings.where("question is not null").select("quote_id", "question").distinct()
-    covered = asked.join(F.broadcast(d["cover"].withColumnRenamed("question", "q").withColumnRenamed("by", "question")), "question").select("quote_id", F.col("q").alias("question"))
-    left = asked.join(covered, ["quote_id", "question"], "left_anti").join(F.broadcast(d["question"]), "question")
-    return left.select("quote_id", F.row_number().over(Window.partitionBy("quote_id").orderBy("place")).alias("number"), "question")
+def vendor_questions(findings: DataFrame) -> DataFrame:
+    """quote_id, number, question, text: one for each question that is asked, in the order of QUESTION_TEXTS, without those a broader one covers.
+
+    A quotation's questions are one array of at most as many entries as there are findings; ordering, covering and filling happen inside it.
+    """
+    asked = findings.where(F.col("question").isin(*QUESTIONS)).groupBy("quote_id").agg(F.collect_list(F.struct("question", "params")).alias("__q"))
+    names = F.col("__q.question")
+    words = lambda xs: F.array(*map(F.lit, xs))
+    none = F.array().cast("array<string>")
+    covered = F.concat(*[F.when(F.array_contains(names, by), words(narrow)).otherwise(none) for by, narrow in COVERS.items()])
+    left = F.array_except(F.filter(words(QUESTIONS), lambda q: F.array_contains(names, q)), covered)
+    rows = asked.select("quote_id", "__q", F.posexplode(left).alias("__n", "question"))
+    template = F.element_at(F.create_map(*[F.lit(x) for pair in QUESTION_TEXTS.items() for x in pair]), F.col("question"))
+    params = F.get(F.filter("__q", lambda x: (x["question"] == F.col("question")) & x["params"].isNotNull()), F.lit(0))["params"]
+    filled = F.aggregate(F.coalesce(F.map_entries(params), F.array().cast("array<struct<key:string,value:string>>")), template, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
+    return rows.select("quote_id", (F.col("__n") + 1).alias("number"), "question", filled.alias("text"))
 
 
 def vendor_message(questions: DataFrame) -> DataFrame:
-    lines = F.array_sort(F.collect_list(F.struct("number", "question")))
-    return questions.groupBy("quote_id").agg(F.array_join(F.transform(lines, lambda x: F.concat(x["number"].cast("string"), F.lit(". "), x["question"])), "\n").alias("message"))
+    """quote_id, message: the numbered questions between a greeting and thanks; no row without a question."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda x: F.concat(x["number"].cast("string"), F.lit(". "), x["text"])), "\n")
+    return questions.groupBy("quote_id").agg(F.concat(F.lit(INTRO + "\n\n"), lines, F.lit("\n\n" + OUTRO)).alias("message"))
 
 
 def finding_summary(findings: DataFrame) -> DataFrame:

@@ -69,9 +69,9 @@ def summarise(scores: DataFrame) -> DataFrame:
     return scores.groupBy("field").agg(F.count("*").alias("n"), ratio(c("correct"), stated).alias("accuracy"), ratio(c("falsely_populated"), none).alias("false_population_rate"))
 
 
-def status_report(scores: DataFrame) -> DataFrame:
-    """Status counts for each field and, with field null, in total."""
-    return scores.rollup("field").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("correct", "wrong", "missing", "conflict_flagged", "falsely_populated", "abstained")], F.grouping("field").cast("int").alias("is_total"))
+def status_report(scores: DataFrame, by: str = "field") -> DataFrame:
+    """Status counts for each field (or document: by="doc") and, with a null there and is_total 1, of all."""
+    return scores.rollup(by).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("correct", "wrong", "missing", "conflict_flagged", "falsely_populated", "abstained")], F.grouping(by).cast("int").alias("is_total"))
 
 
 def confidence_table(answers: DataFrame) -> DataFrame:
@@ -90,6 +90,11 @@ def compare_models(scores: DataFrame, models: list[str]) -> DataFrame:
     return scores.groupBy("doc", "field").pivot("model", models).agg(F.min("status"))
 
 
+def model_totals(runs: DataFrame) -> DataFrame:
+    """model, n_batches, n_failed, seconds, tokens: sums over the batches (model, failed, seconds, tokens) that each model read."""
+    return runs.groupBy("model").agg(F.count("*").alias("n_batches"), F.count_if("failed").alias("n_failed"), F.sum("seconds").alias("seconds"), F.sum("tokens").alias("tokens"))
+
+
 def label_disagreement(hits: DataFrame, labels: DataFrame) -> DataFrame:
     return hits.join(labels, "doc_id", "full_outer").where(F.coalesce("hit", F.lit(0)) != F.coalesce("label", F.lit(0)))
 

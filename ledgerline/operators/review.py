@@ -111,12 +111,30 @@ def guard_entries(view: DataFrame) -> DataFrame:
     return view.withColumns(flags).select("quote_id", F.inline(F.array_compact(F.array(*rows))))
 
 
+# The range of a typed extra charge.
+EXTRA_CHARGE = (0, 300_000)
+
+
+def guard_charges(charges: DataFrame) -> DataFrame:
+    """quote_id, field (the charge's path), reason: extra charges (quote_id, charge_id, amount) out of range."""
+    lo, hi = EXTRA_CHARGE
+    path = F.concat(F.lit("extra_charges["), F.col("charge_id").cast("string"), F.lit("].amount"))
+    return charges.where((F.col("amount") < lo) | (F.col("amount") > hi)).select("quote_id", path.alias("field"), F.lit("range").alias("reason"))
+
+
+def json_text(c: Column | str) -> Column:
+    """A value's text as a JSON string, null as null."""
+    text = (F.col(c) if isinstance(c, str) else c).cast("string")
+    for sign, to in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(sign), F.lit(to))
+    return F.coalesce(F.concat(F.lit('"'), text, F.lit('"')), F.lit("null"))
+
+
 def value_token(*fields: tuple[str, Column]) -> Column:
     """24 hex characters of SHA-256 over canonical JSON: keys sorted, separators ", " and ": ", values as text, nulls kept."""
     parts: list[Column] = []
     for i, (name, c) in enumerate(sorted(fields)):
-        text = F.regexp_replace(F.regexp_replace(c.cast("string"), "\\\\", "\\\\\\\\"), '"', '\\\\"')
-        parts += [F.lit((", " if i else "{") + f'"{name}": '), F.coalesce(F.concat(F.lit('"'), text, F.lit('"')), F.lit("null"))]
+        parts += [F.lit((", " if i else "{") + f'"{name}": '), json_text(c)]
     return F.substring(F.sha2(F.concat(*parts, F.lit("}")).cast("binary"), 256), 1, 24)
 
 

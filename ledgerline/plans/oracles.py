@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from ledgerline.operators.checks import DCR_NOTE, INTRO, OUTRO, QUESTION_TEXTS
 from ledgerline.sources.bindings import ALIASES, SHAPES, SPECIAL, SQL, STATES
 
 # Fixed values, stated here anew: questions in order and what they cover, statuses from worst to best, patterns of personal and protected data.
-QUESTIONS = "exact_capacity panel_details panel_count panel_wattage capacity_mismatch capacity_basis dc_capacity subsidy_breakdown subsidy_not_stated subsidy_higher subsidy_lower total_mismatch net_cost_mismatch module_model module_choice dcr inverter_model inverter_choice inverter_rating vendor_registration gst_basis extras_outside_total net_meter".split()
+QUESTIONS = "capacity_mismatch capacity_basis panel_details subsidy_not_stated subsidy_breakdown subsidy_higher subsidy_lower dc_capacity exact_capacity total_mismatch net_cost_mismatch panel_wattage panel_count module_model module_choice dcr inverter_model inverter_rating inverter_choice vendor_registration gst_basis extras_outside_total net_meter".split()
 COVERS = {"capacity_mismatch": ("panel_details", "panel_count", "panel_wattage"), "panel_details": ("panel_count", "panel_wattage"), "exact_capacity": ("panel_wattage",)}
 STATUS_ORDER = ("inconsistent", "needs_confirmation", "missing", "out_of_scope", "consistent")
 PERSONAL = {
@@ -96,6 +97,37 @@ _order = ", ".join(f"('{q}', {i})" for i, q in enumerate(QUESTIONS))
 ASKED = (*FINDINGS, f"cover(by_, question) AS (VALUES {_cover})", f"places(question, place) AS (VALUES {_order})", "asked AS (SELECT DISTINCT quote_id, question FROM f WHERE question IS NOT NULL)",
     "vq AS (SELECT quote_id, row_number() OVER (PARTITION BY quote_id ORDER BY place) AS number, a.question FROM asked a JOIN places USING (question) WHERE NOT EXISTS (SELECT 1 FROM asked b JOIN cover c ON c.by_ = b.question WHERE b.quote_id = a.quote_id AND c.question = a.question))")
 
+_quoted = lambda t: "'" + t.replace("'", "''") + "'"
+_grouped = lambda w: f"CASE WHEN {w} < 1000 THEN CAST({w} AS VARCHAR) ELSE reverse(regexp_replace(regexp_replace(reverse(CAST({w} // 1000 AS VARCHAR)), '([0-9]{{2}})', '\\1,', 'g'), ',$', '')) || ',' || right(CAST({w} AS VARCHAR), 3) END"
+_money_text = lambda x: f"CASE WHEN {x} < 0 THEN '-' ELSE '' END || {_grouped(f'CAST(floor(abs(CAST({x} AS DECIMAL(18, 2)))) AS BIGINT)')} || CASE WHEN CAST({x} AS DECIMAL(18, 2)) = floor(CAST({x} AS DECIMAL(18, 2))) THEN '' ELSE '.' || right(CAST(CAST({x} AS DECIMAL(18, 2)) AS VARCHAR), 2) END"
+_number_text = lambda x: f"regexp_replace(CAST(CAST({x} AS DECIMAL(18, 6)) AS VARCHAR), '[.]?0+$', '')"
+_own = "JOIN (SELECT quote_id, option_id AS own FROM opt) o USING (quote_id) WHERE (option_id IS NULL OR own IS NULL OR option_id = own) AND choice AND make IS NOT NULL"
+_panels = {"computed_kwp": _number_text("CAST(w_lo AS DOUBLE) / 1000"), "stated": f"{_number_text('stated_kw')} || CASE stated_state WHEN 'kva' THEN ' kVA' ELSE ' kW' END"}
+_rule = {"stated": _money_text("central"), "rule": _money_text("rule_lo"), "dc_kwp": f"{_number_text('dc_lo')} || CASE WHEN dc_lo = dc_hi THEN '' ELSE ' to ' || {_number_text('dc_hi')} END"}
+_added = "(base + CASE WHEN gst_basis = 'excluded' THEN gst ELSE 0 END + coalesce(inside, 0) - coalesce(discount, 0))"
+_less = "(total - CASE WHEN subsidy_basis IN ('central', 'both') THEN central ELSE 0 END - CASE WHEN subsidy_basis IN ('state', 'both') THEN state_subsidy ELSE 0 END - CASE WHEN subsidy_basis = 'combined' THEN combined ELSE 0 END)"
+_places = {
+    "capacity_mismatch": _panels, "capacity_basis": _panels, "subsidy_higher": _rule, "subsidy_lower": _rule, "total_mismatch": {"computed": _money_text(_added), "stated": _money_text("total")}, "net_cost_mismatch": {"computed": _money_text(_less), "stated": _money_text("net")},
+    "module_choice": {"options": "panel_options"}, "inverter_choice": {"options": "inverter_options"}, "extras_outside_total": {"charges": "outside_charges"},
+}
+
+
+def _asked_text(question: str) -> str:
+    text = _quoted(QUESTION_TEXTS[question])
+    for name, x in _places.get(question, {}).items():
+        text = f"replace({text}, '{{{name}}}', {x})"
+    return text
+
+
+TEXTS = (
+    *ASKED, f"po AS (SELECT quote_id, string_agg(concat_ws(' or ', make, other_make), '; ' ORDER BY item_id) AS panel_options FROM items {_own} GROUP BY quote_id)",
+    f"io AS (SELECT quote_id, string_agg(concat_ws(' or ', make, other_make), '; ' ORDER BY inverter_id) AS inverter_options FROM inverters {_own} AND make_state = 'ok' GROUP BY quote_id)",
+    f"oc AS (SELECT quote_id, string_agg(coalesce(label, 'an extra charge') || ': ' || coalesce('₹' || {_money_text('amount')}, 'amount not given') || CASE placed WHEN 'outside' THEN ', outside the total' ELSE ', not clearly inside the total' END, '; ' ORDER BY charge_id) AS outside_charges FROM charges WHERE placed <> 'inside' GROUP BY quote_id)",
+    f"tq AS (SELECT vq.quote_id, vq.number, vq.question, CASE vq.question {' '.join(f'WHEN {_quoted(q)} THEN {_asked_text(q)}' for q in QUESTIONS)} END AS text FROM vq JOIN v USING (quote_id) LEFT JOIN po USING (quote_id) LEFT JOIN io USING (quote_id) LEFT JOIN oc USING (quote_id))",
+)
+_RAW = "\"Total \\\"Rs ' || total || '\\\"\""
+_operand = lambda field, c, raw="null": f"""CASE WHEN {c} IS NOT NULL THEN '{{"field": "{field}", "provenance": "read", "raw": {raw}, "source": null, "value": "' || {c} || '"}}' END"""
+
 _ranges = {"base": (10000, 3000000), "gst": (0, 600000), "total": (10000, 3000000), "net": (10000, 3000000), "discount": (0, 600000), "central": (0, 200000), "state_subsidy": (0, 200000), "combined": (0, 200000), "unspecified": (0, 200000), "stated_kw": (0.5, 20)}
 _out = lambda *fs: " OR ".join(f"coalesce({f} < {_ranges[f][0]} OR {f} > {_ranges[f][1]}, false)" for f in fs)
 _money = ("central", "state_subsidy", "combined", "unspecified")
@@ -119,9 +151,12 @@ ORACLES |= {
     "capacity_check": _check(C1), "subsidy_gate_outcomes": _check(C2), "gross_total_check": _check(C3A), "net_cost_check": _check(C3B),
     "missing_details": _with(_all, *VIEW, C4, "SELECT quote_id, split_part(o, '|', 1) AS item, split_part(o, '|', 2) AS status, nullif(split_part(o, '|', 3), '') AS question FROM c4"),
     "finding_summary": _with(_all, *FINDINGS, f"SELECT quote_id, {', '.join(f'''count(*) FILTER (status = '{s}') AS {s}''' for s in STATUS_ORDER)}, list_extract(list_sort(list(list_position({list(STATUS_ORDER)}, status))), 1) AS w, CASE w WHEN 1 THEN 'inconsistent' WHEN 2 THEN 'needs_confirmation' WHEN 3 THEN 'missing' WHEN 4 THEN 'out_of_scope' ELSE 'consistent' END AS worst FROM f GROUP BY quote_id").replace("SELECT quote_id, count(*) FILTER", "SELECT * EXCLUDE (w) FROM (SELECT quote_id, count(*) FILTER").replace("FROM f GROUP BY quote_id", "FROM f GROUP BY quote_id)"),
-    "vendor_questions": _with(_all, *ASKED, "SELECT * FROM vq"),
-    "vendor_messages": _with(_all, *ASKED, "SELECT quote_id, string_agg(number || '. ' || question, chr(10) ORDER BY number) AS message FROM vq GROUP BY quote_id"),
-    "held_findings": _with(_all, *VIEW, f"SELECT quote_id, CASE WHEN quote_id % 2 = 1 AND status IN ('consistent', 'inconsistent') THEN 'needs_confirmation' ELSE status END AS status, CASE WHEN quote_id % 2 = 1 AND status IN ('consistent', 'inconsistent') THEN 'confirm_values' ELSE question END AS question FROM (SELECT quote_id, {_split} FROM (SELECT quote_id, {C3A} AS o FROM v))"),
+    "vendor_questions": _with(_all, *TEXTS, "SELECT * FROM tq"),
+    "vendor_messages": _with(_all, *TEXTS, f"SELECT quote_id, {_quoted(INTRO)} || chr(10) || chr(10) || string_agg(number || '. ' || text, chr(10) ORDER BY number) || chr(10) || chr(10) || {_quoted(OUTRO)} AS message FROM tq GROUP BY quote_id"),
+    "operand_tokens": _with("quotes items answers", OPTION, f"""SELECT quote_id, left(sha256('{{"check": "C3a", "item": null, "operands": [' || array_to_string(list_filter([{_operand('gross_total', 'total', _RAW)}, {_operand('base_price', 'base')}, {_operand('gst_amount', 'gst')}, {_operand('discount', 'discount')}], lambda x: x IS NOT NULL), ', ') || '], "option": ' || coalesce('"' || option_id || '"', 'null') || '}}'), 24) AS token FROM quotes JOIN opt USING (quote_id) WHERE coalesce(total, base, gst, discount) IS NOT NULL"""),
+    "subsidy_notes": _with(_all, *VIEW, f"SELECT status, notes, count(*) AS n FROM (SELECT split_part({C2}, '|', 2) AS status, {_quoted(DCR_NOTE)} || ' The rule values were checked against the MNRE guidelines on ' || (SELECT strftime(DATE '2024-01-01' + CAST(max(n_nationkey) AS INT), '%-d %b %Y') FROM nation WHERE n_nationkey % 3 = 0) || '.' AS notes FROM v) GROUP BY ALL"),
+    "charge_guards": _with("charges", "SELECT quote_id, 'extra_charges[' || charge_id || '].amount' AS field, 'range' AS reason FROM charges WHERE 10 * amount < 0 OR 10 * amount > 300000"),
+    "held_findings": _with(_all, *VIEW, f"SELECT quote_id, CASE WHEN (quote_id % 2 = 1 OR quote_id % 6 = 0) AND status IN ('consistent', 'inconsistent') THEN 'needs_confirmation' ELSE status END AS status, CASE WHEN (quote_id % 2 = 1 OR quote_id % 6 = 0) AND status IN ('consistent', 'inconsistent') THEN 'confirm_values' ELSE question END AS question FROM (SELECT quote_id, {_split} FROM (SELECT quote_id, {C3A} AS o FROM v))"),
     "state_categories": _with("answers", f"states(key, state_name, category) AS (VALUES {_states})", "SELECT category, count(*) AS n FROM answers a LEFT JOIN states s ON s.key = trim(regexp_replace(regexp_replace(replace(lower(a.state), '&', ' and '), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')) GROUP BY category"),
     "amount_parse_roundtrip": _with("quotes", "SELECT quote_id, base AS amount, 'ok' AS parse_status FROM quotes WHERE base >= 0"),
     "indian_grouping": _with("quotes", "SELECT quote_id, CASE WHEN base < 1000 THEN CAST(base AS VARCHAR) ELSE reverse(regexp_replace(regexp_replace(reverse(CAST(base // 1000 AS VARCHAR)), '([0-9]{2})', '\\1,', 'g'), ',$', '')) || ',' || right(CAST(base AS VARCHAR), 3) END AS shown FROM quotes WHERE base > 0"),
@@ -169,6 +204,8 @@ ORACLES |= {
     "score_fields": _with("facts", *SCORES, "SELECT * FROM s"),
     "score_summary": _with("facts", *SCORES, f"SELECT field, count(*) AS n, round({_c('correct')} / nullif({_stated}, 0), 3) AS accuracy, round({_c('falsely_populated')} / nullif({_none}, 0), 3) AS false_population_rate FROM s GROUP BY field"),
     "score_rollup": _with("facts", *SCORES, f"SELECT field, {', '.join(f'{_c(x)} AS {x}' for x in ('correct', 'wrong', 'missing', 'conflict_flagged', 'falsely_populated', 'abstained'))}, CAST(grouping(field) AS INT) AS is_total FROM s GROUP BY ROLLUP (field)"),
+    "score_by_document": _with("facts", *SCORES, f"SELECT doc, {', '.join(f'{_c(x)} AS {x}' for x in ('correct', 'wrong', 'missing', 'conflict_flagged', 'falsely_populated', 'abstained'))}, CAST(grouping(doc) AS INT) AS is_total FROM s GROUP BY ROLLUP (doc)"),
+    "model_totals": "SELECT event_type AS model, count(*) AS n_batches, count_if(user_id % 9 = 0) AS n_failed, CAST(sum(floor(value)) AS BIGINT) AS seconds, CAST(sum(event_id % 100) AS BIGINT) AS tokens FROM events GROUP BY event_type",
     "model_comparison": _with("facts", *SCORES, "SELECT doc, field, status AS one, CASE WHEN doc % 2 = 0 THEN status END AS two FROM s WHERE status <> 'not_labelled'"),
     "confidence_buckets": _with("facts", "g AS (SELECT unnest([0, 50, 60, 70, 80, 90, 95]) AS bucket)", "k AS (SELECT unnest(['money', 'other']) AS kind)", "f AS (SELECT CASE WHEN confidence >= 95 THEN 95 WHEN confidence >= 90 THEN 90 WHEN confidence >= 80 THEN 80 WHEN confidence >= 70 THEN 70 WHEN confidence >= 60 THEN 60 WHEN confidence >= 50 THEN 50 ELSE 0 END AS bucket, CASE WHEN field = 'net' THEN 'other' ELSE 'money' END AS kind, rule <> 'unmatched' AS kept FROM facts)", "SELECT bucket, kind, count(f.kept) AS n, count(*) FILTER (f.kept) AS kept FROM g CROSS JOIN k LEFT JOIN f USING (bucket, kind) GROUP BY ALL"),
     "scenario_matrix": _with(_all, "scen(scenario, s_, a_, c_) AS (VALUES ('S-A', 'Gujarat', 'yes', 'household'), ('S-B', 'Assam', 'yes', 'household'), ('S-C', 'Gujarat', 'no', 'household'), ('S-D', NULL, NULL, NULL), ('S-E', 'Gujarat', 'yes', 'rwa'))",

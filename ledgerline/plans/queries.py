@@ -74,7 +74,7 @@ def finding_summary(spark, sf):
 
 @query
 def vendor_questions(spark, sf):
-    return checks.vendor_questions(checks.run_checks(_view(spark, sf)), checks.dims(spark))
+    return checks.vendor_questions(checks.run_checks(_view(spark, sf)))
 
 
 @query
@@ -82,10 +82,39 @@ def vendor_messages(spark, sf):
     return checks.vendor_message(vendor_questions(spark, sf))
 
 
+def _operand_tokens(spark, sf, total):
+    """Tokens of the total check's operands, with `total` for the total read."""
+    q = bound(spark, sf, "quotes").withColumn("total", total)
+    told = (("gross_total", "total"), ("base_price", "base"), ("gst_amount", "gst"), ("discount", "discount"))
+    rows = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("nth"), F.lit(f).alias("field"), F.col(c).cast("string").alias("value"))) for i, (f, c) in enumerate(told)]))
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    raw = F.when(F.col("field") == "gross_total", F.concat(F.lit('Total "Rs '), F.col("value"), F.lit('"')))
+    operands = q.select("quote_id", F.lit("C3a").alias("check_id"), none("item"), F.inline(rows), none("provenance"), none("source")).withColumn("raw", raw)
+    return checks.operand_tokens(operands, checks.effective_option(bound(spark, sf, "items"), bound(spark, sf, "answers")))
+
+
+@query
+def operand_tokens(spark, sf):
+    return _operand_tokens(spark, sf, F.col("total")).select("quote_id", "token")
+
+
 @query
 def held_findings(spark, sf):
     found = checks.check_gross(_view(spark, sf))
-    return checks.hold_until_confirmed(found, found.where("quote_id % 2 = 0")).select("quote_id", "status", "question")
+    confirmed = _operand_tokens(spark, sf, F.when(F.col("quote_id") % 6 == 0, F.col("total") + 1).otherwise(F.col("total"))).where("quote_id % 2 = 0")
+    return checks.hold_until_confirmed(found, _operand_tokens(spark, sf, F.col("total")), confirmed).select("quote_id", "status", "question")
+
+
+@query
+def subsidy_notes(spark, sf):
+    rules = base_table(spark, sf, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("rule_id"), F.lit("verified").alias("verification"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("n_nationkey").cast("int")).alias("verified_on"))
+    found = checks.with_notes(checks.check_subsidy(_view(spark, sf)), rules)
+    return found.groupBy("status", F.array_join("notes", " ").alias("notes")).agg(F.count("*").alias("n"))
+
+
+@query
+def charge_guards(spark, sf):
+    return review.guard_charges(bound(spark, sf, "charges").withColumn("amount", F.col("amount") * 10))
 
 
 @query
@@ -281,6 +310,17 @@ def score_rollup(spark, sf):
     return evaluate.status_report(_scores(spark, sf))
 
 
+@query
+def score_by_document(spark, sf):
+    return evaluate.status_report(_scores(spark, sf), "doc")
+
+
+@query
+def model_totals(spark, sf):
+    runs = bound(spark, sf, "log").select(F.col("kind").alias("model"), (F.col("job") % 9 == 0).alias("failed"), F.floor("value").alias("seconds"), (F.col("event_id") % 100).alias("tokens"))
+    return evaluate.model_totals(runs)
+
+
 @query
 def model_comparison(spark, sf):
     s = _scores(spark, sf).where("status <> 'not_labelled'")

@@ -46,10 +46,12 @@ SQL = {
   CASE WHEN l_orderkey % 41 = 0 THEN 'absent' ELSE 'ok' END AS watt_state,
   CASE WHEN l_orderkey % 41 = 0 THEN NULL ELSE 300 + 5 * (l_partkey % 61) END AS watt_lo,
   CASE WHEN l_orderkey % 41 = 0 THEN NULL WHEN l_orderkey % 43 = 0 THEN 310 + 5 * (l_partkey % 61) ELSE 300 + 5 * (l_partkey % 61) END AS watt_hi,
-  CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE concat('Model ', CAST(l_partkey % 23 AS VARCHAR(9))) END AS make, l_suppkey % 19 = 0 AS choice
+  CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE concat('Model ', CAST(l_partkey % 23 AS VARCHAR(9))) END AS make, l_suppkey % 19 = 0 AS choice,
+  CASE WHEN l_suppkey % 19 = 0 THEN concat('Model ', CAST(l_partkey % 7 + 30 AS VARCHAR(9))) END AS other_make
 FROM ({NUMBERED}) t WHERE rn % 2 = 1""",
     "inverters": f"""SELECT l_orderkey AS quote_id, rn AS inverter_id, CASE WHEN l_orderkey % 9 = 0 THEN CASE WHEN rn % 4 = 3 THEN 'B' ELSE 'A' END END AS option_id,
   CASE WHEN l_suppkey % 23 = 0 THEN NULL ELSE concat('Inverter ', CAST(l_suppkey % 11 AS VARCHAR(9))) END AS make, CASE WHEN l_suppkey % 17 = 0 THEN 'held' ELSE 'ok' END AS make_state, l_suppkey % 13 = 0 AS choice,
+  CASE WHEN l_suppkey % 13 = 0 THEN concat('Inverter ', CAST(l_partkey % 5 + 20 AS VARCHAR(9))) END AS other_make,
   CASE WHEN l_partkey % 29 = 0 THEN NULL WHEN l_partkey % 37 = 0 THEN 30 WHEN l_partkey % 41 = 0 THEN 19 ELSE l_partkey % 7 + 1 END AS rating_kw, CASE WHEN l_partkey % 31 = 0 THEN 'unitless' WHEN l_partkey % 43 = 0 THEN 'held' ELSE 'ok' END AS rating_state
 FROM ({NUMBERED}) t""",
     "charges": f"""SELECT l_orderkey AS quote_id, rn AS charge_id, CASE WHEN l_partkey % 67 = 0 THEN NULL WHEN l_partkey % 71 = 0 THEN -5 ELSE CAST(floor(l_extendedprice / 100) AS BIGINT) END AS amount,
