@@ -8,12 +8,16 @@ text), but for those that share MIN_OVERLAP of their bigrams with a notice. Its
 fit; under MIN_PROBABILITY a paragraph is unknown. A predicted family is confirmed if the paragraph shares MIN_OVERLAP of its bigrams (or of the
 notice's, if shorter) with one of the family's notices.
 
+A paragraph that has names of several families (words or bigrams of notices of at most SHORT words that no other family's notices have) is also read
+clause by clause (parted at commas, semicolons, slashes, and, or). Clauses are scored and confirmed like paragraphs; one counts only if it has a name of its
+family, and only where a paragraph's clauses tell two families or more: "MIT or Apache-2.0" gives both.
+
 Every paragraph is scored. One without a word that any positive weight belongs to, alone or as the first of two, has the score of an empty one,
 which is unknown; this is found by one overlap of word lists, and only the others go through the sums. Scoring is expressions on the row, without any
 shuffle: weights, notices and offsets are literals of fixed size, whatever the corpus.
 
 Results, one row for each row of docs: n_paragraphs (with a word), n_scored (all of them), n_confirmed, n_unconfirmed, families (confirmed,
-sorted, comma-joined; empty if none), probability (highest of the confirmed; null if none). A null text has no paragraph. A tie between families goes
+sorted, comma-joined; empty if none), probability (highest of the confirmed; null if none), n_several (paragraphs whose clauses tell several families). A null text has no paragraph. A tie between families goes
 to the first by name. Other columns are ignored.
 """
 
@@ -36,6 +40,15 @@ UNKNOWN = "unknown"
 
 # Notices as their licences ask for them, by family, and sentences that speak of licences without granting one.
 NOTICES = {
+    "AGPL": (
+        "AGPL-3.0",
+        "GNU AGPL",
+        "GNU Affero General Public License v3.0",
+        "GNU Affero General Public License, version 3",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ),
     "Apache": (
         "Apache-2.0",
         "Apache License 2.0",
@@ -54,6 +67,13 @@ NOTICES = {
         "Released under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
+    "BSL": (
+        "BSL-1.0",
+        "Boost Software License",
+        "Boost Software License 1.0",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ),
     "CC-BY": (
         "CC BY 4.0",
         "Licensed under CC BY 4.0.",
@@ -68,6 +88,13 @@ NOTICES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
     ),
+    "CC-BY-ND": (
+        "CC BY-ND 4.0",
+        "Licensed under CC BY-ND 4.0.",
+        "Creative Commons Attribution-NoDerivatives 4.0 International (CC BY-ND 4.0)",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-ND-4.0",
+    ),
     "CC-BY-SA": (
         "CC BY-SA 4.0",
         "Licensed under CC BY-SA 4.0.",
@@ -75,9 +102,17 @@ NOTICES = {
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-SA-4.0",
     ),
+    "EPL": (
+        "EPL-2.0",
+        "Eclipse Public License",
+        "Eclipse Public License 2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "GPL": (
         "GPLv3",
         "GPL-3.0",
+        "GNU General Public License",
         "GNU General Public License v3.0",
         "Veröffentlicht unter der GNU General Public License, Version 3.",
         "This work is licensed under the GNU General Public License, version 3.",
@@ -86,14 +121,24 @@ NOTICES = {
         "Distributed under the terms of the GNU GPL v3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
+    "ISC": (
+        "ISC License",
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
     "LGPL": (
         "LGPL-3.0",
+        "GNU LGPL",
+        "GNU Lesser General Public License",
+        "GNU Lesser General Public License v3.0",
         "This work is licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: LGPL-3.0-or-later",
     ),
     "MIT": (
         "MIT License",
+        "under MIT",
         "Veröffentlicht unter der MIT-Lizenz.",
         "Publié sous licence MIT.",
         "Publicado bajo la licencia MIT.",
@@ -101,15 +146,18 @@ NOTICES = {
         "Licensed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
         "SPDX-License-Identifier: MIT",
     ),
     "MPL": (
         "MPL-2.0",
+        "Mozilla Public License",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, Version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
     "proprietary": (
+        "All rights reserved.",
         "Copyright. All rights reserved. No part of this work may be reproduced without the prior written permission of the copyright holder.",
         "This document is proprietary and confidential. Unauthorized copying is prohibited. All rights reserved.",
     ),
@@ -117,7 +165,15 @@ NOTICES = {
         "This work has been dedicated to the public domain under CC0 1.0 Universal.",
         "This is free and unencumbered software released into the public domain.",
         "CC0 1.0 Universal",
+        "The Unlicense",
         "SPDX-License-Identifier: CC0-1.0",
+        "SPDX-License-Identifier: Unlicense",
+    ),
+    "zlib": (
+        "zlib License",
+        "Released under the zlib License.",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "SPDX-License-Identifier: Zlib",
     ),
 }
 OTHERS = (
@@ -147,6 +203,9 @@ def paragraphs(text: str) -> Column:
     return F.filter(F.split(F.regexp_replace(text, _WRAPPED, " "), "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
 
 
+_CLAUSE = r"(?i)[,;/]|\b(?:and|or|und|oder|et|ou|y)\b"
+
+
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), "")
 
@@ -172,11 +231,11 @@ def _overlap(bigrams: Column, notice: list[str]) -> Column:
 class Model:
     """Of each feature and family, the weight over that of unknown; start: the same of no feature. Divided by the temperature.
 
-    held_out: paragraphs kept out of the first fit, and how many of them it gave a family, how many have one, how many got the right one.
+    names: (name, number of its family). held_out: paragraphs kept out of the first fit, and how many of them it gave a family, how many have one, how many got the right one.
     """
 
-    def __init__(self, families: list[str], features: list[str], weights: np.ndarray, start: np.ndarray, notices: list[tuple[int, list[str]]], held_out: dict):
-        self.families, self.features, self.weights, self.start, self.notices, self.held_out = families, features, weights, start, notices, held_out
+    def __init__(self, families: list[str], features: list[str], weights: np.ndarray, start: np.ndarray, notices: list[tuple[int, list[str]]], names: list[tuple[str, int]], held_out: dict):
+        self.families, self.features, self.weights, self.start, self.notices, self.names, self.held_out = families, features, weights, start, notices, names, held_out
 
     def triggers(self) -> list[str] | None:
         """The words without which a paragraph scores no more than an empty one; None if an empty one has a family."""
@@ -193,7 +252,9 @@ def _texts() -> list[tuple[str, str]]:
         if len(w) > 14:
             rows += [(f, " ".join(w[: len(w) // 2 + 2])), (f, " ".join(w[len(w) // 2 - 2 :]))]
         rows.append((f, "Notice: " + t + " See the file for details."))
-        if len(w) > SHORT:
+        if len(w) <= SHORT:
+            rows += [(f, t + " applies to this file"), (f, t + " for the source code")]
+        else:
             rows.append((UNKNOWN, " ".join(reversed(w))))
     return rows + [(UNKNOWN, t) for t in OTHERS for _ in range(3)]
 
@@ -210,6 +271,12 @@ def fit(docs: DataFrame) -> Model:
     known = known.withColumn("ws", _words(F.col("text"))).withColumn("g", _grams(F.col("ws")))
     grams = {(r.family, r.text): r.g for r in known.collect()}
     notices = [(k, list(grams[f, t].b)) for k, f in enumerate(names) for t in NOTICES[f]]
+    of = {}
+    for f, t in texts:
+        for x in {*grams[f, t].w, *grams[f, t].b} if f != UNKNOWN else ():
+            of.setdefault(x, set()).add(f)
+    short = {x for f in names for t in NOTICES[f] if len(grams[f, t].w) <= SHORT for x in [*grams[f, t].w, *grams[f, t].b]}
+    alone = [(x, names.index(*of[x])) for x in sorted(short) if len(of[x]) == 1]
     vocabulary = sorted({x for (f, _), g in grams.items() if f != UNKNOWN for x in [*g.w, *g.b]})
     total = docs.where("text is not null").count()
     share = min(1.0, 2 * FIT_PARAGRAPHS / max(1, total))
@@ -246,23 +313,30 @@ def fit(docs: DataFrame) -> Model:
     weights, start = model.coefficientMatrix.toArray().T / t, np.array(model.interceptVector.toArray()) / t
     weights, start = weights[:, :-1] - weights[:, -1:], start[:-1] - start[-1]
     used = np.flatnonzero(np.abs(weights).max(axis=1) > 1e-9)
-    return Model(names, [vocabulary[i] for i in used], weights[used], start, notices, held)
+    return Model(names, [vocabulary[i] for i in used], weights[used], start, notices, alone, held)
+
+
+def _named(g: Column, model: Model) -> Column:
+    """The numbers of the families of which grams have a name."""
+    names, family = _list([x for x, _ in model.names]), _list([str(y) for _, y in model.names])
+    return F.array_distinct(F.transform(F.array_intersect(F.concat(g["w"], g["b"]), names), lambda x: F.get(family, F.array_position(names, x).cast("int") - 1).cast("int")))
 
 
-def score_paragraphs(lines: Column, model: Model) -> Column:
-    """An array (family, probability, overlap), in order, of those of the paragraphs that have a family."""
+def score_paragraphs(lines: Column, model: Model, named: bool = False) -> Column:
+    """An array (family, probability, overlap), in order, of those of the paragraphs that have a family; named: and a name of it."""
     k, features, weights = len(model.families), _list(model.features), _numbers(model.weights)
     grams = F.transform(F.transform(lines, _words), _grams)
-    found = F.transform(grams, lambda g: F.struct(g["b"].alias("b"), F.array_intersect(F.concat(g["w"], g["b"]), features).alias("f")))
+    held = (lambda g: _named(g, model)) if named else lambda g: F.array().cast("array<int>")
+    found = F.transform(grams, lambda g: F.struct(g["b"].alias("b"), F.array_intersect(F.concat(g["w"], g["b"]), features).alias("f"), held(g).alias("n")))
     add = lambda acc, f: F.zip_with(acc, F.slice(weights, (F.array_position(features, f).cast("int") - 1) * k + 1, k), lambda a, b: a + b)
-    logits = F.transform(found, lambda g: F.struct(g["b"].alias("b"), F.aggregate(g["f"], _numbers(model.start), add).alias("z")))
-    logits = F.transform(logits, lambda g: F.struct(g["b"].alias("b"), g["z"].alias("z"), F.array_max(g["z"]).alias("top")))
+    logits = F.transform(found, lambda g: F.struct(g["b"].alias("b"), g["n"].alias("n"), F.aggregate(g["f"], _numbers(model.start), add).alias("z")))
+    logits = F.transform(logits, lambda g: F.struct(g["b"].alias("b"), g["n"].alias("n"), g["z"].alias("z"), F.array_max(g["z"]).alias("top")))
     share = lambda g: F.exp(g["top"]) / F.aggregate(F.transform(g["z"], F.exp), F.lit(1.0), lambda a, b: a + b)
-    best = F.transform(logits, lambda g: F.struct(g["b"].alias("b"), (F.array_position(g["z"], g["top"]) - 1).alias("y"), share(g).alias("p")))
-    sure = F.filter(best, lambda g: (g["p"] >= MIN_PROBABILITY))
+    best = F.transform(logits, lambda g: F.struct(g["b"].alias("b"), g["n"].alias("n"), (F.array_position(g["z"], g["top"]) - 1).cast("int").alias("y"), share(g).alias("p")))
+    sure = F.filter(best, lambda g: (g["p"] >= MIN_PROBABILITY) & (F.array_contains(g["n"], g["y"]) if named else F.lit(True)))
     overlap = lambda g: F.greatest(*[F.when(g["y"] == f, _overlap(g["b"], n)) for f, n in model.notices])
     names = _list(model.families)
-    return F.transform(sure, lambda g: F.struct(F.get(names, g["y"].cast("int")).alias("family"), g["p"].alias("probability"), overlap(g).alias("overlap")))
+    return F.transform(sure, lambda g: F.struct(F.get(names, g["y"]).alias("family"), g["p"].alias("probability"), overlap(g).alias("overlap")))
 
 
 def scan(docs: DataFrame, model: Model | None = None, gate: bool = True) -> DataFrame:
@@ -273,8 +347,14 @@ def scan(docs: DataFrame, model: Model | None = None, gate: bool = True) -> Data
     likely = F.col("l") if triggers is None else F.filter("l", lambda x: F.arrays_overlap(_words(x), _list(triggers)))
     n = F.greatest(F.coalesce(F.size("l"), F.lit(0)), F.lit(0)).cast("long")
     rows = rows.select("doc_id", n.alias("n_paragraphs"), n.alias("n_scored"), likely.alias("l"))
-    rows = rows.withColumn("s", F.when(F.size("l") > 0, score_paragraphs(F.col("l"), model)))
-    of = lambda ok: F.filter("s", lambda x: (x["overlap"] >= MIN_OVERLAP) == F.lit(ok))
-    count = lambda ok: F.greatest(F.coalesce(F.size(of(ok)), F.lit(0)), F.lit(0)).cast("long")
-    families = F.coalesce(F.array_join(F.array_sort(F.array_distinct(of(True)["family"])), ","), F.lit(""))
-    return rows.select("doc_id", "n_paragraphs", "n_scored", count(True).alias("n_confirmed"), count(False).alias("n_unconfirmed"), families.alias("families"), F.array_max(of(True)["probability"]).alias("probability"))
+    several = F.filter("l", lambda x: F.size(F.array_distinct(F.flatten(F.transform(F.transform(F.array(_words(x)), _grams), lambda g: _named(g, model))))) > 1)
+    rows = rows.withColumns({"s": F.when(F.size("l") > 0, score_paragraphs(F.col("l"), model)), "l": F.when(F.size("l") > 0, several)})
+    confirmed = lambda s: F.filter(s, lambda x: x["overlap"] >= MIN_OVERLAP)
+    clauses = F.transform("l", lambda x: confirmed(score_paragraphs(F.split(x, _CLAUSE), model, named=True)))
+    told = F.filter(clauses, lambda c: F.size(F.array_distinct(c["family"])) > 1)
+    none = F.array().cast("array<struct<family:string,probability:double,overlap:double>>")
+    rows = rows.withColumn("t", F.coalesce(F.when(F.size("l") > 0, told), F.array(none)))
+    rows = rows.withColumns({"yes": F.concat(F.coalesce(confirmed(F.col("s")), none), F.flatten("t")), "t": F.filter("t", lambda c: F.size(c) > 0)})
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    families = F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.col("yes.family"))), ","), F.lit(""))
+    return rows.select("doc_id", "n_paragraphs", "n_scored", count(confirmed(F.col("s"))).alias("n_confirmed"), (count(F.col("s")) - count(confirmed(F.col("s")))).alias("n_unconfirmed"), families.alias("families"), F.array_max(F.col("yes.probability")).alias("probability"), count(F.col("t")).alias("n_several"))
