@@ -20,7 +20,7 @@ PROTECTED = {
     "amount": "(?:Rs\\.?|₹) ?[0-9][0-9,]*",
     "percent": "[0-9]+(?:\\.[0-9]+)? ?%",
     "date": "\\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\\b",
-    "quantity": "\\b[0-9]+ ?(?:nos?|pcs|pieces|panels?|modules?|sets?|units?)\\b",
+    "quantity": "\\b(?!(?<=\\b[0-9]{4}[ -]?[0-9]{4}[ -])[0-9]{4}\\b|(?<=\\b[0-9]{4}[ -])[0-9]{8}\\b|(?<=[6-9][0-9]{4}[ -])[0-9]{5}\\b)[0-9]{1,8} ?(?:nos?|pcs|pieces|panels?|modules?|sets?|units?)\\b",
     "model": "(?<![A-Za-z0-9_@./-])(?![A-Z]{5}[0-9]{4}[A-Z](?![A-Za-z0-9]))(?=[A-Za-z./-]*[0-9])(?=[0-9./-]*[A-Za-z])[A-Za-z0-9][A-Za-z0-9_./-]{3,}[A-Za-z0-9](?![./-]*[A-Za-z0-9_@])",
 }
 LABELS = {"name": "\\b(?:name|attn)\\s*[:\\-]\\s*", "contact": "\\b(?:phone|mobile|contact)(?: no\\.?)?\\s*[:\\-]\\s*", "email": "\\be-?mail(?: id)?\\s*[:\\-]\\s*", "consumer_id": "\\bconsumer (?:no\\.?|id)\\s*[:\\-]\\s*", "address": "\\baddress\\s*[:\\-]\\s*"}

@@ -1,6 +1,6 @@
 """What showed only on larger tables: zeros in ratios, long numbers before units, and results kept through cheaper plans."""
 
-from ledgerline.operators import review
+from ledgerline.operators import pii, review
 
 
 def test_subsidies_equal_to_the_total_divide_nothing(spark):
@@ -9,3 +9,10 @@ def test_subsidies_equal_to_the_total_divide_nothing(spark):
     rows = [(1, *[zero[n] for n in names], True, False), (2, *[(zero | {"net": 0.0, "total": 0.0, "base": 0.0, "gst": 0.0})[n] for n in names], True, False)]
     view = spark.createDataFrame(rows, "quote_id int, " + ", ".join(f"{n} double" for n in names) + ", all_exact boolean, inv_off boolean")
     assert {(r.quote_id, r.field) for r in review.guard_entries(view).collect()} == {(2, "base"), (2, "total"), (2, "net")}
+
+
+def test_long_numbers_before_a_unit_are_masked(spark):
+    texts = {1: "a 4183418637171908 no con", 2: "1234 5678 9012 nos, 12 nos", 3: "98765 43210 sets", 4: "12 nos of 12345678 panels", 5: "1234 56789012 units"}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.masked for r in pii.mask_documents(d).collect()}
+    assert got == {1: "a [long_number] no con", 2: "[id_number] nos, 12 nos", 3: "[phone] sets", 4: texts[4], 5: "[id_number] units"}
