@@ -63,6 +63,18 @@ def _units(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"({UNIT})"), 1)
 
 
+def _with_some_term(docs: DataFrame, edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The rows of docs in whose units those of some term (edges: unit, the first one, and units) follow each other: few, where most texts hold no term.
+
+    Each distinct unit of a text meets the terms that begin with it; the text itself is moved only where one is found.
+    """
+    told = edges.select("unit", F.concat(F.lit(" "), F.array_join("units", " "), F.lit(" ")).alias("__said")).distinct()
+    line = F.lower(F.concat(F.lit(" "), F.array_join(F.regexp_extract_all("__text", F.lit(f"({UNIT})"), 1), " "), F.lit(" ")))
+    lines = docs.select(*keys, "__text", F.monotonically_increasing_id().alias("__id"), F.inline(F.array(F.struct(line.alias("__line")))))
+    met = lines.select("*", F.explode(F.array_distinct(F.split("__line", " "))).alias("unit")).join(F.broadcast(told), "unit").where(F.contains("__line", F.col("__said")))
+    return met.groupBy("__id").agg(*[F.first(c).alias(c) for c in (*keys, "__text")]).drop("__id")
+
+
 def _term_places(docs: DataFrame, terms: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys, __row, kind, term, start, found of each occurrence of terms (term, kind) in the rows of _keyed.
 
@@ -74,6 +86,8 @@ def _term_places(docs: DataFrame, terms: DataFrame, keys: tuple[str, ...]) -> Da
     known = terms.select(F.trim("term").alias("term"), "kind", _units(F.col("term")).alias("units"), F.concat(F.lit("(?iu)^"), inner, F.lit("$")).alias("pattern")).where("size(units) > 0").distinct()
     edges = known.select("*", F.get("units", F.lit(0)).alias("unit"), F.length(F.regexp_extract("term", f"^((?:(?!{UNIT}).)*)", 1)).alias("lead"), F.length(F.regexp_extract("term", f"((?:(?!{UNIT}).)*)$", 1)).alias("trail"))
     size = edges.agg(F.coalesce(F.max(F.size("units")), F.lit(0)).alias("longest"), F.coalesce(F.sum(F.size("units")), F.lit(0)).alias("n")).first()
+    if size.n <= BROADCAST_TERMS:
+        docs = _with_some_term(docs, edges, keys)
     units, between = F.regexp_extract_all("__text", F.lit(f"({UNIT})"), 1), F.split("__text", UNIT, -1)
     rows = docs.select(*keys, _row(), F.inline(F.array(F.struct(units.alias("__units"), between.alias("__between")))))
     gaps = F.transform("__units", lambda x, i: F.length(F.get("__between", i)) + F.when(i > 0, F.length(F.get("__units", i - 1))).otherwise(0))
@@ -163,10 +177,10 @@ def mask_intervals(personal: DataFrame, protected: DataFrame, keys: list[str]) -
     return pieces.groupBy(*keys, "piece").agg(F.min("at").alias("start"), F.max("end").alias("end"), F.min("rank").alias("rank")).select(*keys, "start", "end", F.coalesce(*[F.when(F.col("rank") == i, F.lit(k)) for i, k in enumerate(PERSONAL)], F.lit(OTHER)).alias("kind"))
 
 
-def mask_documents(docs: DataFrame, terms: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def mask_documents(docs: DataFrame, terms: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "text", how: str = "left") -> DataFrame:
     """docs with masked: the text with personal data and denied terms replaced by [kind], protected text kept to the letter (a denied term inside it is masked).
 
-    A null text stays null. Texts with spans meet their pieces in a join on keys and text; rows equal in both have equal pieces.
+    A null text stays null. Texts with spans meet their pieces in a join on keys and text; rows equal in both have equal pieces. how="inner" leaves only texts with pieces.
     """
     rows = _keyed(docs, keys, text)
     on = [*keys, "__row"]
@@ -176,7 +190,7 @@ def mask_documents(docs: DataFrame, terms: DataFrame | None = None, keys: tuple[
     match = F.col("__h") == F.col("__b___row")
     for k in keys:
         match &= F.col(k).eqNullSafe(F.col(f"__b_{k}"))
-    joined = joined.join(per, match, "left")
+    joined = joined.join(per, match, how)
     before = F.transform("__pieces", lambda p, i: F.concat(F.substring(F.col(text), F.coalesce(F.get("__pieces", i - 1)["end"], F.lit(0)) + 1, p["start"] - F.coalesce(F.get("__pieces", i - 1)["end"], F.lit(0))), F.lit("["), p["kind"], F.lit("]")))
     tail = F.substring(F.col(text), F.get("__pieces", F.size("__pieces") - 1)["end"] + 1, F.length(text))
     return joined.select(*docs.columns, F.when(F.col("__pieces").isNull(), F.col(text)).otherwise(F.concat(F.array_join(before, ""), tail)).alias("masked"))
@@ -185,17 +199,20 @@ def mask_documents(docs: DataFrame, terms: DataFrame | None = None, keys: tuple[
 def mask_audit(docs: DataFrame, terms: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """One row: n_texts, n_masked (texts that masking changed), n_survivors (spans of the masked texts outside protected text), n_protected and n_kept (protected spans before, and those of them still there).
 
-    A protected span is still there if its text occurs as often as before; those that a denied term breaks are not.
+    A protected span is still there if its text occurs as often as before; those that a denied term breaks are not. A text without pieces is left as it is, so
+    nothing survives in it and all its protected spans are there: only texts with pieces are masked and read again, and they are kept for that.
     """
-    done = mask_documents(docs.select(*keys, text), terms, keys, text)
+    done = mask_documents(docs.select(*keys, text), terms, keys, text, "inner").persist()
     again = _keyed(done, keys, "masked")
     inside = _same_row(keys) & (F.col("b.start") < F.col("a.start") + F.length("a.found")) & (F.col("a.start") < F.col("b.start") + F.length("b.found")) & (F.col("a.kind") != OTHER)
     left = _personal(again, terms, keys).alias("a").join(_located(again, PROTECTED, keys).alias("b"), inside, "left_anti")
     counted = lambda d, n: d.groupBy("kind", "found").agg(F.count("*").alias(n))
-    was, now = counted(spans(docs, PROTECTED, keys, text), "n"), counted(spans(done, PROTECTED, keys, "masked"), "m")
-    kept = was.join(now, ["kind", "found"], "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_protected"), F.coalesce(F.sum(F.least("n", F.coalesce("m", F.lit(0)))), F.lit(0)).alias("n_kept"))
-    sums = done.agg(F.count(text).alias("n_texts"), F.count_if(F.col(text) != F.col("masked")).alias("n_masked"))
-    return _one_row(sums, left.agg(F.count("*").alias("n_survivors")), kept)
+    was, now = counted(spans(done, PROTECTED, keys, text), "n"), counted(spans(done, PROTECTED, keys, "masked"), "m")
+    lost = was.join(now, ["kind", "found"], "left").agg(F.coalesce(F.sum(F.col("n") - F.least("n", F.coalesce("m", F.lit(0)))), F.lit(0)).alias("lost"))
+    held = sum((F.regexp_count(text, F.lit(p)).cast("long") for p in PROTECTED.values()), F.lit(0))
+    sums = docs.agg(F.count(text).alias("n_texts"), F.coalesce(F.sum(held), F.lit(0)).alias("n_protected"))
+    out = _one_row(sums, done.agg(F.count_if(F.col(text) != F.col("masked")).alias("n_masked")), left.agg(F.count("*").alias("n_survivors")), lost)
+    return out.select("n_texts", "n_masked", "n_survivors", "n_protected", (F.col("n_protected") - F.col("lost")).alias("n_kept"))
 
 
 def _one_row(*rows: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """What showed only on larger tables: zeros in ratios, long numbers before units, and results kept through cheaper plans."""
 
+from pyspark.sql import functions as F
+
 from ledgerline.operators import pii, review
 
 
@@ -16,3 +18,19 @@ def test_long_numbers_before_a_unit_are_masked(spark):
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.masked for r in pii.mask_documents(d).collect()}
     assert got == {1: "a [long_number] no con", 2: "[id_number] nos, 12 nos", 3: "[phone] sets", 4: texts[4], 5: "[id_number] units"}
+
+
+def test_only_texts_with_a_term_are_cut_into_places(spark):
+    """Before, every text was: its words, each with those after it, went through the join."""
+    terms = spark.createDataFrame([("asha rao", "deny"), ("acme", "keep")], "term string, kind string")
+    d = spark.createDataFrame([(1, "asha, RAO asha rao"), (1, "asha, RAO asha rao"), (2, "asha was rao"), (3, "x " * 5000), (None, "Acme")], "doc_id long, __text string")
+    edges = terms.select(F.split("term", " ").alias("units"), F.split("term", " ")[0].alias("unit"))
+    assert sorted(r["__text"] for r in pii._with_some_term(d, edges, ("doc_id",)).collect()) == ["Acme", "asha, RAO asha rao", "asha, RAO asha rao"]
+    assert pii.term_spans(d, terms, text="__text").count() == 5
+
+
+def test_audit_reads_again_only_texts_with_pieces(spark):
+    d = spark.createDataFrame([(1, "me@acme.example 5 kW"), (2, "12 nos"), (3, None)], "doc_id long, text string")
+    audit = pii.mask_audit(d)
+    assert "InMemoryTableScan" in audit._jdf.queryExecution().executedPlan().toString()
+    assert tuple(audit.first()) == (2, 1, 0, 2, 2)
