@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import pii, review
+from ledgerline.operators import extract, pii, review
 
 
 def test_subsidies_equal_to_the_total_divide_nothing(spark):
@@ -34,3 +34,22 @@ def test_audit_reads_again_only_texts_with_pieces(spark):
     audit = pii.mask_audit(d)
     assert "InMemoryTableScan" in audit._jdf.queryExecution().executedPlan().toString()
     assert tuple(audit.first()) == (2, 1, 0, 2, 2)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _table(spark, rows):
+    cells = [("d", 1, 1, r, c, text, 90, False) for r, row in enumerate(rows, 1) for c, text in enumerate(row, 1)]
+    return spark.createDataFrame(cells, "doc string, page int, table int, row int, col int, text string, confidence int, row_merged boolean")
+
+
+def test_table_cells_are_dealt_out_once(spark):
+    """Before, each of these moved all cells four times or more and read a price twice."""
+    grid = _table(spark, [["Option", "Capacity", "Total price"], ["A", "3 kWp", "Rs. 180000/-"], ["B", "5", "Rs 2,50,000"], ["C", "", "Rs 1"]])
+    for made in (extract.option_rows(grid), extract.bom_rows(grid), extract.amount_rows(grid)):
+        assert _plan(made).count("Exchange hashpartitioning") == 1
+    extra = spark.createDataFrame([("d", 1, 1, 2, 9, "no header", 90, False), ("d", 1, 1, None, 1, "no row", 90, False)], grid.schema)
+    rows = {r.row: [(c.col, c.kind, c.header) for c in r.cells] for r in extract.row_cells(grid.unionByName(extra)).collect()}
+    assert set(rows) == {2, 3, 4} and rows[2] == [(1, "option", "Option"), (2, "rating", "Capacity"), (3, "amount", "Total price")]
