@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ledgerline.functions import text as T
 from ledgerline.operators import extract, pii, review
 
 
@@ -20,22 +21,6 @@ def test_long_numbers_before_a_unit_are_masked(spark):
     assert got == {1: "a [long_number] no con", 2: "[id_number] nos, 12 nos", 3: "[phone] sets", 4: texts[4], 5: "[id_number] units"}
 
 
-def test_only_texts_with_a_term_are_cut_into_places(spark):
-    """Before, every text was: its words, each with those after it, went through the join."""
-    terms = spark.createDataFrame([("asha rao", "deny"), ("acme", "keep")], "term string, kind string")
-    d = spark.createDataFrame([(1, "asha, RAO asha rao"), (1, "asha, RAO asha rao"), (2, "asha was rao"), (3, "x " * 5000), (None, "Acme")], "doc_id long, __text string")
-    edges = terms.select(F.split("term", " ").alias("units"), F.split("term", " ")[0].alias("unit"))
-    assert sorted(r["__text"] for r in pii._with_some_term(d, edges, ("doc_id",)).collect()) == ["Acme", "asha, RAO asha rao", "asha, RAO asha rao"]
-    assert pii.term_spans(d, terms, text="__text").count() == 5
-
-
-def test_audit_reads_again_only_texts_with_pieces(spark):
-    d = spark.createDataFrame([(1, "me@acme.example 5 kW"), (2, "12 nos"), (3, None)], "doc_id long, text string")
-    audit = pii.mask_audit(d)
-    assert "InMemoryTableScan" in audit._jdf.queryExecution().executedPlan().toString()
-    assert tuple(audit.first()) == (2, 1, 0, 2, 2)
-
-
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -53,3 +38,30 @@ def test_table_cells_are_dealt_out_once(spark):
     extra = spark.createDataFrame([("d", 1, 1, 2, 9, "no header", 90, False), ("d", 1, 1, None, 1, "no row", 90, False)], grid.schema)
     rows = {r.row: [(c.col, c.kind, c.header) for c in r.cells] for r in extract.row_cells(grid.unionByName(extra)).collect()}
     assert set(rows) == {2, 3, 4} and rows[2] == [(1, "option", "Option"), (2, "rating", "Capacity"), (3, "amount", "Total price")]
+
+
+def test_only_texts_with_a_term_are_cut_into_places(spark):
+    """Before, every text was: its words, each with those after it, went through the join."""
+    terms = spark.createDataFrame([("asha rao", "deny"), ("acme", "keep")], "term string, kind string")
+    d = spark.createDataFrame([(1, "asha, RAO asha rao"), (1, "asha, RAO asha rao"), (2, "asha was rao"), (3, "x " * 5000), (None, "Acme")], "doc_id long, __text string")
+    edges = terms.select(F.split("term", " ").alias("units"), F.split("term", " ")[0].alias("unit"))
+    assert sorted(r["__text"] for r in pii._with_some_term(d, edges, ("doc_id",)).collect()) == ["Acme", "asha, RAO asha rao", "asha, RAO asha rao"]
+    assert pii.term_spans(d, terms, text="__text").count() == 5
+
+
+def test_audit_reads_again_only_texts_with_pieces(spark):
+    d = spark.createDataFrame([(1, "me@acme.example 5 kW"), (2, "12 nos"), (3, None)], "doc_id long, text string")
+    audit = pii.mask_audit(d)
+    assert "InMemoryTableScan" in audit._jdf.queryExecution().executedPlan().toString()
+    assert tuple(audit.first()) == (2, 1, 0, 2, 2)
+
+
+def test_readings_without_a_sign_of_what_is_read(spark):
+    """Cells of a mark and a number, and texts without signs of a denial, take a short way to the same values."""
+    texts = ["Rs. 12345/-", "₹5", "rs 007", "Rs 1,23,456/-", "no digits", "", None, "Rs 5 lakh", "12345"]
+    got = [r.a and [float(x) for x in r.a] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(T.line_amounts(F.col("t")).alias("a")).collect()]
+    assert got == [[12345], [5], [7], [123456], [], [], [], [500000], [12345]]
+    lines = {"5 Nos modules": False, "n'il": True, "No subsidy": True, "paid by the client": True, "Customer's scope": True, "baby client": False, "": False}
+    rows = spark.createDataFrame(list(lines.items()), "t string, want boolean").select("t", "want", T.denied(F.col("t")).alias("no"), T.says(T.meanings(F.col("t")), "denied", "aside_denied").alias("full")).collect()
+    assert all(r.no == r.full == r.want for r in rows)
+    assert T.meanings(F.lit("x"))._jc.toString().count("?<=") == 0
