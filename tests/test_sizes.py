@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
 from ledgerline.operators import extract, pii, review
+from ledgerline.plans import queries
 
 
 def test_subsidies_equal_to_the_total_divide_nothing(spark):
@@ -65,3 +66,10 @@ def test_readings_without_a_sign_of_what_is_read(spark):
     rows = spark.createDataFrame(list(lines.items()), "t string, want boolean").select("t", "want", T.denied(F.col("t")).alias("no"), T.says(T.meanings(F.col("t")), "denied", "aside_denied").alias("full")).collect()
     assert all(r.no == r.full == r.want for r in rows)
     assert T.meanings(F.lit("x"))._jc.toString().count("?<=") == 0
+
+
+def test_models_are_compared_over_one_set_of_scores(spark):
+    """Before, the scores were computed once for each model."""
+    plan = queries.QUERIES["model_comparison"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    scores = queries.QUERIES["score_fields"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == scores.count("Relation [") > 0
