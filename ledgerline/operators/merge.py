@@ -15,11 +15,10 @@ def merge_fields(facts: DataFrame, keys: tuple[str, ...] = ("doc", "field")) ->
     Values are compared by what they measure: 3 kW and 3000 W are one value, which shows as the least of its spellings.
     """
     spelled = facts.groupBy(*keys, "value").agg(F.max("flagged").alias("flagged"))
-    out = T.with_comparable(spelled).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__k", "value"))).alias("all"), F.coalesce(F.max("flagged"), F.lit(False)).alias("flagged"))
+    out = T.with_comparable(spelled).groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("__k", "value")))).alias("all"), F.coalesce(F.max("flagged"), F.lit(False)).alias("flagged"))
     # in order of key and value: the first of each key counts
-    stated = F.filter("all", lambda x: x["value"].isNotNull())
-    firsts = F.filter(F.transform(stated, lambda x, i: F.when((i == 0) | (x["__k"] != F.get(F.filter("all", lambda y: y["value"].isNotNull()), i - 1)["__k"]), x["value"])), lambda x: x.isNotNull())
-    out = out.select(*keys, F.array_sort(firsts).alias("candidates"), "flagged")
+    firsts = F.transform(F.filter("all", lambda x, i: (i == 0) | (x["__k"] != F.get("all", i - 1)["__k"])), lambda x: x["value"])
+    out = out.select(*keys, F.sort_array(firsts).alias("candidates"), "flagged")
     conflict = (F.size("candidates") > 1) | F.col("flagged")
     return out.select(*keys, F.when(~conflict, F.get("candidates", F.lit(0))).alias("value"), conflict.alias("conflict"), F.size("candidates").alias("n_values"), F.array_join("candidates", "|").alias("candidates"))
 
