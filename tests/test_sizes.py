@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
-from ledgerline.operators import extract, pii, review
+from ledgerline.operators import evaluate, extract, merge, pii, review
 from ledgerline.plans import queries
+from ledgerline.sources import bindings
 
 
 def test_subsidies_equal_to_the_total_divide_nothing(spark):
@@ -73,3 +74,19 @@ def test_models_are_compared_over_one_set_of_scores(spark):
     plan = queries.QUERIES["model_comparison"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     scores = queries.QUERIES["score_fields"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == scores.count("Relation [") > 0
+
+
+def _stages(df):
+    """What a plan deals out, without what it broadcasts."""
+    return [x.split("], plan_id")[0] for x in _plan(df).splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_large_tables_are_dealt_by_document_before_rows_are_made(spark, monkeypatch):
+    """Before, the tasks of a window stayed as many as the session's shuffle partitions, and the rows made of a table went through an exchange of their own."""
+    sf = "/root/testdata/sf0.001"
+    small = extract.line_sections(bindings.bound(spark, sf, "lines")).orderBy("doc", "line_no").collect()
+    monkeypatch.setattr(bindings, "ROWS_A_TASK", 300)
+    large = extract.line_sections(bindings.bound(spark, sf, "lines"))
+    assert large.orderBy("doc", "line_no").collect() == small
+    assert [x.split("hashpartitioning")[1][:12] for x in _stages(large)] == ["(o_orderkey#"]
+    assert large.rdd.getNumPartitions() == 30 and bindings.bound(spark, sf, "facts").rdd.getNumPartitions() == bindings.bound(spark, sf, "quotes").rdd.getNumPartitions() > 8
