@@ -128,15 +128,18 @@ def recheck_long(operands: DataFrame, findings: DataFrame, formulas: DataFrame |
     """set, check, n_agree, n_disagree: findings (set, doc, check, status consistent or not) computed again from long operands (doc, check, operand, value).
 
     A check's formula is rows, not code: the sum over its operands, several of one name adding up, has to be within TOLERANCE of zero. Operands without a formula
-    row, and nulls, add nothing; findings without operands are left out.
+    row, and nulls, add nothing; findings without operands are left out. The formulas, a few rows a check, are broadcast: dealt by check and operand, all documents' operands of one name would
+    meet in one task. Operands and findings meet in one group a document and check, with a document's findings of a check in an array.
     """
     spark = operands.sparkSession
     formulas = formulas or spark.createDataFrame([(c, o, float(w), None if a is None else float(a), None if b is None else float(b), float(TOLERANCE[c])) for c, o, w, a, b in FORMULAS], "check string, operand string, weight double, from_ double, to_ double, tolerance double")
     part = F.when(F.col("from_").isNull(), F.col("value")).otherwise(F.greatest(F.lit(0.0), F.least(F.col("value"), F.col("to_")) - F.col("from_")))
-    sums = operands.where("value is not null").withColumn("value", F.col("value").cast("double")).join(formulas, ["check", "operand"]).groupBy("doc", "check").agg(F.abs(F.sum(F.col("weight") * part)).alias("off"), F.max("tolerance").alias("tolerance"))
-    again = sums.select("doc", "check", (F.col("off") <= F.col("tolerance") + 1e-9).alias("holds"))
+    parts = operands.where("doc is not null and value is not null").withColumn("value", F.col("value").cast("double")).join(F.broadcast(formulas), ["check", "operand"]).select("doc", "check", (F.col("weight") * part).alias("part"), "tolerance")
+    told = findings.where("doc is not null and check is not null").select("doc", "check", F.struct("set", "status").alias("finding"))
+    per = parts.unionByName(told, allowMissingColumns=True).groupBy("doc", "check").agg(F.abs(F.sum("part")).alias("off"), F.max("tolerance").alias("tolerance"), F.collect_list("finding").alias("told"))
+    again = per.where("tolerance is not null").select("check", (F.col("off") <= F.col("tolerance") + 1e-9).alias("holds"), F.inline("told"))
     agree = F.col("holds") == (F.col("status") == "consistent")
-    return findings.join(again, ["doc", "check"]).groupBy("set", "check").agg(F.count_if(agree).alias("n_agree"), F.count_if(~agree).alias("n_disagree"))
+    return again.groupBy("set", "check").agg(F.count_if(agree).alias("n_agree"), F.count_if(~agree).alias("n_disagree"))
 
 
 def operands_in_text(operands: DataFrame, texts: DataFrame) -> DataFrame:

@@ -90,3 +90,12 @@ def test_large_tables_are_dealt_by_document_before_rows_are_made(spark, monkeypa
     assert large.orderBy("doc", "line_no").collect() == small
     assert [x.split("hashpartitioning")[1][:12] for x in _stages(large)] == ["(o_orderkey#"]
     assert large.rdd.getNumPartitions() == 30 and bindings.bound(spark, sf, "facts").rdd.getNumPartitions() == bindings.bound(spark, sf, "quotes").rdd.getNumPartitions() > 8
+
+
+def test_operands_meet_no_exchange_by_their_names(spark):
+    """Before, all operands of one name went to one task, to meet the few rows of its formula."""
+    ops = spark.createDataFrame([(1, "C3a", "base", 5.0), (1, "C3a", "total", 5.5), (2, "C3a", "base", 5.0), (3, "C3a", "base", None), (4, "C3a", "other", 1.0), (None, "C3a", "base", 1.0)], "doc int, check string, operand string, value double")
+    found = spark.createDataFrame([(0, 1, "C3a", "consistent"), (0, 1, "C3a", "consistent"), (1, 2, "C3a", "consistent"), (1, 3, "C3a", "consistent"), (1, 4, "C3a", "consistent"), (1, None, "C3a", "consistent")], "set int, doc int, check string, status string")
+    out = evaluate.recheck_long(ops, found)
+    assert sorted(map(tuple, out.collect())) == [(0, "C3a", 2, 0), (1, "C3a", 0, 1)]
+    assert not any("operand#" in x for x in _stages(out)) and "SortMergeJoin" not in _plan(out)
