@@ -35,10 +35,12 @@ def match_items(items: DataFrame, keys: tuple[str, ...] = ("doc",)) -> DataFrame
 
     items: keys, batch, value. A (value, batch) pair without items counts as zero.
     """
-    counts = items.groupBy(*keys, "value", "batch").agg(F.count("*").alias("n"))
-    batches = items.groupBy(*keys).agg(F.count_distinct("batch").alias("batches"))
-    per = counts.groupBy(*keys, "value").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("seen"))
-    judged = per.join(batches, list(keys)).withColumn("matched", (F.col("lo") == F.col("hi")) & (F.col("seen") == F.col("batches")))
+    counts = items.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys, "value", "batch").agg(F.count("*").alias("n"))
+    # a batch counts where it comes first, so that items are grouped once and not joined with their own batches
+    first = (F.row_number().over(Window.partitionBy(*keys, "batch").orderBy("value")) == 1) & F.col("batch").isNotNull()
+    counts = counts.withColumn("first", first).withColumn("batches", F.count_if("first").over(Window.partitionBy(*keys)))
+    per = counts.groupBy(*keys, "value").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("seen"), F.max("batches").alias("batches"))
+    judged = per.withColumn("matched", (F.col("lo") == F.col("hi")) & (F.col("seen") == F.col("batches")))
     return judged.select(*keys, "value", "matched", F.explode(F.sequence(F.lit(1), F.col("hi").cast("int"))).alias("nth"))
 
 

@@ -99,3 +99,12 @@ def test_operands_meet_no_exchange_by_their_names(spark):
     out = evaluate.recheck_long(ops, found)
     assert sorted(map(tuple, out.collect())) == [(0, "C3a", 2, 0), (1, "C3a", 0, 1)]
     assert not any("operand#" in x for x in _stages(out)) and "SortMergeJoin" not in _plan(out)
+
+
+def test_items_are_grouped_once_with_their_batches(spark):
+    """Before, items were read twice and joined with their own batches."""
+    rows = [("d", "a", 1), ("d", "a", 2), ("d", "b", 1), ("d", "c", None), ("e", "a", None), ("f", None, 3), ("f", None, 3), (None, "a", 1)]
+    out = merge.match_items(spark.createDataFrame(rows, "doc string, value string, batch int"))
+    want = [("d", "a", True, 1), ("d", "b", False, 1), ("d", "c", False, 1), ("e", "a", False, 1), ("f", None, True, 1), ("f", None, True, 2)]
+    assert sorted(map(tuple, out.collect()), key=str) == want
+    assert "Join" not in _plan(out)
