@@ -13,15 +13,23 @@ BUCKETS = (0, 50, 60, 70, 80, 90, 95)
 
 
 def score_fields(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """doc, field, status over the full outer join of pred (value, conflict) and truth (value; null = not stated), any number of rows a field.
+    """doc, field, status over all fields of pred (value, conflict) and truth (value; null = not stated), any number of rows a field.
 
     A field is correct if its values and the label's are the same ones equally often, by what they measure (3 kW is 3000 W), in any order. A null value says nothing;
     a conflict on any row is one of the field.
     """
-    keys = F.array_sort(F.collect_list("__k"))
-    said = T.with_comparable(pred.select("doc", "field", "value", "conflict")).groupBy("doc", "field").agg(keys.alias("__said"), F.max("conflict").alias("conflict"))
-    label = T.with_comparable(truth.select("doc", "field", "value")).groupBy("doc", "field").agg(keys.alias("__stated"))
-    j = said.join(label, ["doc", "field"], "full_outer")
+    rows = lambda df, read: df.select("doc", "field", "value", F.col("conflict") if read else F.lit(None).cast("boolean").alias("conflict"), F.lit(read).alias("read"))
+    return score_rows(rows(pred, True).unionByName(rows(truth, False)))
+
+
+def score_rows(rows: DataFrame) -> DataFrame:
+    """score_fields of readings and labels in one table: doc, field, value, conflict, read (false: a label). Each row is read once and meets the others of its field in one group."""
+    keys = lambda side: F.array_sort(F.collect_list(F.when(side, F.col("__k"))))
+    label = ~F.col("read")
+    # a null document or field is no other's
+    apart = F.when(F.col("doc").isNull() | F.col("field").isNull(), F.col("read"))
+    j = T.with_comparable(rows.withColumn("__apart", apart)).groupBy("doc", "field", "__apart").agg(keys(F.col("read")).alias("__said"), keys(label).alias("__stated"), F.max(label).alias("__labelled"), F.max(F.when(F.col("read"), F.col("conflict"))).alias("conflict"))
+    j = j.withColumn("__stated", F.when(F.col("__labelled"), F.col("__stated")))
     conflict, has, stated = F.coalesce("conflict", F.lit(False)), F.coalesce(F.size("__said") > 0, F.lit(False)), F.size("__stated") > 0
     status = (
         F.when(F.col("__stated").isNull(), "not_labelled").when(~stated, F.when(has | conflict, "falsely_populated").otherwise("abstained"))
@@ -30,20 +38,21 @@ def score_fields(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return j.select("doc", "field", status.alias("status"))
 
 
-def score_special(pred: DataFrame, truth: DataFrame) -> DataFrame:
+def score_special(pred: DataFrame, truth: DataFrame, tasks: int | None = None) -> DataFrame:
     """doc, field, status of fields that several values can answer.
 
     pred: doc, field, kind, value, conflict, any number of rows a field. truth: doc, field, kind, value; a null value is not stated.
     subsidy takes the values of the labelled kind (of any, if null), subsidy_type their kinds. extra_charges_outside_total is right if all charges
     are the label's parts at + and ;. vendor_name is right with any one of the names between semicolons, without a last note in brackets.
     dcr_text is right if either text holds the other. Values are compared as amounts, else as folded text. Repeated labels count once each.
+    tasks: over how many the fields are dealt.
     """
-    amount = lambda c: T.parse_amount(c)
-    key = lambda c: F.coalesce(F.when(amount(c)["parse_status"] == "ok", amount(c)["parsed"].cast("decimal(18,2)").cast("string")), T.loose_key(c))
+    # a text that is an amount has a parsed one, and no other has
+    key = lambda c: F.coalesce(T.parse_amount(c)["parsed"].cast("decimal(18,2)").cast("string"), T.loose_key(c))
     is_ = lambda *names: F.col("field").isin(*names)
-    labels = truth.select("doc", "field", F.col("kind").alias("__kind"), F.col("value").alias("__stated")).distinct()
+    labels = T.dealt(truth, tasks, "doc", "field").select("doc", "field", F.col("kind").alias("__kind"), F.col("value").alias("__stated")).distinct()
     said = F.when(is_("subsidy_type"), F.col("kind")).otherwise(F.col("value"))
-    counts = pred.where(is_("subsidy", "subsidy_type", "extra_charges_outside_total", "dcr_text", "vendor_name")).join(labels, ["doc", "field"], "right").where(~is_("subsidy") | F.col("__kind").isNull() | F.col("kind").isNull() | (F.col("kind") == F.col("__kind")))
+    counts = T.dealt(pred, tasks, "doc", "field").where(is_("subsidy", "subsidy_type", "extra_charges_outside_total", "dcr_text", "vendor_name")).join(labels, ["doc", "field"], "right").where(~is_("subsidy") | F.col("__kind").isNull() | F.col("kind").isNull() | (F.col("kind") == F.col("__kind")))
     per = counts.groupBy("doc", "field").agg(F.coalesce(F.max("conflict"), F.lit(False)).alias("conflict"), F.array_sort(F.collect_list(F.when(~F.coalesce("conflict", F.lit(False)), key(said)))).alias("got"))
     j = labels.join(per, ["doc", "field"], "left").withColumns({"conflict": F.coalesce("conflict", F.lit(False)), "got": F.coalesce("got", F.array().cast("array<string>"))})
     names = F.transform(F.split("__stated", ";"), lambda x: F.trim(F.regexp_replace(x, "\\s*\\[[^\\]]*\\]\\s*$", "")))

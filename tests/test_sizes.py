@@ -108,3 +108,41 @@ def test_items_are_grouped_once_with_their_batches(spark):
     want = [("d", "a", True, 1), ("d", "b", False, 1), ("d", "c", False, 1), ("e", "a", False, 1), ("f", None, True, 1), ("f", None, True, 2)]
     assert sorted(map(tuple, out.collect()), key=str) == want
     assert "Join" not in _plan(out)
+
+
+def test_gated_answers_are_dealt_once_to_meet_their_evidence(spark):
+    """Before, evidence was dealt by answer and wanted text and then by answer; a line of text had a row in each square of its width."""
+    a = spark.createDataFrame([("d", 1, 1, "Rs 5000", 90, 20, 2, 70, 10), ("d", 1, 2, "5000 only", 90, 300, 2, 340, 10)], "doc string, page int, answer_id int, raw string, confidence int, x0 int, y0 int, x1 int, y1 int")
+    lines = spark.createDataFrame([("d", 1, 1, "Total Rs 5000", 90, 0, 0, 250, 15)], "doc string, page int, line_no int, text string, confidence int, x0 int, y0 int, x1 int, y1 int")
+    for tasks in (None, 3):
+        out = extract.gate_answers(a, lines, tasks=tasks)
+        assert [(r.answer_id, r.why) for r in out.orderBy("answer_id").collect()] == [(1, None), (2, "not_on_page")]
+        assert not any("wanted#" in x for x in _stages(out))
+        assert tasks is None or any(", 3)" in x for x in _stages(out))
+    assert extract.overlapping(lines.withColumn("id", F.lit(1)), lines).count() == 1
+
+
+def test_amounts_that_are_plain_or_none_take_a_short_way(spark):
+    want = {"Rs 123": 123, "RS. 5/-": 5, "₹7 ": 7, "INR12": 12, " 8 /-": 8, "123456789012345": None, "Rs 1,23,456 only": 123456, "1.5 Lakhs": 150000, "２ lacs": 200000, "4 kW": None, "only 3": None, "5 ONLY": 5, "rs": None, "1,2,3": None, "9 rs.": 9, "7/=": 7}
+    got = {r.t: r.p for r in spark.createDataFrame([(x,) for x in want], "t string").select("t", T.parse_amount(F.col("t")).alias("p")).collect()}
+    assert {t: p.parsed and float(p.parsed) for t, p in got.items()} == want
+    assert {t: p.parse_status for t, p in got.items() if p.parsed is None} == {"123456789012345": "ambiguous", "4 kW": "ambiguous", "only 3": "ambiguous", "rs": "unparseable", "1,2,3": "ambiguous"}
+    plan = evaluate.score_special(*[spark.createDataFrame([("d", "subsidy", "central", "Rs 5", False)], "doc string, field string, kind string, value string, conflict boolean")] * 2)
+    assert plan.first().status == "correct" and str(plan._jdf.queryExecution().optimizedPlan()).count("lakhs?|lacs?") <= 4
+
+
+def test_row_boxes_of_large_tables_meet_where_they_are(spark, monkeypatch):
+    """Before, all cells were dealt by row once more to be gathered, over as many tasks as the session has."""
+    monkeypatch.setattr(bindings, "ROWS_A_TASK", 300)
+    out = queries.QUERIES["row_evidence"](spark, "/root/testdata/sf0.001")
+    assert "Exchange hashpartitioning" in _plan(out) and "ENSURE_REQUIREMENTS" not in _plan(out)
+
+
+def test_readings_and_labels_meet_in_one_group(spark):
+    """Before, merged fields were computed for the readings and for the labels, and joined."""
+    pred = spark.createDataFrame([("d", "a", "3 kW", False), ("d", "b", None, False), (None, "a", "1", False), ("d", "c", "1", True)], "doc string, field string, value string, conflict boolean")
+    truth = spark.createDataFrame([("d", "a", "3000 W"), ("d", "b", "x"), (None, "a", "1"), ("e", "a", None)], "doc string, field string, value string")
+    out = evaluate.score_fields(pred, truth)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("d", "a", "correct"), ("d", "b", "missing"), (None, "a", "not_labelled"), (None, "a", "missing"), ("d", "c", "not_labelled"), ("e", "a", "abstained")], key=str)
+    assert "Join" not in _plan(out)
+    assert queries.QUERIES["score_rollup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
