@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
-from ledgerline.operators import evaluate, extract, merge, pii, review
+from ledgerline.operators import checks, evaluate, extract, merge, pii, review
 from ledgerline.plans import queries
 from ledgerline.sources import bindings
 
@@ -146,3 +146,42 @@ def test_readings_and_labels_meet_in_one_group(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted([("d", "a", "correct"), ("d", "b", "missing"), (None, "a", "not_labelled"), (None, "a", "missing"), ("d", "c", "not_labelled"), ("e", "a", "abstained")], key=str)
     assert "Join" not in _plan(out)
     assert queries.QUERIES["score_rollup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_a_quotations_lines_are_numbered_and_summed_once(spark):
+    """Before, items, charges and inverters each numbered all lines, items four times; findings were taken apart and gathered again."""
+    for name in ("finding_summary", "vendor_questions", "vendor_messages"):
+        plan = _plan(queries.QUERIES[name](spark, SF))
+        assert plan.count("Window [row_number") == 1 and plan.count("Scan parquet") <= 4 and plan.count("Generate") == (name == "vendor_questions"), name
+        assert "pivotfirst" not in plan
+
+
+def test_parts_side_by_side_or_under_each_other_give_one_view(spark):
+    d = checks.dims(spark)
+    quotes, items, charges, inverters, answers, parts = (bindings.bound(spark, SF, t) for t in ("quotes", "items", "charges", "inverters", "answers", "parts"))
+    view = lambda p: checks.quote_view(quotes, p, answers, d["state"], d["slab"])
+    apart = view(checks.quote_parts(items, charges, inverters))
+    assert apart.count() == quotes.count() and apart.exceptAll(view(parts)).isEmpty() and view(parts).exceptAll(apart).isEmpty()
+    none = view(parts.where("false")).select("n_groups", "n_inverters", "any_outside", "has_net_meter", "inside", "panel_options", "outside_charges", "option_state")
+    assert {tuple(r)[:7] for r in none.distinct().collect()} == {(None,) * 7} and {r.option_state for r in none.collect()} == {"selected", "single", "unknown"}
+    # the only option of the items is the quotation's, and an inverter of another one is not
+    one = parts.where("item is not null").limit(1).select("quote_id", F.col("item").withField("option_id", F.lit("A")).alias("item"), F.col("inverter").withField("option_id", F.lit("B")).alias("inverter"), "charge")
+    row = view(one).where("n_groups is not null").first()
+    assert (row.option_id, row.n_groups, row.n_inverters, row.inv_make_absent, row.inverter_options) == ("A", 1, None, None, None)
+
+
+def test_findings_row_by_row_are_those_gathered(spark):
+    view = queries._view(spark, SF)
+    found = checks.run_checks(view)
+    for gathered, by_row in ((checks.finding_summary(found), checks.view_summary(view)), (checks.vendor_questions(found), checks.view_questions(view)), (checks.vendor_message(checks.vendor_questions(found)), checks.view_messages(view))):
+        assert gathered.dtypes == by_row.dtypes and sorted(gathered.collect()) == sorted(by_row.collect())
+
+
+def test_states_in_capitals_of_any_alphabet(spark):
+    names = ["SIKKIM", "sI\u212a\u212aim", "Jammu & KASHMIR", "\u0130", None]
+    got = checks.state_category(spark.createDataFrame([(n,) for n in names], "state string"), checks.dims(spark)["state"]).collect()
+    assert {r.state: r.state_name for r in got} == dict(zip(names, ["Sikkim", "Sikkim", "Jammu and Kashmir", None, None], strict=True))
+    assert "lower(label" not in _plan(queries.finding_summary(spark, SF))
