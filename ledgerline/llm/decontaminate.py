@@ -11,8 +11,9 @@ by counts over all documents. The steps:
 
 Only the bitmaps (up to MOST_BITS, by the number of shingles) go to all tasks; windows and candidates meet in a shuffle join.
 
-Results: null text has no words; a null item or one without words has no window; repeated rows are handled alike, each with its own
-result; rows with a null doc_id are told apart by their text. doc_ids are cast to long. Other columns are ignored.
+Results: null text has no words; an item without text or words has no window; an item with a null item_id has windows as any other and is no
+counted item; repeated rows are handled alike, each with its own result; rows with a null doc_id are told apart by their text. doc_ids are cast to
+long. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def _finder(bitmap: np.ndarray, sizes: list[int]) -> Callable:
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows: doc key and n_words for each row of docs; matches: doc key, item_id, start and n of each window's occurrences)."""
     arrow_limits(docs.sparkSession)
-    windows = saved(benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null").mapInArrow(tidy(_windows), "item_id string, win string, n int, at int, h long"))
+    windows = saved(benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(tidy(_windows), "item_id string, win string, n int, at int, h long"))
     sizes = sorted(r.k for r in windows.select(F.least(F.col("n"), F.lit(SHINGLE)).alias("k")).distinct().collect())
     counts = docs.select("text").mapInArrow(tidy(_counter(_bitmap(windows), sizes)), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     rarity = windows.join(counts, "h", "left").groupBy("item_id", "win", "n").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "at", "h")).alias("p"))

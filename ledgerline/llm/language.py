@@ -8,7 +8,8 @@ floor goes by length: it is REJECT_SHARE of the FLOOR_QUANTILE of the language's
 many distinct n-grams (powers of two). Calibration texts are a third of the sample, kept out of the centroids. A length with fewer than
 MIN_HELD of them has the floor of the next shorter one, and a language without any the lowest floor of the others.
 
-The most frequent MAX_LANGUAGES languages are learned. Document frequencies are counted over all learnable rows. Centroids and floors are
+All languages are learned. Their centroids are kept in parts of MAX_LANGUAGES languages; with several parts, texts meet one part after another, and what fits
+best so far goes with them. Document frequencies are counted over all learnable rows. Centroids and floors are
 fitted on a bounded sample (FIT_TEXTS and half as many to calibrate, shared evenly by languages, chosen by a hash of doc_id); each text is
 reduced to DIMS counts in its task before it is gathered. Prediction uses the text alone. Repeated rows get equal results; a null doc_id is never
 learned from and is not held out.
@@ -34,6 +35,7 @@ MIN_HELD = 8
 BEGINNINGS = tuple(1 << k for k in range(11))
 LENGTHS = DIMS.bit_length()
 MAX_LANGUAGES = 1000
+"""Languages whose centroids a worker holds at once (48 MB)."""
 
 _fold: list[np.ndarray] = []
 
@@ -118,6 +120,11 @@ class Model:
     def __init__(self, langs: list[str], centroids: np.ndarray, idf: np.ndarray, floors: np.ndarray):
         self.langs, self.centroids, self.idf, self.floors = langs, centroids, idf, floors
 
+    def parts(self) -> list[Model]:
+        """Models of MAX_LANGUAGES languages each; a language's centroids follow each other."""
+        cuts = [i for i, name in enumerate(self.langs) if i == 0 or name != self.langs[i - 1]][::MAX_LANGUAGES] + [len(self.langs)]
+        return [Model(self.langs[a:b], self.centroids[a:b], self.idf, self.floors[a:b]) for a, b in zip(cuts, cuts[1:])]
+
 
 def _nothing_known() -> Model:
     return Model(["und"], np.zeros((1, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros((1, LENGTHS)))
@@ -161,40 +168,50 @@ def fit(docs: DataFrame) -> Model | None:
     """Model from the labelled rows of docs; None if there are none. docs must hold learnable rows only."""
     arrow_limits(docs.sparkSession)
     known = docs.where("lang is not null and text is not null and doc_id is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    per = F.greatest(F.lit(20), F.floor(F.lit(FIT_TEXTS) / F.greatest(F.lit(1), F.lit(sizes.count()))))
+    sizes = saved(known.groupBy("lang").agg(F.count("*").alias("n")))
+    n_langs = sizes.count()
+    if not n_langs:
+        return None
+    per = max(20, FIT_TEXTS // n_langs)
+    part = F.floor((F.row_number().over(Window.orderBy("lang")) - 1) / MAX_LANGUAGES) if n_langs > MAX_LANGUAGES else F.lit(0)
     unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))  # of id and text: rows that repeat an id are drawn apart
-    drawn = known.join(F.broadcast(sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)), "lang").where(unit < 3.0 * per / F.col("n"))
+    drawn = known.join(F.broadcast(sizes.withColumn("part", part)), "lang").where(unit < 3.0 * per / F.col("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(unit, "doc_id", F.xxhash64("text")))
-    rows = saved(drawn.select("lang", "text", first.alias("r")).where(2 * F.col("r") <= 3 * per).select("lang", "text", (F.col("r") % 3 == 0).alias("held")))
-    counted = rows.where("not held").select("lang", "text").mapInArrow(tidy(_count_rows), "lang string, counts binary").toArrow()
-    if not counted.num_rows:
-        return None
-    counts = np.frombuffer(b"".join(counted["counts"].to_pylist()), dtype=np.uint16).reshape(-1, DIMS)
-    lang = np.array(counted["lang"].to_pylist())
-    order = np.array(sorted(range(len(lang)), key=lambda i: (lang[i], counts[i].tobytes())))
-    counts, lang = counts[order], lang[order]
+    rows = saved(drawn.select("part", "lang", "text", first.alias("r")).where(2 * F.col("r") <= 3 * per).select("part", "lang", "text", (F.col("r") % 3 == 0).alias("held")))
     frequency = np.zeros(DIMS + 1)
     for r in known.select("text").mapInArrow(tidy(_count_frequencies), "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect():
         frequency[r.dim] = r.n
     idf = (np.log((1 + frequency[DIMS]) / (1 + frequency[:DIMS])) + 1).astype(np.float32)
-    x, rng = vectors(counts, idf), np.random.default_rng(7)
-    names, cs = [], []
-    for name in sorted(set(lang)):
-        c = _centroids(x[lang == name], CENTROIDS, rng)
-        names += [str(name)] * len(c)
-        cs.append(c)
-    cs = np.concatenate(cs).astype(np.float32)
-    held = rows.where("held").select("lang", "text").mapInArrow(tidy(_held_cosines(names, cs, idf)), "lang string, length long, cosine double")
-    low = held.groupBy("lang", "length").agg(F.count("*").alias("n"), F.percentile("cosine", F.lit(FLOOR_QUANTILE)).alias("q")).collect()
-    return Model(names, cs, idf, _floors(names, low))
-
-
-def _predictor(model: Model) -> Callable:
+    names, cs, low, rng = [], [], [], np.random.default_rng(7)
+    for p in range(-(-n_langs // MAX_LANGUAGES)):
+        mine = rows.where(F.col("part") == p)
+        counted = mine.where("not held").select("lang", "text").mapInArrow(tidy(_count_rows), "lang string, counts binary").toArrow()
+        counts = np.frombuffer(b"".join(counted["counts"].to_pylist()), dtype=np.uint16).reshape(-1, DIMS)
+        lang = np.array(counted["lang"].to_pylist())
+        order = np.array(sorted(range(len(lang)), key=lambda i: (lang[i], counts[i].tobytes())), dtype=int)
+        x, lang = vectors(counts[order], idf), lang[order]
+        own_names, own = [], [np.zeros((0, DIMS), np.float32)]
+        for name in sorted(set(lang)):
+            c = _centroids(x[lang == name], CENTROIDS, rng)
+            own_names += [str(name)] * len(c)
+            own.append(c)
+        own = np.concatenate(own).astype(np.float32)
+        held = mine.where("held").select("lang", "text").mapInArrow(tidy(_held_cosines(own_names, own, idf)), "lang string, length long, cosine double")
+        low += held.groupBy("lang", "length").agg(F.count("*").alias("n"), F.percentile("cosine", F.lit(FLOOR_QUANTILE)).alias("q")).collect()
+        names += own_names
+        cs.append(own)
+    return Model(names, np.concatenate(cs), idf, _floors(names, low)) if names else None
+
+
+def _predictor(model: Model, begun: bool = False, more: bool = False) -> Callable:
+    """Texts (last column) to lang_pred, score and rejected. begun: these stand before the text, from languages met before, the score as it was; more: further languages come, the text stays."""
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            n_rest = batch.num_columns - 1 - 3 * begun
             for at, n, data, offsets in chunks(batch.column(batch.num_columns - 1)):
                 langs, scores, rejected = [], [], []
+                before = [batch.column(n_rest + c).slice(at, n).to_pylist() for c in range(3)] if begun else None
                 for a in range(0, n, 256):
                     b = min(n, a + 256)
                     counts, has = ngram_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -202,16 +219,31 @@ def _predictor(model: Model) -> Callable:
                     best = cos.argmax(axis=1)
                     floor = model.floors[best, _length(counts)]
                     for i in range(b - a):
-                        s = float(min(1.0, max(0.0, cos[i, best[i]]))) if has[i] else 0.0
-                        langs.append(model.langs[best[i]] if has[i] else "und")
-                        scores.append(s)
-                        rejected.append(not has[i] or s < floor[i])
-                rest = [batch.column(c).slice(at, n) for c in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
+                        s = float(cos[i, best[i]]) if has[i] else 0.0
+                        if before and has[i] and before[1][a + i] >= s:
+                            lang, s, out = (c[a + i] for c in before)
+                        else:
+                            lang, out = model.langs[best[i]] if has[i] else "und", not has[i] or max(0.0, min(1.0, s)) < floor[i]
+                        langs.append(lang)
+                        scores.append(s if more else min(1.0, max(0.0, s)))
+                        rejected.append(out)
+                rest = [batch.column(c).slice(at, n) for c in range(n_rest)]
+                said = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
+                text = [batch.column(batch.num_columns - 1).slice(at, n)] if more else []
+                yield pa.RecordBatch.from_arrays([*rest, *said, *text], [*batch.schema.names[:n_rest], "lang_pred", "score", "rejected", *["text"] * more])
 
     return predict
 
 
+def _predicted(rows: DataFrame, model: Model) -> DataFrame:
+    """rows, whose last column is the text, with lang_pred, score and rejected in its place."""
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema][:-1] + ["lang_pred string, score double, rejected boolean"]
+    parts = model.parts()
+    for i, part in enumerate(parts[:-1]):
+        rows = saved(rows.mapInArrow(tidy(_predictor(part, i > 0, True)), ", ".join([*kinds, "text string"])))
+    return rows.mapInArrow(tidy(_predictor(parts[-1], len(parts) > 1)), ", ".join(kinds))
+
+
 def learnable(docs: DataFrame) -> DataFrame:
     return docs.where(crc_mod(4) != 2)
 
@@ -221,8 +253,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     arrow_limits(docs.sparkSession)
     model = model or fit(learnable(docs)) or _nothing_known()
     rows = docs.select("doc_id", F.coalesce(crc_mod(4) == 2, F.lit(False)).alias("held_out"), "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(tidy(_predictor(model)), f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return _predicted(rows, model)
 
 
 def drop_unknown(docs: DataFrame) -> DataFrame:
@@ -231,6 +262,5 @@ def drop_unknown(docs: DataFrame) -> DataFrame:
     model = fit(learnable(docs)) or _nothing_known()
     own = [f"__{i}" for i in range(len(docs.columns))]  # so that no column of docs has the name of one that is added
     kept = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, own, strict=True)], "text")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
-    out = kept.mapInArrow(tidy(_predictor(model)), f"{kinds}, lang_pred string, score double, rejected boolean").where("not rejected")
+    out = _predicted(kept, model).where("not rejected")
     return out.select(*[F.col("lang_pred" if c == "lang" else n).alias(c) for c, n in zip(docs.columns, own, strict=True)])

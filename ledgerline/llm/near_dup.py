@@ -16,7 +16,8 @@ a fair min-hash whatever the size of the text. Bands of four registers deal text
 * Pairs are confirmed beside one copy of their first text for each of up to SALTS parts of its pairs, in a stream: no group is held in memory.
 
 Results: doc_id is an integer (it is cast to long). Null text, or a text without words: no shingles, linked with nothing, kept. Null doc_id: never
-linked, component_id null, kept. Rows that repeat a doc_id are one vertex under that id. Other columns are ignored.
+linked, component_id null, kept. Rows that repeat a doc_id with other texts are texts of their own: what one is like is not linked with what another is
+like. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,24 +95,25 @@ def signature(x: np.ndarray) -> bytes:
     return np.array([len(x), mix(x, 1).sum(dtype=np.uint64), mix(x, 2).sum(dtype=np.uint64)], dtype=np.uint64).tobytes()
 
 
-_SKETCH = "doc_id long, n_shingles long, sig binary, regs binary"
+_SKETCH = "doc_id long, text_hash long, n_shingles long, sig binary, regs binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, n, data, offsets in chunks(batch.column(1)):
+        for at, n, data, offsets in chunks(batch.column(2)):
             sizes, sigs, regs = [], [], []
             for x in shingle_sets(data, offsets):
                 sizes.append(len(x))
                 sigs.append(signature(x) if len(x) else None)
                 regs.append(registers(x).tobytes() if len(x) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "sig", "regs"])
+            keys = [batch.column(c).slice(at, n) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "text_hash", "n_shingles", "sig", "regs"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, sig (equal for equal sets; null if empty), regs."""
+    """Per row of docs: doc_id, text_hash, n_shingles, sig (equal for equal sets; null if empty), regs."""
     arrow_limits(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_sketch), _SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(tidy(_sketch), _SKETCH)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +132,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, n, data, offsets in chunks(batch.column(1)):
             sets = shingle_sets(data, offsets)
             columns = [pa.array([signature(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *columns], ["rep", "sig", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *columns], ["doc", "sig", "set"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,35 +226,58 @@ def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataF
     return saved(meet.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept: one row per row of docs."""
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, text_hash, n_shingles, component_id, and whether it is its component's first text (of the smallest doc_id)."""
     rows = saved(sketches(docs))
     known = rows.where("sig is not null and doc_id is not null")
-    classes = saved(known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")))
+    classes = saved(known.groupBy("sig").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")))
+    # a vertex for each class: its smallest doc_id, or a hash where that id stands for several classes
+    shared = saved(classes.groupBy("doc").agg(F.min("sig").alias("first"), F.count("*").alias("k")).where("k > 1").select("doc", "first"))
+    unique = shared.isEmpty()
+    classes = classes.withColumn("rep", F.col("doc")) if unique else saved(classes.join(_small(shared), "doc", "left").withColumn("rep", F.when(F.col("sig") != F.col("first"), F.xxhash64("doc", "sig")).otherwise(F.col("doc"))).drop("first"))
     bands = classes.select("rep", "n", "regs").mapInArrow(tidy(_bands), "band long, rep long, n long")
     groups = saved(bands.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).where("lead.rep < last").select("band", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("m")))
     members = saved(bands.join(groups, "band"))
     ids = saved(members.select("rep").distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(_small(ids), "rep", "left_semi").where("text is not null")
-    sets = texts.mapInArrow(tidy(_sets), "rep long, sig binary, set binary").where("length(set) > 0").dropDuplicates(["rep", "sig"])
-    sets = saved(sets.join(classes.select("rep", "sig", "regs"), ["rep", "sig"]))
+    ids = ids.withColumnRenamed("rep", "doc") if unique else saved(classes.join(_small(ids), "rep").select("doc").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(_small(ids), "doc", "left_semi").where("text is not null")
+    sets = texts.mapInArrow(tidy(_sets), "doc long, sig binary, set binary").where("length(set) > 0").dropDuplicates(["doc", "sig"])
+    sets = saved(sets.join(classes.select("doc", "rep", "sig", "regs"), ["doc", "sig"]).drop("doc"))
     pairs = members.where("rep <> leader and 4 * least(n, m) >= 3 * greatest(n, m)").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     labels = saved(components(_links(pairs, sets)))
     more = _links(_open_pairs(members, labels, sets), sets)
     if not more.isEmpty():
         links = more.unionByName(labels.select(F.col("v").alias("a"), F.col("label").alias("b")))
         labels = saved(components(links))
-    moved = labels.where("v <> label").withColumnRenamed("v", "rep")
-    of_class = saved(classes.select("sig", "rep", "copies").join(_small(saved(moved)), "rep", "left").where("copies > 1 or label is not null").select("sig", F.coalesce("label", "rep").alias("component_id")))
-    out = rows.select("doc_id", "n_shingles", "sig").join(_small(of_class), "sig", "left")
+    if unique:
+        moved = labels.where("v <> label").select(F.col("v").alias("rep"), F.col("label").alias("component_id"), F.lit(None).cast("binary").alias("main"))
+    else:
+        # vertices are no doc_ids here: each component's first text names it
+        placed = saved(classes.select("rep", "doc", "sig").join(labels.withColumnRenamed("v", "rep"), "rep"))
+        firsts = placed.groupBy("label").agg(F.min(F.struct("doc", "sig")).alias("top")).select("label", F.col("top.doc").alias("component_id"), F.col("top.sig").alias("main"))
+        moved = placed.join(firsts, "label").where("sig <> main").select("rep", "component_id", "main")
+    of_class = classes.select("sig", "rep", "doc", "copies").join(_small(saved(moved)), "rep", "left").where("copies > 1 or component_id is not null")
+    of_class = saved(of_class.select("sig", F.coalesce("component_id", "doc").alias("component_id"), "main"))
+    out = rows.select("doc_id", "text_hash", "n_shingles", "sig").join(_small(of_class), "sig", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    first = F.coalesce(F.col("doc_id") == component, F.lit(True)) & F.coalesce(F.col("sig") == F.col("main"), F.lit(True))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), first.alias("first"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept: one row per row of docs."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return _verdicts(docs).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: docs without the near copies; of rows that repeat a kept doc_id and text, nulls included, one stays."""
-    gone = saved(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
-    left = docs.join(_small(gone), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti").withColumn("__k", row_key())
+    """Pipeline stage: docs without the near copies; of rows that repeat a kept doc_id and text, nulls included, one stays.
+
+    A row goes by its doc_id and its text: another text under the doc_id of a copy stays.
+    """
+    gone = saved(_verdicts(docs).where("not first").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct())
+    copy = (docs["doc_id"].cast("long") == F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    left = docs.join(_small(gone), copy, "left_anti").withColumn("__k", row_key())
     again = saved(left.groupBy("__k").count().where("count > 1").select("__k"))
     if again.isEmpty():
         return left.drop("__k")
