@@ -35,14 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read back: lineage ends here and lost executors cost nothing.
+def saved(df: DataFrame, **options: str) -> DataFrame:
+    """`df` written as Parquet, with these options of the writer, to the shared folder and read back: lineage ends here and lost executors cost nothing.
 
     Files lie under <shared folder>/<application id>, which can be removed when the application has ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -41,6 +41,9 @@ QUERIES = 256
 PASS_TERMS = 1_000_000
 BATCH_BYTES = 16 << 20
 """Blocks that a task reads at once; one larger block comes by itself."""
+BLOCK_FILES = {"parquet.block.row.count.limit": "1", "parquet.column.statistics.enabled": "false"}
+"""A block is a row group of its own: else a task would hold up to 100 blocks until it writes them, and all at once when it reads them, and no other could
+take some. Statistics would keep copies of each block's largest columns, as their least and greatest values, until the file is closed."""
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -308,7 +311,7 @@ def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> Index:
     arrow_limits(docs.sparkSession)
     total = docs.select("text").mapInArrow(tidy(_count), "docs long, terms long").agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("terms"), F.lit(0)).alias("l")).first()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return Index(saved(rows.mapInArrow(tidy(_indexer(total.n, total.l, block_docs)), _BLOCK)), total.n, total.l)
+    return Index(saved(rows.mapInArrow(tidy(_indexer(total.n, total.l, block_docs)), _BLOCK), **BLOCK_FILES), total.n, total.l)
 
 
 def query_terms(items: DataFrame) -> DataFrame:

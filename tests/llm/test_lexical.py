@@ -92,3 +92,20 @@ def test_treap_holds_each_point_once_and_in_heap_order(n, rows, cols):
                 assert t.value[kid] <= t.value[cell]
                 todo.append((kid, level + 1, 2 * y + (q >> 1), 2 * x + (q & 1)))
     assert seen == len(points)
+
+
+def test_blocks_are_written_and_read_one_by_one(spark):
+    """Before, a task's blocks were one row group, held whole when written and when read; statistics kept copies of each block's columns until the file was closed."""
+    import pyarrow.parquet as pq
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "2000")
+    spark.conf.set(key, "100")
+    try:
+        index = X.build_index(frames(spark, corpus(600), [(1, "w1")], 1)[0], 100)
+    finally:
+        spark.conf.set(key, before)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.blocks.inputFiles()]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert len(groups) == index.blocks.count() > len(files) and all(g.num_rows == 1 for g in groups)
+    assert not any(g.column(i).is_stats_set for g in groups for i in range(g.num_columns))
