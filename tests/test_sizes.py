@@ -185,3 +185,20 @@ def test_states_in_capitals_of_any_alphabet(spark):
     got = checks.state_category(spark.createDataFrame([(n,) for n in names], "state string"), checks.dims(spark)["state"]).collect()
     assert {r.state: r.state_name for r in got} == dict(zip(names, ["Sikkim", "Sikkim", "Jammu and Kashmir", None, None], strict=True))
     assert "lower(label" not in _plan(queries.finding_summary(spark, SF))
+
+
+def test_rows_of_cells_are_made_once_for_all_readings(spark):
+    """Before, each of the three readings of tables gathered the cells again: only the cells themselves were shared."""
+    df = queries.QUERIES["extract_pages"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    shared = [x for x in final.splitlines() if "ReusedExchange" in x and "least" in x and "hashpartitioning(table#" in x]
+    assert "isFinalPlan=true" in final and len(shared) == 2
+
+
+def test_texts_without_a_sign_of_a_role_name_none(spark):
+    """Each phrase that names a role, whole and with an apostrophe, has a sign; the reading behind the sign gives the same as without it."""
+    texts = ["Net cost", "Effective price", "Post subsidy", "After the CFA", "cost before MNRE subsidy", "Basic", "Base value", "Taxable amount", "Sub total", "Before GST", "CGST", "Grand t'otal", "Amount payable", "Make 3 panels", "Price", "", None, "Ne't price", "no subsidy", "Rate of the cable"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select(T.price_role(F.col("t")).alias("a"), T.role_of(T.meanings(F.col("t"))).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and len({r.a for r in got}) == 6
